@@ -24,8 +24,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates over four-word shingles, similarity 0.8 or more."""
+    from marlgate.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_minhash": op9_minhash,
         "op10_bpe": op10_bpe,
     }
 
