@@ -24,6 +24,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the divergence rules for every document."""
+    from marlgate.llm.quality import BASE, judge
+
+    found = judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", *BASE, "base_failed", "kept")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates over four-word shingles, similarity 0.8 or more."""
     from marlgate.llm.neardup import near_duplicates
@@ -33,6 +41,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op9_minhash": op9_minhash,
         "op10_bpe": op10_bpe,
     }
