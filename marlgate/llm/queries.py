@@ -32,6 +32,26 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix to the weights 5, 2, 1 takes of every document."""
+    from marlgate.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# The rules that the query states, and hosts of advertising and gambling in the synthetic pages.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+BLOCKED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+BLOCKED_HOSTS = [f"{name}.example.{end}" for name in BLOCKED_NAMES for end in ("com", "net", "org")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    from marlgate.llm.urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates over four-word shingles, similarity 0.8 or more."""
     from marlgate.llm.neardup import near_duplicates
@@ -42,10 +62,18 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op5_mixing": op5_mixing,
+        "op6_urls": op6_urls,
         "op9_minhash": op9_minhash,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from marlgate.llm import oracles
+
+    return {
+        "op1_quality": oracles.quality(),
+        "op5_mixing": oracles.mixing(),
+        "op6_urls": oracles.urls(URL_RULES, BLOCKED_HOSTS),
+    }
