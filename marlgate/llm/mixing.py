@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlgate.llm.scratch import cut
+from marlgate.llm.scratch import cut, shielded
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -92,6 +92,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     Documents are told apart by ``key``; rows that share one get the copies of the first of them, and rows without one get one.
     """
     copies = mix(docs, key, text, source).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min("copies").alias("_copies"))
-    joined = docs.join(copies, F.col(f"`{key}`") == F.col("_id"), "left")
+    own, names = shielded(docs)
+    joined = own.join(copies, F.col(f"_in{names.index(key)}") == F.col("_id"), "left")
     times = F.coalesce("_copies", F.lit(1)).cast("int")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
+    return joined.select(*own.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy").toDF(*names)

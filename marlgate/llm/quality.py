@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlgate.llm.scratch import cut
+from marlgate.llm.scratch import cut, shielded
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -110,11 +110,12 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     Texts are read once; what is written in between are counts.
     """
     keep = docs.columns if keep is None else keep
-    own = docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns})
-    held = [f"_in_{c}" for c in dict.fromkeys([*keep, lang])]
-    features = histograms(base_features(own, f"_in_{text}", held), f"_in_{lang}").withColumn("_all", F.col("n_words") - F.least("n_words", _total("_common")))
+    own, names = shielded(docs)
+    inner = {c: f"_in{names.index(c)}" for c in [*keep, lang, text]}
+    held = list(dict.fromkeys(inner[c] for c in [*keep, lang]))
+    features = histograms(base_features(own, inner[text], held), inner[lang]).withColumn("_all", F.col("n_words") - F.least("n_words", _total("_common")))
     features = cut(features.withColumn("_common", F.concat("_common", F.array(F.col("_all").cast("int")))).drop("_all"), "features")
-    group = F.when(F.col(f"_in_{lang}").isin(*COMMON_WORDS), F.col(f"_in_{lang}"))
+    group = F.when(F.col(inner[lang]).isin(*COMMON_WORDS), F.col(inner[lang]))
     pairs = features.select(group.alias("g"), F.posexplode(F.concat(F.col("_classes"), F.col("_common"))).alias("i", "n"))
     # at most one row for each listed language (and one for the others) and histogram entry
     sums = {(r["g"], r["i"]): r["n"] for r in pairs.groupBy("g", "i").agg(F.sum("n").alias("n")).collect()}
@@ -127,17 +128,23 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     def literal(values: list[float]) -> Column:
         return F.array(*map(F.lit, values))
 
-    of = F.col(f"_in_{lang}")
+    of = F.col(inner[lang])
     classes = _by_language(of, {k: literal(shares(k, range(size))) for k in COMMON_WORDS}, literal(shares(None, range(size))))
     words = _by_language(of, {k: literal(shares(k, range(size, size + len(v) + 1))) for k, v in COMMON_WORDS.items()}, F.lit(None).cast("array<double>"))
     chars = _total("_classes")
     by_class = F.when(chars >= MIN_CHARS, _distance(F.col("_classes"), chars, classes))
     by_word = F.when((F.col("n_words") >= MIN_WORDS) & words.isNotNull(), _distance(F.col("_common"), _total("_common"), words))
-    out = features.select(*(F.col(f"`_in_{c}`") for c in keep), *BASE, by_class.alias("class_distance"), by_word.alias("word_distance"))
+    out = features.select(*(F.col(inner[c]) for c in keep), *BASE, by_class.alias("class_distance"), by_word.alias("word_distance"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
-    return out.withColumnsRenamed({f"_in_{c}": c for c in keep})
+    return out.toDF(*keep, *out.columns[len(keep) :])
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns."""
+    judged = judge(docs, text=text, lang=lang).where("kept")
+    return judged.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -32,6 +32,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, scored."""
+    from marlgate.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix to the weights 5, 2, 1 takes of every document."""
     from marlgate.llm.mixing import mix
@@ -62,6 +69,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op4_secrets": op4_secrets,
         "op5_mixing": op5_mixing,
         "op6_urls": op6_urls,
         "op9_minhash": op9_minhash,

@@ -30,3 +30,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/marlgate/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named _in0, _in1 ..., which no helper column clashes with, and its own names in that order."""
+    return df.toDF(*(f"_in{k}" for k in range(len(df.columns)))), df.columns
