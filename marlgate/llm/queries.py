@@ -59,6 +59,14 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a network trained on those that are not held out."""
+    from marlgate.llm.langid import fit, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit(docs))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates over four-word shingles, similarity 0.8 or more."""
     from marlgate.llm.neardup import near_duplicates
@@ -72,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_mixing": op5_mixing,
         "op6_urls": op6_urls,
+        "op7_language": op7_language,
         "op9_minhash": op9_minhash,
         "op10_bpe": op10_bpe,
     }
