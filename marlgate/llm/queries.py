@@ -67,6 +67,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs, fit(docs))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted-sampling fingerprints of every document and its edited text."""
+    from marlgate.llm.fingerprint import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates over four-word shingles, similarity 0.8 or more."""
     from marlgate.llm.neardup import near_duplicates
@@ -81,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_urls": op6_urls,
         "op7_language": op7_language,
+        "op8_fingerprints": op8_fingerprints,
         "op9_minhash": op9_minhash,
         "op10_bpe": op10_bpe,
     }
