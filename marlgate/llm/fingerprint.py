@@ -27,58 +27,62 @@ from marlgate.llm.wordhash import flat, hash_words, mix
 
 SAMPLES = 64
 #: Bytes of text whose terms are sampled together, and terms whose variables are drawn together.
-CHUNK_BYTES, CHUNK_TERMS = 600_000, 8_000
+CHUNK_BYTES, CHUNK_TERMS = 1_500_000, 4_096
 _SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x51_7C_C1_B7_27_22_0A_95))
 _U32 = np.float32(2.0**-32)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _variables(terms: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each term and sample: 1/r, r, ln c and b, where r and c are Gamma(2, 1) and b uniform."""
-    one = mix(terms[:, None] ^ _SEEDS)
-    two = mix(one)
+def _variables(keyed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each term and sample (the hash of both): r, ln c and b, where r and c are Gamma(2, 1) and b uniform."""
+    one = mix(keyed)
+    two = one * np.uint64(0xD1342543DE82EF95) + np.uint64(0x9E3779B97F4A7C15)
+    two ^= two >> np.uint64(29)
     three = mix(two)
     high = lambda x: ((x >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * _U32
     low = lambda x: ((x & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) * _U32
     r = -np.log(high(one) * low(one))
-    c = -np.log(high(two) * low(two))
-    return 1 / r, r, np.log(c), np.minimum(high(three), np.float32(1 - 2.0**-24))
+    log_c = np.log(-np.log(high(three) * low(three)))
+    b = np.minimum(((two >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24), np.float32(1 - 2.0**-24))
+    return r, log_c, b
+
+
+def _packed(value: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """Value and 16 bits of code in one integer, in the order of the values; code 0 is kept for texts without terms."""
+    bits = value.view(np.uint32)
+    ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
+    return ordered << np.uint64(16) | np.maximum(coded >> np.uint64(48), np.uint64(1))
 
 
 def sample_sets(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints (n x SAMPLES of 16 bits) of n weighted sets, given as entries sorted by row."""
-    best = np.full((n, SAMPLES), np.inf, np.float32)
-    code = np.zeros((n, SAMPLES), np.uint16)
+    best = np.full((n, SAMPLES), _NONE)
     distinct, which = np.unique(terms, return_inverse=True)
     order = np.argsort(which, kind="stable")
+    sorted_which = which[order]
     at = 0
     while at < len(order):
-        # entries of the next CHUNK_TERMS terms, and no more than as many entries again as fit
-        until = min(int(np.searchsorted(which[order], which[order[at]] + CHUNK_TERMS)), at + 4 * CHUNK_TERMS)
+        # the entries of the next CHUNK_TERMS terms, but of a few times as many entries at most
+        until = min(int(np.searchsorted(sorted_which, sorted_which[at] + CHUNK_TERMS)), at + 4 * CHUNK_TERMS)
         part = np.sort(order[at:until])
-        first, last = which[order[at]], which[order[until - 1]] + 1
-        inverse, r, log_c, b = _variables(distinct[first:last])
-        own = which[part] - first
-        rb = r[own]
-        t = np.floor(np.log(weights[part].astype(np.float32))[:, None] * inverse[own] + b[own])
-        value = log_c[own] - rb * (t - b[own] + 1)
+        base = sorted_which[at]
+        keyed = distinct[base : sorted_which[until - 1] + 1, None] ^ _SEEDS
+        r, log_c, b = _variables(keyed)
+        # most terms occur once in a text: then the quantised weight is 0, and the sample depends on the term alone
+        single = _packed(log_c - r * (1 - b), mix(keyed))
+        own = which[part] - base
+        values = single[own]
+        more = np.flatnonzero(weights[part] > 1)
+        if len(more):
+            k = own[more]
+            t = np.floor(np.log(weights[part[more]].astype(np.float32))[:, None] / r[k] + b[k])
+            values[more] = _packed(log_c[k] - r[k] * (t - b[k] + 1), mix(keyed[k] + mix(t.astype(np.int64).view(np.uint64)) * (t != 0)))
         doc = rows[part]
         heads = np.flatnonzero(np.diff(doc, prepend=-1))
-        ends = np.append(heads[1:], len(doc))
-        hashes = terms[part]
-        columns = np.arange(SAMPLES)
-        for h, e in zip(heads.tolist(), ends.tolist(), strict=True):
-            v = value[h:e]
-            k = v.argmin(axis=0)
-            v = v[k, columns]
-            d = doc[h]
-            better = v < best[d]
-            if better.any():
-                coded = mix(hashes[h + k] ^ mix(t[h + k, columns].astype(np.int64).view(np.uint64)) ^ _SEEDS) >> np.uint64(48)
-                best[d] = np.where(better, v, best[d])
-                # 0 is kept for texts without terms
-                code[d] = np.where(better, np.maximum(coded, np.uint64(1)), code[d])
+        reached = doc[heads]
+        best[reached] = np.minimum(best[reached], np.minimum.reduceat(values, heads, axis=0))
         at = until
-    return code
+    return np.where(best == _NONE, np.uint64(0), best & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
