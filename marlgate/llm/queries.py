@@ -32,6 +32,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that two documents share."""
+    from marlgate.llm.repeats import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document, scored."""
     from marlgate.llm.secrets import find_secrets
@@ -84,6 +91,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op3_repeats": op3_repeats,
         "op4_secrets": op4_secrets,
         "op5_mixing": op5_mixing,
         "op6_urls": op6_urls,
