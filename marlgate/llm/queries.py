@@ -32,6 +32,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice of every document."""
+    from marlgate.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of 50 words or more that two documents share."""
     from marlgate.llm.repeats import repeated_passages
@@ -91,6 +98,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_licenses": op2_licenses,
         "op3_repeats": op3_repeats,
         "op4_secrets": op4_secrets,
         "op5_mixing": op5_mixing,

@@ -57,8 +57,11 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start, end) of every word of all rows; start and end are byte positions in ``data``."""
+def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end) of every word of all rows; start and end are byte positions in ``data``.
+
+    ``space`` tells which bytes separate words.
+    """
     parts, n = [], len(data)
     rows = offsets[:-1][np.diff(offsets) > 0]
     begin = 0
@@ -66,10 +69,10 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
         # a row longer than a block is cut at white space, so that no array here is much longer than a block
         end = n if n - begin <= 2 * BLOCK_BYTES else begin + BLOCK_BYTES
         if end < n:
-            later = np.flatnonzero(_SPACE[data[end : end + BLOCK_BYTES]])
+            later = np.flatnonzero(space[data[end : end + BLOCK_BYTES]])
             end = end + int(later[0]) + 1 if len(later) else n
         piece = data[begin:end]
-        inside = ~_SPACE[piece]
+        inside = ~space[piece]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         heads = rows[(rows >= begin) & (rows < end)] - begin
