@@ -6,11 +6,11 @@ in it, a key is made of the chunk without that position.  All pairs under the di
 A pair with similarity 0.8 exceeds the threshold with a probability below 1e-4, and one of 0.85 below 1e-6.
 
 1. Texts become sets of shingle hashes; equal sets fall into one class (128-bit digest), whose least doc_id stands for it.
-2. In each key's bucket all members are compared with the least one, on signatures and then on whole sets.
-3. Buckets whose members are then still in different components are compared across components.
-4. Links found make up connected components.
-
-So a large group of near copies costs one comparison a member and key, not one a pair.
+2. Each document is compared with one other, the least that shares a key with it: on signatures, then on whole sets.  Links
+   found make up connected components.  That brings together nearly all of any large group at one comparison a member.
+3. In buckets whose members are in different components even then, members within the signature distance make up clusters, and
+   the sets of a cluster's members are compared in blocks of bounded size.  Only links that join components leave a block.
+   The work there grows with the square of a cluster's size; what is written does not.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing.  A text shorter than a
 shingle is one shingle.  A null doc_id gets the component of its text's class, or null if nothing else is in it; it is kept in
@@ -104,43 +104,162 @@ def index_keys() -> list[Column]:
     return out
 
 
-def distance(a: str, b: str) -> Column:
-    """In how many positions two signatures differ; a and b are the prefixes of their column names."""
+def _differing(a: str, b: str, positions: range) -> Column:
+    """In how many of some positions two signatures differ; a and b are the prefixes of their column names."""
+    lanes, masks = 64 // BITS, {}
+    for p in positions:
+        masks[p // lanes] = masks.get(p // lanes, 0) | 1 << BITS * (p % lanes)
 
-    def lanes(k: int) -> Column:
+    def count(k: int, mask: int) -> Column:
         x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
-        for step in (8, 4, 2, 1):
+        for step in (8, 4, 2, 1):  # the lowest bit of each position becomes 1 if any of its bits is
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        return F.bit_count(x.bitwiseAND(F.lit(mask)))
+
+    return reduce(lambda x, y: x + y, (count(k, m) for k, m in masks.items()))
 
-    return reduce(lambda x, y: x + y, (lanes(k) for k in range(LONGS)))
+
+def distance(a: str, b: str) -> Column:
+    return _differing(a, b, range(POSITIONS))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """Of pairs (lo, hi), those within the signature distance whose whole sets are as similar as asked for."""
-    left = sketch.select(F.col("id").alias("lo"), *(F.col(f"s{k}").alias(f"a{k}") for k in range(LONGS)))
-    right = sketch.select(F.col("id").alias("hi"), *(F.col(f"s{k}").alias(f"b{k}") for k in range(LONGS)))
-    near = cut(pairs.join(left, "lo").join(right, "hi").where(distance("a", "b") <= DISTANCE).select("lo", "hi").distinct(), "near")
-    wanted = cut(near.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), "wanted")
+def _near_spans(rows: DataFrame) -> DataFrame:
+    """For (k, id, c, signature): edges (lo, hi) that connect, in each bucket k, what is connected by pairs within the distance
+    whose components c differ.  The pairs themselves are looked at in blocks and never become rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        batches = iter(batches)
+        last = False
+        while not last:
+            batch = next(batches, None)
+            last = batch is None
+            tables = [x for x in (held, None if last else pa.Table.from_batches([batch])) if x is not None]
+            if not tables:
+                return
+            table = pa.concat_tables(tables).combine_chunks()
+            k = table.column("k").to_numpy()
+            if not len(k):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            done = len(k) if last else int(starts[-1])
+            if done:
+                ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
+                sig = np.stack([table.column(f"s{x}").to_numpy() for x in range(LONGS)], axis=1).view(np.uint16)
+                spans = [_bucket_spans(ids[i:j], c[i:j], sig[i:j]) for i, j in zip(starts, [*starts[1:], len(k)], strict=True) if j <= done]
+                found = np.concatenate(spans)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["lo", "hi"])
+            held = table.slice(done)
+
+    return rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(run, "lo bigint, hi bigint").distinct()
+
+
+def _bucket_spans(ids: np.ndarray, c: np.ndarray, sig: np.ndarray, block: int = 512) -> np.ndarray:
+    """Edges from each member to the least member that it is connected with."""
+    n = len(ids)
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        for i in range(0, n, block):
+            for j in range(0, n, block):
+                far = np.zeros((min(block, n - i), min(block, n - j)), np.uint8)
+                for x in range(POSITIONS):
+                    far += sig[i : i + block, None, x] != sig[None, j : j + block, x]
+                close = (far <= DISTANCE) & (c[i : i + block, None] != c[None, j : j + block])
+                reached = np.where(close, label[None, j : j + block], n).min(axis=1)
+                np.minimum(label[i : i + block], reached, out=label[i : i + block])
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(n))
+    pairs = np.stack([ids[label[moved]], ids[moved]], axis=1)
+    return np.sort(pairs, axis=1)
+
+
+#: Shingles in a block of a cluster, about.
+BLOCK_SHINGLES = 1_000_000
+
+
+def _links_in_clusters(rows: DataFrame, percent: int) -> DataFrame:
+    """For (id, cluster, c, shingles): links (lo, hi) between members of a cluster in different components c.
+
+    A cluster is dealt into blocks by a hash of the id, and each pair of blocks is a group of bounded size of its own.  Of many
+    links between two components a group returns one.
+    """
+    sizes = rows.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    sizes = sizes.select("cluster", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "cluster").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("o", other).withColumn("left", F.least("b", "o")).withColumn("right", F.greatest("b", "o"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, c, b = (table.column(x).to_numpy() for x in ("id", "c", "b"))
+        lists = table.column("shingles").combine_chunks()
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(offsets)
+        order = np.argsort(values, kind="stable")
+        sorted_values = values[order]
+        owner = np.repeat(np.arange(len(ids)), size)[order]
+        left, right = int(table.column("left")[0].as_py()), int(table.column("right")[0].as_py())
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        out = []
+        for x in np.flatnonzero(b == left):
+            own = values[offsets[x] : offsets[x + 1]]
+            at, until = np.searchsorted(sorted_values, own, "left"), np.searchsorted(sorted_values, own, "right")
+            count = until - at
+            spread = np.repeat(at - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+            common = np.bincount(owner[spread], minlength=len(ids))
+            alike = (100 * common >= percent * (size[x] + size - common)) & (c != c[x]) & (b == right)
+            for y in np.flatnonzero(alike):
+                p, q = find(int(c[x])), find(int(c[y]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append(sorted((int(ids[x]), int(ids[y]))))
+        return pa.table({"lo": pa.array([o[0] for o in out], pa.int64()), "hi": pa.array([o[1] for o in out], pa.int64())})
+
+    shown = dealt.select("cluster", "left", "right", "b", "id", "c", "shingles")
+    return shown.groupBy("cluster", "left", "right").applyInArrow(run, "lo bigint, hi bigint")
+
+
+def _shingles(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """(id, shingles) of the documents named in ``ids``."""
     picked = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    picked = picked.join(wanted, "id", "left_semi")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = 0, []
+            at, rows, held = 0, [], 0
             for found in shingle_sets(batch.column(1), size):
                 rows.append(found.view(np.int64))
-                if sum(map(len, rows[-256:])) > 500_000 or len(rows) >= 256:
+                held += len(found)
+                if held > 500_000:
                     yield _sets(batch.column(0), at, rows)
-                    at, rows = at + len(rows), []
+                    at, rows, held = at + len(rows), [], 0
             if rows:
                 yield _sets(batch.column(0), at, rows)
 
-    sets = cut(picked.mapInArrow(run, "id bigint, shingles array<bigint>"), "sets")
-    joined = near.join(sets.select(F.col("id").alias("lo"), F.col("shingles").alias("x")), "lo")
-    joined = joined.join(sets.select(F.col("id").alias("hi"), F.col("shingles").alias("y")), "hi")
+    return picked.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (lo, hi), those within the signature distance whose whole sets are as similar as asked for.
+
+    ``known`` has signature and set of each id.  The signatures are compared first, and only near ones go on to the sets.
+    """
+    sig = [f"s{k}" for k in range(LONGS)]
+    left = known.select(F.col("id").alias("lo"), F.col("shingles").alias("x"), *(F.col(s).alias(f"a{k}") for k, s in enumerate(sig)))
+    right = known.select(F.col("id").alias("hi"), F.col("shingles").alias("y"), *(F.col(s).alias(f"b{k}") for k, s in enumerate(sig)))
+    joined = pairs.join(left, "lo").join(right, "hi").where(distance("a", "b") <= DISTANCE)
     both = joined.select("lo", "hi", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
     return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("lo", "hi").distinct()
 
@@ -151,6 +270,13 @@ def _sets(ids: pa.Array, at: int, rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), lists], ["id", "shingles"])
 
 
+def _named(rows: DataFrame, groups: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the component of an id column; an id without links is its own."""
+    labels = groups.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    joined = rows.join(labels, F.col(column) == F.col("_node"), "left")
+    return joined.withColumn(name, F.coalesce("_component", column)).drop("_node", "_component")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: ``key``, n_shingles, component_id, kept.
 
@@ -164,24 +290,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     nodes = sketch.where("n_shingles > 0").groupBy("d0", "d1", *sig).agg(F.min("id").alias("id")).where("id is not null")
     nodes = cut(nodes, "classes")
     keyed = nodes.select("id", F.explode(F.array(*index_keys())).alias("k"))
-    buckets = keyed.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    buckets = cut(buckets, "buckets")
-    large = cut(keyed.join(buckets.where("n > 2").select("k", "lo"), "k"), "members")
-    pairs = buckets.select("lo", "hi").union(large.select("lo", F.col("id").alias("hi"))).where("lo < hi").distinct()
-    links = cut(_confirmed(pairs, docs, nodes, size, percent, key, text), "links")
-    groups = cut(components(links), "groups")
-    # what the least member of a bucket has not brought together
-    named = large.join(groups.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "lo", F.coalesce("component", "id").alias("c"))
-    mixed = named.where("id <> lo").groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
-    rest = cut(named.where("id <> lo").join(mixed, "k", "left_semi"), "mixed")
-    rest = rest.join(nodes.select("id", *sig), "id")
-    one = rest.select("k", F.col("id").alias("i"), F.col("c").alias("ci"), *(F.col(s).alias(f"a{k}") for k, s in enumerate(sig)))
-    two = rest.select("k", F.col("id").alias("j"), F.col("c").alias("cj"), *(F.col(s).alias(f"b{k}") for k, s in enumerate(sig)))
-    across = one.join(two, "k").where((F.col("ci") < F.col("cj")) & (distance("a", "b") <= DISTANCE))
-    across = cut(across.select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).distinct(), "across")
-    if not across.isEmpty():
-        more = _confirmed(across, docs, nodes, size, percent, key, text)
-        groups = cut(components(cut(links.union(more), "links")), "groups")
+    buckets = cut(keyed.groupBy("k").agg(F.min("id").alias("lo"), F.count("*").alias("n")).where("n > 1").select("k", "lo"), "buckets")
+    members = cut(keyed.join(buckets, "k"), "members")
+    ids = cut(members.select("id").distinct(), "ids")
+    known = cut(_shingles(docs, ids, size, key, text).join(nodes.select("id", *sig), "id"), "known")
+    # each document with the least of all least members: one pair a document brings large groups together
+    first = members.groupBy(F.col("id").alias("hi")).agg(F.min("lo").alias("lo")).where("lo < hi")
+    links = cut(_confirmed(first, known, percent), "links")
+    groups = components(links)
+    # then, members of a bucket that are in different components by now
+    named = _named(members, groups, "id", "c")
+    mixed = named.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
+    rest = named.join(mixed, "k", "left_semi").join(nodes.select("id", *sig), "id").select("k", "id", "c", *sig)
+    near = cut(_near_spans(rest), "near")
+    if not near.isEmpty():
+        clusters = components(near).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+        apart = _named(clusters, groups, "id", "c").join(known.select("id", "shingles"), "id")
+        groups = components(links.union(cut(_links_in_clusters(apart, percent), "links")))
     classes = nodes.select("d0", "d1", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.groupBy("d0", "d1").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
     named = sketch.select("id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"], "left")
