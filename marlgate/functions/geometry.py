@@ -22,9 +22,8 @@ def normalize_box(bbox: Column, poly: Column, points: int | None = None, invalid
     ``points`` limits how many points count; ``invalid`` is given for what is neither.
     """
     used = F.slice(poly, 1, points) if points else poly
-    around = F.array(
-        *(f(F.transform(used, lambda p, k=k: F.get(p, F.lit(k)))) for f, k in ((F.array_min, 0), (F.array_min, 1), (F.array_max, 0), (F.array_max, 1)))
-    )
+    axis = lambda k: F.transform(used, lambda p: F.get(p, F.lit(k)))
+    around = F.array(F.array_min(axis(0)), F.array_min(axis(1)), F.array_max(axis(0)), F.array_max(axis(1)))
     flat = F.when(F.size(bbox) >= 4, F.slice(bbox, 1, 4))
     return F.coalesce(F.when(F.size(poly) >= 4, around), flat, F.array().cast("array<double>") if invalid is None else invalid)
 
@@ -43,7 +42,7 @@ def caption_score(figure: str, text: str) -> Column:
     aside = F.abs((f[0] + f[2]) / 2 - (t[0] + t[2]) / 2)
     align = F.when(width > 0, F.greatest(F.lit(0.0), 1 - aside / F.when(width > 0, width))).otherwise(F.lit(0.0))
     gap = F.when(t[1] > f[3], t[1] - f[3]).when(t[3] < f[1], f[1] - t[3])
-    return F.coalesce(align * 0.7 + F.greatest(F.lit(0.0), 1 - gap / 100) * 0.3, F.lit(0.0))
+    return F.when(gap.isNotNull(), F.coalesce(align * 0.7 + F.greatest(F.lit(0.0), 1 - gap / 100) * 0.3, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def horizontal_overlap(a: str, b: str) -> Column:

@@ -89,8 +89,8 @@ def expire(state: DataFrame, now, seconds: int = 3600) -> DataFrame:
     return state.where(F.unix_micros("last_update") >= F.unix_micros(F.lit(now)) - seconds * 1_000_000)
 
 
-def guarded_states(events: DataFrame, timeout: str | None = None) -> DataFrame:
-    """A stream's states with transitions guarded: a task that has ended stays as it ended.
+def guarded_states(events: DataFrame) -> DataFrame:
+    """A stream's states with transitions guarded: a task that has ended stays as it ended, and earlier events change nothing.
 
     Columns task_id, status and event_id of the event that set it.
     """
@@ -99,13 +99,14 @@ def guarded_states(events: DataFrame, timeout: str | None = None) -> DataFrame:
     def step(key, batches, held):
         import pandas as pd
 
-        status, event = held.get if held.exists else (None, -1)
+        status, at, event = held.get if held.exists else (None, -1, -1)
         for batch in batches:
             for row in batch.sort_values(["ts", "event_id"]).itertuples():
-                if row.status is not None and status not in ("completed", "failed", "cancelled"):
-                    status, event = row.status, row.event_id
-        held.update((status, int(event)))
-        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "event_id": [int(event)]})
+                later = (row.ts.value, row.event_id) > (at, event)
+                if later and status not in ("completed", "failed", "cancelled"):
+                    status, at, event = row.status, row.ts.value, int(row.event_id)
+        held.update((status, at, event))
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "event_id": [event]})
 
     rows = events.where("status is not null").groupBy("task_id")
-    return rows.applyInPandasWithState(step, "task_id bigint, status string, event_id bigint", "status string, event_id bigint", "update", GroupStateTimeout.NoTimeout)
+    return rows.applyInPandasWithState(step, "task_id bigint, status string, event_id bigint", "status string, at bigint, event_id bigint", "update", GroupStateTimeout.NoTimeout)
