@@ -222,7 +222,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     own = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).where("id is not null and t is not null")
     suffixes = cut(_suffixes(own), "suffixes")
-    shared = suffixes.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h")
+    # written, so that the join below has exchanges of its own, of which a partition with a frequent passage can be split
+    shared = cut(suffixes.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h"), "shared")
     places = cut(suffixes.join(shared, "h").groupBy("id").agg(F.collect_list("pos").alias("places")), "places")
     ids = places.select("id")
     if ids.count() <= BROADCAST_IDS:
