@@ -169,6 +169,13 @@ def examples(n: int = 6000, seed: int = 21) -> list[tuple[str, str]]:
     word = lambda: "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))
     prose = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     families = list(TEMPLATES)
+
+    def amid(text: str) -> str:
+        """A notice somewhere in a window full of other words."""
+        spare = max(0, 2 * BLOCK - len(tokens(text)))
+        before = rng.randint(0, spare)
+        return " ".join([*(word() for _ in range(before)), text, *(word() for _ in range(spare - before))])
+
     for i in range(n):
         kind = i % 3
         if kind == 0:
@@ -177,10 +184,11 @@ def examples(n: int = 6000, seed: int = 21) -> list[tuple[str, str]]:
             words = text.split()
             if rng.random() < 0.3:
                 words = [w for w in words if rng.random() > 0.08]
-            text = rng.choice([" ".join(words), text, f"{prose(1, 6)} {' '.join(words)}", f"{text}. {prose(1, 8)}", f"{text} {prose(0, 2)}"])
+            text = rng.choice([" ".join(words), text, f"{prose(1, 6)} {' '.join(words)}", f"{text}. {prose(1, 8)}", f"{text} {prose(0, 2)}", amid(text), amid(text)])
             out.append((text, family))
         elif kind == 1 and rng.random() < 0.4:
-            out.append((rng.choice(OTHER_NOTICES).format(word().title()) + rng.choice(["", " " + prose(1, 5)]), UNKNOWN))
+            text = rng.choice(OTHER_NOTICES).format(word().title())
+            out.append((rng.choice([text, f"{text} {prose(1, 5)}", amid(text)]), UNKNOWN))
         else:
             out.append((rng.choice([lambda: prose(3, 30), lambda: prose(3, 30), lambda: rng.choice(NO_NOTICES) + " " + prose(0, 8), lambda: prose(0, 5) + " " + rng.choice(NO_NOTICES)])(), NONE))
     return out
