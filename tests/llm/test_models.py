@@ -1,0 +1,110 @@
+"""Operators with trained models: languages, licences, secrets."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marlgate.llm import langid, licenses, secrets
+from marlgate.llm.forest import as_column, predict, train_forest
+from tests.llm.helpers import AWKWARD, clashing, docs
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = langid.predict_languages(table, langid.fit(table)).join(table.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == table.count() and 0.2 < len(held) / len(rows) < 0.5
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_languages_of_awkward_rows(spark):
+    rows = [*AWKWARD, (30, "1234 !!", "en", "a"), *((40 + i, t, lang, "s") for i in range(12) for t, lang in (("the house and the dog", "en"), ("das haus und der hund", "de")))]
+    df = clashing(docs(spark, rows))
+    got = langid.predict_languages(df, langid.fit(df)).collect()
+    und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
+    assert {1, 2, 3, 30} <= und and all(r["score"] == 0 for r in got if r["lang_pred"] == "und")
+    assert not [r for r in got if r["doc_id"] is None and r["held_out"]]
+    assert langid.fit(df.limit(0)) is None and {r["lang_pred"] for r in langid.predict_languages(df, None).collect()} == {"und"}
+
+
+def test_windows_cover_whole_texts():
+    x, first = langid.windows_of([b"a" * 600, b"b", b"c" * 256])
+    assert first.tolist() == [0, 3, 4, 5] and (x != 0).sum() == 857
+
+
+def test_pair_tables_equal_plain_convolution():
+    model = langid.ByteCnn(["a", "b"])
+    x = np.random.default_rng(0).integers(0, 256, (3, langid.WINDOW), dtype=np.uint8)
+    for w, got in zip(langid.WIDTHS, model.maps(x, model.tables()), strict=True):
+        kernel = model.kernels[w - 2]
+        plain = np.stack([sum(kernel[k][x[:, p + k]] for k in range(w)) for p in range(langid.WINDOW - w + 1)])
+        assert np.allclose(got[: len(plain)], plain, atol=1e-5)
+
+
+@pytest.fixture(scope="module")
+def license_model():
+    return licenses.train()
+
+
+@pytest.mark.parametrize(
+    "text, family",
+    [
+        ("Licensed under the Apache License, Version 2.0.", "apache"), ("Released under the MIT License.", "mit"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("prose before it\nLicensed under CC BY-SA 4.0.", "cc-by-sa"), ("Licensed under the Wobble License", "unknown"), ("the driver must carry a license", None), ("", None),
+        ("word " * 400 + "Released under the MIT License. " + "word " * 400, "mit"),
+    ],
+)
+def test_licenses(license_model, text, family):
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = [f for f in licenses.scan_text(license_model, data, np.array([0, len(data)])) if f[5]]
+    assert ([f[2] for f in found] or [None]) == [family]
+
+
+def test_license_lines_of_the_corpus(spark, license_model):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"] for r in licenses.scan_licenses(table, license_model).where("confirmed").collect()}
+    want = {r["doc_id"] for r in table.where("text like '%icensed under %' or text like '%Released under %'").collect()}
+    assert got == want
+
+
+def test_licenses_of_awkward_rows(spark, license_model):
+    df = clashing(docs(spark, [*AWKWARD, (9, "Released under the MIT License."), (9, "Released under the MIT License.")]))
+    assert [r["family"] for r in licenses.scan_licenses(df, license_model).collect()] == ["mit", "mit"]
+    assert licenses.scan_licenses(df.limit(0), license_model).count() == 0
+
+
+def test_forest_as_column_equals_the_forest(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 5)).round(3)
+    forest = train_forest(x, (x[:, 1] + x[:, 3] > 1).astype(float), trees=5)
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "i int, v array<double>")
+    got = df.select("i", as_column(forest, lambda k: F.get("v", F.lit(k))).alias("s")).orderBy("i").collect()
+    assert np.allclose([r["s"] for r in got], [predict(forest, row) for row in x])
+    assert np.mean([(predict(forest, row) > 0.5) == (row[1] + row[3] > 1) for row in x]) > 0.95
+
+
+def test_unseen_findings(spark):
+    rows = secrets.labelled_findings(400, seed=99)
+    table = docs(spark, [(i, f"{b}{c}{a}", None, p) for i, (b, c, a, p, _) in enumerate(rows)])
+    found = {}
+    for r in secrets.find_secrets(table).collect():
+        found.setdefault(r["doc_id"], {})[r["candidate"]] = r["is_secret"]
+    right = [bool(label) == any(found.get(i, {}).values()) for i, (*_, label) in enumerate(rows)]
+    assert sum(right) / len(right) > 0.95
+
+
+def test_redaction(spark):
+    key = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    rows = [*AWKWARD, (50, f'he said token = "{key}" twice: token = "{key}".', None, None), (51, f"commit {key} was fine", None, None), (52, "card 4736962573099581 x", None, None)]
+    df = clashing(docs(spark, rows))
+    out = secrets.redact_secrets(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert texts[50] == 'he said token = "[SECRET]" twice: token = "[SECRET]".'
+    assert all(texts[d] == t for d, t, *_ in rows if d not in (50, None))
+    found = secrets.find_secrets(df.where("doc_id = 50")).orderBy("start").collect()
+    assert [(r["start"], r["length"], r["is_secret"]) for r in found] == [(17, 40, True), (75, 40, True)]
+    assert secrets.find_secrets(df.limit(0)).count() == 0
