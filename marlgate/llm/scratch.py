@@ -24,14 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/marlgate/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: later stages restart from the files, not from the lineage."""
+    """Writes ``df`` as Parquet in the shared folder and reads it back: later stages restart from the files, not from the lineage.
+
+    Lazy results read these files, so they stay until ``clear``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/marlgate/{uuid.uuid4().hex}/{name}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application: to be called once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shielded(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with columns named _in0, _in1 ..., which no helper column clashes with, and its own names in that order."""
     return df.toDF(*(f"_in{k}" for k in range(len(df.columns)))), df.columns
