@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from os.path import commonprefix
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: ASCII signs: neither letters, digits nor white space.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The tokenizer's own word pattern for lower-case ASCII without white space.
 _ASCII_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Distinct white-space pieces and words that a worker keeps; beyond that it forgets them and starts anew.
-KEEP_PIECES, KEEP_WORDS = 250_000, 500_000
+KEEP_PIECES, KEEP_WORDS = 400_000, 400_000
 _NEVER = 1 << 40
 
 
@@ -72,7 +75,7 @@ class WordTrieBpe:
             self.rank[a, b] = rank
             self.made.setdefault(out, (rank, a, b))
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[bytes, str, int]] = {}
         self.pieces: dict[str, tuple[bytes, str, int]] = {}
 
     @staticmethod
@@ -118,31 +121,34 @@ class WordTrieBpe:
             self.pairs[a, b] = known
         return known
 
-    def _last(self, text: str, depth: int, final: bool, last: list[int]) -> int:
-        """The last token of the encoding of ``text[:depth]``, given those of all shorter prefixes."""
-        table, reach = (self.final, self.final_reach) if final else (self.inner, self.inner_reach)
-        pairs = self.pairs
-        for length in reach.get(text[depth - 3 : depth] if depth > 2 else "", (2, 1)):
-            begin = depth - length
-            if begin >= 0 and (token := table.get(text[begin:depth])) is not None:
-                if not begin:
-                    return token
-                known = pairs.get((last[begin], token))
-                if known or known is None and self.can_follow(last[begin], token):
-                    return token
-        raise ValueError(f"no encoding of {text[:depth]!r}")
-
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Token ids of distinct words (bytes as Latin-1 characters), sharing the work on common prefixes."""
+        """Token ids of distinct words (bytes as Latin-1 characters), sharing the work on common prefixes.
+
+        At each node the candidates for the last token are the tokens that end there, in the lengths that the last three letters
+        allow; the one that may follow the last token of the prefix before it is right.
+        """
         out: dict[str, tuple[int, ...]] = {}
         last: list[int] = [-1]  # of the current path: the last token of the prefix of each length
-        size, before = self.size, ""
+        size, pairs, before = self.size, self.pairs, ""
+        inner = (self.inner.get, self.inner_reach.get)
+        final = (self.final.get, self.final_reach.get)
         for word in sorted(words):
             n = len(word)
             del last[min(len(commonprefix((before, word))), n - 1) + 1 :]
-            for depth in range(len(last), n):
-                last.append(self._last(word, depth, False, last))
-            token, at, ids = self._last(word, n, True, last), n, []
+            for depth in range(len(last), n + 1):
+                token_of, reach = inner if depth < n else final
+                for length in reach(word[depth - 3 : depth] if depth > 2 else "", (2, 1)):
+                    begin = depth - length
+                    if begin >= 0 and (token := token_of(word[begin:depth])) is not None:
+                        if not begin:
+                            break
+                        known = pairs.get((last[begin], token))
+                        if known or known is None and self.can_follow(last[begin], token):
+                            break
+                else:
+                    raise ValueError(f"no encoding of {word[:depth]!r}")
+                last.append(token)
+            token, at, ids = last.pop(), n, []
             while True:
                 ids.append(token)
                 at -= size[token]
@@ -159,8 +165,19 @@ class WordTrieBpe:
             return [x for p in parts if p for x in ([self.special[p]] if p in self.special else self._split(p))]
         if piece.isascii():
             return _ASCII_WORD.findall(piece.lower())
+        if max(piece) < "\u0250":  # Latin letters: normalised as they are, and a run of letters with signs after it is two words
+            low = piece.lower()
+            core = low.rstrip(_SIGNS)
+            if core.isalpha():
+                tail = low[len(core) :]
+                word = core.encode().decode("latin-1")
+                return [word, tail] if tail else [word]
         return [w.translate(self.to_bytes) for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(piece))]
 
+    def _entry(self, ids: tuple[int, ...]) -> tuple[bytes, str, int]:
+        """Ids as bytes, as decoded text, and their number."""
+        return pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids]), len(ids)
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Makes sure that these white-space pieces are known."""
         missing = {p for p in pieces if p not in self.pieces}
@@ -172,11 +189,16 @@ class WordTrieBpe:
         if len(self.words) > KEEP_WORDS:
             self.words.clear()
         split = {p: self._split(p) for p in missing}
-        new = {w for words in split.values() for w in words if isinstance(w, str) and w not in self.words}
-        self.words |= self.encode_words(new)
+        known = self.words
+        new = {w for words in split.values() for w in words if isinstance(w, str) and w not in known}
+        for w, ids in self.encode_words(new).items():
+            known[w] = self._entry(ids)
         for p, words in split.items():
-            ids = [i for w in words for i in ((w,) if isinstance(w, int) else self.words[w])]
-            self.pieces[p] = (np.array(ids, "<u4").tobytes(), " ".join([self.tokens[i] for i in ids]), len(ids))
+            if len(words) == 1 and isinstance(words[0], str):
+                self.pieces[p] = known[words[0]]
+            else:
+                parts = [known[w] if isinstance(w, str) else self._entry((w,)) for w in words]
+                self.pieces[p] = (b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts]))
 
     def split_text(self, text: str) -> list[str]:
         return [p for p in _SPACE.split(text) if p] if _ODD_SPACE.search(text) else text.split()
