@@ -175,6 +175,12 @@ def first_mention(text: Column) -> Column:
     return F.coalesce(found, F.struct(strip(text).alias("reference_text"), F.lit(0).alias("start_pos"), F.length(text).alias("end_pos")))
 
 
+def mention_with_surroundings(text: Column, window: int = 10) -> Column:
+    """The first mention with some characters on either side, stripped; the whole stripped text if there is none."""
+    found = first_mention(text)
+    return strip(context(text, found["start_pos"], found["end_pos"], window))
+
+
 def number_or_guess(text: Column, guess: Column) -> Column:
     """The first number that a rule finds in the text, else a model's guess rounded half to even, if positive."""
     rules = [figure_number(F.nullif(F.regexp_extract(text, FLAGS + p, 1), F.lit(""))) for p in REFERENCE_RULES]

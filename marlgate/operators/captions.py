@@ -24,7 +24,7 @@ def best_captions(figures: DataFrame, texts: DataFrame, least: float = 0.5) -> D
     """For each figure the caption-like text with the best score above ``least``; of equal scores the first text's."""
     captions = texts.withColumn("text", strip(F.col("text"))).withColumn("m", match_caption(F.col("text"))).where("m is not null").drop("m")
     scored = _on_page(figures, captions).withColumn("score", caption_score("f_", "t_")).where(F.col("score") > least)
-    # the reference tries further patterns for the same text, with the same score: the first one counts
+    # a text that fits several patterns has the same score for each: the first one counts
     best = F.row_number().over(W.partitionBy(*FIGURE).orderBy(F.desc("score"), "text_idx"))
     top = scored.withColumn("_rank", best).where("_rank = 1").withColumn("m", match_caption(F.col("text")))
     return top.select(*FIGURE, "text_idx", F.col("text").alias("caption"), F.col("m.number").alias("figure_number"), F.col("m.title").alias("title"), box_array("t_").alias("caption_bbox"), "score")

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgate.operators import captions, display, layout, mapping, references, reports, structure
+from marlgate.operators import captions, display, layout, mapping, raw, references, reports, structure
 
 
 @dataclass
@@ -84,6 +84,10 @@ class Analysis:
     def elements(self) -> DataFrame:
         return display.layout_elements(self.pages, self.texts, self.named_figures, self.mapped)
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        return raw.to_raw(self.pages, self.layouts, self.texts, self.named_figures, self.mapped, self.structure, self.chapters, self.summary)
+
     def display(self, documents: DataFrame | None = None) -> DataFrame:
         """Nested documents; ``documents`` has doc_id, title, total_pages and processing_time."""
         if documents is None:

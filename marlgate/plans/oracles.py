@@ -153,6 +153,9 @@ _SELECTS = {
       FROM (SELECT DISTINCT doc_id FROM pages) LEFT JOIN (SELECT doc_id, count(*) AS n FROM chapters GROUP BY ALL) a USING (doc_id)
       LEFT JOIN (SELECT doc_id, count(*) AS n, CAST(sum(length(full_text)) AS BIGINT) AS s FROM shown JOIN full_texts USING (doc_id, page_index) GROUP BY ALL) b USING (doc_id)
       LEFT JOIN (SELECT doc_id, count(*) AS n FROM elements GROUP BY ALL) c USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM figure_list GROUP BY ALL) d USING (doc_id)""",
+    "raw_documents": """SELECT doc_id, total_pages, n_layouts, n_figures, n_texts, n_refs, coalesce(n, 0) AS n_chapters, error_pages FROM (
+      SELECT doc_id, count(*) AS total_pages, CAST(sum(n_layouts) AS BIGINT) AS n_layouts, CAST(sum(n_figures) AS BIGINT) AS n_figures, CAST(sum(n_texts) AS BIGINT) AS n_texts, CAST(sum(n_refs) AS BIGINT) AS n_refs,
+      count(*) FILTER (WHERE status = 'error') AS error_pages FROM counts GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM chapters GROUP BY doc_id) USING (doc_id)""",
     "page_full_text": "SELECT * FROM full_texts",
     "mapping_rate": "SELECT doc_id, count(*) AS total_refs, count(*) FILTER (WHERE mapped_figure_id <> '') AS mapped_refs, count(*) FILTER (WHERE coalesce(mapped_figure_id, '') = '') AS unmapped_refs, round(count(*) FILTER (WHERE mapped_figure_id <> '') / count(*) * 100, 6) AS mapping_rate FROM mapped GROUP BY doc_id",
     "layout_type_counts": "SELECT doc_id, count(*) FILTER (WHERE type = 'text') AS texts, count(*) FILTER (WHERE type = 'figure') AS figures, count(*) FILTER (WHERE type = 'figure_reference') AS figure_references FROM elements GROUP BY doc_id",

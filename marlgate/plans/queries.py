@@ -171,6 +171,13 @@ def display_documents(spark, d):
     return found.select("doc_id", F.size("chapters").cast("bigint").alias("n_chapters"), F.size("pages").cast("bigint").alias("n_pages"), pages.cast("bigint").alias("n_layouts"), chars.cast("bigint").alias("n_chars"), F.size("figures").cast("bigint").alias("n_figures"), F.col("metadata.total_figures").cast("bigint").alias("total_figures"))
 
 
+def raw_documents(spark, d):
+    """Nested raw results, as sizes of their parts."""
+    found = fixture_analysis(spark, d).raw
+    count = lambda c: F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(p[c])).cast("bigint")
+    return found.select("doc_id", "total_pages", count("layouts").alias("n_layouts"), count("figure_layouts").alias("n_figures"), count("recognized_texts").alias("n_texts"), count("figure_references").alias("n_refs"), F.size("document_structure.chapters").alias("n_chapters"), "summary.error_pages")
+
+
 def page_full_text(spark, d):
     return reports.page_full_text(fixture_analysis(spark, d).texts)
 
@@ -293,7 +300,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         figure_layout_filter, text_region_filter, title_containment, title_containment_exact, heading_heuristic, chapter_extract, chapter_match, section_extract, page_structure,
         chapter_fill_forward, chapter_fallback, caption_best_match, caption_nearest_below, figure_ids, reference_scan_all, figure_number_parse, word_bbox, reference_context,
         registry_upsert, lookup_chapter, lookup_global, lookup_positional, map_references, mapping_confidence, doc_summary, chapter_summary, reference_counts, display_figures,
-        display_layouts, display_documents, page_full_text, mapping_rate, layout_type_counts, page_lookup, page_range, page_report, pdf_chunks, text_segments, merge_rule_model,
+        display_layouts, display_documents, raw_documents, page_full_text, mapping_rate, layout_type_counts, page_lookup, page_range, page_report, pdf_chunks, text_segments, merge_rule_model,
         job_status, job_state, job_progress, job_result_access, job_speed, job_running_totals, overlay_primitives, overlay_legend, streaming_job_state, event_rate, classifier_accuracy,
     ]
     out = {f.__name__: f for f in named}

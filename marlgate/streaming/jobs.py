@@ -89,6 +89,29 @@ def expire(state: DataFrame, now, seconds: int = 3600) -> DataFrame:
     return state.where(F.unix_micros("last_update") >= F.unix_micros(F.lit(now)) - seconds * 1_000_000)
 
 
+def run_tagged(spark: SparkSession, task_id: int, action: Callable[[], object]) -> object:
+    """Runs an action whose Spark jobs ``cancel`` can stop from another thread."""
+    tag = f"task-{task_id}"
+    spark.addTag(tag)
+    try:
+        return action()
+    finally:
+        spark.removeTag(tag)
+
+
+def cancel(spark: SparkSession, task_id: int) -> DataFrame:
+    """Stops the jobs of a task, and returns the event that says so (event_id and pages are left open)."""
+    spark.interruptTag(f"task-{task_id}")
+    row = spark.range(1).select(F.lit(task_id).cast("bigint").alias("task_id"), F.current_timestamp().alias("ts"), F.lit("cancelled").alias("type"), F.lit("cancelled").alias("status"))
+    return row
+
+
+def submitted(files: DataFrame) -> DataFrame:
+    """A pending event for each accepted file, with a new task id as text and a file name that is safe in a path."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[^A-Za-z0-9_.-]+", "_")
+    return files.select(F.uuid().alias("task_id"), name.alias("filename"), F.current_timestamp().alias("ts"), F.lit("submitted").alias("type"), F.lit("pending").alias("status"))
+
+
 def guarded_states(events: DataFrame) -> DataFrame:
     """A stream's states with transitions guarded: a task that has ended stays as it ended, and earlier events change nothing.
 

@@ -75,3 +75,35 @@ def test_round_trip(spark, shown, tmp_path):
 def test_nothing_in_nothing_out(tables):
     t = {k: v.limit(0) for k, v in tables.items()}
     assert display.layout_elements(t["pages"], t["texts"], t["figures"], t["mapped"]).count() == 0
+
+
+def test_raw_file_to_display(spark, tmp_path):
+    """A result file with missing keys, read by its schema and transformed."""
+    from marlgate.operators import raw
+
+    text = {"text": "As shown in Figure 1.", "bbox": [0, 0, 10, 5], "confidence": 0.9}
+    page = {"page_index": 0, "status": "success", "chapter_info": {"chapter": 1}, "recognized_texts": [text], "figure_layouts": [{"figure_id": "ch1_fig1", "figure_number": 1, "bbox": [0, 10, 30, 30]}, {"bbox": []}]}
+    page["figure_references"] = [{"text": "Figure 1", "bbox": [1, 1, 2, 2], "figure_number": 1, "mapped_figure_id": "ch1_fig1", "mapping_confidence": 0.9}]
+    bad = {"page_index": 1, "status": "error", "error": "lost"}
+    doc = {"doc_id": 7, "status": "success", "pdf_info": {"title": "T"}, "total_pages": 2, "pages": [page, bad], "document_structure": {"chapters": [{"chapter": 1, "start_page": 0, "end_page": 1, "sections": []}]}}
+    (tmp_path / "r.json").write_text(json.dumps(doc, indent=2))
+    got = raw.display_of_raw(spark.read.schema(raw.RAW).json(str(tmp_path), multiLine=True)).first()
+    assert got["title"] == "T" and [e["type"] for e in got["pages"][0]["layouts"]] == ["text", "figure", "figure_reference"] and len(got["pages"]) == 1
+    assert [(f["figure_id"], f["reference_count"]) for f in got["figures"]] == [("ch1_fig1", 1)]
+
+
+def test_analysis_to_raw_and_back(spark):
+    from marlgate import schemas as S
+    from marlgate.operators import raw
+    from marlgate.plans.analysis import Analysis
+
+    pages = spark.createDataFrame([(1, 0, "success", None, 600, 800), (1, 1, "error", "x", None, None)], S.PAGES)
+    texts = spark.createDataFrame([(1, 0, 0, "text_0", "Chapter 2: Start", 0.0, 10.0, 90.0, 30.0, None, 0.9, 0.9), (1, 0, 1, "text_1", "Figure 3. Name", 0.0, 310.0, 100.0, 330.0, None, 0.9, 0.9)], S.TEXTS)
+    layouts = spark.createDataFrame([(1, 0, 0, "image", 0.0, 100.0, 100.0, 300.0, 0.8, 1)], S.LAYOUTS)
+    a = Analysis(pages, layouts, texts)
+    doc = a.raw.first()
+    assert doc["pages"][0]["figure_layouts"][0]["figure_id"] == "ch2_fig3" and doc["pages"][1]["layouts"] == [] and doc["summary"]["error_pages"] == 1
+    assert {r["mapped_figure_id"] for r in doc["pages"][0]["figure_references"]} == {"ch2_fig3"}
+    shown = raw.display_of_raw(a.raw).first()
+    assert shown["figures"][0]["reference_count"] == len(doc["pages"][0]["figure_references"])
+    assert Analysis(pages, layouts, texts, exclude_captions=True).refs.count() == 0

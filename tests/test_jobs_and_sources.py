@@ -116,3 +116,11 @@ def test_fixture_is_deterministic(spark, data):
     texts = fixtures.fixture_texts(spark, data)
     assert texts.count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
     assert fixtures.fixture_pages(texts).groupBy("status").count().count() == 3
+
+
+def test_submit_and_cancel(spark):
+    rows = spark.createDataFrame([("/a/my file(1).pdf",)], "path string")
+    event = jobs.submitted(rows).first()
+    assert event["filename"] == "my_file_1_.pdf" and event["status"] == "pending" and len(event["task_id"]) == 36
+    assert jobs.run_tagged(spark, 5, lambda: spark.range(3).count()) == 3
+    assert jobs.cancel(spark, 5).first()["status"] == "cancelled"
