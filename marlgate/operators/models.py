@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlgate.functions.patterns import first_mention, number_or_guess, text_segments
+from marlgate.shipping import map_in_pandas
 
 #: Segments to (probability of a figure mention, guess of its number or None).
 Scorer = Callable[[pd.Series], pd.DataFrame]
@@ -33,7 +34,7 @@ def score_segments(rows: DataFrame, load: Callable[[], Scorer]) -> DataFrame:
             yield batch.assign(probability=found["probability"].to_numpy(), guess=found["guess"].to_numpy())
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", probability double, guess double"
-    return rows.mapInPandas(run, schema)
+    return rows.transform(map_in_pandas, run, schema)
 
 
 def model_references(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

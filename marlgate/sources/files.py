@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlgate.shipping import map_in_pandas
+
 # Accepted file types, and the largest file in bytes.
 EXTENSIONS = ["pdf", "png", "jpg", "jpeg"]
 MOST_BYTES = 50 * 1024 * 1024
@@ -60,7 +62,7 @@ def document_info(files: DataFrame, reader: Callable[[bytes], tuple[int, bool, d
                     rows.append((path, 0, False, {}, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "total_pages", "encrypted", "metadata", "title", "error"])
 
-    return files.select("path", "content").mapInPandas(run, INFO)
+    return files.select("path", "content").transform(map_in_pandas, run, INFO)
 
 
 def render_pages(content: bytes, first: int | None, last: int | None, dpi: int) -> Iterator[tuple[int, bytes, int, int]]:
@@ -84,7 +86,7 @@ def page_images(files: DataFrame, first: int | None = None, last: int | None = N
                 for page, image, width, height in render(content, first, last, dpi):
                     yield pd.DataFrame({"path": [path], "page_index": [page], "image": [image], "width": [width], "height": [height]})
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_index int, image binary, width int, height int")
+    return files.select("path", "content").transform(map_in_pandas, run, "path string, page_index int, image binary, width int, height int")
 
 
 def page_chunks(infos: DataFrame, size: int = 10) -> DataFrame:
@@ -111,7 +113,7 @@ def detect(pages: DataFrame, detector: Callable[[bytes], pd.DataFrame], schema:
                 found.insert(1, "page_index", page)
                 yield found.assign(place=range(len(found)))
 
-    return pages.select("doc_id", "page_index", "image").mapInPandas(run, f"doc_id bigint, page_index int, {schema}, place bigint")
+    return pages.select("doc_id", "page_index", "image").transform(map_in_pandas, run, f"doc_id bigint, page_index int, {schema}, place bigint")
 
 
 def clamp_boxes(boxes: DataFrame) -> DataFrame:
