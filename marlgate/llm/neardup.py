@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from marlgate.llm.components import components
 from marlgate.llm.scratch import cut
 from marlgate.llm.wordhash import blocks, flat, hash_words, mix, shingle_hashes
+from marlgate.shipping import map_in_arrow, ship
 
 POSITIONS, BITS = 64, 16
 DISTANCE, CHUNKS = 26, 14
@@ -81,7 +82,7 @@ def sketches(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
             columns = [pa.array(table[:, k], mask=none) for k in range(2 + LONGS)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), *columns], names)
 
-    return docs.select(key, text).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return docs.select(key, text).transform(map_in_arrow, run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _chunks(positions: int = POSITIONS, chunks: int = CHUNKS) -> list[range]:
@@ -123,11 +124,25 @@ def distance(a: str, b: str) -> Column:
     return _differing(a, b, range(POSITIONS))
 
 
+#: Members of a bucket, or of each block of it, that are compared in one piece.
+BLOCK_MEMBERS = 1024
+
+
+def _in_block_pairs(rows: DataFrame) -> DataFrame:
+    """Deals rows into ``blocks`` by a hash of the id; a row goes to each pair (left, right) of its own block and another."""
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("left", F.least("b", "o")).withColumn("right", F.greatest("b", "o"))
+
+
 def _near_spans(rows: DataFrame) -> DataFrame:
-    """For (k, id, c, signature): edges (lo, hi) that connect, in each bucket k, what is connected by pairs within the distance
-    whose components c differ.  The pairs themselves are looked at in blocks and never become rows.
+    """For (k, id, c, blocks, signature): edges (lo, hi) that connect, in each bucket k, what is connected by pairs within the
+    distance whose components c differ.  The pairs themselves are looked at in blocks and never become rows; each pair of a large
+    bucket's blocks is a piece of its own, which may be in another task.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    piece = ["k", "left", "right"]
+    shown = _in_block_pairs(rows).select(*piece, "id", "c", *(f"s{x}" for x in range(LONGS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -140,21 +155,21 @@ def _near_spans(rows: DataFrame) -> DataFrame:
             if not tables:
                 return
             table = pa.concat_tables(tables).combine_chunks()
-            k = table.column("k").to_numpy()
-            if not len(k):
+            k = np.stack([table.column(x).to_numpy() for x in piece])
+            if not k.shape[1]:
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            done = len(k) if last else int(starts[-1])
+            starts = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
+            done = len(table) if last else int(starts[-1])
             if done:
                 ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
                 sig = np.stack([table.column(f"s{x}").to_numpy() for x in range(LONGS)], axis=1).view(np.uint16)
-                spans = [_bucket_spans(ids[i:j], c[i:j], sig[i:j]) for i, j in zip(starts, [*starts[1:], len(k)], strict=True) if j <= done]
+                spans = [_bucket_spans(ids[i:j], c[i:j], sig[i:j]) for i, j in zip(starts, [*starts[1:], len(table)], strict=True) if j <= done]
                 found = np.concatenate(spans)
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["lo", "hi"])
             held = table.slice(done)
 
-    return rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(run, "lo bigint, hi bigint").distinct()
+    return shown.repartition(parts, *piece).sortWithinPartitions(*piece).transform(map_in_arrow, run, "lo bigint, hi bigint").distinct()
 
 
 def _bucket_spans(ids: np.ndarray, c: np.ndarray, sig: np.ndarray, block: int = 512) -> np.ndarray:
@@ -191,9 +206,7 @@ def _links_in_clusters(rows: DataFrame, percent: int) -> DataFrame:
     """
     sizes = rows.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
     sizes = sizes.select("cluster", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "cluster").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("o", other).withColumn("left", F.least("b", "o")).withColumn("right", F.greatest("b", "o"))
+    dealt = _in_block_pairs(rows.join(sizes, "cluster"))
 
     def run(table: pa.Table) -> pa.Table:
         ids, c, b = (table.column(x).to_numpy() for x in ("id", "c", "b"))
@@ -227,6 +240,7 @@ def _links_in_clusters(rows: DataFrame, percent: int) -> DataFrame:
         return pa.table({"lo": pa.array([o[0] for o in out], pa.int64()), "hi": pa.array([o[1] for o in out], pa.int64())})
 
     shown = dealt.select("cluster", "left", "right", "b", "id", "c", "shingles")
+    ship(rows.sparkSession)
     return shown.groupBy("cluster", "left", "right").applyInArrow(run, "lo bigint, hi bigint")
 
 
@@ -248,7 +262,7 @@ def _shingles(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -
             if rows:
                 yield _sets(batch.column(0), at, rows)
 
-    return picked.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, shingles array<bigint>")
+    return picked.join(ids, "id", "left_semi").transform(map_in_arrow, run, "id bigint, shingles array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -300,15 +314,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     groups = components(links)
     # then, members of a bucket that are in different components by now
     named = _named(members, groups, "id", "c")
-    mixed = named.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
-    rest = named.join(mixed, "k", "left_semi").join(nodes.select("id", *sig), "id").select("k", "id", "c", *sig)
+    mixed = named.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
+    mixed = cut(mixed.select("k", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "mixed")
+    rest = named.join(mixed, "k").join(nodes.select("id", *sig), "id").select("k", "id", "c", "blocks", *sig)
     near = cut(_near_spans(rest), "near")
     if not near.isEmpty():
         clusters = components(near).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
         apart = _named(clusters, groups, "id", "c").join(known.select("id", "shingles"), "id")
         groups = components(links.union(cut(_links_in_clusters(apart, percent), "links")))
     classes = nodes.select("d0", "d1", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.groupBy("d0", "d1").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
+    classes = cut(classes.groupBy("d0", "d1").agg(F.min(F.coalesce("component", "id")).alias("component_id")), "components")
     named = sketch.select("id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"], "left")
     own = F.coalesce("component_id", "id")
     return named.select(F.col("id").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, own.isNull()).alias("kept"))

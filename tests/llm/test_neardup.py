@@ -59,6 +59,22 @@ def test_groups_equal_brute_force(spark, size):
     assert got == brute(rows, size)
 
 
+def test_blocks_of_a_bucket_and_a_cluster_lose_no_link(spark, monkeypatch):
+    from marlgate.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 600)
+    rng, rows = random.Random(6), []
+    base = [f"w{k}" for k in range(300)]
+    for i in range(40):  # between them there are links, near misses, and chains
+        words = list(base)
+        for p in rng.sample(range(300), rng.randint(2, 16)):
+            words[p] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs(spark, rows), 4).collect()}
+    assert got == brute(rows, 4) and len({c for _, c in got.values()}) > 1
+
+
 def test_query_equals_brute_force(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = op9_minhash(spark, data).collect()
