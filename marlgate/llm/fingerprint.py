@@ -16,14 +16,16 @@ neighbour.  An empty table gives an empty table.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlgate.llm.wordhash import flat, hash_words, mix
+from marlgate.shipping import map_in_arrow
 
 SAMPLES = 64
 #: Bytes of text whose terms are sampled together, and terms whose variables are drawn together.
@@ -116,7 +118,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(as_text(fingerprints(texts)), pa.string())], [key, "fingerprint"])
                 at += len(texts)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
+    return docs.select(key, text).transform(map_in_arrow, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
 def _chunks(column: pa.Array) -> Iterator[list[str]]:
@@ -159,6 +161,25 @@ def _described(held: list[tuple], follower: str) -> list[list]:
     ]
 
 
+def _literal(values: list, kind: str) -> Column:
+    """A constant array: one expression, however long the list is."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _range_of(key: Column, bounds: list, kind: str) -> Column:
+    """How many of the sorted bounds are above the key; one more than there are for null.
+
+    Looked up in two steps, the first over evenly spaced ones of the bounds.
+    """
+    step = max(1, int(len(bounds) ** 0.5))
+    top_down = bounds[::-1]
+    above = lambda x: x > key
+    coarse = F.size(F.filter(_literal(top_down[::step], kind), above))
+    begin = F.greatest(coarse - 1, F.lit(0)) * step
+    fine = F.size(F.filter(F.slice(_literal(top_down, kind), begin + 1, F.lit(step)), above))
+    return F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(begin + fine)
+
+
 def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of an edited text that ends like the next document begins, and their likenesses.
 
@@ -172,26 +193,20 @@ def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     steps = [i / ranges for i in range(1, ranges)]
     bounds = docs.select(F.col(f"`{key}`").alias("k")).agg(F.percentile_approx("k", steps, 100 * ranges)).first()[0] or []
     bounds = sorted(set(bounds))
-    # a document's range is the number of bounds above its id; null ids make the last range
-    at = F.lit(len(bounds) + 1)
-    if bounds:
-        below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("k")))
-        at = F.when(F.col("k").isNotNull(), below).otherwise(at)
-    placed = own.withColumn("part", at)
-    order = F.struct(F.col("k").isNull().alias("last"), (-F.col("k")).alias("k"), F.sha2("t", 256).alias("h"))
+    at = _range_of(F.col("k"), bounds, kind)
     heads = docs.select(F.col(f"`{key}`").alias("k")).withColumn("part", at).groupBy("part").agg(F.max("k").alias("head")).collect()  # a row a range
     found = sorted((r["part"], r["head"]) for r in heads)
-    before = {p: found[i - 1][0] for i, (p, _) in enumerate(found)}  # the range before; of the first, the last
-    pairs = [F.struct(F.lit(p).alias("p"), F.lit(h).cast(kind).alias("h"), F.lit(before[p]).alias("b")) for p, h in found]
-    if pairs:
-        rule = F.get(F.filter(F.array(*pairs), lambda x: x["p"] == F.col("part")), F.lit(0))
-        is_head = rule["h"].eqNullSafe(F.col("k"))
-        sent = F.when(is_head, F.array(F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(rule["b"].alias("part"), F.lit(True).alias("copy"))))
-        placed = placed.withColumn("_to", F.explode(F.coalesce(sent, F.array(F.struct(F.col("part"), F.lit(False).alias("copy"))))))
-        placed = placed.select("k", "t", F.col("_to.part").alias("part"), F.col("_to.copy").alias("copy"))
-    else:
-        placed = placed.withColumn("copy", F.lit(False))
-    dealt = placed.withColumn("o", order).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "copy", "o")
+    first: list = [None] * (len(bounds) + 2)
+    before: list = [None] * (len(bounds) + 2)
+    for i, (p, h) in enumerate(found):
+        first[p], before[p] = h, found[i - 1][0]  # the range before; of the first, the last
+    placed = own.withColumn("part", at)
+    own_place = F.struct(F.col("part"), F.lit(False).alias("copy"))
+    sent = F.array(own_place, F.struct(F.get(_literal(before, "int"), F.col("part")).alias("part"), F.lit(True).alias("copy")))
+    is_head = F.get(_literal(first, kind), F.col("part")).eqNullSafe(F.col("k"))
+    placed = placed.select("k", "t", F.explode(F.when(is_head, sent).otherwise(F.array(own_place))).alias("to")).select("k", "t", "to.part", "to.copy")
+    dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    dealt = dealt.sortWithinPartitions("part", "copy", F.col("k").desc_nulls_last(), F.sha2("t", 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple], follower: str) -> pa.RecordBatch:
@@ -220,4 +235,4 @@ def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 size += len(t)
 
     schema = f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("k", "t", "part", "copy").mapInArrow(run, schema)
+    return dealt.select("k", "t", "part", "copy").transform(map_in_arrow, run, schema)
