@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marlgate.shipping import map_in_arrow
+
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: ASCII signs: neither letters, digits nor white space.
@@ -276,7 +278,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 at += len(rows)
 
     schema_names = [key, *(["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).transform(map_in_arrow, run, schema)
 
 
 def decode_ids(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -288,4 +290,4 @@ def decode_ids(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "ids
             texts = [bpe.decode(np.array(x.as_py() or [], "<u4").tobytes()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "decoded"])
 
-    return frame.select(key, ids).mapInArrow(run, f"`{key}` {frame.schema[key].dataType.simpleString()}, decoded string")
+    return frame.select(key, ids).transform(map_in_arrow, run, f"`{key}` {frame.schema[key].dataType.simpleString()}, decoded string")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlgate.shipping import map_in_arrow
+
 WINDOW, FILTERS, WIDTHS = 256, 16, (2, 3, 4)
 PER_LANGUAGE, LANGUAGES, EPOCHS = 500, 64, 6
 UNDETERMINED = "und"
@@ -189,4 +191,4 @@ def predict_languages(docs: DataFrame, model: ByteCnn | None, key: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [key, "held_out", "lang_pred", "score"])
 
     shown = docs.select(F.col(f"`{key}`"), held_out(key).alias("held_out"), F.col(f"`{text}`"))
-    return shown.mapInArrow(run, f"`{key}` {kind}, held_out boolean, lang_pred string, score double")
+    return shown.transform(map_in_arrow, run, f"`{key}` {kind}, held_out boolean, lang_pred string, score double")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from marlgate.llm.wordhash import blocks, flat, hash_words, mix
+from marlgate.shipping import map_in_arrow
 
 BUCKETS, BLOCK = 1 << 16, 16
 #: Probability of a finding; share of a template that confirms it, and share under which it is dropped.
@@ -303,4 +304,4 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, key: str =
                     yield pa.RecordBatch.from_arrays([ids, *columns], names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, at bigint, family string, probability double, template_share double, confirmed boolean")
+    return docs.select(key, text).transform(map_in_arrow, run, f"`{key}` {kind}, at bigint, family string, probability double, template_share double, confirmed boolean")

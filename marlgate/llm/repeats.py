@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from marlgate.llm.scratch import cut
 from marlgate.llm.wordhash import blocks, flat, hash_words, shingle_hashes
+from marlgate.shipping import map_in_arrow
 
 LEAST, SEED = 50, 20
 CONTEXT = LEAST - SEED
@@ -78,7 +79,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
             if found:
                 yield _rows(found)
 
-    return docs.mapInArrow(run, "id bigint, pos bigint, h bigint")
+    return docs.transform(map_in_arrow, run, "id bigint, pos bigint, h bigint")
 
 
 def _rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -108,7 +109,7 @@ def _contexts(picked: DataFrame) -> DataFrame:
             if rows[0]:
                 yield _context_batch(rows, names)
 
-    return picked.mapInArrow(run, "h bigint, id bigint, pos bigint, before binary, after binary")
+    return picked.transform(map_in_arrow, run, "h bigint, id bigint, pos bigint, before binary, after binary")
 
 
 def _context_batch(rows: list[list], names: list[str]) -> pa.RecordBatch:
@@ -209,9 +210,9 @@ def _compared(suffixes: DataFrame, by: str) -> DataFrame:
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h", by, "id", "pos"]
     dealt = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = cut(dealt.mapInArrow(lambda b: _neighbours(b, True), _SCHEMA), f"by_{by}")
+    found = cut(dealt.transform(map_in_arrow, lambda b: _neighbours(b, True), _SCHEMA), f"by_{by}")
     rims = found.where("kind = 1").select("h", "id", "pos", "before", "after")  # two runs a task
-    rest = rims.repartition(1).sortWithinPartitions(*order).mapInArrow(lambda b: _neighbours(b, False), _SCHEMA)
+    rest = rims.repartition(1).sortWithinPartitions(*order).transform(map_in_arrow, lambda b: _neighbours(b, False), _SCHEMA)
     return found.where("kind = 0").union(rest).select("id", "first", "last", "other")
 
 

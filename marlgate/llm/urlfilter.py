@@ -27,6 +27,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from marlgate.shipping import map_in_arrow
+
 #: Bytes of list that are sent to every executor at most.
 MOST_BYTES = 256 << 20
 
@@ -135,4 +137,4 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], blocked_hosts: Iterable[
             columns = [pa.array(x, pa.string()) for x in (hosts, paths, rule, verdict)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "host", "path", "rule", "verdict"])
 
-    return pages.select(key, url).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    return pages.select(key, url).transform(map_in_arrow, run, f"`{key}` {kind}, host string, path string, rule string, verdict string")
