@@ -143,8 +143,8 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
-    judged = judge(docs, text=text, lang=lang).where("kept")
-    return judged.select(*(F.col(f"`{c}`") for c in docs.columns))
+    own, _ = shielded(judge(docs, text=text, lang=lang))  # the document's columns come first, the verdict last
+    return own.where(F.col(own.columns[-1])).select(*own.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
