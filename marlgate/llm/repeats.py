@@ -9,9 +9,10 @@ So every passage of 50 words has a kept suffix in it, at the same place in each
 3. Each suffix is compared with its neighbours from other documents, and the match extended left and right by the contexts.
    Matches of 50 words and more are kept; suffixes at the ends of a range are compared in a last small step.
 4. A document's matches that overlap or touch are joined.
-
-The longest match to the right (left) of a suffix is with a neighbour in the first (second) order.  A passage can be missed only
-if, at each of its minimisers, other documents match further on either side and yet not 50 words in all.
+5. The longest match to the right (left) of a suffix is with a neighbour in the first (second) order.  A match that is neither can
+   still have 50 words in all.  So windows of 50 words around a kept suffix that are in no passage of some document yet are
+   compared, by a hash of their words, among all suffixes that begin alike.  These are few, at the ends of passages; with them,
+   the result is all words of all repeated windows.
 
 Words are compared by 64-bit hashes within the first 20 and 32-bit hashes in the context.
 
@@ -23,6 +24,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlgate.llm.scratch import cut
-from marlgate.llm.wordhash import blocks, flat, hash_words, shingle_hashes
+from marlgate.llm.wordhash import blocks, flat, hash_words, mix, shingle_hashes
 from marlgate.shipping import map_in_arrow
 
 LEAST, SEED = 50, 20
@@ -158,6 +160,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.Re
         done = n if last else int(start[-1])  # the last run may go on in the next batch
         before, after = (_matrix(table.column(c).combine_chunks()) for c in ("before", "after"))
         rows: list[np.ndarray] = []
+        far = np.zeros((2, n), np.int64)
         for other in (left, right):
             i = np.arange(skip, done)
             j = other[i]
@@ -167,11 +170,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.Re
             i, j = i[ok], j[ok]
             if len(i):
                 back, on = _equal(before, i, j), _equal(after, i, j)
+                far[0, i], far[1, i] = np.maximum(far[0, i], back), np.maximum(far[1, i], on)
                 long = back + SEED + on >= LEAST
                 i, j, back, on = i[long], j[long], back[long], on[long]
                 rows.append(np.stack([ids[i], pos[i] - back, pos[i] + SEED + on, ids[j]]))
         if rows:
             yield _matches(np.concatenate(rows, axis=1))
+        if done > skip and (some := skip + np.flatnonzero(far[:, skip:done].any(axis=0))).size:
+            yield _reaches(h[some], ids[some], pos[some], far[:, some])
         if ends and (first and done or last):
             edge = np.zeros(n, bool)
             if first:
@@ -187,6 +193,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.Re
         held = table.slice(keep)
 
 
+def _reaches(h: np.ndarray, ids: np.ndarray, pos: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+    """Kind 2: how many words before (first) and after (last) a suffix are the same at a neighbour, not always at the same one."""
+    none = pa.nulls(len(h), pa.binary())
+    columns = [pa.array(np.full(len(h), 2, np.int32)), pa.array(ids), pa.array(far[0]), pa.array(far[1]), pa.nulls(len(h), pa.int64()), pa.array(h), pa.array(pos), none, none]
+    return pa.RecordBatch.from_arrays(columns, _OUT)
+
+
 _OUT = ["kind", "id", "first", "last", "other", "h", "pos", "before", "after"]
 
 
@@ -206,14 +219,79 @@ _SCHEMA = "kind int, id bigint, first bigint, last bigint, other bigint, h bigin
 
 
 def _compared(suffixes: DataFrame, by: str) -> DataFrame:
-    """(id, first, last, other): matches of suffixes with their neighbours in the order of h and one context."""
+    """Matches (kind 0) and reaches (kind 2) of suffixes and their neighbours in the order of h and one context."""
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h", by, "id", "pos"]
     dealt = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = cut(dealt.transform(map_in_arrow, lambda b: _neighbours(b, True), _SCHEMA), f"by_{by}")
     rims = found.where("kind = 1").select("h", "id", "pos", "before", "after")  # two runs a task
     rest = rims.repartition(1).sortWithinPartitions(*order).transform(map_in_arrow, lambda b: _neighbours(b, False), _SCHEMA)
-    return found.where("kind = 0").union(rest).select("id", "first", "last", "other")
+    return found.where("kind <> 1").union(rest).select("kind", "id", "first", "last", "other", "h", "pos")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """(id, first, last, other) with the spans of a document that overlap or touch made one; other is the least."""
+    order = W.partitionBy("id").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opened = spans.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1))
+    numbered = opened.withColumn("n", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy("id", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("other").alias("other")).drop("n")
+
+
+def _open_windows(reaches: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, id, pos, open): which windows of 50 words around a kept suffix may repeat and are in no passage of the document so far.
+
+    Bit k stands for the window that begins k words before the suffix.  It can only repeat if some suffix matches k words before,
+    and some suffix the rest of the window after: the neighbours in the two orders tell how far that goes.
+    """
+    far = reaches.groupBy("h", "id", "pos").agg(F.max("first").alias("b"), F.max("last").alias("a")).where(f"a + b >= {CONTEXT}")
+    passages = found.select(F.col("id").alias("_id"), "first", "last")
+    within = (F.col("id") == F.col("_id")) & (F.col("first") <= F.col("pos")) & (F.col("last") >= F.col("pos") + SEED)
+    rows = far.join(passages, within, "left")
+    start = lambda k: F.col("pos") - k
+    inside = lambda k: F.coalesce((F.col("first") <= start(k)) & (start(k) + LEAST <= F.col("last")), F.lit(False))
+    bits = [F.when(~inside(k) & (F.col("b") >= k) & (F.col("a") >= CONTEXT - k), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(CONTEXT + 1)]
+    mask = reduce(lambda x, y: x.bitwiseOR(y), bits).cast("bigint")
+    return rows.groupBy("h", "id", "pos").agg(F.bit_and(mask).alias("open")).where("open <> 0")
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """(key, id, first, open) for the windows around each suffix (h, id, pos, before, after) that its mask names.
+
+    Open windows are all there.  Of the others, which are there to be found by open ones, those of the least and the greatest id of
+    a key are enough in each batch.
+
+    The key is a hash of the suffix's hash and of the words before and after that make up the window: windows at the same place
+    around equal suffixes have equal keys if and only if their words are the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, ids, pos, mask, opened = (batch.column(c).to_numpy() for c in (0, 1, 2, 5, 6))
+            before, after = (_matrix(batch.column(c)) for c in (3, 4))
+            grown = [_grown(h.view(np.uint64), m) for m in (before[0], after[0])]
+            for back in range(CONTEXT + 1):
+                i = np.flatnonzero((mask >> back & 1 == 1) & (before[1] >= back) & (after[1] >= CONTEXT - back))
+                if len(i):
+                    key = mix(grown[0][back][i] * np.uint64(0x9FB21C651E98DF25) ^ mix(grown[1][CONTEXT - back][i] + np.uint64(back)))
+                    own = opened[i] >> back & 1 == 1
+                    order = np.lexsort((ids[i], key))
+                    new = np.concatenate([[True], key[order][1:] != key[order][:-1], [True]])
+                    kept = own.copy()
+                    kept[order[new[:-1] | new[1:]]] = True
+                    i, key, own = i[kept], key[kept], own[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[i]), pa.array(pos[i] - back), pa.array(own)], ["key", "id", "first", "open"])
+
+    shown = rows.select("h", "id", "pos", "before", "after", "mask", F.coalesce("open", F.lit(0)).cast("bigint").alias("open"))
+    return shown.transform(map_in_arrow, run, "key bigint, id bigint, first bigint, open boolean")
+
+
+def _grown(h: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each h with none, one, two ... of the words of its context."""
+    out = [mix(h)]
+    for k in range(words.shape[1]):
+        out.append(mix(out[-1] * np.uint64(0x9FB21C651E98DF25) + words[:, k].astype(np.uint64) + np.uint64(1)))
+    return out
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,10 +309,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
         ids = F.broadcast(ids)
     picked = own.join(ids, "id", "left_semi").join(places, "id")
     context = cut(_contexts(picked.select("id", "t", "places")), "contexts")
-    matches = _compared(context, "after").union(_compared(context, "before")).distinct()
-    order = W.partitionBy("id").orderBy("first", "last")
-    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opened = matches.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1))
-    numbered = opened.withColumn("n", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    joined = numbered.groupBy("id", "n").agg(F.min("first").alias("start_word"), F.max("last").alias("end_word"), F.min("other").alias("other_id"))
-    return joined.select(F.col("id").alias(key), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_id")
+    compared = cut(_compared(context, "after").union(_compared(context, "before")), "compared")
+    matches = cut(_merged(compared.where("kind = 0").select("id", "first", "last", "other").distinct()), "matches")
+    opened = cut(_open_windows(compared.where("kind = 2"), matches), "open")
+    masks = cut(opened.groupBy("h").agg(F.bit_or("open").alias("mask")), "masks")
+    windows = cut(_windows(context.join(opened.drop("h"), ["id", "pos"], "left").join(masks, "h")), "windows")
+    common = windows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
+    more = windows.where("open").join(cut(common, "common"), "key")
+    more = more.select("id", "first", (F.col("first") + LEAST).alias("last"), F.when(F.col("a") == F.col("id"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    joined = _merged(matches.select("id", "first", "last", "other").union(more.distinct()))
+    return joined.select(F.col("id").alias(key), F.col("first").alias("start_word"), F.col("last").alias("end_word"), (F.col("last") - F.col("first")).alias("n_words"), F.col("other").alias("other_id"))
