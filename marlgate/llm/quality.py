@@ -5,8 +5,9 @@ its language by the Jensen-Shannon distance (base 2, 0 to 1).  A reference is th
 language.  Two guards hold the comparison back where a histogram says little: under ``MIN_CHARS`` code points or ``MIN_WORDS``
 words a document is judged by the base rules alone.
 
-Edge cases: a null or empty text has no words and fails the base rules.  A null or unlisted language is compared with the sum
-over all documents, and by character classes only.  Repeated rows and repeated ids are each judged by themselves; a null id
+Edge cases: a null or empty text has no words and fails the base rules.  Every language has a reference of its character classes;
+one without a list of common words is compared by these only.  A null language is compared with the sum over all documents, by
+character classes only.  Repeated rows and repeated ids are each judged by themselves; a null id
 stays null.  An empty table gives an empty table.  The filter hands on all columns, whatever their names.
 """
 
@@ -104,6 +105,26 @@ def _total(counts: Column | str) -> Column:
     return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
+def references(features: DataFrame, lang: Column) -> DataFrame:
+    """_g (every language, and null for all documents), _class_shares and _word_shares: shares of the summed histograms."""
+    size = len(CLASSES) + 1
+    pairs = features.select(lang.alias("_g"), F.posexplode(F.concat("_classes", "_common")).alias("i", "n"))
+    sums = pairs.groupBy("_g", "i").agg(F.sum("n").alias("v"))
+    return _shares(sums.where("_g is not null").unionByName(sums.where(F.col("i") < size).groupBy("i").agg(F.sum("v").alias("v")).withColumn("_g", F.lit(None).cast("string"))))
+
+
+def _shares(values: DataFrame) -> DataFrame:
+    """A row for each _g, from one for each _g and histogram entry i with its value v."""
+    size = len(CLASSES) + 1
+
+    def part(of_class: bool) -> Column:
+        chosen = F.transform(F.filter("_entries", lambda x: (x["i"] < size) == of_class), lambda x: x["v"])
+        return F.transform(chosen, lambda v: v / F.greatest(F.lit(1), _total(chosen)))
+
+    rows = values.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_entries"))
+    return rows.select("_g", part(True).alias("_class_shares"), part(False).alias("_word_shares"))
+
+
 def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """``keep`` columns, the base features, base_failed, class_distance, word_distance and kept.
 
@@ -115,22 +136,10 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     held = list(dict.fromkeys(inner[c] for c in [*keep, lang]))
     features = histograms(base_features(own, inner[text], held), inner[lang]).withColumn("_all", F.col("n_words") - F.least("n_words", _total("_common")))
     features = cut(features.withColumn("_common", F.concat("_common", F.array(F.col("_all").cast("int")))).drop("_all"), "features")
-    group = F.when(F.col(inner[lang]).isin(*COMMON_WORDS), F.col(inner[lang]))
-    pairs = features.select(group.alias("g"), F.posexplode(F.concat(F.col("_classes"), F.col("_common"))).alias("i", "n"))
-    # at most one row for each listed language (and one for the others) and histogram entry
-    sums = {(r["g"], r["i"]): r["n"] for r in pairs.groupBy("g", "i").agg(F.sum("n").alias("n")).collect()}
-    size = len(CLASSES) + 1
-
-    def shares(name: str | None, entries: range) -> list[float]:
-        values = [(sum(n for (_, i), n in sums.items() if i == k) if name is None else sums.get((name, k), 0)) for k in entries]
-        return [v / max(1, sum(values)) for v in values]
-
-    def literal(values: list[float]) -> Column:
-        return F.array(*map(F.lit, values))
-
     of = F.col(inner[lang])
-    classes = _by_language(of, {k: literal(shares(k, range(size))) for k in COMMON_WORDS}, literal(shares(None, range(size))))
-    words = _by_language(of, {k: literal(shares(k, range(size, size + len(v) + 1))) for k, v in COMMON_WORDS.items()}, F.lit(None).cast("array<double>"))
+    # a row for each language: joined, as there may be any number of them
+    features = features.join(F.broadcast(references(features, of)), of.eqNullSafe(F.col("_g")), "left")
+    classes, words = F.col("_class_shares"), F.when(of.isin(*COMMON_WORDS), F.col("_word_shares"))
     chars = _total("_classes")
     by_class = F.when(chars >= MIN_CHARS, _distance(F.col("_classes"), chars, classes))
     by_word = F.when((F.col("n_words") >= MIN_WORDS) & words.isNotNull(), _distance(F.col("_common"), _total("_common"), words))

@@ -1,7 +1,8 @@
+import random
 import re
 from collections import Counter
 
-from marlgate.llm.quality import base_features, judge, keep_good
+from marlgate.llm.quality import COMMON_WORDS, base_features, judge, keep_good
 from tests.llm.helpers import AWKWARD, clashing, docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,3 +47,20 @@ def test_filter_keeps_columns(spark):
     out = keep_good(df)
     assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString()
     assert keep_good(df.limit(0)).count() == 0
+
+
+def prose(letters, seed, listed=()):
+    """120 words that are drawn from a seed, every other one of them a listed one."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(120)]
+    return " ".join(rng.choice(listed) if listed and k % 2 else w for k, w in enumerate(words)) + "."
+
+
+def test_other_scripts_have_their_own_reference(spark):
+    english = [(i, prose("abcdefghilmnoprstuvw", i, COMMON_WORDS["en"]), "en", "a") for i in range(60)]
+    others = [(100 + i, prose(letters, i), lang, None) for i in range(4) for lang, letters in (("ru", "абвгдеиклмнопрстуя"), ("el", "αβγδεικλμνοπρστυ"))]
+    table = docs(spark, [*english, *others])
+    rows = judge(table, ["doc_id"]).collect()
+    assert len(rows) == 68 and all(r["kept"] for r in rows)
+    assert all(r["class_distance"] < 0.1 and r["word_distance"] is None for r in rows if r["doc_id"] >= 100)
+    assert keep_good(table).count() == 68
