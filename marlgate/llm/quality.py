@@ -2,7 +2,8 @@
 
 A document's histogram of character classes, and that of the common words of its language, are compared with the reference of
 its language by the Jensen-Shannon distance (base 2, 0 to 1).  A reference is the sum of the histograms of all documents of the
-language.  Two guards hold the comparison back where a histogram says little: under ``MIN_CHARS`` code points or ``MIN_WORDS``
+language, or, if ``robust``, the median of each entry's shares over the documents that pass the base rules, so that neither long
+documents nor junk in less than half of them carries it off.  Two guards hold the comparison back where a histogram says little: under ``MIN_CHARS`` code points or ``MIN_WORDS``
 words a document is judged by the base rules alone.
 
 Edge cases: a null or empty text has no words and fails the base rules.  Every language has a reference of its character classes;
@@ -13,7 +14,7 @@ stays null.  An empty table gives an empty table.  The filter hands on all colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlgate.llm.scratch import cut, shielded
@@ -23,6 +24,8 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MIN_CHARS = 80, 500
 #: Distances beyond these reject.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.36
+#: Steps in which shares are counted for medians.
+STEPS = 4096
 # Frequent function words of each language.
 COMMON_WORDS = {
     "en": "the of and to in a is that it for was on are as with by at be this or an from not have they".split(),
@@ -105,6 +108,10 @@ def _total(counts: Column | str) -> Column:
     return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def references(features: DataFrame, lang: Column) -> DataFrame:
     """_g (every language, and null for all documents), _class_shares and _word_shares: shares of the summed histograms."""
     size = len(CLASSES) + 1
@@ -113,6 +120,25 @@ def references(features: DataFrame, lang: Column) -> DataFrame:
     return _shares(sums.where("_g is not null").unionByName(sums.where(F.col("i") < size).groupBy("i").agg(F.sum("v").alias("v")).withColumn("_g", F.lit(None).cast("string"))))
 
 
+def medians(features: DataFrame, lang: Column) -> DataFrame:
+    """As ``references``, by the median of each share over the documents that pass the base rules and are long enough to be compared.
+
+    Shares are counted in steps of 1 / ``STEPS``: at most so many rows for each language and entry, whatever the input.
+    """
+    size = len(CLASSES) + 1
+
+    def steps(counts: str, enough: Column) -> Column:
+        return F.transform(counts, lambda x: F.when(enough, F.round(STEPS * x / _total(counts)).cast("int")))
+
+    parts = F.concat(steps("_classes", _total("_classes") >= MIN_CHARS), steps("_common", F.col("n_words") >= MIN_WORDS))
+    pairs = features.where(~_failed()).select(lang.alias("_g"), F.posexplode(parts).alias("i", "v")).where("v is not null")
+    counts = pairs.groupBy("_g", "i", "v").agg(F.count("*").alias("n"))
+    both = counts.where("_g is not null").unionByName(counts.where(F.col("i") < size).groupBy("i", "v").agg(F.sum("n").alias("n")).withColumn("_g", F.lit(None).cast("string")))
+    entry = Window.partitionBy("_g", "i")
+    below = both.withColumn("below", F.sum("n").over(entry.orderBy("v"))).withColumn("all", F.sum("n").over(entry))
+    return _shares(below.where(2 * F.col("below") >= F.col("all")).groupBy("_g", "i").agg(F.min("v").cast("bigint").alias("v")))
+
+
 def _shares(values: DataFrame) -> DataFrame:
     """A row for each _g, from one for each _g and histogram entry i with its value v."""
     size = len(CLASSES) + 1
@@ -125,7 +151,7 @@ def _shares(values: DataFrame) -> DataFrame:
     return rows.select("_g", part(True).alias("_class_shares"), part(False).alias("_word_shares"))
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", robust: bool = False) -> DataFrame:
     """``keep`` columns, the base features, base_failed, class_distance, word_distance and kept.
 
     Texts are read once; what is written in between are counts.
@@ -138,21 +164,20 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     features = cut(features.withColumn("_common", F.concat("_common", F.array(F.col("_all").cast("int")))).drop("_all"), "features")
     of = F.col(inner[lang])
     # a row for each language: joined, as there may be any number of them
-    features = features.join(F.broadcast(references(features, of)), of.eqNullSafe(F.col("_g")), "left")
+    features = features.join(F.broadcast((medians if robust else references)(features, of)), of.eqNullSafe(F.col("_g")), "left")
     classes, words = F.col("_class_shares"), F.when(of.isin(*COMMON_WORDS), F.col("_word_shares"))
     chars = _total("_classes")
     by_class = F.when(chars >= MIN_CHARS, _distance(F.col("_classes"), chars, classes))
     by_word = F.when((F.col("n_words") >= MIN_WORDS) & words.isNotNull(), _distance(F.col("_common"), _total("_common"), words))
     out = features.select(*(F.col(inner[c]) for c in keep), *BASE, by_class.alias("class_distance"), by_word.alias("word_distance"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+    out = out.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & ~far)
     return out.toDF(*keep, *out.columns[len(keep) :])
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with all their columns."""
-    own, _ = shielded(judge(docs, text=text, lang=lang))  # the document's columns come first, the verdict last
+    """The rows of ``docs`` that no rule rejects, by robust references, with all their columns."""
+    own, _ = shielded(judge(docs, text=text, lang=lang, robust=True))  # the document's columns come first, the verdict last
     return own.where(F.col(own.columns[-1])).select(*own.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 

@@ -64,3 +64,10 @@ def test_other_scripts_have_their_own_reference(spark):
     assert len(rows) == 68 and all(r["kept"] for r in rows)
     assert all(r["class_distance"] < 0.1 and r["word_distance"] is None for r in rows if r["doc_id"] >= 100)
     assert keep_good(table).count() == 68
+
+
+def test_junk_does_not_carry_references_off(spark):
+    clean = [(i, prose("abcdefghilmnoprstuvw", i, COMMON_WORDS["en"]), "en", "a") for i in range(60)]
+    junk = [(100 + i, prose("0123456789#|$%&<>", i), "en", "junk") for i in range(30)]
+    table = docs(spark, [*clean, *junk, (200, " ".join(prose("0123456789#|$%&<>", i) for i in range(300, 400)), "en", "log")])
+    assert {r["doc_id"] for r in keep_good(table).collect()} == set(range(60))
