@@ -1,6 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame expressions only.
 
-A candidate is a run of at least 16 letters, digits and ``_+/-`` with a digit in it.  Its features are length, character
+A candidate is a run of at least 16 letters, digits and ``_+/-`` with a digit in it, a key with a known prefix, with or without
+a digit, or what is assigned (``=`` or ``:``) to a name with a keyword in it: six or more characters other than white space and
+quotes.  Its features are length, character
 shares and transitions between character classes, coverage by dictionary words, the words around it, and the path.  The forest
 is trained on the driver from labelled findings (``labelled_findings``, or a caller's table of the same columns, of which at
 most ``MAX_LABELLED`` rows are used), and becomes one expression of nested conditions.  A text's candidates stay in its row as an
@@ -22,7 +24,14 @@ from pyspark.sql import functions as F
 from marlgate.llm.forest import Node, as_column, train_forest
 from marlgate.llm.scratch import shielded
 
-CANDIDATE = "(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
+# A name with a keyword, and a sign of assignment; at most CONTEXT characters, as it is looked for behind.
+NAMED = "(?i:passw(?:or)?d|pwd|passphrase|secret|token|api[_ -]?key|auth|credential|private[_ -]?key|access[_ -]?key|signing[_ -]?key)[A-Za-z0-9_.-]{0,20}[\"'`]?[ \\t]{0,2}(?:=>|:=|[=:])[ \\t]{0,2}[\"'`]?"
+VALUE = f"(?<=[=:>][ \\t\"'`]{{0,3}})(?=[^\\s\"'`]{{6}})(?<={NAMED})[^\\s\"'`]{{5,}}[^\\s\"'`.,;:)\\]}}]"
+KNOWN = "(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-|sk_live_|xox[abprs]-|glpat-|AIza|npm_)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+){1,2})"
+RUN = "(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![\"'`]?[A-Za-z0-9]))?"
+CANDIDATE = f"{VALUE}|{KNOWN}|{RUN}"
+#: Shortest candidate; so many before one are enough to fill its context.
+SHORTEST = 6
 CONTEXT = 48
 MAX_LABELLED = 20_000
 THRESHOLD = 0.5
@@ -36,6 +45,7 @@ HARMLESS = "(?i)(commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|build|rev
 PREFIX = "^(AKIA|ASIA|gh[pousr]_|sk-|sk_live_|xox[abprs]-|glpat-|eyJ|AIza|npm_)"
 PLACEHOLDER = "(?i)(x{4,}|0{6,}|1234567|abcdef|your|example|changeme|dummy|sample|placeholder)"
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+CODE = "[(){}<>\\[\\]]|^\\$|://|^[A-Za-z_]+(\\.[A-Za-z_]+)+$"
 TEST_PATH = "(?i)(test|example|fixture|mock|sample|docs?/)"
 CONFIG_PATH = "(?i)\\.(env|pem|key|cfg|conf|ini|ya?ml|properties|tfvars)$"
 
@@ -67,6 +77,11 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         flag(candidate.rlike(UUID)),
         flag(path.rlike(TEST_PATH)),
         flag(path.rlike(CONFIG_PATH)),
+        flag(before.rlike(NAMED + "$")),
+        flag(candidate.rlike(CODE)),
+        flag(after.rlike("^[\"'`]?[ \\t]{0,2}(=>|:=|[=:])")),
+        1 - share("A-Za-z0-9"),
+        flag(candidate.rlike("[0-9]")),
     )
 
 
@@ -101,6 +116,33 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
             while len(body) < 16 or not any(c.isdigit() for c in body):
                 body += draw(digits, 2)
             out.append((f"{prose()} {what}", body, rng.choice([" ", "\n", ". "]) + prose(), path, 0))
+    # values of names with a keyword: short ones, ones with other signs, and ones without a digit; keys with a prefix and no digit
+    signs = "!@$&%#*?.:^~"
+    for i in range(n):
+        quote = rng.choice(['"', "'", ""])
+        path = rng.choice(["", "", "app/settings.yml", "deploy/.env", "src/main.py", f"src{rng.randint(0, 99)}"])
+        name_of = rng.choice(["password", "db_password", "passwd", "pwd", "secret", "CLIENT_SECRET", "token", "api_key", "DB_PASSWORD_2024_PROD", "CLIENT_SECRET_2024_PROD", "auth_token", "passphrase"])
+        before = rng.choice(["", f"{prose()} ", f"{prose()}\n", "{" + quote]) + name_of + rng.choice([f"={quote}", f" = {quote}", f": {quote}", f'": {quote}'])
+        after = quote + rng.choice([" ", "\n", ", "]) + prose()
+        if i % 2 == 0:
+            body = rng.choice([
+                lambda: draw(mixed, rng.randint(2, 8)) + rng.choice(signs) + draw(mixed, rng.randint(3, 8)), lambda: draw(mixed + signs, rng.randint(8, 30)), lambda: draw(mixed, rng.randint(8, 15)),
+                lambda: draw(lower, rng.randint(4, 9)).title() + draw(digits, rng.randint(1, 4)) + draw("!@$&%#*?", rng.randint(0, 2)), lambda: draw(lower + upper, rng.randint(16, 40)),
+            ])()
+            body = "A" + body[1:-1] + rng.choice(digits + "z!&") if body[-1] in ".:" or len(body) < 6 else body
+            if i % 10 == 0:
+                before, body = rng.choice([before, f"{prose()} ", f"{prose()} key "]), rng.choice([lambda: "AKIA" + draw(upper, 16), lambda: rng.choice(["ghp_", "sk-", "glpat-", "npm_"]) + draw(lower + upper, 32)])()
+            out.append((before, body + draw(mixed, max(0, SHORTEST - len(body))), after, path, 1))
+        else:
+            body = rng.choice([
+                lambda: draw(lower, rng.randint(6, 12)), lambda: draw(lower, rng.randint(5, 9)).title() + "x", lambda: rng.choice(["string", "required", "please", "Optional", "undefined", "changeme", "your-password", "********", "xxxxxxxx", "Bearer", "boolean"]),
+                lambda: f"get_{draw(lower, 6)}()", lambda: "${" + draw(upper, 8) + "}", lambda: f"os.environ[{draw(upper, 5)}]", lambda: f"config.{draw(lower, 6)}.{draw(lower, 5)}", lambda: f"https://{draw(lower, 8)}.org/{draw(lower, 4)}", lambda: f"<{draw(lower, 8)}>", lambda: f"{draw(lower, 5)}-{draw(lower, 6)}", lambda: f"{draw(lower, 5)}_{draw(lower, 6)}",
+            ])()
+            out.append((before, body, after, path, 0))
+        if i % 5 == 0:
+            # a name that a value is assigned to is a candidate by itself
+            label = "_".join([rng.choice(["CLIENT", "SERVICE", "DEPLOY", draw(upper, 5)]), rng.choice(["SECRET", "TOKEN", "PASSWORD", "API_KEY"]), draw(digits, 4), rng.choice(["PROD", "STAGING", draw(upper, 4)])])
+            out.append((rng.choice(["", f"{prose()} ", f"{prose()}\n", 'token = "x"\n']), rng.choice([label, label.lower()]), rng.choice(["=", " = ", ": ", '": ']) + quote + draw(lower, 8), path, 0))
     return out
 
 
@@ -125,7 +167,14 @@ def _judged(docs: DataFrame, forest: list[Node], text: str, path: str | None) ->
     t, p = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")
     any_found = t.rlike(CANDIDATE)
     one = docs.select("*", F.when(any_found, F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).alias("_texts"), F.when(any_found, F.split(t, CANDIDATE, -1)).alias("_pieces"))
-    vectors = F.transform("_texts", lambda c, i: features(c, F.right(F.get("_pieces", i), F.lit(CONTEXT)), F.left(F.get("_pieces", i + 1), F.lit(CONTEXT)), p))
+
+    def before(i: Column) -> Column:
+        """What stands before a candidate, other candidates too."""
+        near = F.sequence(F.greatest(i - CONTEXT // SHORTEST, F.lit(0)), i)
+        parts = F.transform(near, lambda k: F.concat(F.when(k > 0, F.right(F.get("_texts", k - 1), F.lit(CONTEXT))).otherwise(F.lit("")), F.right(F.get("_pieces", k), F.lit(CONTEXT))))
+        return F.right(F.array_join(parts, ""), F.lit(CONTEXT))
+
+    vectors = F.transform("_texts", lambda c, i: features(c, before(i), F.left(F.get("_pieces", i + 1), F.lit(CONTEXT)), p))
     two = one.withColumn("_vectors", vectors)
     scores = F.transform("_vectors", lambda v: as_column(forest, lambda i: F.get(v, F.lit(i))))
     return two.withColumn("_scores", scores).drop("_vectors")
