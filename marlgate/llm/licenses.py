@@ -271,12 +271,11 @@ def scan_text(model: LicenseModel, data: np.ndarray, offsets: np.ndarray) -> lis
             continue
         row = int(np.searchsorted(offsets, windows.start[i], "right")) - 1
         here = (row, int(windows.start[i] - offsets[row]), family, round(float(p[i].max()), 6), round(share, 6), share >= CONFIRMED)
-        line = (int(windows.row[i]), family)
-        if line == before and out:
+        if before == (windows.row[i], family, i - 1):
             out[-1] = max(out[-1], here, key=lambda x: (x[4], x[3]))
         else:
             out.append(here)
-        before = line
+        before = (windows.row[i], family, i)
     return out
 
 

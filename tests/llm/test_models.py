@@ -63,6 +63,15 @@ def test_licenses(license_model, text, family):
     assert ([f[2] for f in found] or [None]) == [family]
 
 
+def test_notices_far_apart_in_a_line(license_model):
+    text = ("word " * 200 + "Released under the MIT License. ") * 3 + "word " * 200
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = [f for f in licenses.scan_text(license_model, data, np.array([0, len(data)])) if f[5]]
+    assert [f[2] for f in found] == ["mit"] * 3
+    notices = [i for i in range(len(text)) if text.startswith("Released", i)]
+    assert all(at <= n <= at + 400 for (_, at, *_), n in zip(found, notices, strict=True))
+
+
 def test_license_lines_of_the_corpus(spark, license_model):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"] for r in licenses.scan_licenses(table, license_model).where("confirmed").collect()}
