@@ -32,7 +32,7 @@ LOOSE_CAPTIONS = [r"Fig(?:ure)?\.?\s*(\d+)", r"그림\s*(\d+)", r"Figure\s*(\d+)
 CHAPTERS = [(rf"Chapter\s+(\d+){_TITLE}", "en"), (rf"제\s*(\d+)\s*장{_TITLE}", "ko"), (rf"第\s*(\d+)\s*章{_TITLE}", "zh")]
 SECTIONS = [r"(\d+)\.(\d+)(?:\.(\d+))?\s*(.*)", r"Section\s+(\d+)(?:\.(\d+))?\s*(.*)", r"§\s*(\d+)(?:\.(\d+))?\s*(.*)"]
 # Chapter numbers anywhere in a heading, for pages without structure.
-FALLBACK_CHAPTERS = [r"Chapter\s+(\d+)", r"제\s*(\d+)\s*장", r"Section\s+(\d+(?:\.\d+)*)", r"(\d+\.\d+)\s+\w+"]
+FALLBACK_CHAPTERS = [r"Chapter\s+(\d+)", r"제\s*(\d+)\s*장", r"Section\s+(\d+(?:\.\d+)*)", r"(\d+(?:\.\d+)*)\s+\w+"]
 
 _FULL_WIDTH = "０１２３４５６７８９"
 
@@ -116,37 +116,60 @@ def fallback_chapter(text: Column) -> Column:
     return F.when(number.isNotNull(), F.struct(to_int(parts[0], "int").alias("chapter"), rest.alias("section")))
 
 
-def _total_length(texts: Column, n: Column) -> Column:
-    """Code points in the first n of some texts."""
-    return F.aggregate(F.slice(texts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+def running_sums(values: Column) -> Column:
+    """The sums of the first 1, 2, 3 ... of an array of whole numbers.
 
+    Each pass adds the sum that ends a power of two earlier, so an array of n takes as many passes as n has binary digits.
+    """
+
+    def build(v: Column) -> Column:
+        steps = F.slice(F.array(*(F.lit(1 << k) for k in range(31))), F.lit(1), F.ceil(F.log2(F.size(v))).cast("int"))
+        sums = F.aggregate(steps, v, lambda sums, s: F.transform(sums, lambda x, i: F.when(i < s, x).otherwise(x + F.get(sums, i - s))))
+        return F.when(F.size(v) > 1, sums).otherwise(v)
+
+    return _let(values, build)
 
-def find_mentions(text: Column, rule: int) -> Column:
-    """Array of (rule, text, start_pos, end_pos, part, figure_number) for one rule, 1 to 8; positions in code points from 0.
 
-    There is no built-in that finds matches with positions: they follow from the lengths of the pieces between them.
+def split_at(text: Column, pattern: str) -> Column:
+    """Array of (piece, mark, end): the text up to a match, the match (null after the last one), and where that ends, in code points.
+
+    There is no built-in that finds matches with positions: they follow from a running sum of the lengths.  The text is searched
+    twice, however many matches it has.
     """
-    pattern = FLAGS + REFERENCE_RULES[rule - 1]
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def rows(part: int) -> Column:
-        groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(part))
+    def build(v: Column) -> Column:
+        sizes = F.zip_with(v["pieces"], v["marks"], lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
+        return F.arrays_zip(v["pieces"].alias("piece"), v["marks"].alias("mark"), running_sums(sizes).alias("end"))
+
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("marks"))
+    return _let(F.when(text.isNotNull(), both), build)
 
-        def row(m: Column, k: Column) -> Column:
-            start = _total_length(pieces, k + 1) + _total_length(matches, k)
-            return F.struct(
+
+_MENTION = "rule int, text string, start_pos int, end_pos int, part int, figure_number bigint"
+
+
+def find_mentions(text: Column, rule: int) -> Column:
+    """Array of (rule, text, start_pos, end_pos, part, figure_number) for one rule, 1 to 8; positions in code points from 0."""
+    pattern = FLAGS + REFERENCE_RULES[rule - 1]
+
+    def rows(matches: Column, part: int) -> Column:
+        return F.transform(
+            matches,
+            lambda z: F.struct(
                 F.lit(rule).alias("rule"),
-                m.alias("text"),
-                start.alias("start_pos"),
-                (start + F.length(m)).alias("end_pos"),
+                z["mark"].alias("text"),
+                (z["end"] - F.length(z["mark"])).alias("start_pos"),
+                z["end"].alias("end_pos"),
                 F.lit(part).alias("part"),
-                figure_number(F.get(groups, k)).alias("figure_number"),
-            )
-
-        return F.transform(matches, row)
+                # a match holds all that its groups depend on
+                figure_number(F.regexp_extract(z["mark"], pattern, part)).alias("figure_number"),
+            ),
+        )
 
-    return F.concat(rows(1), rows(2)) if rule in TWO_NUMBERS else rows(1)
+    found = F.filter(split_at(text, pattern), lambda z: z["mark"].isNotNull())
+    found = _let(found, lambda v: F.concat(rows(v, 1), rows(v, 2))) if rule in TWO_NUMBERS else rows(found, 1)
+    none = F.array().cast(f"array<struct<{_MENTION.replace(' ', ':').replace(',:', ',')}>>")
+    return F.when(text.rlike(pattern), found).when(text.isNotNull(), none)
 
 
 def may_mention(text: Column) -> Column:
@@ -189,15 +212,12 @@ def number_or_guess(text: Column, guess: Column) -> Column:
 
 def text_segments(text: Column, longest: int = 100) -> Column:
     """Array of (start_pos, end_pos, text): sentences, and windows over those that are longer than ``longest``."""
-    ends = "(?U)[.!?]\\s+"
-    pieces = F.split(text, ends, -1)
-    gaps = F.regexp_extract_all(text, F.lit(ends), F.lit(0))
 
-    def windows(piece: Column, k: Column) -> Column:
-        start = _total_length(pieces, k) + _total_length(gaps, k)
-        n = F.length(piece)
+    def windows(z: Column) -> Column:
+        piece, n = z["piece"], F.length(z["piece"])
+        start = z["end"] - F.coalesce(F.length(z["mark"]), F.lit(0)) - n
         at = F.when(n > longest, F.sequence(F.lit(0), n - 1, F.lit(longest // 2))).otherwise(F.array(F.lit(0)))
-        part = F.transform(at, lambda i: F.struct((start + i).alias("start_pos"), (start + F.least(i + longest, n)).alias("end_pos"), F.substring(piece, i + 1, F.lit(longest)).alias("text")))
-        return F.when(piece.rlike("(?U)\\S"), part).otherwise(F.slice(part, 1, 0))
+        return F.transform(at, lambda i: F.struct((start + i).alias("start_pos"), (start + F.least(i + longest, n)).alias("end_pos"), F.substring(piece, i + 1, F.lit(longest)).alias("text")))
 
-    return F.flatten(F.transform(pieces, windows))
+    full = F.filter(split_at(text, "(?U)[.!?]\\s+"), lambda z: z["piece"].rlike("(?U)\\S"))
+    return F.flatten(F.transform(full, windows))

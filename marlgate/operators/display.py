@@ -31,16 +31,21 @@ def shown_pages(pages: DataFrame) -> DataFrame:
     return pages.where(~F.col("status").eqNullSafe("error"))
 
 
-def layout_elements(pages: DataFrame, texts: DataFrame, figures: DataFrame, mapped: DataFrame, score_as_confidence: bool = False) -> DataFrame:
+def layout_elements(pages: DataFrame, texts: DataFrame, figures: DataFrame, mapped: DataFrame, score_as_confidence: bool = False, structure: DataFrame | None = None) -> DataFrame:
     """One row an element: the texts of a page, then its figures, then its mentions; those without box or text are left out.
 
-    Texts have no confidence unless ``texts`` has that column or ``score_as_confidence`` is set.
+    Texts have no confidence unless ``texts`` has that column or ``score_as_confidence`` is set.  A figure without a chapter (or
+    with chapter 0) or without a section takes its page's from ``structure``.
     """
     ok = shown_pages(pages).select(*PAGE)
     confidence = F.col("confidence") if "confidence" in texts.columns else F.col("score") if score_as_confidence else F.lit(None)
     a = texts.withColumn("_box", box_array()).where("_box is not null and text <> ''")
     a = a.select(*_element(0, "text_idx", "text", bounding_box=F.col("_box"), text=F.col("text"), confidence=confidence))
     b = figures.withColumn("_box", box_array()).where("_box is not null")
+    if structure is not None:
+        own = structure.select(*PAGE, F.nullif("chapter", F.lit(0)).alias("_chapter"), "section").withColumnRenamed("section", "_section")
+        b = b.join(own, PAGE, "left").withColumn("chapter", F.coalesce(F.nullif("chapter", F.lit(0)), "_chapter"))
+        b = b.withColumn("section", F.coalesce(F.nullif("section", F.lit("")), "_section"))
     b = b.select(
         *_element(1, "fig_idx", "figure", bounding_box=F.col("_box"), figure_id=F.col("figure_id"), figure_caption=F.col("caption"), related_chapter=F.col("chapter"), related_section=F.col("section"), figure_number=F.col("figure_number"))
     )

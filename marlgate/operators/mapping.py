@@ -35,27 +35,33 @@ def figure_registry(figures: DataFrame, carried: DataFrame, below: DataFrame | N
     return grouped.select("doc_id", "registry_key", ord_.cast("bigint").alias("ord"), *(F.col(f"v.{c}").alias(c) for c in _ENTRY))
 
 
-def _top(registry: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return registry.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+def ranked(registry: DataFrame) -> DataFrame:
+    """Adds in_chapter and by_number (whether an entry is the one for its document, chapter and number, or number alone) and n.
 
-
-def by_chapter(registry: DataFrame) -> DataFrame:
-    """The entry for a document, chapter and number: by key first, else the first one."""
-    exact = F.col("registry_key") == F.concat(F.lit("ch"), "chapter", F.lit("_fig"), "figure_number")
-    return _top(registry.where("chapter is not null"), ["doc_id", "chapter", "figure_number"], [F.desc(exact), "ord"])
+    For a chapter and number the entry with that key counts, for a number alone the one without a chapter in its key, else the
+    first; n is the place of an entry by chapter (none counts as 0) and page, from 1.  All windows lie within a document, so one
+    exchange serves them.
+    """
+    keyed = F.col("registry_key") == F.concat(F.lit("ch"), "chapter", F.lit("_fig"), "figure_number")
+    plain = F.col("registry_key") == F.concat(F.lit("fig_"), "figure_number")
+    first = lambda keys, order: F.row_number().over(W.partitionBy("doc_id", *keys).orderBy(*order)) == 1
+    parts = int(registry.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return registry.repartition(parts, "doc_id").select(
+        "*",
+        (F.col("chapter").isNotNull() & first(["chapter", "figure_number"], [F.desc(keyed), "ord"])).alias("in_chapter"),
+        first(["figure_number"], [F.desc(plain), "ord"]).alias("by_number"),
+        F.row_number().over(W.partitionBy("doc_id").orderBy(F.coalesce("chapter", F.lit(0)), "page_index", "ord")).alias("n"),
+    )
 
 
-def by_number(registry: DataFrame) -> DataFrame:
-    """The entry for a document and number: the one without a chapter in its key first, else the first one."""
-    plain = F.col("registry_key") == F.concat(F.lit("fig_"), "figure_number")
-    return _top(registry, ["doc_id", "figure_number"], [F.desc(plain), "ord"])
+def by_chapter(entries: DataFrame) -> DataFrame:
+    """Of ranked entries, the one for each document, chapter and number."""
+    return entries.where("in_chapter")
 
 
-def by_position(registry: DataFrame) -> DataFrame:
-    """Adds n: the place of an entry by chapter (none counts as 0) and page, from 1."""
-    order = W.partitionBy("doc_id").orderBy(F.coalesce("chapter", F.lit(0)), "page_index", "ord")
-    return registry.withColumn("n", F.row_number().over(order))
+def by_number(entries: DataFrame) -> DataFrame:
+    """Of ranked entries, the one for each document and number."""
+    return entries.where("by_number")
 
 
 def _packed(entries: DataFrame, keys: dict[str, str], name: str) -> DataFrame:
@@ -70,15 +76,17 @@ def mapping_confidence(own: Column, page: Column, figure: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - away * F.when(both, 0.02).otherwise(0.05)))
 
 
-def map_references(refs: DataFrame, registry: DataFrame, carried: DataFrame) -> DataFrame:
+def map_references(refs: DataFrame, entries: DataFrame, carried: DataFrame) -> DataFrame:
     """Adds tier (chapter, global, positional, unmapped or zero), the mapped figure's columns and mapping_confidence.
 
-    Each lookup is an equi-join with a table that has one row for a key, so rows are never multiplied.
+    ``entries`` is the registry, ranked already or not.  Each lookup is an equi-join with a table that has one row for a key, so rows are never
+    multiplied.
     """
     chapters = carried.select("doc_id", "page_index", F.col("carried_chapter").alias("_own"))
-    one = _packed(by_chapter(registry), {"doc_id": "_d1", "chapter": "_c1", "figure_number": "_n1"}, "_f1")
-    two = _packed(by_number(registry), {"doc_id": "_d2", "figure_number": "_n2"}, "_f2")
-    three = _packed(by_position(registry), {"doc_id": "_d3", "n": "_n3"}, "_f3")
+    entries = entries if "in_chapter" in entries.columns else ranked(entries)
+    one = _packed(by_chapter(entries), {"doc_id": "_d1", "chapter": "_c1", "figure_number": "_n1"}, "_f1")
+    two = _packed(by_number(entries), {"doc_id": "_d2", "figure_number": "_n2"}, "_f2")
+    three = _packed(entries, {"doc_id": "_d3", "n": "_n3"}, "_f3")
     out = refs.join(chapters, ["doc_id", "page_index"], "left")
     out = out.join(one, (F.col("doc_id") == F.col("_d1")) & (F.col("figure_number") == F.col("_n1")) & (F.col("_own") == F.col("_c1")), "left")
     out = out.join(two, (F.col("doc_id") == F.col("_d2")) & (F.col("figure_number") == F.col("_n2")), "left")

@@ -9,7 +9,7 @@ from marlgate.functions.geometry import box_array, normalize_box
 
 PAGE = ["doc_id", "page_index"]
 _FIGURE = "STRUCT<figure_id: STRING, figure_number: BIGINT, bbox: ARRAY<DOUBLE>, chapter: INT, section: STRING, caption: STRING, caption_bbox: ARRAY<DOUBLE>, label: STRING, score: DOUBLE, confidence: DOUBLE>"
-_REFERENCE = "STRUCT<text: STRING, text_id: STRING, figure_number: BIGINT, bbox: ARRAY<DOUBLE>, start_pos: INT, end_pos: INT, context: STRING, confidence: DOUBLE, method: STRING, mapped_figure_id: STRING, mapping_confidence: DOUBLE>"
+_REFERENCE = "STRUCT<text: STRING, text_id: STRING, figure_number: BIGINT, bbox: ARRAY<DOUBLE>, start_pos: INT, end_pos: INT, context: STRING, confidence: DOUBLE, method: STRING, chapter: INT, section: STRING, mapped_figure_id: STRING, mapping_confidence: DOUBLE>"
 _PAGE = (
     "STRUCT<page_index: INT, status: STRING, error: STRING, chapter_info: STRUCT<chapter: INT, section: STRING, subsection: STRING, title: STRING, language: STRING>,"
     " layouts: ARRAY<STRUCT<label: STRING, bbox: ARRAY<DOUBLE>, score: DOUBLE>>,"
@@ -42,7 +42,7 @@ def to_raw(pages: DataFrame, layouts: DataFrame, texts: DataFrame, figures: Data
         _nested(layouts, "layout_idx", "layouts", "label", box, "score"),
         _nested(figures, "fig_idx", "figure_layouts", "figure_id", F.col("figure_number").cast("bigint").alias("figure_number"), box, "chapter", "section", "caption", "caption_bbox", "label", "score", _field(figures, "confidence", "double")),
         _nested(texts, "text_idx", "recognized_texts", "text_id", "text", box, _field(texts, "score", "double"), _field(texts, "confidence", "double")),
-        _nested(mapped, "ref_idx", "figure_references", "text", "text_id", "figure_number", "bbox", "start_pos", "end_pos", "context", "confidence", "method", "mapped_figure_id", "mapping_confidence"),
+        _nested(mapped, "ref_idx", "figure_references", "text", "text_id", "figure_number", "bbox", "start_pos", "end_pos", "context", "confidence", "method", _field(mapped, "chapter", "int"), _field(mapped, "section", "string"), "mapped_figure_id", "mapping_confidence"),
     ]
     info = structure.select(*PAGE, F.struct("chapter", "section", "subsection", "title", "language").alias("chapter_info"))
     out = pages.join(info, PAGE, "left")
@@ -92,7 +92,7 @@ def display_of_raw(raw: DataFrame) -> DataFrame:
     from marlgate.operators import display, mapping
 
     t = from_raw(raw)
-    elements = display.layout_elements(t["pages"], t["texts"], t["figures"], t["mapped"])
+    elements = display.layout_elements(t["pages"], t["texts"], t["figures"], t["mapped"], structure=t["structure"])
     shown = t["mapped"].join(display.shown_pages(t["pages"]).select(*PAGE), PAGE, "left_semi")
     figures = display.display_figures(t["pages"], t["figures"], mapping.reference_counts(shown), score_as_confidence=True)
     return display.to_display(t["documents"], t["pages"], t["structure"], t["chapters"], figures, elements, t["texts"])

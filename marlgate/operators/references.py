@@ -34,6 +34,11 @@ def scan_references(texts: DataFrame, rules: list[int] | None = None, dedupe: bo
     return out.withColumn("ref_idx", place.cast("bigint"))
 
 
+def with_page_context(refs: DataFrame, structure: DataFrame) -> DataFrame:
+    """Adds to mentions the chapter and section of their own page: not what the page inherits."""
+    return refs.join(structure.select("doc_id", "page_index", "chapter", "section"), ["doc_id", "page_index"], "left")
+
+
 def merge_rule_and_model(rule: DataFrame, model: DataFrame, near: int = 20) -> DataFrame:
     """Rule mentions with the model's, of which those near a rule mention of the same number only raise its confidence.
 

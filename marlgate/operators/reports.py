@@ -69,6 +69,25 @@ def page_range(pages: DataFrame, first: int, last: int) -> DataFrame:
     return pages.where(F.col("page_index").between(first - 1, last - 1))
 
 
+def page_at(pages: DataFrame, number: int) -> DataFrame:
+    """The page of each document at a place in its list of pages, from 1, whatever its own index; none if the list is shorter."""
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("page_index"))
+    return pages.withColumn("_place", place).where(F.col("_place") == number).drop("_place")
+
+
+def check_bounds(requests: DataFrame) -> DataFrame:
+    """Adds to requests (page from 1, total_pages) an error where there is no such page, else null."""
+    within = F.coalesce(F.col("page").between(1, F.col("total_pages")), F.lit(False))
+    return requests.withColumn("error", F.when(~within, F.format_string("no page %s: the document has pages 1 to %s", "page", F.coalesce("total_pages", F.lit(0)))))
+
+
+def last_lines(log: DataFrame, lines: int = 8) -> DataFrame:
+    """The last lines of each task's log (task_id, event_id), oldest first by ``place`` from 0."""
+    back = W.partitionBy("task_id").orderBy(F.desc("event_id"))
+    kept = log.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= lines)
+    return kept.withColumn("place", F.row_number().over(W.partitionBy("task_id").orderBy("event_id")) - 1).drop("_back")
+
+
 def running_totals(counts: DataFrame) -> DataFrame:
     """Figures, references and texts of a document up to each page; pages with an error add nothing."""
     until = W.partitionBy("doc_id").orderBy("page_index").rowsBetween(W.unboundedPreceding, 0)

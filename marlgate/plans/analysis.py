@@ -9,17 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlgate.operators import captions, display, layout, mapping, raw, references, reports, structure
+from marlgate.storage import cut
 
 
 @dataclass
 class Analysis:
-    """The tables of an analysis, each a lazy DataFrame: what a result does not need is not computed."""
+    """The tables of an analysis: what a result does not need is not computed.
+
+    Tables that several steps read (those of pages and of figures, the registry, the mentions) are written to the shared folder when
+    they are first asked for, so that no result works them out twice; the others are lazy.  The input tables are taken as stored
+    ones; ``stored`` writes them first, where they are the result of work themselves.
+    """
 
     pages: DataFrame
     layouts: DataFrame
     texts: DataFrame
     exclude_captions: bool = False
 
+    def stored(self) -> Analysis:
+        """The same analysis over written tables."""
+        return Analysis(cut(self.pages, "pages"), cut(self.layouts, "layouts"), cut(self.texts, "texts"), self.exclude_captions)
+
     @cached_property
     def figures(self) -> DataFrame:
         return layout.figure_layouts(self.layouts)
@@ -30,7 +40,8 @@ class Analysis:
 
     @cached_property
     def carried(self) -> DataFrame:
-        return structure.carry_forward(self.structure)
+        """The structure of pages with what they inherit."""
+        return cut(structure.carry_forward(self.structure), "carried")
 
     @cached_property
     def captions(self) -> DataFrame:
@@ -42,11 +53,16 @@ class Analysis:
 
     @cached_property
     def named_figures(self) -> DataFrame:
-        return captions.name_figures(self.figures, self.captions, self.structure)
+        return cut(captions.name_figures(self.figures, self.captions, self.carried), "figures")
 
     @cached_property
     def registry(self) -> DataFrame:
-        return mapping.figure_registry(self.named_figures, self.carried, self.below)
+        return cut(mapping.figure_registry(self.named_figures, self.carried, self.below), "registry")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """The registry with the ranks that lookups go by."""
+        return cut(mapping.ranked(self.registry), "entries")
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -54,15 +70,16 @@ class Analysis:
         if self.exclude_captions:
             used = self.captions.select("doc_id", "page_index", "text_idx").distinct()
             texts = texts.join(used, ["doc_id", "page_index", "text_idx"], "left_anti")
-        return references.scan_references(texts)
+        return references.with_page_context(references.scan_references(texts), self.carried)
 
     @cached_property
     def mapped(self) -> DataFrame:
-        return mapping.map_references(self.refs, self.registry, self.carried)
+        return cut(mapping.map_references(self.refs, self.entries, self.carried), "mapped")
 
     @cached_property
     def counts(self) -> DataFrame:
-        return reports.page_counts(self.pages, self.layouts, self.figures, self.texts, self.refs)
+        refs = self.mapped if "mapped" in self.__dict__ else self.refs  # a row for a mention each
+        return reports.page_counts(self.pages, self.layouts, self.figures, self.texts, refs)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -82,18 +99,18 @@ class Analysis:
 
     @cached_property
     def elements(self) -> DataFrame:
-        return display.layout_elements(self.pages, self.texts, self.named_figures, self.mapped)
+        return display.layout_elements(self.pages, self.texts, self.named_figures, self.mapped, structure=self.carried)
 
     @cached_property
     def raw(self) -> DataFrame:
-        return raw.to_raw(self.pages, self.layouts, self.texts, self.named_figures, self.mapped, self.structure, self.chapters, self.summary)
+        return raw.to_raw(self.pages, self.layouts, self.texts, self.named_figures, self.mapped, self.carried, self.chapters, self.summary)
 
     def display(self, documents: DataFrame | None = None) -> DataFrame:
         """Nested documents; ``documents`` has doc_id, title, total_pages and processing_time."""
         if documents is None:
             documents = self.pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages"))
             documents = documents.select("doc_id", F.lit(None).cast("string").alias("title"), "total_pages", F.lit(None).cast("double").alias("processing_time"))
-        return display.to_display(documents, self.pages, self.structure, self.chapters, self.figure_list, self.elements, self.texts)
+        return display.to_display(documents, self.pages, self.carried, self.chapters, self.figure_list, self.elements, self.texts)
 
 
 def fixture_analysis(spark: SparkSession, sf_dir: str) -> Analysis:

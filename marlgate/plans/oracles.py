@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
+from marlgate.functions.patterns import CAPTIONS, CHAPTERS, FALLBACK_CHAPTERS, REFERENCE_RULES, SECTIONS
 from marlgate.sources.fixtures import EVENTS_SQL, LAYOUTS_SQL, TEXTS_SQL
 
+# The patterns are those of the operators, which the tests hold against hand-made cases; RE2 reads them alike on the fixture's texts.
 _NUM = r"(\d+(?:\.\d+)?)"
-# The rules for figure mentions in RE2's dialect.
-_RULES = [
-    rf"(?i)(?:as\s+shown\s+in\s+)?Fig(?:ure)?\.?\s*{_NUM}", rf"(?i)(?:see\s+)?Figure\s*{_NUM}", rf"(?i)(?:in\s+)?fig(?:ure)?\.?\s*{_NUM}", rf"(?i)\(Fig(?:ure)?\.?\s*{_NUM}\)",
-    rf"(?i)Figures?\s*{_NUM}\s*(?:and|,|through|to|-)\s*{_NUM}", rf"(?i)그림\s*{_NUM}", rf"(?i)도표\s*{_NUM}", rf"(?i)\[그림\s*{_NUM}\]",
-]
-_CAPTION = r"^(?i:Fig(?:ure)?\.?\s*(\d+)(?:\s*[:\.]?\s*(.*))?)"
-_CHAPTER = r"^(?i:Chapter\s+(\d+)(?:\s*[:\.]?\s*(.*))?)"
-_SECTION = r"^(\d+)\.(\d+)(?:\.(\d+))?\s*(.*)"
+_RULES = [f"(?i){p}" for p in REFERENCE_RULES]
+_CAPTION = f"^(?i:{CAPTIONS[0]})"
+_CHAPTER = f"^(?i:{'|'.join(p for p, _ in CHAPTERS)})"
+_SECTION = f"^(?i:{'|'.join(SECTIONS)})"
+
+
+def _first(patterns: list[str], group: int, anchor: str = "^") -> str:
+    """A group of the first pattern that has it."""
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{anchor}(?i:{p})', {group}), '')" for p in patterns) + ")"
+
+
+_CHAPTER_NUMBER, _CHAPTER_TITLE = (_first([p for p, _ in CHAPTERS], g) for g in (1, 2))
+_LANGUAGE = "CASE " + " ".join(f"WHEN regexp_matches(text, '^(?i:{p})') THEN '{language}'" for p, language in CHAPTERS) + " END"
+_SECTION_NAME = f"{_first(SECTIONS, 1)} || coalesce('.' || {_first(SECTIONS, 2)}, '')"
+_SECTION_SUB = f"nullif({_first(SECTIONS, 3)}, '')"
+_SECTION_TITLE = f"nullif(trim(CASE WHEN regexp_matches(text, '^(?i:{SECTIONS[0]})') THEN regexp_extract(text, '^(?i:{SECTIONS[0]})', 4) ELSE {_SECTION_SUB} END), '')"
+_FALLBACK = _first(FALLBACK_CHAPTERS, 1, "")
 _INSIDE = "t.x0 >= l.x0 - {m} AND t.y0 >= l.y0 - {m} AND t.x1 <= l.x1 + {m} AND t.y1 <= l.y1 + {m}"
 _TITLED = "EXISTS (SELECT 1 FROM layouts l WHERE l.doc_id = t.doc_id AND l.page_index = t.page_index AND lower(l.label) IN ('title', 'paragraph_title', 'header') AND " + _INSIDE + ")"
 _MARKS = ", ".join(f"({k}, '{p}')" for k, p in enumerate(_RULES, 1))
@@ -31,11 +44,11 @@ heads AS (SELECT t.*, t.y0 < 200 AS at_top, (t.y1 - t.y0) > 1.5 * avg(t.y1 - t.y
 judged AS (SELECT *, at_top OR is_tall OR is_isolated AS is_heading, regexp_matches(text, '{_CHAPTER}') AND (is_title OR at_top OR is_tall OR is_isolated) AS is_chapter,
   regexp_matches(text, '{_SECTION}') AS like_section FROM heads),
 structure AS (SELECT p.doc_id, p.page_index,
-  max(CASE WHEN text_idx = ci THEN CAST(regexp_extract(text, '{_CHAPTER}', 1) AS INTEGER) END) AS chapter,
-  max(CASE WHEN text_idx = si THEN regexp_extract(text, '{_SECTION}', 1) || '.' || regexp_extract(text, '{_SECTION}', 2) END) AS section,
-  max(CASE WHEN text_idx = si THEN nullif(regexp_extract(text, '{_SECTION}', 3), '') END) AS subsection,
-  max(CASE WHEN text_idx = ci THEN nullif(trim(regexp_extract(text, '{_CHAPTER}', 2)), '') END) AS title,
-  max(CASE WHEN text_idx = ci THEN 'en' END) AS language
+  max(CASE WHEN text_idx = ci THEN CAST({_CHAPTER_NUMBER} AS INTEGER) END) AS chapter,
+  max(CASE WHEN text_idx = si THEN {_SECTION_NAME} END) AS section,
+  max(CASE WHEN text_idx = si THEN {_SECTION_SUB} END) AS subsection,
+  max(CASE WHEN text_idx = ci THEN nullif(trim({_CHAPTER_TITLE}), '') END) AS title,
+  max(CASE WHEN text_idx = ci THEN {_LANGUAGE} END) AS language
   FROM pages p LEFT JOIN (SELECT *, max(text_idx) FILTER (WHERE is_chapter) OVER (PARTITION BY doc_id, page_index) AS ci,
     max(text_idx) FILTER (WHERE like_section AND is_title AND NOT is_chapter) OVER (PARTITION BY doc_id, page_index) AS si FROM judged) j USING (doc_id, page_index)
   GROUP BY p.doc_id, p.page_index),
@@ -83,6 +96,9 @@ chosen AS (SELECT *, CASE tier WHEN 'chapter' THEN fa WHEN 'global' THEN fb WHEN
 mapped AS (SELECT *, f.id AS mapped_figure_id, f.page AS mapped_figure_page, f.chapter AS mapped_chapter,
   CASE WHEN tier = 'zero' THEN NULL WHEN tier = 'unmapped' THEN 0.0 ELSE greatest(0.0, least(1.0, CAST(0.5 AS DOUBLE) + CASE WHEN own = f.chapter THEN CAST(0.3 AS DOUBLE) ELSE 0.0 END + CASE WHEN f.caption <> '' THEN CAST(0.2 AS DOUBLE) ELSE 0.0 END
     - abs(page_index - f.page) * CASE WHEN own IS NOT DISTINCT FROM f.chapter THEN CAST(0.02 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END)) END AS mapping_confidence FROM chosen),
+firsts AS (SELECT t.*, coalesce(mention, trim(text)) AS reference_text, coalesce(start_pos, 0) AS start_pos, coalesce(start_pos + length(mention), length(text)) AS end_pos, number AS first_number
+  FROM texts t LEFT JOIN (SELECT doc_id, page_index, text_idx, arg_min(mention, rule * 1000000 + start_pos) AS mention, arg_min(start_pos, rule * 1000000 + start_pos) AS start_pos,
+    arg_min(figure_number, rule * 1000000 + start_pos) AS number FROM scan WHERE part = 1 GROUP BY ALL) USING (doc_id, page_index, text_idx)),
 shown AS (SELECT doc_id, page_index FROM pages WHERE status IS DISTINCT FROM 'error'),
 ref_counts AS (SELECT doc_id, mapped_figure_id, count(*) AS reference_count FROM mapped WHERE mapped_figure_id <> '' GROUP BY ALL),
 shown_counts AS (SELECT doc_id, mapped_figure_id AS figure_id, count(*) AS reference_count FROM mapped JOIN shown USING (doc_id, page_index) WHERE mapped_figure_id <> '' GROUP BY ALL),
@@ -98,10 +114,10 @@ figure_list AS (SELECT f.*, coalesce(reference_count, 0) AS reference_count FROM
   QUALIFY pos = max(pos) OVER (PARTITION BY doc_id, figure_id)),
 width AS (SELECT *, (x1 - x0) / length(full_text) AS cw FROM mapped),
 boxed AS (SELECT *, greatest(x0, x0 + start_pos * cw - cw * 0.1) AS bx0, y0 - (y1 - y0) * 0.05 AS by0, least(x1, x0 + end_pos * cw + cw * 0.1) AS bx1, y1 + (y1 - y0) * 0.05 AS by1 FROM width),
-elements AS (SELECT doc_id, page_index, 0 AS kind_ord, text_idx AS place, 'text' AS type, text, NULL AS figure_id, NULL AS figure_caption, NULL AS related_chapter, NULL AS figure_number,
+elements AS (SELECT doc_id, page_index, 0 AS kind_ord, text_idx AS place, 'text' AS type, text, NULL AS figure_id, NULL AS figure_caption, NULL AS related_chapter, NULL AS related_section, NULL AS figure_number,
     NULL AS referenced_figure_id, NULL AS reference_text, CAST(NULL AS DOUBLE) AS confidence, x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1 FROM texts JOIN shown USING (doc_id, page_index)
-  UNION ALL SELECT doc_id, page_index, 1, fig_idx, 'figure', NULL, figure_id, caption, chapter, figure_number, NULL, NULL, NULL, x0, y0, x1, y1 FROM named JOIN shown USING (doc_id, page_index)
-  UNION ALL SELECT doc_id, page_index, 2, ref_idx, 'figure_reference', NULL, NULL, NULL, NULL, figure_number, mapped_figure_id, mention, mapping_confidence, bx0, by0, bx1, by1 FROM boxed JOIN shown USING (doc_id, page_index)),
+  UNION ALL SELECT doc_id, page_index, 1, fig_idx, 'figure', NULL, figure_id, caption, chapter, section, figure_number, NULL, NULL, NULL, x0, y0, x1, y1 FROM named JOIN shown USING (doc_id, page_index)
+  UNION ALL SELECT doc_id, page_index, 2, ref_idx, 'figure_reference', NULL, NULL, NULL, NULL, NULL, figure_number, mapped_figure_id, mention, mapping_confidence, bx0, by0, bx1, by1 FROM boxed JOIN shown USING (doc_id, page_index)),
 full_texts AS (SELECT doc_id, page_index, trim(string_agg(text, ' ' ORDER BY text_idx)) AS full_text FROM texts GROUP BY ALL),
 events_in AS ({EVENTS_SQL.replace("{events}", "events")}),
 state AS (SELECT task_id, arg_max(status, struct_pack(ts := ts, id := event_id)) AS status, arg_max(current_page, struct_pack(ts := ts, id := event_id)) AS current_page,
@@ -121,13 +137,40 @@ _SELECTS = {
     "title_containment_exact": f"SELECT {_TEXT} FROM texts t WHERE {_TITLED.format(m=0)}",
     "heading_heuristic": f"SELECT {_TEXT}, at_top, is_tall, is_isolated, is_heading FROM judged",
     "chapter_extract": f"SELECT {_PAGE}, chapter, title, language FROM structure",
-    "chapter_match": f"SELECT {_TEXT}, CAST(regexp_extract(text, '{_CHAPTER}', 1) AS INTEGER) AS chapter, nullif(trim(regexp_extract(text, '{_CHAPTER}', 2)), '') AS title, 'en' AS language FROM texts WHERE regexp_matches(text, '{_CHAPTER}')",
-    "section_extract": f"SELECT {_TEXT}, regexp_extract(text, '{_SECTION}', 1) || '.' || regexp_extract(text, '{_SECTION}', 2) AS section, nullif(regexp_extract(text, '{_SECTION}', 3), '') AS subsection, nullif(trim(regexp_extract(text, '{_SECTION}', 4)), '') AS title FROM texts WHERE regexp_matches(text, '{_SECTION}')",
+    "chapter_match": f"SELECT {_TEXT}, CAST({_CHAPTER_NUMBER} AS INTEGER) AS chapter, nullif(trim({_CHAPTER_TITLE}), '') AS title, {_LANGUAGE} AS language FROM texts WHERE regexp_matches(text, '{_CHAPTER}')",
+    "section_extract": f"SELECT {_TEXT}, {_SECTION_NAME} AS section, {_SECTION_SUB} AS subsection, {_SECTION_TITLE} AS title FROM texts WHERE regexp_matches(text, '{_SECTION}')",
     "page_structure": "SELECT * FROM structure",
     "chapter_fill_forward": "SELECT * FROM carried",
-    "chapter_fallback": f"""SELECT {_PAGE}, CAST(coalesce(nullif(a, ''), split_part(b, '.', 1)) AS INTEGER) AS chapter, CASE WHEN a = '' THEN split_part(b, '.', 2) END AS section FROM (
-      SELECT *, regexp_extract(text, '(?i)Chapter\\s+(\\d+)', 1) AS a, regexp_extract(text, '(\\d+\\.\\d+)\\s+\\w+', 1) AS b FROM texts t WHERE {_TITLED.format(m=0)})
-      WHERE a <> '' OR b <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, page_index ORDER BY text_idx) = 1""",
+    "chapter_fallback": f"""SELECT {_PAGE}, CAST(split_part(n, '.', 1) AS INTEGER) AS chapter, nullif(substr(n, length(split_part(n, '.', 1)) + 2), '') AS section FROM (
+      SELECT *, {_FALLBACK} AS n FROM texts t WHERE {_TITLED.format(m=0).replace("lower(l.label)", "l.label")})
+      WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page_index ORDER BY text_idx) = 1""",
+    "box_normalize": f"""SELECT {_TEXT}, coalesce(len(b), 0) AS n, b[1] AS bx0, b[2] AS by0, b[3] AS bx1, b[4] AS by1 FROM (SELECT *, CASE WHEN kind % 3 = 0 THEN [least(x0, x1), least(y0, y1), greatest(x0, x1), greatest(y0, y1 + k)]
+      WHEN kind % 3 = 1 THEN [x0, y0, x1, y1] END AS b FROM texts)""",
+    "first_mention": f"SELECT {_TEXT}, reference_text, start_pos, end_pos FROM firsts",
+    "mention_surroundings": f"SELECT {_TEXT}, trim(substr(text, CAST(greatest(0, start_pos - 10) AS BIGINT) + 1, CAST(least(length(text), end_pos + 10) - greatest(0, start_pos - 10) AS BIGINT))) AS surroundings FROM firsts",
+    "number_or_guess": f"SELECT {_TEXT}, coalesce(first_number, CASE WHEN text_idx % 7 - 1.5 > 0 THEN CAST(round_even(text_idx % 7 - 1.5, 0) AS BIGINT) END) AS figure_number FROM firsts",
+    "mention_page_context": f"SELECT {_PAGE}, ref_idx, chapter, section FROM refs JOIN structure USING (doc_id, page_index)",
+    "display_nested_chapters": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chapter) - 1 AS place, 'Chapter ' || chapter AS title, chapter AS chapter_number, start_page, end_page, sections FROM chapters",
+    "display_nested_pages": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS place, page_index, CASE WHEN chapter <> 0 THEN CAST(chapter AS VARCHAR) END AS chapter, section,
+      coalesce(full_text, '') AS full_text, 600 AS width, 2000 AS height FROM shown JOIN structure USING (doc_id, page_index) LEFT JOIN full_texts USING (doc_id, page_index)""",
+    "display_nested_layouts": f"""SELECT {_PAGE}, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY kind_ord, place) - 1 AS place, type, text, figure_id, figure_caption, related_chapter, related_section, figure_number,
+      referenced_figure_id, reference_text, {_BOX} FROM elements""",
+    "display_nested_figures": f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) - 1 AS place, figure_id, page_index, caption, reference_count, x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1
+      FROM figure_list JOIN (SELECT doc_id, figure_id, min(pos) AS first_pos FROM figure_rows GROUP BY ALL) USING (doc_id, figure_id)""",
+    "raw_nested_references": f"SELECT {_PAGE}, ref_idx, mention AS text, text_id, figure_number, start_pos, end_pos, chapter, section, mapped_figure_id FROM mapped JOIN structure USING (doc_id, page_index)",
+    "raw_default_ids": f"SELECT {_FIG}, figure_id0 AS figure_id FROM figures",
+    "raw_page_fallback": f"SELECT {_PAGE}, fig_idx AS place, nullif(s.chapter, 0) AS related_chapter, s.section AS related_section FROM figures JOIN shown USING (doc_id, page_index) JOIN structure s USING (doc_id, page_index)",
+    "detect_recognise": f"""SELECT {_PAGE}, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY text_idx) - 1 AS text_idx, 'text_' || text_idx AS text_id, concat_ws(',', cx0, cy0, cx1, cy1) AS text, CAST(0.5 AS DOUBLE) AS det_score, NULL AS error FROM (
+      SELECT {_TEXT}, CAST(greatest(0, floor(x0)) AS INTEGER) AS cx0, CAST(greatest(0, floor(y0)) AS INTEGER) AS cy0, CAST(least(450, floor(x1)) AS INTEGER) AS cx1, CAST(least(300, floor(y1)) AS INTEGER) AS cy1 FROM texts
+      QUALIFY count(*) OVER (PARTITION BY doc_id, page_index) % 7 <> 6) WHERE cx1 > cx0 AND cy1 > cy0
+      UNION ALL SELECT {_PAGE}, NULL, NULL, NULL, NULL, 'cannot read a page of ' || count(*) FROM texts GROUP BY doc_id, page_index HAVING count(*) % 7 = 6""",
+    "failed_pages": f"""SELECT {_PAGE}, CASE WHEN n % 7 = 6 THEN 'error' ELSE status END AS status, CASE WHEN n % 7 = 6 THEN 'cannot read a page of ' || n ELSE error END AS error
+      FROM pages JOIN (SELECT doc_id, page_index, count(*) AS n FROM texts GROUP BY ALL) USING (doc_id, page_index)""",
+    "page_position": "SELECT * FROM full_texts WHERE page_index % 2 = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_index) = 2",
+    "page_bounds": """SELECT doc_id, doc_id % 14 AS page, CASE WHEN doc_id % 14 NOT BETWEEN 1 AND n THEN 'no page ' || doc_id % 14 || ': the document has pages 1 to ' || n END AS error
+      FROM (SELECT doc_id, count(*) AS n FROM pages GROUP BY doc_id)""",
+    "job_last_lines": """SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY event_id) - 1 AS place, event_id, type FROM (
+      SELECT * FROM events_in QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY event_id DESC) <= 8)""",
     "caption_best_match": f"SELECT {_FIG}, text_idx, text AS caption, figure_number, title, round(score, 6) AS score, tx0 AS bx0, ty0 AS by0, tx1 AS bx1, ty1 AS by1 FROM captions",
     "caption_nearest_below": f"SELECT {_FIG}, text_idx, round(distance, 6) AS distance, figure_number FROM below",
     "figure_ids": f"SELECT {_FIG}, figure_id, figure_number, chapter, section, caption FROM named",
@@ -166,16 +209,21 @@ _SELECTS = {
     "merge_rule_model": f"""SELECT {_PAGE}, text_id, origin, ref_idx, figure_number, start_pos, method, round(final_confidence, 6) AS final_confidence,
       row_number() OVER (PARTITION BY doc_id, page_index ORDER BY final_confidence DESC, origin, ref_idx) - 1 AS place FROM (
       WITH one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY text_idx, start_pos, part) - 1 AS r FROM scan WHERE rule = 1),
-      model AS (SELECT doc_id, page_index, text_id, text_idx, CASE WHEN kind = 2 THEN k + 1 ELSE k END AS n, CAST((doc_id * 31 + text_idx) % 100 AS DOUBLE) / 100.0 AS c FROM texts WHERE kind IN (1, 2, 4) AND CAST((doc_id * 31 + text_idx) % 100 AS DOUBLE) / 100.0 > 0.5),
-      hit AS (SELECT m.doc_id, m.page_index, m.text_idx AS mi, m.text_id, m.n, m.c, min(o.r) AS r FROM model m LEFT JOIN one o ON o.doc_id = m.doc_id AND o.page_index = m.page_index AND o.text_id = m.text_id AND o.figure_number = m.n AND abs(o.start_pos) < 20 GROUP BY ALL),
-      up AS (SELECT doc_id, page_index, r, max(c) AS c FROM hit WHERE r IS NOT NULL GROUP BY ALL)
+      model AS (SELECT doc_id, page_index, text_id, text_idx * 3 + j AS mi, j, j * 15 AS s, CASE WHEN kind = 2 THEN k + 1 ELSE k END AS n, CAST((doc_id * 31 + text_idx + j * 17) % 100 AS DOUBLE) / 100.0 AS c FROM texts, (VALUES (0), (1), (2)) AS v(j) WHERE kind IN (1, 2, 4)),
+      hit AS (SELECT m.doc_id, m.page_index, m.mi, m.j, m.s, m.text_id, m.n, m.c, min(o.r) AS r FROM model m LEFT JOIN one o ON o.doc_id = m.doc_id AND o.page_index = m.page_index AND o.text_id = m.text_id AND o.figure_number = m.n AND abs(o.start_pos - m.s) < 20 GROUP BY ALL),
+      up AS (SELECT doc_id, page_index, r, max(c) AS c FROM hit WHERE r IS NOT NULL GROUP BY ALL),
+      alone AS (SELECT a.*, b.c AS near_c, z.mi IS NOT NULL AS follows FROM hit a LEFT JOIN hit b ON a.j = 0 AND b.mi = a.mi + 1 AND b.doc_id = a.doc_id AND b.page_index = a.page_index AND b.r IS NULL
+        LEFT JOIN hit z ON a.j = 1 AND z.mi = a.mi - 1 AND z.doc_id = a.doc_id AND z.page_index = a.page_index AND z.r IS NULL WHERE a.r IS NULL)
       SELECT o.doc_id, o.page_index, text_id, 0 AS origin, o.r AS ref_idx, figure_number, start_pos, CASE WHEN up.c > 0.95 THEN 'hybrid' ELSE 'rule_based' END AS method, CASE WHEN up.c > 0.95 THEN up.c ELSE CAST(0.95 AS DOUBLE) END AS final_confidence
         FROM one o LEFT JOIN up ON up.doc_id = o.doc_id AND up.page_index = o.page_index AND up.r = o.r
-      UNION ALL SELECT doc_id, page_index, text_id, 1, mi, n, 0, 'model', c * CAST(0.9 AS DOUBLE) FROM hit WHERE r IS NULL)""",
+      UNION ALL SELECT doc_id, page_index, text_id, 1, mi, n, s, CASE WHEN near_c > c * CAST(0.9 AS DOUBLE) THEN 'hybrid' ELSE 'model' END, greatest(c * CAST(0.9 AS DOUBLE), coalesce(near_c, CAST(0 AS DOUBLE))) FROM alone
+        WHERE NOT follows)""",
     "job_status": """SELECT task_id, status, CASE WHEN status = 'processing' THEN progress END AS progress, CASE WHEN status = 'processing' THEN current_page END AS current_page,
       CASE WHEN status = 'completed' THEN '/result/' || task_id END AS result_url, CASE WHEN status = 'failed' THEN 'failed' END AS error FROM state""",
     "job_state": "SELECT task_id, status, current_page, total_pages, round(progress, 6) AS progress, epoch_us(last_update) AS last_micros FROM state",
-    "job_progress": "SELECT task_id, event_id, type, round(CAST(current_page AS DOUBLE) / total_pages * 100, 6) AS percent, type <> 'progress' AS is_final FROM events_in WHERE type IN ('progress', 'completed', 'error')",
+    "job_progress": """SELECT task_id, event_id, type, round(CAST(current_page AS DOUBLE) / total_pages * 100, 6) AS percent, type <> 'progress' AS is_final FROM (
+      SELECT *, coalesce(sum(CASE WHEN type = 'progress' THEN 0 ELSE 1 END) OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+      FROM events_in WHERE type IN ('progress', 'completed', 'error')) WHERE ended = 0""",
     "job_result_access": "SELECT c_custkey AS task_id, CASE WHEN status IS NULL THEN 404 WHEN status <> 'completed' THEN 400 WHEN c_custkey % 2 <> 0 THEN 404 ELSE 200 END AS code FROM customer LEFT JOIN state ON task_id = c_custkey",
     "job_speed": "SELECT task_id, max(current_page) AS pages, round(CASE WHEN max(ts) > min(ts) THEN max(current_page) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) ELSE 0.0 END, 6) AS pages_per_second FROM events_in GROUP BY task_id",
     "job_running_totals": f"SELECT {_PAGE}, " + ", ".join(f"CAST(sum(CASE WHEN error IS NULL THEN n_{c} ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far_{c}" for c in ("figures", "refs", "texts")) + " FROM counts",
@@ -196,8 +244,25 @@ wins AS (SELECT doc_id, i, w, piece, s FROM parts, unnest(CASE WHEN length(piece
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, w) - 1 AS seg_idx, CAST(s + w AS BIGINT) AS start_pos, CAST(s + least(w + 100, length(piece)) AS BIGINT) AS end_pos, substr(piece, w + 1, 100) AS segment FROM wins"""
 
 
+def _steps() -> dict[str, tuple[str, str]]:
+    """Name to (head, body) of each step, in order."""
+    heads = list(re.finditer(r"(?m)^(?:WITH )?((\w+)(?:\(\w+(?:, \w+)*\))?) AS \(", _STEPS))
+    ends = [h.start() for h in heads[1:]] + [len(_STEPS)]
+    return {h.group(2): (h.group(1), _STEPS[h.end() : end].rstrip().rstrip(",")) for h, end in zip(heads, ends, strict=True)}
+
+
+def _with_steps(select: str) -> str:
+    """A query with those steps that it names, directly or not; each is worked out once."""
+    steps, wanted = _steps(), {}
+    for name in reversed(steps):
+        if any(re.search(rf"\b{name}\b", text) for text in (select, *wanted.values())):
+            wanted[name] = steps[name][1]
+    listed = [f"{steps[n][0]} AS MATERIALIZED ({wanted[n]}" for n in steps if n in wanted]
+    return "WITH " + ",\n".join(listed) + "\n" + select if listed else select
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {name: _STEPS + select for name, select in _SELECTS.items()}
-    out |= {f"reference_scan_r{k}": _STEPS + _SCAN + str(k) for k in range(1, len(_RULES) + 1)}
+    out = {name: _with_steps(select) for name, select in _SELECTS.items()}
+    out |= {f"reference_scan_r{k}": _with_steps(_SCAN + str(k)) for k in range(1, len(_RULES) + 1)}
     out["text_segments"] = _SEGMENTS
     return out

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlgate.functions import patterns
+from marlgate.functions.geometry import normalize_box
 from marlgate.functions.patterns import REFERENCE_RULES, match_chapter, match_section
-from marlgate.operators import layout, mapping, models, overlay, references, reports, structure
+from marlgate.operators import display, layout, mapping, models, overlay, raw, references, reports, structure
 from marlgate.plans.analysis import fixture_analysis
 from marlgate.sources import files, fixtures
+from marlgate.storage import own_dir
 from marlgate.streaming import jobs
 
 PAGE = ["doc_id", "page_index"]
@@ -68,8 +71,16 @@ def chapter_fill_forward(spark, d):
 
 def chapter_fallback(spark, d):
     a = fixture_analysis(spark, d)
-    lower = a.layouts.withColumn("label", F.lower("label"))
-    return structure.fallback_structure(a.pages, a.texts, lower)
+    return structure.fallback_structure(a.pages, a.texts, a.layouts)
+
+
+def box_normalize(spark, d):
+    """Boxes given as polygons, flat, or as something else."""
+    t = fixture_analysis(spark, d).texts
+    corners = F.array(F.array("x0", "y1"), F.array("x1", "y0"), F.array("x0", "y0"), F.array("x1", F.col("y1") + F.col("k")))
+    poly = F.when(F.col("kind") % 3 == 0, corners)
+    flat = F.when(F.col("kind") % 3 == 1, F.array("x0", "y0", "x1", "y1")).when(F.col("kind") == 2, F.array("x0", "y0"))
+    return t.select(*TEXT, normalize_box(flat, poly).alias("b")).select(*TEXT, F.size("b").alias("n"), *_box("b"))
 
 
 def caption_best_match(spark, d):
@@ -97,6 +108,24 @@ def reference_scan_all(spark, d):
     return fixture_analysis(spark, d).refs.select(*TEXT, "ref_idx", "rule", "part", "text", "start_pos", "end_pos", "figure_number", "method", F.round("confidence", 6).alias("confidence"))
 
 
+def first_mention(spark, d):
+    found = fixture_analysis(spark, d).texts.withColumn("m", patterns.first_mention(F.col("text")))
+    return found.select(*TEXT, "m.reference_text", "m.start_pos", "m.end_pos")
+
+
+def mention_surroundings(spark, d):
+    return fixture_analysis(spark, d).texts.select(*TEXT, patterns.mention_with_surroundings(F.col("text")).alias("surroundings"))
+
+
+def number_or_guess(spark, d):
+    """A stub model guesses from the place of a text."""
+    return fixture_analysis(spark, d).texts.select(*TEXT, patterns.number_or_guess(F.col("text"), F.col("text_idx") % 7 - 1.5).alias("figure_number"))
+
+
+def mention_page_context(spark, d):
+    return fixture_analysis(spark, d).refs.select(*PAGE, "ref_idx", "chapter", "section")
+
+
 def figure_number_parse(spark, d):
     from marlgate.functions.patterns import figure_number
 
@@ -113,67 +142,141 @@ def reference_context(spark, d):
 
 
 def registry_upsert(spark, d):
-    found = fixture_analysis(spark, d).registry
+    found = fixture_analysis(spark, d).stored().registry
     return found.select("doc_id", "registry_key", "ord", "figure_id", "figure_number", "chapter", "section", "page_index", "caption")
 
 
 def lookup_chapter(spark, d):
-    return mapping.by_chapter(fixture_analysis(spark, d).registry).select("doc_id", "chapter", "figure_number", "registry_key", "figure_id")
+    return mapping.by_chapter(fixture_analysis(spark, d).entries).select("doc_id", "chapter", "figure_number", "registry_key", "figure_id")
 
 
 def lookup_global(spark, d):
-    return mapping.by_number(fixture_analysis(spark, d).registry).select("doc_id", "figure_number", "registry_key", "figure_id")
+    return mapping.by_number(fixture_analysis(spark, d).entries).select("doc_id", "figure_number", "registry_key", "figure_id")
 
 
 def lookup_positional(spark, d):
-    return mapping.by_position(fixture_analysis(spark, d).registry).select("doc_id", F.col("n").cast("bigint").alias("n"), "registry_key", "figure_id")
+    return fixture_analysis(spark, d).entries.select("doc_id", F.col("n").cast("bigint").alias("n"), "registry_key", "figure_id")
 
 
 def map_references(spark, d):
-    found = fixture_analysis(spark, d).mapped
+    found = fixture_analysis(spark, d).stored().mapped
     return found.select(*PAGE, "ref_idx", "text_id", F.col("text").alias("ref_text"), "figure_number", "tier", "mapped_figure_id", "mapped_figure_page", "mapped_chapter", F.round("mapping_confidence", 6).alias("mapping_confidence"))
 
 
 def mapping_confidence(spark, d):
-    found = fixture_analysis(spark, d).mapped.where("mapping_confidence is not null")
+    found = fixture_analysis(spark, d).stored().mapped.where("mapping_confidence is not null")
     return found.groupBy("tier", F.round("mapping_confidence", 6).alias("mapping_confidence")).agg(F.count("*").alias("n"))
 
 
 def doc_summary(spark, d):
-    return fixture_analysis(spark, d).summary.withColumn("success_rate", F.round("success_rate", 6))
+    return fixture_analysis(spark, d).stored().summary.withColumn("success_rate", F.round("success_rate", 6))
 
 
 def chapter_summary(spark, d):
-    found = fixture_analysis(spark, d).chapters
+    found = fixture_analysis(spark, d).stored().chapters
     return found.select("doc_id", "chapter", "start_page", "end_page", F.array_join("sections", "|").alias("sections"), "figure_count")
 
 
 def reference_counts(spark, d):
-    return mapping.reference_counts(fixture_analysis(spark, d).mapped)
+    return mapping.reference_counts(fixture_analysis(spark, d).stored().mapped)
 
 
 def display_figures(spark, d):
-    found = fixture_analysis(spark, d).figure_list
+    found = fixture_analysis(spark, d).stored().figure_list
     size = [F.round(f"dimensions.{c}", 6).alias(c) for c in ("width", "height", "area")]
     return found.select("doc_id", "figure_id", "figure_number", "page_index", "chapter", "section", "caption", *_box("bounding_box"), *size, "reference_count", "is_referenced")
 
 
 def display_layouts(spark, d):
-    found = fixture_analysis(spark, d).elements
+    found = fixture_analysis(spark, d).stored().elements
     return found.select(*PAGE, "kind_ord", "place", "type", "text", "figure_id", "figure_caption", "related_chapter", "figure_number", "referenced_figure_id", "reference_text", F.round("confidence", 6).alias("confidence"), *_box("bounding_box"))
 
 
 def display_documents(spark, d):
     """Nested documents, as sizes of their parts."""
-    found = fixture_analysis(spark, d).display()
+    found = fixture_analysis(spark, d).stored().display()
     pages = F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(p["layouts"]))
     chars = F.aggregate("pages", F.lit(0), lambda a, p: a + F.length(p["full_text"]))
     return found.select("doc_id", F.size("chapters").cast("bigint").alias("n_chapters"), F.size("pages").cast("bigint").alias("n_pages"), pages.cast("bigint").alias("n_layouts"), chars.cast("bigint").alias("n_chars"), F.size("figures").cast("bigint").alias("n_figures"), F.col("metadata.total_figures").cast("bigint").alias("total_figures"))
 
 
+def display_nested_chapters(spark, d):
+    found = fixture_analysis(spark, d).stored().display().select("doc_id", F.posexplode("chapters").alias("place", "c"))
+    return found.select("doc_id", F.col("place").cast("bigint").alias("place"), "c.title", "c.chapter_number", "c.start_page", "c.end_page", F.array_join("c.sections", "|").alias("sections"))
+
+
+def display_nested_pages(spark, d):
+    found = fixture_analysis(spark, d).stored().display().select("doc_id", F.posexplode("pages").alias("place", "p"))
+    return found.select("doc_id", F.col("place").cast("bigint").alias("place"), "p.page_index", "p.chapter", "p.section", "p.full_text", F.col("p.size.width").alias("width"), F.col("p.size.height").alias("height"))
+
+
+def display_nested_layouts(spark, d):
+    pages = fixture_analysis(spark, d).stored().display().select("doc_id", F.explode("pages").alias("p"))
+    found = pages.select("doc_id", "p.page_index", F.posexplode("p.layouts").alias("place", "e"))
+    return found.select(*PAGE, F.col("place").cast("bigint").alias("place"), "e.type", "e.text", "e.figure_id", "e.figure_caption", "e.related_chapter", "e.related_section", "e.figure_number", "e.referenced_figure_id", "e.reference_text", *_box("e.bounding_box"))
+
+
+def display_nested_figures(spark, d):
+    found = fixture_analysis(spark, d).stored().display().select("doc_id", F.posexplode("figures").alias("place", "f"))
+    return found.select("doc_id", F.col("place").cast("bigint").alias("place"), "f.figure_id", "f.page_index", "f.caption", "f.reference_count", *_box("f.bounding_box"))
+
+
+def raw_nested_references(spark, d):
+    pages = fixture_analysis(spark, d).stored().raw.select("doc_id", F.explode("pages").alias("p"))
+    found = pages.select("doc_id", "p.page_index", F.posexplode("p.figure_references").alias("ref_idx", "r"))
+    return found.select(*PAGE, F.col("ref_idx").cast("bigint").alias("ref_idx"), "r.text", "r.text_id", "r.figure_number", "r.start_pos", "r.end_pos", "r.chapter", "r.section", "r.mapped_figure_id")
+
+
+def raw_default_ids(spark, d):
+    """Figures of raw results that name none of them."""
+    a = fixture_analysis(spark, d).stored()
+    nameless = a.named_figures.withColumn("figure_id", F.lit(None).cast("string"))
+    made = raw.to_raw(a.pages, a.layouts, a.texts, nameless, a.mapped, a.carried, a.chapters, a.summary)
+    return raw.from_raw(made)["figures"].select(*FIG, "figure_id")
+
+
+def raw_page_fallback(spark, d):
+    """Display elements of raw figures that have no chapter and section: those of their page are shown."""
+    a = fixture_analysis(spark, d).stored()
+    bare = a.named_figures.withColumn("chapter", F.lit(0)).withColumn("section", F.lit(None).cast("string"))
+    found = display.layout_elements(a.pages, a.texts, bare, a.mapped, structure=a.carried).where("type = 'figure'")
+    return found.select(*PAGE, "place", "related_chapter", "related_section")
+
+
+def _page_images(spark, d):
+    """Stand-ins for page images: the boxes of the page's texts as JSON; the page is less high than its texts reach."""
+    texts = fixture_analysis(spark, d).texts
+    box = F.struct("text_idx", "x0", "y0", "x1", "y1")
+    pages = texts.groupBy(*PAGE).agg(F.to_json(F.array_sort(F.collect_list(box))).cast("binary").alias("image"))
+    return pages.withColumn("width", F.lit(450)).withColumn("height", F.lit(300))
+
+
+def _find_boxes(image):
+    import json
+
+    import pandas as pd
+
+    boxes = json.loads(image)
+    if len(boxes) % 7 == 6:
+        raise ValueError(f"cannot read a page of {len(boxes)}")
+    return pd.DataFrame([(b["x0"], b["y0"], b["x1"], b["y1"], 0.5) for b in boxes], columns=["x0", "y0", "x1", "y1", "score"])
+
+
+def detect_recognise(spark, d):
+    """A stub recogniser reads the coordinates that were cut out."""
+    found = files.detect_and_recognise(_page_images(spark, d), _find_boxes, lambda image, box: box, lambda box: [(",".join(map(str, box)), 0.9)])
+    return found.select(*PAGE, "text_idx", "text_id", "text", "det_score", "error")
+
+
+def failed_pages(spark, d):
+    pages = fixture_analysis(spark, d).pages
+    found = files.detect(_page_images(spark, d), _find_boxes, "x0 double, y0 double, x1 double, y1 double, score double")
+    return files.failed_pages(pages, found).select(*PAGE, "status", "error")
+
+
 def raw_documents(spark, d):
     """Nested raw results, as sizes of their parts."""
-    found = fixture_analysis(spark, d).raw
+    found = fixture_analysis(spark, d).stored().raw
     count = lambda c: F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(p[c])).cast("bigint")
     return found.select("doc_id", "total_pages", count("layouts").alias("n_layouts"), count("figure_layouts").alias("n_figures"), count("recognized_texts").alias("n_texts"), count("figure_references").alias("n_refs"), F.size("document_structure.chapters").alias("n_chapters"), "summary.error_pages")
 
@@ -183,11 +286,11 @@ def page_full_text(spark, d):
 
 
 def mapping_rate(spark, d):
-    return reports.mapping_rate(fixture_analysis(spark, d).mapped, ["doc_id"]).withColumn("mapping_rate", F.round("mapping_rate", 6))
+    return reports.mapping_rate(fixture_analysis(spark, d).stored().mapped, ["doc_id"]).withColumn("mapping_rate", F.round("mapping_rate", 6))
 
 
 def layout_type_counts(spark, d):
-    return reports.layout_type_counts(fixture_analysis(spark, d).elements)
+    return reports.layout_type_counts(fixture_analysis(spark, d).stored().elements)
 
 
 def page_lookup(spark, d):
@@ -195,7 +298,22 @@ def page_lookup(spark, d):
 
 
 def page_range(spark, d):
-    return reports.page_range(fixture_analysis(spark, d).counts, 2, 4).select(*PAGE, "n_layouts", "n_figures", "n_texts", "n_refs")
+    return reports.page_range(fixture_analysis(spark, d).stored().counts, 2, 4).select(*PAGE, "n_layouts", "n_figures", "n_texts", "n_refs")
+
+
+def page_position(spark, d):
+    pages = reports.page_full_text(fixture_analysis(spark, d).texts).where("page_index % 2 = 1")
+    return reports.page_at(pages, 2)
+
+
+def page_bounds(spark, d):
+    pages = fixture_analysis(spark, d).pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"))
+    return reports.check_bounds(pages.withColumn("page", F.col("doc_id") % 14)).select("doc_id", "page", "error")
+
+
+def job_last_lines(spark, d):
+    found = reports.last_lines(fixtures.job_events(spark, d))
+    return found.select("task_id", F.col("place").cast("bigint").alias("place"), "event_id", "type")
 
 
 def page_report(spark, d):
@@ -214,12 +332,13 @@ def text_segments(spark, d):
 
 
 def merge_rule_model(spark, d):
-    """A stub model: it finds one mention a line with a figure word, at the line's start, with a score from the position."""
+    """A stub model: it finds three mentions a line with a figure word, with scores from the position: chains of near ones."""
     a = fixture_analysis(spark, d)
     rule = references.scan_references(a.texts, [1])
-    score = ((F.col("doc_id") * 31 + F.col("text_idx")) % 100) / 100.0
-    model = a.texts.where("kind in (1, 2, 4)").select(*PAGE, "text_id", F.col("text_idx").alias("ref_idx"), F.when(F.col("kind") == 2, F.col("k") + 1).otherwise(F.col("k")).cast("bigint").alias("figure_number"), F.lit(0).alias("start_pos"), score.alias("confidence"))
-    merged = references.by_confidence(references.merge_rule_and_model(rule, model.where("confidence > 0.5")))
+    score = ((F.col("doc_id") * 31 + F.col("text_idx") + F.col("j") * 17) % 100) / 100.0
+    three = a.texts.where("kind in (1, 2, 4)").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    model = three.select(*PAGE, "text_id", (F.col("text_idx") * 3 + F.col("j")).alias("ref_idx"), F.when(F.col("kind") == 2, F.col("k") + 1).otherwise(F.col("k")).cast("bigint").alias("figure_number"), (F.col("j") * 15).alias("start_pos"), score.alias("confidence"))
+    merged = references.by_confidence(references.merge_rule_and_model(rule, model))
     return merged.select(*PAGE, "text_id", "origin", "ref_idx", "figure_number", "start_pos", "method", F.round("final_confidence", 6).alias("final_confidence"), F.col("place").cast("bigint").alias("place"))
 
 
@@ -249,11 +368,11 @@ def job_speed(spark, d):
 
 
 def job_running_totals(spark, d):
-    return reports.running_totals(fixture_analysis(spark, d).counts)
+    return reports.running_totals(fixture_analysis(spark, d).stored().counts)
 
 
 def overlay_primitives(spark, d):
-    a = fixture_analysis(spark, d)
+    a = fixture_analysis(spark, d).stored()
     return overlay.overlay_primitives(a.layouts, a.texts, a.mapped, 1.5)
 
 
@@ -265,12 +384,7 @@ def streaming_job_state(spark, d):
     """The states that a stream over the events ends with: its sink is a table in memory that each micro-batch updates."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="marlgate-")
-    path = f"{shared}/jobs/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/jobs/{uuid.uuid4().hex}"
     fixtures.job_events(spark, d).repartition(4, "event_id").write.parquet(f"{path}/events")
 
     def upsert(changed: DataFrame, batch: int) -> None:
@@ -301,6 +415,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         chapter_fill_forward, chapter_fallback, caption_best_match, caption_nearest_below, figure_ids, reference_scan_all, figure_number_parse, word_bbox, reference_context,
         registry_upsert, lookup_chapter, lookup_global, lookup_positional, map_references, mapping_confidence, doc_summary, chapter_summary, reference_counts, display_figures,
         display_layouts, display_documents, raw_documents, page_full_text, mapping_rate, layout_type_counts, page_lookup, page_range, page_report, pdf_chunks, text_segments, merge_rule_model,
+        box_normalize, first_mention, mention_surroundings, number_or_guess, mention_page_context, display_nested_chapters, display_nested_pages, display_nested_layouts, display_nested_figures,
+        raw_nested_references, raw_default_ids, raw_page_fallback, detect_recognise, failed_pages, page_position, page_bounds, job_last_lines,
         job_status, job_state, job_progress, job_result_access, job_speed, job_running_totals, overlay_primitives, overlay_legend, streaming_job_state, event_rate, classifier_accuracy,
     ]
     out = {f.__name__: f for f in named}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -21,7 +23,9 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     if not root.is_dir():
         return  # it was loaded from an archive that is shipped already
-    path = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="ship-")  # the driver hands it to the workers
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for file in sorted(root.rglob("*.py")):
             archive.write(file, f"{root.name}/{file.relative_to(root)}")

@@ -7,12 +7,15 @@ cannot be read becomes a row with an error.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marlgate.shipping import map_in_pandas
+from marlgate.storage import cut
 
 # Accepted file types, and the largest file in bytes.
 EXTENSIONS = ["pdf", "png", "jpg", "jpeg"]
@@ -66,15 +69,17 @@ def document_info(files: DataFrame, reader: Callable[[bytes], tuple[int, bool, d
 
 
 def render_pages(content: bytes, first: int | None, last: int | None, dpi: int) -> Iterator[tuple[int, bytes, int, int]]:
-    """(page from 0, JPEG, width, height) of each page from ``first`` to ``last``, counted from 1."""
+    """(page from 0, JPEG, width, height) of each page from ``first`` to ``last``, counted from 1; one page is held at a time."""
     import io
 
-    from pdf2image import convert_from_bytes
+    from pdf2image import convert_from_bytes, pdfinfo_from_bytes
 
-    for k, image in enumerate(convert_from_bytes(content, dpi=dpi, first_page=first, last_page=last)):
-        out = io.BytesIO()
-        image.save(out, "JPEG")
-        yield (first or 1) - 1 + k, out.getvalue(), image.width, image.height
+    total = pdfinfo_from_bytes(content)["Pages"]
+    for number in range(first or 1, min(last or total, total) + 1):
+        for image in convert_from_bytes(content, dpi=dpi, first_page=number, last_page=number):
+            out = io.BytesIO()
+            image.save(out, "JPEG")
+            yield number - 1, out.getvalue(), image.width, image.height
 
 
 def page_images(files: DataFrame, first: int | None = None, last: int | None = None, dpi: int = 200, render: Callable = render_pages) -> DataFrame:
@@ -97,23 +102,77 @@ def page_chunks(infos: DataFrame, size: int = 10) -> DataFrame:
 
 
 def detect(pages: DataFrame, detector: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies a layout or text detector to page images; a page on which it fails gives no rows.
+    """Applies a layout or text detector to page images.
 
-    ``schema`` names the detector's columns; doc_id and page_index come before them, and a place among the page's rows after.
+    ``schema`` names the detector's columns; doc_id and page_index come before them, and a place among the page's rows and an error
+    after.  A page on which the detector fails is one row with the error and nothing else.
     """
+    names = [f.name for f in StructType.fromDDL(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, page, image in zip(batch["doc_id"], batch["page_index"], batch["image"], strict=True):
                 try:
-                    found = detector(image)
-                except Exception:  # noqa: BLE001
-                    continue
+                    found = detector(image)[names]
+                    found = found.assign(place=range(len(found)), error=None)
+                except Exception as e:  # noqa: BLE001  a page that fails is a result
+                    found = pd.DataFrame({**{n: [None] for n in names}, "place": [None], "error": [str(e) or type(e).__name__]})
                 found.insert(0, "doc_id", doc)
                 found.insert(1, "page_index", page)
-                yield found.assign(place=range(len(found)))
+                yield found
 
-    return pages.select("doc_id", "page_index", "image").transform(map_in_pandas, run, f"doc_id bigint, page_index int, {schema}, place bigint")
+    return pages.select("doc_id", "page_index", "image").transform(map_in_pandas, run, f"doc_id bigint, page_index int, {schema}, place bigint, error string")
+
+
+def failed_pages(pages: DataFrame, *found: DataFrame) -> DataFrame:
+    """``pages`` (status, error and others) with status ``error`` and the first error where one of some detectors failed."""
+    errors = reduce(DataFrame.unionByName, (f.where("error is not null").select("doc_id", "page_index", F.col("error").alias("_error")) for f in found))
+    errors = errors.groupBy("doc_id", "page_index").agg(F.min("_error").alias("_error"))
+    joined = pages.join(errors, ["doc_id", "page_index"], "left")
+    status = F.when(F.col("_error").isNotNull(), F.lit("error")).otherwise(F.col("status"))
+    return joined.withColumn("status", status).withColumn("error", F.coalesce("_error", "error")).select(*pages.columns)
+
+
+RECOGNISED = "text_idx bigint, text_id string, text string, x0 double, y0 double, x1 double, y1 double, score double, det_score double"
+
+
+def recognise(pages: DataFrame, boxes: DataFrame, crop: Callable[[bytes, tuple[int, int, int, int]], object], recogniser: Callable[[object], list[tuple[str, float]]]) -> DataFrame:
+    """The texts in some boxes of page images, with the boxes' scores as det_score; a page that fails is one row with an error.
+
+    ``pages`` has doc_id, page_index, image, width and height, ``boxes`` doc_id, page_index, place, a box and score.  What is cut out
+    is the box within the page; a text keeps its whole box.  Boxes with nothing in the page give no text, and their places remain
+    unused: text_id is by place.  A recogniser may read several texts in a box, and they share it.
+    """
+    whole = boxes.join(pages.select("doc_id", "page_index", "width", "height"), ["doc_id", "page_index"])
+    kept = clamp_boxes(whole.select("doc_id", "page_index", "place", "score", F.struct("x0", "y0", "x1", "y1").alias("own"), "x0", "y0", "x1", "y1", "width", "height"))
+    item = F.struct("place", "own", "score", "x0", "y0", "x1", "y1")
+    grouped = kept.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(item)).alias("boxes"))  # a page's boxes, so not many
+    names = ["text_idx", "text_id", "text", "x0", "y0", "x1", "y1", "score", "det_score"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, page, image, found in zip(batch["doc_id"], batch["page_index"], batch["image"], batch["boxes"], strict=True):
+                rows, error = [], None
+                try:
+                    for b in found:
+                        for text, score in recogniser(crop(image, (b["x0"], b["y0"], b["x1"], b["y1"]))):
+                            rows.append((len(rows), f"text_{b['place']}", text, *(b["own"][c] for c in ("x0", "y0", "x1", "y1")), score, b["score"]))
+                except Exception as e:  # noqa: BLE001  a page that fails is a result
+                    rows, error = [(None,) * len(names)], str(e) or type(e).__name__
+                out = pd.DataFrame(rows, columns=names).assign(error=error)
+                out.insert(0, "doc_id", doc)
+                out.insert(1, "page_index", page)
+                yield out
+
+    return pages.select("doc_id", "page_index", "image").join(grouped, ["doc_id", "page_index"]).transform(map_in_pandas, run, f"doc_id bigint, page_index int, {RECOGNISED}, error string")
+
+
+def detect_and_recognise(pages: DataFrame, detector: Callable[[bytes], pd.DataFrame], crop: Callable, recogniser: Callable) -> DataFrame:
+    """Texts of page images by a detector of text boxes (x0, y0, x1, y1, score) and a recogniser; failures of either as error rows."""
+    found = cut(detect(pages, detector, "x0 double, y0 double, x1 double, y1 double, score double"), "boxes")
+    texts = recognise(pages, found.where("error is null").drop("error"), crop, recogniser)
+    errors = found.where("error is not null").select("doc_id", "page_index", "error")
+    return texts.unionByName(errors, allowMissingColumns=True)
 
 
 def clamp_boxes(boxes: DataFrame) -> DataFrame:

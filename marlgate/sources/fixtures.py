@@ -17,17 +17,24 @@ base AS (
 texts AS (
   SELECT doc_id, page_index, CAST(i AS BIGINT) AS text_idx, CONCAT('text_', CAST(i AS STRING)) AS text_id,
     CASE WHEN i = 0 AND page_index % 3 = 1 AND doc_id % 5 <> 0
-           THEN CONCAT('Chapter ', CAST(CAST(FLOOR(page_index / 3) AS INT) + 1 AS STRING), ': Part ', CAST(doc_id AS STRING))
+           THEN CASE doc_id % 3 WHEN 0 THEN CONCAT('Chapter ', CAST(CAST(FLOOR(page_index / 3) AS INT) + 1 AS STRING), ': Part ', CAST(doc_id AS STRING))
+                                WHEN 1 THEN CONCAT('제 ', CAST(CAST(FLOOR(page_index / 3) AS INT) + 1 AS STRING), ' 장 서론 ', CAST(doc_id AS STRING))
+                                ELSE CONCAT('第', CAST(CAST(FLOOR(page_index / 3) AS INT) + 1 AS STRING), '章 标题') END
          WHEN i = 1 AND page_index % 3 = 1 AND doc_id % 2 = 0
-           THEN CONCAT(CAST(CAST(FLOOR(page_index / 3) AS INT) + 1 AS STRING), '.1 Scope')
+           THEN CONCAT(CAST(CAST(FLOOR(page_index / 3) AS INT) + 1 AS STRING), CASE doc_id % 3 WHEN 0 THEN '.1 Scope' ELSE '.1.2 Deep' END)
+         WHEN i = 1 AND page_index % 3 = 2 AND doc_id % 4 <= 1
+           THEN CASE doc_id % 3 WHEN 0 THEN 'Section 3.1 Method' WHEN 1 THEN '§ 4 Bounds' ELSE 'section 12' END
+         WHEN i = 0 AND page_index % 3 = 2 AND doc_id % 4 = 1 THEN CONCAT(CAST(page_index AS STRING), ' Results')
+         WHEN i = 0 AND page_index % 3 = 0 AND doc_id % 4 = 1 THEN CONCAT(CAST(page_index AS STRING), '.2.3 Deep')
          WHEN kind = 1 THEN CONCAT('As shown in Figure ', CAST(k AS STRING), ', the flow')
          WHEN kind = 2 THEN CONCAT('see fig. ', CAST(k AS STRING), '.2 for detail')
          WHEN kind = 3 THEN CONCAT('(Fig. ', CAST(k AS STRING), ') and [그림 ', CAST(k AS STRING), ']')
          WHEN kind = 4 THEN CONCAT('Figures ', CAST(k AS STRING), '-', CAST(k + 2 AS STRING), ' compare')
          WHEN kind = 5 THEN CONCAT('Figure ', CAST(k AS STRING), '. Caption')
+         WHEN kind = 7 THEN CONCAT('도표 ', CAST(k AS STRING), ' 및 도표', CAST(k + 1 AS STRING), '.5 참조')
          ELSE 'plain prose without any pointer' END AS text,
-    CAST(100 AS DOUBLE) AS x0, CAST(100 + 60 * i AS DOUBLE) AS y0,
-    CAST(500 AS DOUBLE) AS x1, CAST(130 + 60 * i AS DOUBLE) AS y1, kind, k
+    CAST(100 AS DOUBLE) AS x0, CAST(100 + 60 * i - CASE WHEN kind = 0 AND k < 4 THEN 55 ELSE 0 END AS DOUBLE) AS y0,
+    CAST(500 AS DOUBLE) AS x1, CAST(130 + 60 * i - CASE WHEN kind = 0 AND k < 4 THEN 55 WHEN kind = 0 AND k = 8 THEN -40 ELSE 0 END AS DOUBLE) AS y1, kind, k
   FROM base)"""
 LAYOUTS_SQL = """
 layouts AS (

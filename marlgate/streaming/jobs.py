@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from marlgate import schemas
 
@@ -46,13 +48,66 @@ def result_access(requests: DataFrame, state: DataFrame, results: DataFrame) ->
     return joined.select("task_id", code.alias("code"))
 
 
-def progress_channel(events: DataFrame) -> DataFrame:
-    """The events that are passed on to a client, with the percentage done; works on streams."""
+def _shown(events: DataFrame) -> DataFrame:
     percent = F.when(F.col("total_pages") > 0, F.col("current_page") / F.col("total_pages") * 100).otherwise(F.lit(0.0))
     shown = events.where(F.col("type").isin(SHOWN))
     return shown.select("task_id", "event_id", "ts", "type", percent.alias("percent"), F.col("type").isin(FINAL).alias("is_final"))
 
 
+def progress_channel(events: DataFrame) -> DataFrame:
+    """The events that are passed on to a client, with the percentage done: those of a task up to the first that ends it."""
+    at = F.struct("ts", "event_id")
+    end = F.min(F.when(F.col("is_final"), at)).over(W.partitionBy("task_id"))
+    return _shown(events).withColumn("_end", end).where(F.col("_end").isNull() | (at <= F.col("_end"))).drop("_end")
+
+
+def progress_stream(events: DataFrame) -> DataFrame:
+    """``progress_channel`` of a stream: in the order in which events come, a task is closed by the first that ends it."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, held):
+        import pandas as pd
+
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        closed = held.exists and held.get[0]
+        ends = rows["is_final"].to_numpy().nonzero()[0]
+        held.update((bool(closed or len(ends)),))
+        yield rows.iloc[: 0 if closed else ends[0] + 1 if len(ends) else len(rows)]
+
+    schema = "task_id bigint, event_id bigint, ts timestamp, type string, percent double, is_final boolean"
+    return _shown(events).groupBy("task_id").applyInPandasWithState(step, schema, "closed boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def progress_of_pages(pages: DataFrame, totals: DataFrame) -> DataFrame:
+    """Progress of running analyses, from their page results (task_id, ...) as they come; ``totals`` has task_id and total_pages.
+
+    A task's current_page is the number of its pages so far; on a stream in update mode a row is sent on whenever that grows.
+    """
+    done = pages.groupBy("task_id").agg(F.count("*").cast("int").alias("current_page")).join(totals.select("task_id", "total_pages"), "task_id", "left")
+    percent = F.when(F.col("total_pages") > 0, F.col("current_page") / F.col("total_pages") * 100).otherwise(F.lit(0.0))
+    return done.withColumn("progress", percent)
+
+
+def watch_pages(pages: DataFrame, totals: DataFrame, checkpoint: str, on_progress: Callable[[DataFrame, int], None] | None = None, on_pages: Callable[[DataFrame, int], None] | None = None) -> list[StreamingQuery]:
+    """Calls hooks while page results come in: ``on_pages`` with the new ones, ``on_progress`` with the tasks whose count grew."""
+    out = []
+    if on_pages is not None:
+        out.append(pages.writeStream.option("checkpointLocation", f"{checkpoint}/pages").foreachBatch(on_pages).start())
+    if on_progress is not None:
+        out.append(progress_of_pages(pages, totals).writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/progress").foreachBatch(on_progress).start())
+    return out
+
+
+def publish(events: DataFrame, path: str) -> None:
+    """Appends events to the folder that ``event_stream`` reads."""
+    wanted = [f.name for f in schema_of(schemas.JOB_EVENTS)]
+    events.select(*(F.col(c) if c in events.columns else F.lit(None).alias(c) for c in wanted)).to(schema_of(schemas.JOB_EVENTS)).write.mode("append").parquet(path)
+
+
+def schema_of(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
+
+
 def with_snapshot(state: DataFrame, channel: DataFrame) -> DataFrame:
     """A client's view: the state as it is first, then events; ``place`` puts the snapshot before them."""
     first = state.select("task_id", F.lit(-1).cast("bigint").alias("event_id"), F.col("last_update").alias("ts"), F.lit("snapshot").alias("type"), F.coalesce("progress", F.lit(0.0)).alias("percent"), F.col("status").isin("completed", "failed", "cancelled").alias("is_final"))

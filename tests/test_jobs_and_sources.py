@@ -30,7 +30,7 @@ def test_last_write_wins_for_each_field(some):
 
 def test_channel_ends_on_cancelled(some):
     channel = jobs.progress_channel(some)
-    assert sorted((r["event_id"], r["is_final"]) for r in channel.collect()) == [(2, False), (4, True), (5, True), (6, True)]
+    assert sorted((r["event_id"], r["is_final"]) for r in channel.collect()) == [(2, False), (4, True), (6, True)]  # nothing follows the end
     view = jobs.with_snapshot(jobs.latest_state(some), channel).where("task_id = 1").orderBy("place", "event_id").collect()
     assert [r["type"] for r in view] == ["snapshot", "progress"]
 
@@ -109,7 +109,9 @@ def test_chunks_clamping_and_detectors(spark):
         return pd.DataFrame({"label": ["text", "image"]})
 
     pages = spark.createDataFrame([(1, 0, b"ok"), (1, 1, b"bad")], "doc_id bigint, page_index int, image binary")
-    assert [tuple(r) for r in files.detect(pages, detector, "label string").collect()] == [(1, 0, "text", 0), (1, 0, "image", 1)]
+    assert [tuple(r) for r in files.detect(pages, detector, "label string").collect()] == [(1, 0, "text", 0, None), (1, 0, "image", 1, None), (1, 1, None, None, "RuntimeError")]
+    state = spark.createDataFrame([(1, 0, "success", None), (1, 1, "success", None)], "doc_id bigint, page_index int, status string, error string")
+    assert sorted(tuple(r) for r in files.failed_pages(state, files.detect(pages, detector, "label string")).collect()) == [(1, 0, "success", None), (1, 1, "error", "RuntimeError")]
 
 
 def test_fixture_is_deterministic(spark, data):
