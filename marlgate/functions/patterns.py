@@ -98,6 +98,11 @@ def match_section(text: Column) -> Column:
     )
 
 
+def may_be_heading(text: Column) -> Column:
+    """A cheap test that every stripped text with a chapter or section pattern passes."""
+    return text.rlike(f"^{FLAGS}(?:chapter|section|[제第§\\d])")
+
+
 def match_caption(text: Column) -> Column:
     """Struct of number and title for a text that starts like a caption; null for other texts."""
     return _let(_groups(text, CAPTIONS), lambda g: F.struct(to_int(g[1], "int").alias("number"), strip(g[2]).alias("title")))

@@ -6,27 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlgate.functions.patterns import fallback_chapter, match_chapter, match_section, strip
+from marlgate.functions.patterns import fallback_chapter, match_chapter, match_section, may_be_heading, strip
 from marlgate.operators.layout import texts_in_titles
 
 PAGE = ["doc_id", "page_index"]
 TEXT = [*PAGE, "text_idx"]
 
 
-def isolated_texts(texts: DataFrame) -> DataFrame:
-    """Texts without another one on the page whose vertical centre is within half their height."""
-    other = texts.select(F.col("doc_id").alias("d"), F.col("page_index").alias("p"), F.col("text_idx").alias("i"), ((F.col("y0") + F.col("y1")) / 2).alias("centre"))
+def isolated_texts(texts: DataFrame, page: DataFrame | None = None) -> DataFrame:
+    """Texts without another one on the page whose vertical centre is within half their height; ``page`` has all the texts."""
+    other = (texts if page is None else page).select(F.col("doc_id").alias("d"), F.col("page_index").alias("p"), F.col("text_idx").alias("i"), ((F.col("y0") + F.col("y1")) / 2).alias("centre"))
     apart = F.abs(F.col("centre") - (F.col("y0") + F.col("y1")) / 2) < (F.col("y1") - F.col("y0")) / 2
     near = (F.col("doc_id") == F.col("d")) & (F.col("page_index") == F.col("p")) & (F.col("text_idx") != F.col("i")) & apart
     return texts.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null").join(other, near, "left_anti")
 
 
-def heading_tests(texts: DataFrame, top: float = 200.0, taller: float = 1.5) -> DataFrame:
-    """Adds at_top, is_tall (against the page's mean height), is_isolated and is_heading (any of them)."""
+def heading_tests(texts: DataFrame, top: float = 200.0, taller: float = 1.5, page: DataFrame | None = None) -> DataFrame:
+    """Adds at_top, is_tall (against the page's mean height), is_isolated and is_heading (any of them).
+
+    Where ``texts`` are some of a page's only, ``page`` has them all: what the tests compare with.
+    """
+    page = texts if page is None else page
     height = F.col("y1") - F.col("y0")
-    mean = F.avg(height).over(W.partitionBy(*PAGE))
-    isolated = isolated_texts(texts).select(*TEXT, F.lit(True).alias("is_isolated"))
-    out = texts.withColumn("at_top", F.coalesce(F.col("y0") < top, F.lit(False))).withColumn("is_tall", F.coalesce(height > mean * taller, F.lit(False)))
+    means = page.groupBy(*PAGE).agg(F.avg(height).alias("_mean"))
+    isolated = isolated_texts(texts, page).select(*TEXT, F.lit(True).alias("is_isolated"))
+    out = texts.join(means, PAGE, "left").withColumn("at_top", F.coalesce(F.col("y0") < top, F.lit(False)))
+    out = out.withColumn("is_tall", F.coalesce(height > F.col("_mean") * taller, F.lit(False))).drop("_mean")
     out = out.join(isolated, TEXT, "left").withColumn("is_isolated", F.coalesce("is_isolated", F.lit(False)))
     return out.withColumn("is_heading", F.col("at_top") | F.col("is_tall") | F.col("is_isolated"))
 
@@ -39,10 +44,10 @@ def page_structure(pages: DataFrame, texts: DataFrame, layouts: DataFrame) -> Da
 
     Only texts that match a pattern take part in the joins that tell headings.
     """
-    titled = texts_in_titles(texts, layouts).select(*TEXT, F.lit(True).alias("is_title"))
-    judged = heading_tests(texts).join(titled, TEXT, "left").withColumn("is_title", F.coalesce("is_title", F.lit(False)))
     content = strip(F.col("text"))
-    judged = judged.withColumn("c", match_chapter(content)).withColumn("s", match_section(content))
+    likely = texts.where(may_be_heading(content)).withColumn("c", match_chapter(content)).withColumn("s", match_section(content)).where("c is not null or s is not null")
+    titled = texts_in_titles(likely, layouts).select(*TEXT, F.lit(True).alias("is_title"))
+    judged = heading_tests(likely, page=texts).join(titled, TEXT, "left").withColumn("is_title", F.coalesce("is_title", F.lit(False)))
     is_chapter = F.col("c").isNotNull() & (F.col("is_title") | F.col("is_heading"))
     is_section = F.col("s").isNotNull() & F.col("is_title") & ~is_chapter
     found = judged.groupBy(*PAGE).agg(

@@ -17,8 +17,7 @@ class Analysis:
     """The tables of an analysis: what a result does not need is not computed.
 
     Tables that several steps read (those of pages and of figures, the registry, the mentions) are written to the shared folder when
-    they are first asked for, so that no result works them out twice; the others are lazy.  The input tables are taken as stored
-    ones; ``stored`` writes them first, where they are the result of work themselves.
+    they are first asked for, so that no result works them out twice; the others are lazy.  The input tables are best stored ones.
     """
 
     pages: DataFrame
@@ -26,10 +25,6 @@ class Analysis:
     texts: DataFrame
     exclude_captions: bool = False
 
-    def stored(self) -> Analysis:
-        """The same analysis over written tables."""
-        return Analysis(cut(self.pages, "pages"), cut(self.layouts, "layouts"), cut(self.texts, "texts"), self.exclude_captions)
-
     @cached_property
     def figures(self) -> DataFrame:
         return layout.figure_layouts(self.layouts)
@@ -118,4 +113,12 @@ def fixture_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     from marlgate.sources.fixtures import fixture_layouts, fixture_pages, fixture_texts
 
     texts = fixture_texts(spark, sf_dir)
-    return Analysis(fixture_pages(texts), fixture_layouts(spark, sf_dir), texts)
+    return Analysis(fixture_pages(texts), fixture_layouts(texts), texts)
+
+
+def stored_fixture(spark: SparkSession, sf_dir: str) -> Analysis:
+    """The same over written tables, for results that read them more than once."""
+    from marlgate.sources.fixtures import fixture_layouts, fixture_pages, fixture_texts
+
+    texts = cut(fixture_texts(spark, sf_dir), "texts")
+    return Analysis(cut(fixture_pages(texts), "pages"), cut(fixture_layouts(texts), "layouts"), texts)

@@ -11,7 +11,7 @@ from marlgate.functions import patterns
 from marlgate.functions.geometry import normalize_box
 from marlgate.functions.patterns import REFERENCE_RULES, match_chapter, match_section
 from marlgate.operators import display, layout, mapping, models, overlay, raw, references, reports, structure
-from marlgate.plans.analysis import fixture_analysis
+from marlgate.plans.analysis import fixture_analysis, stored_fixture
 from marlgate.sources import files, fixtures
 from marlgate.storage import own_dir
 from marlgate.streaming import jobs
@@ -142,7 +142,7 @@ def reference_context(spark, d):
 
 
 def registry_upsert(spark, d):
-    found = fixture_analysis(spark, d).stored().registry
+    found = stored_fixture(spark, d).registry
     return found.select("doc_id", "registry_key", "ord", "figure_id", "figure_number", "chapter", "section", "page_index", "caption")
 
 
@@ -159,77 +159,77 @@ def lookup_positional(spark, d):
 
 
 def map_references(spark, d):
-    found = fixture_analysis(spark, d).stored().mapped
+    found = stored_fixture(spark, d).mapped
     return found.select(*PAGE, "ref_idx", "text_id", F.col("text").alias("ref_text"), "figure_number", "tier", "mapped_figure_id", "mapped_figure_page", "mapped_chapter", F.round("mapping_confidence", 6).alias("mapping_confidence"))
 
 
 def mapping_confidence(spark, d):
-    found = fixture_analysis(spark, d).stored().mapped.where("mapping_confidence is not null")
+    found = stored_fixture(spark, d).mapped.where("mapping_confidence is not null")
     return found.groupBy("tier", F.round("mapping_confidence", 6).alias("mapping_confidence")).agg(F.count("*").alias("n"))
 
 
 def doc_summary(spark, d):
-    return fixture_analysis(spark, d).stored().summary.withColumn("success_rate", F.round("success_rate", 6))
+    return stored_fixture(spark, d).summary.withColumn("success_rate", F.round("success_rate", 6))
 
 
 def chapter_summary(spark, d):
-    found = fixture_analysis(spark, d).stored().chapters
+    found = stored_fixture(spark, d).chapters
     return found.select("doc_id", "chapter", "start_page", "end_page", F.array_join("sections", "|").alias("sections"), "figure_count")
 
 
 def reference_counts(spark, d):
-    return mapping.reference_counts(fixture_analysis(spark, d).stored().mapped)
+    return mapping.reference_counts(stored_fixture(spark, d).mapped)
 
 
 def display_figures(spark, d):
-    found = fixture_analysis(spark, d).stored().figure_list
+    found = stored_fixture(spark, d).figure_list
     size = [F.round(f"dimensions.{c}", 6).alias(c) for c in ("width", "height", "area")]
     return found.select("doc_id", "figure_id", "figure_number", "page_index", "chapter", "section", "caption", *_box("bounding_box"), *size, "reference_count", "is_referenced")
 
 
 def display_layouts(spark, d):
-    found = fixture_analysis(spark, d).stored().elements
+    found = stored_fixture(spark, d).elements
     return found.select(*PAGE, "kind_ord", "place", "type", "text", "figure_id", "figure_caption", "related_chapter", "figure_number", "referenced_figure_id", "reference_text", F.round("confidence", 6).alias("confidence"), *_box("bounding_box"))
 
 
 def display_documents(spark, d):
     """Nested documents, as sizes of their parts."""
-    found = fixture_analysis(spark, d).stored().display()
+    found = stored_fixture(spark, d).display()
     pages = F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(p["layouts"]))
     chars = F.aggregate("pages", F.lit(0), lambda a, p: a + F.length(p["full_text"]))
     return found.select("doc_id", F.size("chapters").cast("bigint").alias("n_chapters"), F.size("pages").cast("bigint").alias("n_pages"), pages.cast("bigint").alias("n_layouts"), chars.cast("bigint").alias("n_chars"), F.size("figures").cast("bigint").alias("n_figures"), F.col("metadata.total_figures").cast("bigint").alias("total_figures"))
 
 
 def display_nested_chapters(spark, d):
-    found = fixture_analysis(spark, d).stored().display().select("doc_id", F.posexplode("chapters").alias("place", "c"))
+    found = stored_fixture(spark, d).display().select("doc_id", F.posexplode("chapters").alias("place", "c"))
     return found.select("doc_id", F.col("place").cast("bigint").alias("place"), "c.title", "c.chapter_number", "c.start_page", "c.end_page", F.array_join("c.sections", "|").alias("sections"))
 
 
 def display_nested_pages(spark, d):
-    found = fixture_analysis(spark, d).stored().display().select("doc_id", F.posexplode("pages").alias("place", "p"))
+    found = stored_fixture(spark, d).display().select("doc_id", F.posexplode("pages").alias("place", "p"))
     return found.select("doc_id", F.col("place").cast("bigint").alias("place"), "p.page_index", "p.chapter", "p.section", "p.full_text", F.col("p.size.width").alias("width"), F.col("p.size.height").alias("height"))
 
 
 def display_nested_layouts(spark, d):
-    pages = fixture_analysis(spark, d).stored().display().select("doc_id", F.explode("pages").alias("p"))
+    pages = stored_fixture(spark, d).display().select("doc_id", F.explode("pages").alias("p"))
     found = pages.select("doc_id", "p.page_index", F.posexplode("p.layouts").alias("place", "e"))
     return found.select(*PAGE, F.col("place").cast("bigint").alias("place"), "e.type", "e.text", "e.figure_id", "e.figure_caption", "e.related_chapter", "e.related_section", "e.figure_number", "e.referenced_figure_id", "e.reference_text", *_box("e.bounding_box"))
 
 
 def display_nested_figures(spark, d):
-    found = fixture_analysis(spark, d).stored().display().select("doc_id", F.posexplode("figures").alias("place", "f"))
+    found = stored_fixture(spark, d).display().select("doc_id", F.posexplode("figures").alias("place", "f"))
     return found.select("doc_id", F.col("place").cast("bigint").alias("place"), "f.figure_id", "f.page_index", "f.caption", "f.reference_count", *_box("f.bounding_box"))
 
 
 def raw_nested_references(spark, d):
-    pages = fixture_analysis(spark, d).stored().raw.select("doc_id", F.explode("pages").alias("p"))
+    pages = stored_fixture(spark, d).raw.select("doc_id", F.explode("pages").alias("p"))
     found = pages.select("doc_id", "p.page_index", F.posexplode("p.figure_references").alias("ref_idx", "r"))
     return found.select(*PAGE, F.col("ref_idx").cast("bigint").alias("ref_idx"), "r.text", "r.text_id", "r.figure_number", "r.start_pos", "r.end_pos", "r.chapter", "r.section", "r.mapped_figure_id")
 
 
 def raw_default_ids(spark, d):
     """Figures of raw results that name none of them."""
-    a = fixture_analysis(spark, d).stored()
+    a = stored_fixture(spark, d)
     nameless = a.named_figures.withColumn("figure_id", F.lit(None).cast("string"))
     made = raw.to_raw(a.pages, a.layouts, a.texts, nameless, a.mapped, a.carried, a.chapters, a.summary)
     return raw.from_raw(made)["figures"].select(*FIG, "figure_id")
@@ -237,7 +237,7 @@ def raw_default_ids(spark, d):
 
 def raw_page_fallback(spark, d):
     """Display elements of raw figures that have no chapter and section: those of their page are shown."""
-    a = fixture_analysis(spark, d).stored()
+    a = stored_fixture(spark, d)
     bare = a.named_figures.withColumn("chapter", F.lit(0)).withColumn("section", F.lit(None).cast("string"))
     found = display.layout_elements(a.pages, a.texts, bare, a.mapped, structure=a.carried).where("type = 'figure'")
     return found.select(*PAGE, "place", "related_chapter", "related_section")
@@ -276,7 +276,7 @@ def failed_pages(spark, d):
 
 def raw_documents(spark, d):
     """Nested raw results, as sizes of their parts."""
-    found = fixture_analysis(spark, d).stored().raw
+    found = stored_fixture(spark, d).raw
     count = lambda c: F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(p[c])).cast("bigint")
     return found.select("doc_id", "total_pages", count("layouts").alias("n_layouts"), count("figure_layouts").alias("n_figures"), count("recognized_texts").alias("n_texts"), count("figure_references").alias("n_refs"), F.size("document_structure.chapters").alias("n_chapters"), "summary.error_pages")
 
@@ -286,11 +286,11 @@ def page_full_text(spark, d):
 
 
 def mapping_rate(spark, d):
-    return reports.mapping_rate(fixture_analysis(spark, d).stored().mapped, ["doc_id"]).withColumn("mapping_rate", F.round("mapping_rate", 6))
+    return reports.mapping_rate(stored_fixture(spark, d).mapped, ["doc_id"]).withColumn("mapping_rate", F.round("mapping_rate", 6))
 
 
 def layout_type_counts(spark, d):
-    return reports.layout_type_counts(fixture_analysis(spark, d).stored().elements)
+    return reports.layout_type_counts(stored_fixture(spark, d).elements)
 
 
 def page_lookup(spark, d):
@@ -298,7 +298,7 @@ def page_lookup(spark, d):
 
 
 def page_range(spark, d):
-    return reports.page_range(fixture_analysis(spark, d).stored().counts, 2, 4).select(*PAGE, "n_layouts", "n_figures", "n_texts", "n_refs")
+    return reports.page_range(stored_fixture(spark, d).counts, 2, 4).select(*PAGE, "n_layouts", "n_figures", "n_texts", "n_refs")
 
 
 def page_position(spark, d):
@@ -368,11 +368,11 @@ def job_speed(spark, d):
 
 
 def job_running_totals(spark, d):
-    return reports.running_totals(fixture_analysis(spark, d).stored().counts)
+    return reports.running_totals(stored_fixture(spark, d).counts)
 
 
 def overlay_primitives(spark, d):
-    a = fixture_analysis(spark, d).stored()
+    a = stored_fixture(spark, d)
     return overlay.overlay_primitives(a.layouts, a.texts, a.mapped, 1.5)
 
 

@@ -65,8 +65,9 @@ def fixture_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page_index", "text_idx", "text_id", "text", "x0", "y0", "x1", "y1", "kind", "k")
 
 
-def fixture_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"WITH {TEXTS_SQL}, {LAYOUTS_SQL} SELECT * FROM layouts", lineitem=read_table(spark, sf_dir, "lineitem"))
+def fixture_layouts(texts: DataFrame) -> DataFrame:
+    """Layout boxes around the fixture's texts."""
+    return texts.sparkSession.sql(f"WITH {LAYOUTS_SQL.replace('FROM texts', 'FROM {texts}')} SELECT * FROM layouts", texts=texts)
 
 
 def fixture_pages(texts: DataFrame) -> DataFrame:
