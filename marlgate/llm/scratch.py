@@ -1,48 +1,12 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables, and column names out of the way."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from marlgate.storage import clear, cut, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a local shell) a temporary folder is made and noted in the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    own = tempfile.mkdtemp(prefix="marlgate-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/marlgate/{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: later stages restart from the files, not from the lineage.
-
-    Lazy results read these files, so they stay until ``clear``.
-    """
-    spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes the intermediate tables of this application: to be called once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["clear", "cut", "shared_dir", "shielded"]
 
 
 def shielded(df: DataFrame) -> tuple[DataFrame, list[str]]:
