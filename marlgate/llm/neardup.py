@@ -14,7 +14,8 @@ A pair with similarity 0.8 exceeds the threshold with a probability below 1e-4,
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing.  A text shorter than a
 shingle is one shingle.  A null doc_id gets the component of its text's class, or null if nothing else is in it; it is kept in
-that case.  Rows that repeat a doc_id are each judged by their own text.  An empty table gives an empty table; other columns
+that case.  Rows that repeat a doc_id are each judged by their own text; where an id is the least of several classes of equal
+texts, these classes count as linked, and ``drop_near_duplicates`` goes by the id alone.  An empty table gives an empty table; other columns
 are not read here, and ``drop_near_duplicates`` hands them on unchanged.
 """
 
@@ -201,11 +202,14 @@ BLOCK_SHINGLES = 1_000_000
 def _links_in_clusters(rows: DataFrame, percent: int) -> DataFrame:
     """For (id, cluster, c, shingles): links (lo, hi) between members of a cluster in different components c.
 
-    A cluster is dealt into blocks by a hash of the id, and each pair of blocks is a group of bounded size of its own.  Of many
-    links between two components a group returns one.
+    A cluster is dealt into blocks by a hash of the id, and each pair of blocks is a group of bounded size of its own.  Groups are
+    dealt to tasks by cluster and blocks: rows that lie together by cluster would count as dealt already, and all pairs of a hot
+    cluster would land in one task.  Of many links between two components a group returns one.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = rows.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-    sizes = sizes.select("cluster", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    # written, so that the join with a hot cluster has exchanges of its own and can be split
+    sizes = cut(sizes.select("cluster", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "sizes")
     dealt = _in_block_pairs(rows.join(sizes, "cluster"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -239,7 +243,7 @@ def _links_in_clusters(rows: DataFrame, percent: int) -> DataFrame:
                     out.append(sorted((int(ids[x]), int(ids[y]))))
         return pa.table({"lo": pa.array([o[0] for o in out], pa.int64()), "hi": pa.array([o[1] for o in out], pa.int64())})
 
-    shown = dealt.select("cluster", "left", "right", "b", "id", "c", "shingles")
+    shown = dealt.select("cluster", "left", "right", "b", "id", "c", "shingles").repartition(parts, "cluster", "left", "right")
     ship(rows.sparkSession)
     return shown.groupBy("cluster", "left", "right").applyInArrow(run, "lo bigint, hi bigint")
 
