@@ -9,13 +9,15 @@ The longest rule that fits gives the verdict.  Without one, a URL is blocked if
 blocked hosts, and allowed otherwise.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed.  Repeated rows and null
-ids are judged alike.  An empty list allows everything; an empty table gives an empty table.  Other columns are not read.
+ids are judged alike.  An empty list allows everything; a list may be of any size; an empty table gives an empty table.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,12 +27,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlgate.shipping import map_in_arrow
 
-#: Bytes of list that are sent to every executor at most.
-MOST_BYTES = 256 << 20
+#: Bytes of list that are sent to every executor at most, and those that an entry takes besides its text.
+MOST_BYTES, ENTRY_BYTES = 256 << 20, 29
 
 
 def digest(text: str) -> int:
@@ -100,16 +103,49 @@ def _domains(host: str, lengths: Iterable[int]) -> Iterator[str]:
             yield host[n - size :]
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], blocked_hosts: Iterable[str], key: str = "page_id", url: str = "url") -> DataFrame:
-    """``key``, host, path, rule, verdict.  ``rules`` maps ``host/path`` to ``allow`` or ``block``."""
-    blocked_hosts = list(blocked_hosts)
+def read_hosts(spark: SparkSession, path: str) -> DataFrame:
+    """A list of hosts from text files, one a line; what follows ``#`` does not count."""
+    host = F.lower(F.trim(F.split("value", "#")[0]))
+    return spark.read.text(path).select(host.alias("host")).where("host <> ''")
+
+
+def _by_join(judged: DataFrame, hosts: DataFrame, key: str) -> DataFrame:
+    """Blocks what no rule decides and whose host or parent domain is listed, by a join on digests for lists of any size."""
+    names = judged.columns
+    labels = F.split("host", "\\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), "."))
+    open_hosts = judged.where("rule is null and host <> ''").select("host").distinct()
+    tried = open_hosts.select("host", F.explode(domains).alias("domain")).withColumn("digest", F.xxhash64("domain"))
+    listed = hosts.select(F.col("host").alias("bad")).distinct().withColumn("bad_digest", F.xxhash64("bad"))
+    hit = tried.join(listed, (F.col("digest") == F.col("bad_digest")) & (F.col("domain") == F.col("bad"))).select(F.col("host").alias("_hit")).distinct()
+    joined = judged.join(hit, (F.col("host") == F.col("_hit")) & F.col("rule").isNull(), "left")
+    return joined.withColumn("verdict", F.when(F.col("_hit").isNotNull(), "block").otherwise(F.col("verdict"))).select(*(F.col(f"`{c}`") for c in names))
+
+
+def judge_urls(pages: DataFrame, rules: dict[str, str], blocked_hosts: Iterable[str] | DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """``key``, host, path, rule, verdict.  ``rules`` maps ``host/path`` to ``allow`` or ``block``.
+
+    ``blocked_hosts`` is a list, or a table with the column host.  A list that takes more than ``MOST_BYTES`` as a digest array is
+    not sent to executors but joined by digest.
+    """
+    spark = pages.sparkSession
+    if isinstance(blocked_hosts, DataFrame):
+        hosts = blocked_hosts.select("host").where("host <> ''")
+        size = hosts.agg(F.coalesce(F.sum(F.octet_length("host") + ENTRY_BYTES), F.lit(0))).first()[0]
+        blocked_hosts = [r["host"] for r in hosts.collect()] if size <= MOST_BYTES else None
+    else:
+        blocked_hosts = list(blocked_hosts)
+        if sum(len(h.encode()) + ENTRY_BYTES for h in blocked_hosts) > MOST_BYTES:
+            hosts, blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string"), None
+    if blocked_hosts is None:
+        return _by_join(judge_urls(pages, rules, [], key, url), hosts, key)
     entries = {f"host:{h}": BLOCKED_HOST for h in blocked_hosts} | {f"rule:{r}": {"allow": ALLOW, "block": BLOCK}[v] for r, v in rules.items()}
-    if sum(map(len, entries)) > MOST_BYTES:
-        raise ValueError(f"the list is over {MOST_BYTES} bytes")
     lengths = sorted({len(r) - r.index("/") for r in rules})
     sizes = sorted({len(h) for h in blocked_hosts} | {r.index("/") for r in rules}, reverse=True)
-    path = DigestArray.write(entries, tempfile.gettempdir())
-    pages.sparkSession.sparkContext.addFile(path)  # executors fetch it, later ones too
+    folder = tempfile.mkdtemp(prefix="urls-")  # on the driver, which serves the file to executors as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
+    path = DigestArray.write(entries, folder)
+    spark.sparkContext.addFile(path)
     name = os.path.basename(path)
     kind = pages.schema[key].dataType.simpleString()
 
