@@ -193,11 +193,19 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     return rows.select(F.col("_key").alias(key), F.col("z.start").alias("start"), F.length(c).alias("length"), c.alias("candidate"), F.round("z.score", 6).alias("score"), (F.col("z.score") >= THRESHOLD).alias("is_secret"))
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", path: str | None = "source", labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by a mask; texts without one are not changed."""
+def redact_secrets(docs: DataFrame, text: str = "text", path: str | None = "source", labelled: DataFrame | None = None, length: str | None = None) -> DataFrame:
+    """``docs`` with each secret in ``text`` replaced by a mask; texts without one are not changed.
+
+    A column named by ``length`` gets the code points of a text that is changed.
+    """
     own, names = shielded(docs)
     held = f"_in{names.index(text)}"
     found = _judged(own, fit(docs.sparkSession, labelled), held, f"_in{names.index(path)}" if path in names else None)
     parts = F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.when(F.get("_scores", i) >= THRESHOLD, F.lit(MASK)), F.get("_texts", i), F.lit(""))))
-    clean = F.when(F.exists("_scores", lambda s: s >= THRESHOLD), F.array_join(parts, "")).otherwise(F.col(held))
-    return found.select(*(clean.alias(c) if c == held else F.col(c) for c in own.columns)).toDF(*names)
+    some = F.exists("_scores", lambda s: s >= THRESHOLD)
+    out = {c: F.col(c) for c in own.columns}
+    out[held] = F.when(some, F.array_join(parts, "")).otherwise(F.col(held))
+    if length in names:
+        size = f"_in{names.index(length)}"
+        out[size] = F.when(some, F.length(out[held]).cast(own.schema[size].dataType)).otherwise(F.col(size))
+    return found.select(*(v.alias(c) for c, v in out.items())).toDF(*names)
