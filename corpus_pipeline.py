@@ -1,7 +1,8 @@
 """From raw documents to tokens: each stage reads what the one before it wrote.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next one's docs.  All but the last return the columns of ``documents``.
+read again as the next one's docs.  All but the last return the columns of ``documents``, and hand on others, whatever their names.
+An empty table goes through all stages; repeated rows are judged each by itself, and near-dedup leaves those that share an id.
 """
 
 from __future__ import annotations
@@ -18,27 +19,25 @@ from marlgate.llm.secrets import redact_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the divergence rules reject go."""
+    """Documents that the base rules or the divergence rules reject go, null and empty texts among them."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more.
+
+    The least doc_id stays; rows without an id, and with empty texts, all stay.
+    """
     return drop_near_duplicates(docs, size=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; n_chars follows the text where it changed."""
-    from pyspark.sql import functions as F
-
-    masked = redact_secrets(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    length = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", length).drop("_before")
+    """Secrets are masked in the text; n_chars follows the text where it changed.  Null and empty texts stay as they are."""
+    return redact_secrets(docs, length="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: empty texts have no words, so it takes none of them."""
     return mix_documents(docs)
 
 
