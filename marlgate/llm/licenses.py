@@ -1,21 +1,25 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Lines are read in windows of at most 32 words.  A window's hashed word n-grams (one to three words) go into a multinomial
-logistic regression over licence families, ``unknown`` (a licence of no listed family) and ``none``.  A temperature, fitted on
-examples that the regression has not seen, calibrates the probabilities.  A window whose family is likely enough is compared with the
-family's templates, word by word: it counts as confirmed if most of a template is in it, and as nothing if hardly any is.
+Paragraphs (text between blank lines, whatever comment marks begin its lines) are read in windows of at most 16 words, each
+beginning in the middle of the one before; so are single lines, for notices among other lines.  A window's hashed word n-grams (one
+to three words) go into a multinomial logistic regression over licence families, ``unknown`` (a licence of no listed family) and
+``none``.  A temperature, fitted on notices whose wording the regression has not seen, calibrates the probabilities.  A window whose
+family is likely enough is compared with the family's templates, word by word and together with its neighbours: it counts as
+confirmed if most of a template is in it (nearly all of a short one), and as nothing if hardly any is, or no word of the family's
+name.  Findings of one family whose windows overlap are one; others stay, however many a paragraph or line has.
 
 The examples are drawn from the templates by a seed: cut, reworded, and set among other words; sentences that speak of licences
 otherwise are examples of ``none``.  Scanning is a map over rows without shuffle.
 
-Edge cases: a null or empty text has no findings; a line may be of any length.  Repeated rows and null ids are scanned alike.  An
-empty table gives an empty table.  Other columns are not read.
+Edge cases: a null or empty text has no findings; a paragraph may be of any length.  Repeated rows and null ids are scanned alike.
+An empty table gives an empty table.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -24,77 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marlgate.llm.notices import HELD_OUT_NO_NOTICES, HELD_OUT_OPENINGS, NAMES, NO_NOTICES, OPENINGS, OTHER_NOTICES, TEMPLATES, composed
 from marlgate.llm.wordhash import blocks, flat, hash_words, mix
 from marlgate.shipping import map_in_arrow
 
-BUCKETS, BLOCK = 1 << 16, 16
+BUCKETS, BLOCK = 1 << 16, 8
 #: Probability of a finding; share of a template that confirms it, and share under which it is dropped.
-LIKELY, CONFIRMED, SOME = 0.8, 0.6, 0.3
+LIKELY, CONFIRMED, SOME = 0.5, 0.6, 0.4
 NONE, UNKNOWN = "none", "unknown"
 _APART = np.ones(256, dtype=bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-# Customary notices of each licence family.
-TEMPLATES = {
-    "apache": [
-        "Licensed under the Apache License, Version 2.0",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0",
-        "This project is released under the Apache 2.0 license",
-    ],
-    "mit": [
-        "Released under the MIT License",
-        "This software is licensed under the MIT license",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "Licensed under the GPL v2 or later",
-    ],
-    "lgpl": [
-        "This library is licensed under the GNU Lesser General Public License, version 2.1",
-        "redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-        "Licensed under the LGPL",
-    ],
-    "agpl": [
-        "This work is licensed under the GNU Affero General Public License, version 3",
-        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
-        "Licensed under the AGPL v3",
-    ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Licensed under the BSD 3-Clause License",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
-    ],
-    "mpl": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-        "Licensed under the Mozilla Public License 2.0",
-    ],
-    "cc-by": [
-        "This work is licensed under a Creative Commons Attribution 4.0 International License",
-        "Licensed under CC BY 4.0",
-    ],
-    "cc-by-sa": [
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-        "Text is available under CC BY-SA 3.0",
-        "Licensed under CC BY-SA 4.0",
-    ],
-    "cc-by-nc": [
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-        "Licensed under CC BY-NC 4.0",
-    ],
-    "public-domain": [
-        "This work is dedicated to the public domain under CC0 1.0 Universal",
-        "To the extent possible under law, the author has waived all copyright and related rights to this work",
-        "This is free and unencumbered software released into the public domain",
-    ],
-}
-# Openings of notices whose family is not listed, and sentences about licences that are no notices.
-OTHER_NOTICES = ["Licensed under the {} License", "Released under the {} license, version 1.0", "This work is licensed under the {} Public License", "Distributed under the terms of the {} licence"]
-NO_NOTICES = [
-    "The driver must carry a license", "He lost his fishing license last year", "a licensed professional should install it", "The committee discussed the cost of the license",
-    "Free admission is granted to any person under the age of ten", "The general public was invited to the permission hearing", "the terms of the agreement were discussed in version two of the report",
-    "copy of the file was obtained", "an international work of creative people in the commons", "MIT is a university", "apache helicopters", "redistribution of land in binary stars",
-]
+#: Words of a template from which on a large part of it confirms; a shorter one has to be there nearly whole.
+LONG, NEARLY = 14, 0.75
 
 
 def tokens(text: str) -> list[str]:
@@ -163,16 +108,20 @@ class LicenseModel:
         return self.probabilities(logits), Windows(row[use], starts[heads[use]], ends[last[other]])
 
 
-def examples(n: int = 6000, seed: int = 21) -> list[tuple[str, str]]:
-    """(text, class), drawn from the templates and from other words."""
+def examples(n: int = 6000, seed: int = 21, notices: dict[str, list[str]] | None = None, others: list[str] | None = None) -> list[tuple[str, str]]:
+    """(text, class), drawn from notices (default: the templates), sentences that are none, and other words."""
+    if notices is None:  # half of the examples from whole templates, half from short notices
+        short = composed(OPENINGS)
+        notices = {k: v * (len(short[k]) // len(v)) + short[k] for k, v in TEMPLATES.items()}
+    others = NO_NOTICES if others is None else others
     rng, out = random.Random(seed), []
     pieces = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve les ent que ich sch ung cion men par los del der ein".split()
     word = lambda: "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))
     prose = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
-    families = list(TEMPLATES)
+    families = list(notices)
 
     def amid(text: str) -> str:
-        """A notice somewhere in a window full of other words."""
+        """A text somewhere in a window full of other words."""
         spare = max(0, 2 * BLOCK - len(tokens(text)))
         before = rng.randint(0, spare)
         return " ".join([*(word() for _ in range(before)), text, *(word() for _ in range(spare - before))])
@@ -181,34 +130,39 @@ def examples(n: int = 6000, seed: int = 21) -> list[tuple[str, str]]:
         kind = i % 3
         if kind == 0:
             family = rng.choice(families)
-            text = rng.choice(TEMPLATES[family])
-            words = text.split()
+            words = rng.choice(notices[family]).split()
+            if len(words) > 2 * BLOCK and rng.random() < 0.8:  # a window sees a part of a long notice
+                at = rng.randint(0, len(words) - 2 * BLOCK)
+                words = words[at : at + 2 * BLOCK]
+            text = " ".join(words)
             if rng.random() < 0.3:
                 words = [w for w in words if rng.random() > 0.08]
-            text = rng.choice([" ".join(words), text, f"{prose(1, 6)} {' '.join(words)}", f"{text}. {prose(1, 8)}", f"{text} {prose(0, 2)}", amid(text), amid(text)])
-            out.append((text, family))
-        elif kind == 1 and rng.random() < 0.4:
+            out.append((rng.choice([" ".join(words), text, f"{prose(1, 6)} {' '.join(words)}", f"{text}. {prose(1, 8)}", amid(text), amid(text), amid(text), amid(text)]), family))
+        elif kind == 1 and rng.random() < 0.3:
             text = rng.choice(OTHER_NOTICES).format(word().title())
             out.append((rng.choice([text, f"{text} {prose(1, 5)}", amid(text)]), UNKNOWN))
         else:
-            out.append((rng.choice([lambda: prose(3, 30), lambda: prose(3, 30), lambda: rng.choice(NO_NOTICES) + " " + prose(0, 8), lambda: prose(0, 5) + " " + rng.choice(NO_NOTICES)])(), NONE))
+            sentence = rng.choice(others)
+            out.append((rng.choice([prose(3, 30), prose(3, 30), f"{sentence} {prose(0, 8)}", f"{prose(0, 5)} {sentence}", amid(sentence)]), NONE))
     return out
 
 
-def train(rows: list[tuple[str, str]] | None = None, epochs: int = 30, seed: int = 4) -> LicenseModel:
-    """Adagrad on four fifths of the examples; the temperature that suits the rest best."""
+def train(rows: list[tuple[str, str]] | None = None, unseen: list[tuple[str, str]] | None = None, epochs: int = 12, seed: int = 4) -> LicenseModel:
+    """Adagrad on the examples; the temperature that suits others best (by default, notices with openings that are held out)."""
     rows = examples() if rows is None else rows
     classes = sorted({c for _, c in rows})
+    if unseen is None:
+        unseen = [r for r in examples(1500, 22, composed(HELD_OUT_OPENINGS[:3]), HELD_OUT_NO_NOTICES[::2]) if r[1] in classes]
     model = LicenseModel(classes, np.zeros((BUCKETS, len(classes)), np.float32), np.zeros(len(classes), np.float32))
     rng = np.random.default_rng(seed)
     found = []
-    for text, c in rows:
+    for text, c in [*rows, *unseen]:
         data = np.frombuffer(" ".join(text.split()[: 2 * BLOCK]).encode(), np.uint8)
         words, r, _, _ = hash_words(data, np.array([0, len(data)]), lower=True, space=_APART)
         b, ok = _ngrams(words, r)
         found.append((b[ok], classes.index(c)))
-    order = rng.permutation(len(found))
-    held, learned = order[: len(order) // 5], order[len(order) // 5 :]
+    full = np.array([len(b) > 0 for b, _ in found])
+    learned, held = np.flatnonzero(full[: len(rows)]), len(rows) + np.flatnonzero(full[len(rows) :])
     squares, bias_squares = np.full(model.weights.shape, 1e-6, np.float32), np.full(len(classes), 1e-6, np.float32)
 
     def logits(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,8 +170,7 @@ def train(rows: list[tuple[str, str]] | None = None, epochs: int = 30, seed: int
         sizes = np.array([len(found[i][0]) for i in rows])
         owner = np.repeat(np.arange(len(rows)), sizes)
         scale = 1 / np.sqrt(np.maximum(sizes, 1))
-        z = np.zeros((len(rows), len(classes)), np.float32)
-        np.add.at(z, owner, model.weights[at])
+        z = np.add.reduceat(model.weights[at], np.cumsum(sizes) - sizes, axis=0)
         return z * scale[:, None] + model.bias, at, owner, scale
 
     target = np.array([c for _, c in found])
@@ -228,9 +181,9 @@ def train(rows: list[tuple[str, str]] | None = None, epochs: int = 30, seed: int
             g = e / e.sum(axis=1, keepdims=True)
             g[np.arange(len(batch)), target[batch]] -= 1
             g /= len(batch)
-            grad = np.zeros((len(np.unique(at)), len(classes)), np.float32)
-            distinct, which = np.unique(at, return_inverse=True)
-            np.add.at(grad, which, (g * scale[:, None])[owner])
+            order = np.argsort(at, kind="stable")
+            distinct, firsts = np.unique(at[order], return_index=True)
+            grad = np.add.reduceat((g * scale[:, None])[owner[order]], firsts, axis=0).astype(np.float32)
             squares[distinct] += grad * grad
             model.weights[distinct] -= 0.3 * grad / np.sqrt(squares[distinct])
             bias_squares += g.sum(axis=0) ** 2
@@ -245,40 +198,71 @@ def train(rows: list[tuple[str, str]] | None = None, epochs: int = 30, seed: int
     return model
 
 
-def compare(text: str, family: str) -> float:
-    """The largest share of a template of the family whose words occur in ``text`` in the same order."""
-    words, best = tokens(text), 0.0
-    for template in TEMPLATES.get(family, OTHER_NOTICES):
+_COMPARED = {k: v + composed(["licensed under", "under the terms of"])[k] for k, v in TEMPLATES.items()}
+
+
+def compare(text: str, family: str) -> tuple[float, bool]:
+    """The largest share of a template of the family whose words occur in ``text`` in the same order, and whether it confirms."""
+    words, best, sure = tokens(text), 0.0, False
+    if family in NAMES and not NAMES[family] & set(words):
+        return 0.0, False
+    for template in _COMPARED.get(family, OTHER_NOTICES):
         wanted = tokens(template.replace("{}", ""))
         same = sum(b.size for b in SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks())
-        best = max(best, same / len(wanted))
-    return best
+        share = same / len(wanted)
+        best = max(best, share)
+        sure = sure or share >= (1.0 if family == UNKNOWN else CONFIRMED if len(wanted) >= LONG else NEARLY)
+    return best, sure
 
 
-def scan_text(model: LicenseModel, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, str, float, float, bool]]:
-    """(row, byte offset of the window, family, probability, template share, confirmed); a row's neighbouring findings are one."""
-    breaks = np.flatnonzero(data == 10) + 1
-    lines = np.unique(np.concatenate([offsets, breaks]))
-    p, windows = model.score(data, lines)
-    none, out = model.classes.index(NONE), []
-    best = p.argmax(axis=1)
-    before = None
-    for i in np.flatnonzero((best != none) & (p.max(axis=1) >= LIKELY)):
+# a line feed and what follows it as far as the next line has no letter or digit
+_BLANK = re.compile(rb"\n(?:[^0-9A-Za-z\x80-\xff\n]*\n)+")
+
+
+def _likely(model: LicenseModel, data: np.ndarray, breaks: np.ndarray) -> list[tuple[int, int, str, float, float, bool]]:
+    """(first byte, last byte, family, probability, share, confirmed) of likely windows of the pieces between some breaks."""
+    p, w = model.score(data, breaks)
+    if not len(p):
+        return []
+    out, best = [], p.argmax(axis=1)
+    for i in np.flatnonzero((best != model.classes.index(NONE)) & (p.max(axis=1) >= LIKELY)):
         family = model.classes[best[i]]
-        text = data[windows.start[i] : windows.end[i]].tobytes().decode("utf-8", "replace")
-        share = compare(text, family)
-        if share < SOME:
-            continue
-        row = int(np.searchsorted(offsets, windows.start[i], "right")) - 1
-        here = (row, int(windows.start[i] - offsets[row]), family, round(float(p[i].max()), 6), round(share, 6), share >= CONFIRMED)
-        if before == (windows.row[i], family, i - 1):
-            out[-1] = max(out[-1], here, key=lambda x: (x[4], x[3]))
-        else:
-            out.append(here)
-        before = (windows.row[i], family, i)
+        first = i - 1 if i and w.row[i - 1] == w.row[i] else i
+        last = i + 1 if i + 1 < len(w.row) and w.row[i + 1] == w.row[i] else i
+        share, sure = compare(data[w.start[first] : w.end[last]].tobytes().decode("utf-8", "replace"), family)
+        if share >= SOME:
+            out.append((int(w.start[i]), int(w.end[i]), family, round(float(p[i].max()), 6), round(share, 6), sure))
     return out
 
 
+def scan_text(model: LicenseModel, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, str, float, float, bool]]:
+    """(row, byte offset of the window, family, probability, template share, confirmed), by row and place."""
+    blanks = np.array([m.end() for m in _BLANK.finditer(data.tobytes())], np.int64)
+    feeds = np.flatnonzero(data == 10) + 1
+    found = set(_likely(model, data, np.unique(np.concatenate([offsets, blanks]))))
+    found |= set(_likely(model, data, np.unique(np.concatenate([offsets, feeds]))))
+    merged: dict[str, list[list]] = {}
+    for f in sorted(found):
+        row = int(np.searchsorted(offsets, f[0], "right")) - 1
+        spans = merged.setdefault(f[2], [])
+        if spans and spans[-1][0] == row and f[0] < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], f[1])
+            spans[-1][2] = max(spans[-1][2], f, key=lambda x: (x[5], x[4], x[3]))
+        else:
+            spans.append([row, f[1], f])
+    sure = [(row, end, f) for spans in merged.values() for row, end, f in spans]
+    certain = sorted((row, f[0], end, f[2]) for row, end, f in sure if f[5] and f[2] != UNKNOWN)
+    firsts = [c[:2] for c in certain]
+    out = []
+    for row, end, f in sure:
+        k = bisect_right(firsts, (row, end))
+        beside = any(r == row and a < end and b > f[0] and family != f[2] for r, a, b, family in certain[max(0, k - 8) : k])
+        # in the place of a confirmed finding of a listed family, what is unconfirmed or of an unlisted one says nothing
+        if not beside or f[5] and f[2] != UNKNOWN:
+            out.append((row, int(f[0] - offsets[row]), *f[2:]))
+    return sorted(out)
+
+
 _default: list[LicenseModel] = []
 
 

@@ -72,6 +72,34 @@ def test_notices_far_apart_in_a_line(license_model):
     assert all(at <= n <= at + 400 for (_, at, *_), n in zip(found, notices, strict=True))
 
 
+@pytest.mark.parametrize(
+    "text, family",
+    [
+        ("Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\nSoftware), to deal in the Software without restriction", "mit"),
+        ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU\n# General Public License as published by the Free Software\n# Foundation", "gpl"),
+        ("This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License", "cc-by-nc"), ("SPDX-License-Identifier: MIT", "mit"),
+        ("The MIT license debate continued in the house", None), ("er kommt mit dem Rad\nund mit dem Bus", None), ("a total eclipse was seen in public", None),
+    ],
+)
+def test_wrapped_notices_and_mere_mentions(license_model, text, family):
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = [f for f in licenses.scan_text(license_model, data, np.array([0, len(data)])) if f[5]]
+    assert {f[2] for f in found} == ({family} if family else set())
+
+
+def test_licenses_with_openings_not_learned_from(license_model):
+    rows = licenses.examples(1200, 99, licenses.composed(licenses.HELD_OUT_OPENINGS[3:]), licenses.HELD_OUT_NO_NOTICES[1::2])
+    right, notices, wrong, none = 0, 0, 0, 0
+    for text, family in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = {f[2]: f[5] for f in licenses.scan_text(license_model, data, np.array([0, len(data)]))}
+        if family == licenses.NONE:
+            none, wrong = none + 1, wrong + any(got.values())
+        elif family != licenses.UNKNOWN:
+            notices, right = notices + 1, right + (family in got)
+    assert right / notices > 0.75 and wrong / none < 0.01
+
+
 def test_license_lines_of_the_corpus(spark, license_model):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"] for r in licenses.scan_licenses(table, license_model).where("confirmed").collect()}
