@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from marlgate.llm.quality import COMMON_WORDS, base_features, judge, keep_good
+from marlgate.llm.quality import COMMON_WORDS, base_features, fit_references, judge, keep_good
 from tests.llm.helpers import AWKWARD, clashing, docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,14 +60,22 @@ def test_other_scripts_have_their_own_reference(spark):
     english = [(i, prose("abcdefghilmnoprstuvw", i, COMMON_WORDS["en"]), "en", "a") for i in range(60)]
     others = [(100 + i, prose(letters, i), lang, None) for i in range(4) for lang, letters in (("ru", "абвгдеиклмнопрстуя"), ("el", "αβγδεικλμνοπρστυ"))]
     table = docs(spark, [*english, *others])
-    rows = judge(table, ["doc_id"]).collect()
+    made = fit_references(table)  # the language of these texts is made up
+    rows = judge(table, ["doc_id"], references=made).collect()
     assert len(rows) == 68 and all(r["kept"] for r in rows)
     assert all(r["class_distance"] < 0.1 and r["word_distance"] is None for r in rows if r["doc_id"] >= 100)
-    assert keep_good(table).count() == 68
+    assert keep_good(table, references=made).count() == 68
 
 
 def test_junk_does_not_carry_references_off(spark):
     clean = [(i, prose("abcdefghilmnoprstuvw", i, COMMON_WORDS["en"]), "en", "a") for i in range(60)]
     junk = [(100 + i, prose("0123456789#|$%&<>", i), "en", "junk") for i in range(30)]
     table = docs(spark, [*clean, *junk, (200, " ".join(prose("0123456789#|$%&<>", i) for i in range(300, 400)), "en", "log")])
-    assert {r["doc_id"] for r in keep_good(table).collect()} == set(range(60))
+    assert {r["doc_id"] for r in keep_good(table, references=fit_references(table)).collect()} == set(range(60))
+
+
+def test_verdicts_do_not_depend_on_other_documents(spark, data):
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    of = lambda df: {r["doc_id"]: (r["kept"], r["class_distance"], r["word_distance"]) for r in judge(df, ["doc_id"]).collect()}
+    all_, short = of(table), of(table.where("length(text) < 2000"))
+    assert short and all(all_[k] == v for k, v in short.items())
