@@ -1,9 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame expressions only.
 
 A candidate is a run of at least 16 letters, digits and ``_+/-`` with a digit in it, a key with a known prefix, with or without
-a digit, or what is assigned (``=`` or ``:``) to a name with a keyword in it: six or more characters other than white space and
-quotes.  Its features are length, character
-shares and transitions between character classes, coverage by dictionary words, the words around it, and the path.  The forest
+a digit, a password in a URL, or what is assigned (``=`` or ``:``) to a name with a keyword in it: six or more characters other than
+white space and quotes.  Its features are length, character shares, changes of character class, the likelihood of its transitions
+between letters in common words, coverage by dictionary words, the words around it (patterns, and the last ones by hash), and the path.  The forest
 is trained on the driver from labelled findings (``labelled_findings``, or a caller's table of the same columns, of which at
 most ``MAX_LABELLED`` rows are used), and becomes one expression of nested conditions.  A text's candidates stay in its row as an
 array: nothing is shuffled.
@@ -21,7 +21,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlgate.functions.patterns import running_sums
 from marlgate.llm.forest import Node, as_column, train_forest
+from marlgate.llm.quality import COMMON_WORDS
 from marlgate.llm.scratch import shielded
 
 # A name with a keyword, and a sign of assignment; at most CONTEXT characters, as it is looked for behind.
@@ -29,7 +31,9 @@ NAMED = "(?i:passw(?:or)?d|pwd|passphrase|secret|token|api[_ -]?key|auth|credent
 VALUE = f"(?<=[=:>][ \\t\"'`]{{0,3}})(?=[^\\s\"'`]{{6}})(?<={NAMED})[^\\s\"'`]{{5,}}[^\\s\"'`.,;:)\\]}}]"
 KNOWN = "(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-|sk_live_|xox[abprs]-|glpat-|AIza|npm_)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+){1,2})"
 RUN = "(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![\"'`]?[A-Za-z0-9]))?"
-CANDIDATE = f"{VALUE}|{KNOWN}|{RUN}"
+# The password of a user in a URL.
+IN_URL = "(?<=://[^\\s/@:]{1,64}:)[^\\s/@]{6,}(?=@)"
+CANDIDATE = f"{VALUE}|{IN_URL}|{KNOWN}|{RUN}"
 #: Shortest candidate; so many before one are enough to fill its context.
 SHORTEST = 6
 CONTEXT = 48
@@ -50,6 +54,28 @@ TEST_PATH = "(?i)(test|example|fixture|mock|sample|docs?/)"
 CONFIG_PATH = "(?i)\\.(env|pem|key|cfg|conf|ini|ya?ml|properties|tfvars)$"
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Buckets of the words before a candidate.
+WORD_BUCKETS = 12
+
+
+def transitions() -> list[float]:
+    """Log2 probabilities of a letter (1 to 26; 0 is anything else) after another, smoothed, from common words; row by row."""
+    counts = np.ones((27, 27))
+    for word in [*DICTIONARY, *(w for words in COMMON_WORDS.values() for w in words)]:
+        codes = [0, *(_LETTERS.find(c) + 1 for c in word), 0]
+        np.add.at(counts, (codes[:-1], codes[1:]), 1)
+    return [round(float(x), 4) for x in np.log2(counts / counts.sum(axis=1, keepdims=True)).ravel()]
+
+
+def _likelihood(candidate: Column) -> Column:
+    """Mean log2 probability of a candidate's transitions."""
+    table = F.array(*map(F.lit, transitions()))
+    codes = F.transform(F.split(F.lower(candidate), ""), lambda c: F.instr(F.lit(_LETTERS), c))
+    pairs = F.zip_with(codes, F.slice(codes, 2, F.length(candidate)), lambda a, b: a * 27 + b)
+    return F.aggregate(pairs, F.lit(0.0), lambda total, k: total + F.coalesce(F.get(table, k), F.lit(0.0))) / F.greatest(F.lit(1), F.length(candidate) - 1)
+
+
 def features(candidate: Column, before: Column, after: Column, path: Column) -> Column:
     """Array of doubles; the order is that of the lines below."""
     n = F.length(candidate).cast("double")
@@ -57,6 +83,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(candidate, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    last = F.slice(F.reverse(F.filter(F.split(F.lower(before), "[^a-z]+"), lambda w: w != "")), 1, 3)
+    buckets = F.transform(last, lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))
     return F.array(
         n,
         F.size(F.array_distinct(F.split(candidate, ""))) / n,
@@ -82,6 +110,9 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         flag(after.rlike("^[\"'`]?[ \\t]{0,2}(=>|:=|[=:])")),
         1 - share("A-Za-z0-9"),
         flag(candidate.rlike("[0-9]")),
+        _likelihood(candidate),
+        flag(before.rlike("://[^\\s/@:]+:$") & after.startswith("@")),
+        *(flag(F.array_contains(buckets, k)) for k in range(WORD_BUCKETS)),
     )
 
 
@@ -111,6 +142,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
                 ("id: ", uuid()), ("uuid = ", uuid()), ("", draw(digits, 16)), ("card ", draw(digits, 16)), ("", draw(digits, rng.randint(16, 30))),
                 ("see ", name() + "-" + rng.choice(DICTIONARY) + "-" + rng.choice(DICTIONARY)), ("", name() + "_" + name()), ("", "/usr/" + name() + "/" + name()),
                 ("token = " + quote, "YOUR_TOKEN_" + draw(digits, 6)), ("password: ", "x" * rng.randint(12, 30) + draw(digits, 2)), ("api_key = " + quote, "example-key-" + draw("01", 8)),
+                (f"data:image/{rng.choice(['png', 'gif', 'jpeg'])};base64,", draw(mixed + "+/", rng.randint(60, 400))), (rng.choice(["", "begin 644 "]), draw(mixed + "+/", rng.randint(200, 600))),
                 ("", draw(lower, rng.randint(14, 24)) + draw(digits, 2)), ("order ", draw(digits, 4) + "-" + draw(digits, 6) + "-" + draw(digits, 6)), ("revision ", draw(hexa, 40)),
             ])
             while len(body) < 16 or not any(c.isdigit() for c in body):
@@ -130,14 +162,22 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
                 lambda: draw(lower, rng.randint(4, 9)).title() + draw(digits, rng.randint(1, 4)) + draw("!@$&%#*?", rng.randint(0, 2)), lambda: draw(lower + upper, rng.randint(16, 40)),
             ])()
             body = "A" + body[1:-1] + rng.choice(digits + "z!&") if body[-1] in ".:" or len(body) < 6 else body
-            if i % 10 == 0:
-                before, body = rng.choice([before, f"{prose()} ", f"{prose()} key "]), rng.choice([lambda: "AKIA" + draw(upper, 16), lambda: rng.choice(["ghp_", "sk-", "glpat-", "npm_"]) + draw(lower + upper, 32)])()
+            if i % 14 == 2:  # in a URL
+                before, after = f"{rng.choice(['', prose() + ' ', 'DATABASE_URL=', 'url: '])}{rng.choice(['postgres', 'mysql', 'https', 'amqp', 'redis', 'mongodb'])}://{rng.choice(['', draw(lower, 5)])}:", f"@{draw(lower, 6)}.{rng.choice(['org', 'net', 'local'])}/{draw(lower, 4)}"
+                body = rng.choice([draw(mixed, rng.randint(8, 20)), draw(lower, rng.randint(4, 8)).title() + draw(digits, 3)])
+            elif i % 10 == 0:
+                before, body = rng.choice([before, f"{prose()} ", f"{prose()} key "]), rng.choice([
+                    lambda: "AKIA" + draw(upper, 16), lambda: rng.choice(["ghp_", "sk-", "glpat-", "npm_"]) + draw(lower + upper, 32), lambda: "AKIA" + draw(upper + digits, 16),
+                    lambda: rng.choice(["ghp_", "gho_", "AIza", "glpat-"]) + draw(mixed, 36), lambda: f"xoxb-{draw(digits, 12)}-{draw(digits, 12)}-{draw(mixed, 24)}",
+                ])()
             out.append((before, body + draw(mixed, max(0, SHORTEST - len(body))), after, path, 1))
         else:
             body = rng.choice([
                 lambda: draw(lower, rng.randint(6, 12)), lambda: draw(lower, rng.randint(5, 9)).title() + "x", lambda: rng.choice(["string", "required", "please", "Optional", "undefined", "changeme", "your-password", "********", "xxxxxxxx", "Bearer", "boolean"]),
                 lambda: f"get_{draw(lower, 6)}()", lambda: "${" + draw(upper, 8) + "}", lambda: f"os.environ[{draw(upper, 5)}]", lambda: f"config.{draw(lower, 6)}.{draw(lower, 5)}", lambda: f"https://{draw(lower, 8)}.org/{draw(lower, 4)}", lambda: f"<{draw(lower, 8)}>", lambda: f"{draw(lower, 5)}-{draw(lower, 6)}", lambda: f"{draw(lower, 5)}_{draw(lower, 6)}",
             ])()
+            if i % 14 == 1:
+                before, after, body = f"{prose()} {rng.choice(['postgres', 'https', 'redis'])}://{draw(lower, 4)}:", f"@{draw(lower, 6)}.org/", rng.choice(["password", "changeme", "<password>", "${DB_PASS}", "xxxxxxxx", "secret", "your-password"])
             out.append((before, body, after, path, 0))
         if i % 5 == 0:
             # a name that a value is assigned to is a candidate by itself
@@ -184,10 +224,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     """A row for each candidate: ``key``, start (code points from 0), length, candidate, score, is_secret."""
     own = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_t"), *([F.col(f"`{path}`").alias("_path")] if path else []))
     found = _judged(own, fit(docs.sparkSession, labelled), "_t", "_path" if path else None).where("_texts is not null")
-    steps = F.transform(F.arrays_zip(F.slice("_pieces", 1, F.size("_texts")).alias("a"), F.col("_texts").alias("b")), lambda z: F.struct(F.length(z["a"]).alias("a"), F.length(z["b"]).alias("b")))
-    # running position: an array of starts, built in one pass
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(steps, zero, lambda s, z: F.struct((s["at"] + z["a"] + z["b"]).alias("at"), F.array_append(s["starts"], s["at"] + z["a"]).alias("starts")))["starts"]
+    sizes = F.zip_with("_pieces", "_texts", lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
+    starts = F.zip_with(F.slice(running_sums(sizes), 1, F.size("_texts")), F.col("_texts"), lambda end, c: end - F.length(c))
     rows = found.select("_key", F.explode(F.arrays_zip(starts.alias("start"), F.col("_texts").alias("candidate"), F.col("_scores").alias("score"))).alias("z"))
     c = F.col("z.candidate")
     return rows.select(F.col("_key").alias(key), F.col("z.start").alias("start"), F.length(c).alias("length"), c.alias("candidate"), F.round("z.score", 6).alias("score"), (F.col("z.score") >= THRESHOLD).alias("is_secret"))
