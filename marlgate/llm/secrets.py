@@ -31,8 +31,8 @@ NAMED = "(?i:passw(?:or)?d|pwd|passphrase|secret|token|api[_ -]?key|auth|credent
 VALUE = f"(?<=[=:>][ \\t\"'`]{{0,3}})(?=[^\\s\"'`]{{6}})(?<={NAMED})[^\\s\"'`]{{5,}}[^\\s\"'`.,;:)\\]}}]"
 KNOWN = "(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-|sk_live_|xox[abprs]-|glpat-|AIza|npm_)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+){1,2})"
 RUN = "(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![\"'`]?[A-Za-z0-9]))?"
-# The password of a user in a URL.
-IN_URL = "(?<=://[^\\s/@:]{1,64}:)[^\\s/@]{6,}(?=@)"
+# The password of a user in a URL; the colon is looked for first, as the look behind it is dear.
+IN_URL = "(?<=:)(?<=://[^\\s/@:]{1,64}:)[^\\s/@]{6,}(?=@)"
 CANDIDATE = f"{VALUE}|{IN_URL}|{KNOWN}|{RUN}"
 #: Shortest candidate; so many before one are enough to fill its context.
 SHORTEST = 6
