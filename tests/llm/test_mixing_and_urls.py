@@ -2,7 +2,6 @@ import math
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-import pytest
 
 from marlgate.llm.mixing import MOST_COPIES, mix, mix_documents
 from marlgate.llm.queries import op5_mixing
@@ -94,9 +93,9 @@ def test_collisions_are_confirmed(tmp_path):
     assert DigestArray.open(DigestArray.write({}, str(tmp_path))).find(["a"]).tolist() == [-1]
 
 
-def test_list_must_be_bounded(spark, monkeypatch):
+def test_list_over_the_bound_is_joined(spark, monkeypatch):
     from marlgate.llm import urlfilter
 
     monkeypatch.setattr(urlfilter, "MOST_BYTES", 3)
-    with pytest.raises(ValueError):
-        judge_urls(spark.createDataFrame([(1, "u")], "page_id bigint, url string"), {"long.org/": "block"}, [])
+    pages = spark.createDataFrame([(1, "http://a.bad.org/x"), (2, "http://good.org/"), (None, None)], "page_id bigint, url string")
+    assert {r["page_id"]: r["verdict"] for r in judge_urls(pages, {"long.org/": "block"}, ["bad.org"]).collect()} == {1: "block", 2: "allow", None: "allow"}
