@@ -25,7 +25,8 @@ _LANGUAGE = "CASE " + " ".join(f"WHEN regexp_matches(text, '^(?i:{p})') THEN '{l
 _SECTION_NAME = f"{_first(SECTIONS, 1)} || coalesce('.' || {_first(SECTIONS, 2)}, '')"
 _SECTION_SUB = f"nullif({_first(SECTIONS, 3)}, '')"
 _SECTION_TITLE = f"nullif(trim(CASE WHEN regexp_matches(text, '^(?i:{SECTIONS[0]})') THEN regexp_extract(text, '^(?i:{SECTIONS[0]})', 4) ELSE {_SECTION_SUB} END), '')"
-_FALLBACK = _first(FALLBACK_CHAPTERS, 1, "")
+# RE2 has ASCII letters only in \w; the operators have those of all scripts
+_FALLBACK = _first([p.replace(r"\w", r"[\p{L}\p{N}_]") for p in FALLBACK_CHAPTERS], 1, "")
 _INSIDE = "t.x0 >= l.x0 - {m} AND t.y0 >= l.y0 - {m} AND t.x1 <= l.x1 + {m} AND t.y1 <= l.y1 + {m}"
 _TITLED = "EXISTS (SELECT 1 FROM layouts l WHERE l.doc_id = t.doc_id AND l.page_index = t.page_index AND lower(l.label) IN ('title', 'paragraph_title', 'header') AND " + _INSIDE + ")"
 _MARKS = ", ".join(f"({k}, '{p}')" for k, p in enumerate(_RULES, 1))
