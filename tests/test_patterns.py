@@ -83,3 +83,9 @@ def test_numbers_guesses_and_first_mentions(spark):
     rows = df.select(P.number_or_guess(F.col("t"), F.col("g")).alias("n"), P.first_mention(F.col("t")).alias("m")).collect()
     assert [r["n"] for r in rows] == [3, 2, None, None]
     assert [tuple(r["m"]) for r in rows] == [("Figure 3.7", 4, 14), ("nothing", 0, 7), ("nothing", 0, 7), ("plain", 0, 7)]
+
+
+def test_fallback_chapters(spark):
+    texts = ["1.2.3 Deep", "3 Results", "2.10.4 More", "도표 2 및 도표3.5", "제 4 장", "Figure 6.", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(P.fallback_chapter(F.col("t")).alias("c"))
+    assert [r["c"] and tuple(r["c"]) for r in df.collect()] == [(1, "2.3"), (3, None), (2, "10.4"), (2, None), (4, None), None, None, None]
