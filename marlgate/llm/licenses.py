@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlgate.llm.notices import HELD_OUT_NO_NOTICES, HELD_OUT_OPENINGS, NAMES, NO_NOTICES, OPENINGS, OTHER_NOTICES, TEMPLATES, composed
+from marlgate.llm.notices import HELD_OUT_NO_NOTICES, HELD_OUT_OPENINGS, NAMED, NAMES, NO_NOTICES, OPENINGS, OTHER_NOTICES, TEMPLATES, composed
 from marlgate.llm.wordhash import blocks, flat, hash_words, mix
 from marlgate.shipping import map_in_arrow
 
@@ -108,10 +108,11 @@ class LicenseModel:
         return self.probabilities(logits), Windows(row[use], starts[heads[use]], ends[last[other]])
 
 
-def examples(n: int = 6000, seed: int = 21, notices: dict[str, list[str]] | None = None, others: list[str] | None = None) -> list[tuple[str, str]]:
+def examples(n: int = 12000, seed: int = 21, notices: dict[str, list[str]] | None = None, others: list[str] | None = None) -> list[tuple[str, str]]:
     """(text, class), drawn from notices (default: the templates), sentences that are none, and other words."""
     if notices is None:  # half of the examples from whole templates, half from short notices
-        short = composed(OPENINGS)
+        tails = {" ".join(opening.split()[-2:]) for opening in OPENINGS}  # so that more hangs on the name than on what leads to it
+        short = composed([*OPENINGS, *sorted(tails - set(OPENINGS)), "under"])
         notices = {k: v * (len(short[k]) // len(v)) + short[k] for k, v in TEMPLATES.items()}
     others = NO_NOTICES if others is None else others
     rng, out = random.Random(seed), []
@@ -199,6 +200,7 @@ def train(rows: list[tuple[str, str]] | None = None, unseen: list[tuple[str, str
 
 
 _COMPARED = {k: v + composed(["licensed under", "under the terms of"])[k] for k, v in TEMPLATES.items()}
+_WHOLE_NAMES = {k: [tokens(name.removeprefix("the ").removeprefix("a ")) for name in v] for k, v in NAMED.items()}
 
 
 def compare(text: str, family: str) -> tuple[float, bool]:
@@ -212,6 +214,8 @@ def compare(text: str, family: str) -> tuple[float, bool]:
         share = same / len(wanted)
         best = max(best, share)
         sure = sure or share >= (1.0 if family == UNKNOWN else CONFIRMED if len(wanted) >= LONG else NEARLY)
+    if best < SOME and any(f" {' '.join(name)} " in f" {' '.join(words)} " for name in _WHOLE_NAMES.get(family, [])):
+        best = SOME  # a whole name after an opening of any wording is something, and confirms nothing
     return best, sure
 
 

@@ -84,7 +84,7 @@ TEMPLATES = {
 }
 # For each family, words of which one stands in each of its notices, or near it; full texts without a name have none.
 NAMES = {
-    "apache": {"apache"}, "mit": {"mit", "permission", "substantial"}, "isc": {"isc", "permission"}, "gpl": {"gpl", "general"}, "lgpl": {"lgpl", "lesser"}, "agpl": {"agpl", "affero"},
+    "apache": {"apache"}, "mit": {"mit", "permission", "substantial"}, "isc": {"isc", "permission"}, "gpl": {"gpl", "gplv2", "gplv3", "general"}, "lgpl": {"lgpl", "lesser"}, "agpl": {"agpl", "affero"},
     "bsd": {"bsd", "redistribution"}, "mpl": {"mozilla", "mpl"}, "epl": {"eclipse", "epl"}, "cc-by": {"attribution", "by"}, "cc-by-sa": {"sharealike", "sa"},
     "cc-by-nc": {"noncommercial", "nc"}, "public-domain": {"public", "cc0", "waived", "unlicense"},
 }
@@ -92,6 +92,7 @@ NAMES = {
 OPENINGS = [
     "Licensed under", "Released under", "Distributed under", "Distributed under the terms of", "This work is licensed under", "This software is licensed under", "This project is released under",
     "is made available under", "Made available under the terms of", "is free software, released under", "Text is available under", "is provided under", "is licensed under", "is distributed under",
+    "License:", "Licence:", "Published under", "The code is under", "is subject to", "may be used under", "You may use it under the terms of", "Rights are granted under", "available under", "comes under",
 ]
 NAMED = {
     "apache": ["the Apache License, Version 2.0", "the Apache 2.0 license", "Apache-2.0", "the Apache License 2.0"],
