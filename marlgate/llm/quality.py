@@ -104,10 +104,15 @@ def _by_language(lang: Column, values: dict[str, Column], other: Column) -> Colu
 def histograms(frame: DataFrame, lang: str) -> DataFrame:
     """Adds _classes (counts by character class) and _common (counts of the language's common words); drops _text."""
     others = [c for c in frame.columns if c != "_text"]
-    counts = [F.length("_text") - F.length(F.regexp_replace("_text", p, "")) for p in CLASSES.values()]
     listed = sorted({w for words in COMMON_WORDS.values() for w in words})
     words = F.filter(F.split(F.lower("_text"), "[^\\p{L}]+", -1), lambda x: x.isin(listed))
-    one = frame.select(*(F.col(f"`{c}`") for c in others), F.length("_text").alias("_length"), F.array(*counts).alias("_known"), words.alias("_found"))
+    one = frame.withColumns({"_length": F.length("_text"), "_found": words})
+    # classes have no character in common, so each is looked for in what those before it left, which soon is little
+    for k, p in enumerate(CLASSES.values()):
+        one = one.withColumn("_left", F.regexp_replace("_text" if k == 0 else "_left", p, "")).withColumn(f"_left{k}", F.length("_left"))
+    sizes = [F.col("_length"), *(F.col(f"_left{k}") for k in range(len(CLASSES)))]
+    counts = [a - b for a, b in zip(sizes, sizes[1:])]
+    one = one.select(*(F.col(f"`{c}`") for c in others), "_length", F.array(*counts).alias("_known"), "_found")
     lists = _by_language(F.col(f"`{lang}`"), {k: F.array(*map(F.lit, v)) for k, v in COMMON_WORDS.items()}, F.array().cast("array<string>"))
     found = F.transform(lists, lambda w: F.size("_found") - F.size(F.array_remove("_found", w)))
     rest = F.col("_length") - F.aggregate("_known", F.lit(0), lambda a, x: a + x)
