@@ -79,3 +79,48 @@ judged AS (SELECT h.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS ba
   FROM full_hist h LEFT JOIN far USING (n))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT diverges AS kept FROM judged"""
+
+
+def prefix_trie() -> str:
+    """Each node against all that it is a beginning of.  The checksum of an id is worked out bit by bit."""
+    told = "md5(length(role) || ':' || role || text)"
+    bits = "list_reduce(list_prepend(xor(a, x), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))), lambda a, x: {bits}), 4294967295)"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, {told} AS g, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {told}) AS k FROM t),
+c AS (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS s FROM o GROUP BY conv_id),
+h AS (SELECT c.conv_id, c.n, {crc} % 6 AS h, b.conv_id AS b, coalesce(b.n, 0) AS bn FROM c LEFT JOIN (SELECT conv_id, n FROM c) b ON b.conv_id = c.conv_id - c.conv_id % 100),
+steps AS (SELECT h.conv_id, k AS pos, g, chars FROM h JOIN o ON o.conv_id = h.b AND k <= h
+  UNION ALL SELECT h.conv_id, k - h + least(h, bn), g, chars FROM h JOIN o ON o.conv_id = h.conv_id AND k > h),
+full_paths AS (SELECT h.conv_id, coalesce(p, []) AS p, coalesce(cs, []) AS cs FROM h LEFT JOIN (SELECT conv_id, list(g ORDER BY pos) AS p, list(chars ORDER BY pos) AS cs FROM steps GROUP BY conv_id) USING (conv_id)),
+firsts AS (SELECT conv_id, d, p[1:d] AS q, len(p) = d AS ends, coalesce(cs[d], 0) AS chars FROM full_paths, unnest(range(0, len(p) + 1)) AS r(d)),
+nodes AS (SELECT d, q, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '') AS listed FROM firsts GROUP BY d, q),
+kids AS (SELECT q[1:d - 1] AS q, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+whole AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (q)),
+below AS (SELECT q[1:a] AS q, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM whole, unnest(range(0, d + 1)) AS r(a) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(w.listed) AS ends_sha256
+FROM whole w JOIN below b ON b.q = w.q LEFT JOIN nodes u ON u.q = w.q[1:w.d - 1] AND w.d > 0"""
+
+
+def vector_codes() -> str:
+    """Every part against every entry, round by round."""
+    near = """SELECT n, p, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d FROM (
+    SELECT x.n, x.p, b.e, CAST(list_sum(list_transform(range(1, len(x.s) + 1), lambda i: (x.s[i] - b.s[i]) * (x.s[i] - b.s[i]))) AS BIGINT) AS d FROM parts x JOIN {0} b ON b.p = x.p) GROUP BY n, p"""
+    moved = """SELECT b.p, b.e, coalesce(m.s, b.s) AS s FROM {0} b LEFT JOIN (SELECT p, e, list((t - ((t % c) + c) % c) // c ORDER BY i) AS s FROM (
+    SELECT p, e, i, CAST(sum(s[i]) AS BIGINT) AS t, count(*) AS c FROM {1} JOIN parts USING (n, p), unnest(range(1, len(s) + 1)) AS r(i) GROUP BY p, e, i) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e"""
+    return f"""
+WITH ints AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(embedding) % 16 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 262144)) = 0),
+sized AS (SELECT *, len(v) AS size, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS place FROM ints),
+ok AS (SELECT *, row_number() OVER (ORDER BY place) AS n FROM sized WHERE size = (SELECT arg_min(size, place) FROM sized)),
+parts AS MATERIALIZED (SELECT n, p, v[p * (size // 16) + 1:(p + 1) * (size // 16)] AS s FROM ok, unnest(range(0, 16)) AS r(p)),
+b0 AS MATERIALIZED (SELECT p, n - 1 AS e, s FROM parts WHERE n <= 64),
+a1 AS MATERIALIZED ({near.format("b0")}),
+b1 AS MATERIALIZED ({moved.format("b0", "a1")}),
+a2 AS MATERIALIZED ({near.format("b1")}),
+b2 AS MATERIALIZED ({moved.format("b1", "a2")}),
+a3 AS MATERIALIZED ({near.format("b2")}),
+coded AS (SELECT n, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a3 GROUP BY n)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM ok JOIN coded USING (n)"""

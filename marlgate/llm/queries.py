@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlgate.storage import own_dir
+
+#: The id that ends each document in the token files.
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +102,30 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    from marlgate.llm.prefixtrie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("place", "end")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector, with their errors, and a digest of the codebooks."""
+    from marlgate.llm.vectorcodes import compress, digest
+
+    codes, books = compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files of all documents hold: where each document starts, how many ids it has, and their checksum."""
+    from marlgate.llm.tokenfile import encode_library, in_order, read_tokens, write_tokens
+
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}/tokens"
+    write_tokens(encode_library(in_order(table(spark, sf_dir, "documents")), tokenizer_path(), end_id=END_ID), path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -107,6 +138,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_minhash": op9_minhash,
         "op10_bpe": op10_bpe,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_token_files": op13_token_files,
     }
 
 
@@ -117,4 +151,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality": oracles.quality(),
         "op5_mixing": oracles.mixing(),
         "op6_urls": oracles.urls(URL_RULES, BLOCKED_HOSTS),
+        "op11_prefix_trie": oracles.prefix_trie(),
+        "op12_vector_codes": oracles.vector_codes(),
     }
