@@ -4,8 +4,8 @@ All arithmetic is on integers, floor(256 x) of each component, so results do not
 entry is found by lower bounds from coarse to fine.  Of a block of n components with sums X and Y and residual norms p and q
 (what is left of a vector when its block mean is taken off), the squared distance is at least (X - Y)^2 / n + (p - q)^2.  First the
 whole part is one block: entries whose bound is over the exact distance to the most promising entry are out.  Then the part is
-halved again and again, with the sums of the bounds of its blocks.  Bounds are lowered by more than their rounding error, so no
-nearest entry is lost; what survives gets exact integer distances, ties go to the lower index.
+halved again and again, with the sums of the bounds of its blocks, and what looks most promising by them.  Bounds are lowered by
+more than their rounding error, so no nearest entry is lost; what survives gets exact integer distances, ties go to the lower index.
 
 Codebooks are small (``ENTRIES`` times the dimension), whatever the number of vectors: they go to the tasks, and partial sums by
 (part, entry, position) come back through an aggregation.
@@ -82,6 +82,10 @@ class NearestEntry:
         for begins, means, norms in self.levels[1:]:
             _, own_means, own_norms = _blocks(x, begins)
             finer = ((own_means[row] - means[entry]) ** 2 + (own_norms[row] - norms[entry]) ** 2).sum(axis=1)
+            starts = np.searchsorted(row, np.arange(len(x)))  # every row has its nearest entry left
+            hopeful = np.flatnonzero(finer == np.minimum.reduceat(finer, starts)[row])
+            hopeful = hopeful[np.searchsorted(row[hopeful], np.arange(len(x)))]
+            reach = np.minimum(reach, ((x - self.entries[entry[hopeful]]) ** 2).sum(axis=1))
             keep = finer <= (reach + slack)[row]
             row, entry = row[keep], entry[keep]
         exact = ((x[row] - self.entries[entry]) ** 2).sum(axis=1)
