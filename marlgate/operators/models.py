@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,13 +25,47 @@ def segments(texts: DataFrame, longest: int = 100) -> DataFrame:
     return found.select("doc_id", "page_index", "text_idx", "text_id", "seg_idx", F.col("_s.start_pos").alias("start_pos"), F.col("_s.end_pos").alias("end_pos"), F.col("_s.text").alias("segment"))
 
 
-def score_segments(rows: DataFrame, load: Callable[[], Scorer]) -> DataFrame:
-    """Adds probability and guess.  ``load`` is called once a task, so that a model is read once for all its batches."""
+#: Words and single signs: what a token is at least, if no tokenizer says otherwise.
+TOKEN = re.compile(r"\w+|[^\w\s]")
+# Segments that a model is given at once, and the tokens that it reads of each.
+BATCH, MOST_TOKENS = 32, 128
+
+
+def clip(text: str, most: int = MOST_TOKENS) -> str:
+    """The text up to its ``most``-th token."""
+    ends = [m.end() for m, _ in zip(TOKEN.finditer(text), range(most + 1), strict=False)]
+    return text[: ends[most - 1]] if len(ends) > most else text
+
+
+def rebatched(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``size``, across the borders of the frames that come in; the last may be smaller."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for batch in batches:
+        at = 0
+        while n + len(batch) - at >= size:
+            held.append(batch.iloc[at : at + size - n])
+            at += size - n
+            yield pd.concat(held, ignore_index=True) if held[1:] else held[0].reset_index(drop=True)
+            held, n = [], 0
+        if at < len(batch):
+            held.append(batch.iloc[at:])
+            n += len(batch) - at
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def score_segments(rows: DataFrame, load: Callable[[], Scorer], size: int = BATCH, most: int = MOST_TOKENS, cut: Callable[[str, int], str] = clip) -> DataFrame:
+    """Adds probability and guess.  ``load`` is called once a task, so that a model is read once for all its batches.
+
+    The scorer gets ``size`` segments at a time, but for the last ones of a task, each cut to ``most`` tokens by ``cut``.  Memory for a
+    model's batch so does not depend on the sizes in which rows reach Python.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
-        for batch in batches:
-            found = scorer(batch["segment"])
+        for batch in rebatched(batches, size):
+            found = scorer(batch["segment"].map(lambda s: None if s is None else cut(s, most)))
             yield batch.assign(probability=found["probability"].to_numpy(), guess=found["guess"].to_numpy())
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", probability double, guess double"

@@ -115,6 +115,8 @@ figure_list AS (SELECT f.*, coalesce(reference_count, 0) AS reference_count FROM
   QUALIFY pos = max(pos) OVER (PARTITION BY doc_id, figure_id)),
 width AS (SELECT *, (x1 - x0) / length(full_text) AS cw FROM mapped),
 boxed AS (SELECT *, greatest(x0, x0 + start_pos * cw - cw * 0.1) AS bx0, y0 - (y1 - y0) * 0.05 AS by0, least(x1, x0 + end_pos * cw + cw * 0.1) AS bx1, y1 + (y1 - y0) * 0.05 AS by1 FROM width),
+ref_boxes AS (SELECT doc_id, page_index, greatest(x0, x0 + start_pos * cw - cw * 0.1) AS bx0, y0 - (y1 - y0) * 0.05 AS by0, least(x1, x0 + end_pos * cw + cw * 0.1) AS bx1, y1 + (y1 - y0) * 0.05 AS by1
+  FROM (SELECT *, (x1 - x0) / length(full_text) AS cw FROM refs)),
 elements AS (SELECT doc_id, page_index, 0 AS kind_ord, text_idx AS place, 'text' AS type, text, NULL AS figure_id, NULL AS figure_caption, NULL AS related_chapter, NULL AS related_section, NULL AS figure_number,
     NULL AS referenced_figure_id, NULL AS reference_text, CAST(NULL AS DOUBLE) AS confidence, x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1 FROM texts JOIN shown USING (doc_id, page_index)
   UNION ALL SELECT doc_id, page_index, 1, fig_idx, 'figure', NULL, figure_id, caption, chapter, section, figure_number, NULL, NULL, NULL, x0, y0, x1, y1 FROM named JOIN shown USING (doc_id, page_index)
@@ -128,6 +130,7 @@ _PAGE, _TEXT, _FIG = "doc_id, page_index", "doc_id, page_index, text_idx", "doc_
 _SCAN = f"SELECT {_TEXT}, rule, part, mention AS text, start_pos, end_pos, figure_number FROM refs WHERE rule = "
 _COLORS = "CASE lower(label) WHEN 'text' THEN '0,255,0' WHEN 'title' THEN '255,0,255' WHEN 'paragraph_title' THEN '255,128,0' WHEN 'figure' THEN '255,0,0' WHEN 'table' THEN '0,255,255' WHEN 'abstract' THEN '128,128,255' WHEN 'header' THEN '255,128,255' ELSE '255,255,255' END"
 _PIXELS = ", ".join(f"CAST(trunc({c} * 1.5) AS INTEGER) AS {c}" for c in ("x0", "y0", "x1", "y1"))
+_QUARTER = _PIXELS.replace("1.5", "0.25")
 _REF_PIXELS = ", ".join(f"CAST(trunc(b{c} * 1.5) AS INTEGER) AS {c}" for c in ("x0", "y0", "x1", "y1"))
 _BOX = ", ".join(f"round({c}, 6) AS {c}" for c in ("bx0", "by0", "bx1", "by1"))
 
@@ -233,6 +236,30 @@ _SELECTS = {
       UNION ALL SELECT {_PAGE}, 2, ref_idx, {_REF_PIXELS}, 'REF: ' || mention || CASE WHEN mapped_figure_id <> '' THEN ' -> ' || mapped_figure_id ELSE '' END, CASE WHEN mapped_figure_id <> '' THEN '0,255,0' ELSE '0,0,255' END FROM boxed""",
     "overlay_legend": """SELECT place, label, CAST(40 + 20 * place AS INTEGER) AS y, color FROM (VALUES (0, 'Text', '0,255,0'), (1, 'Title', '255,0,255'), (2, 'Paragraph Title', '255,128,0'), (3, 'Figure', '255,0,0'),
       (4, 'Table', '0,255,255'), (5, 'Formula', '255,255,0'), (6, 'List', '128,255,128'), (7, 'Abstract', '128,128,255')) AS v(place, label, color)""",
+    "overlay_images": f"""SELECT {_PAGE}, 150 AS width, 500 AS height, coalesce(n, 0) AS drawn, NULL AS error FROM pages LEFT JOIN (SELECT doc_id, page_index, count(*) AS n FROM (
+      SELECT {_PAGE}, {_QUARTER} FROM layouts UNION ALL SELECT {_PAGE}, {_QUARTER} FROM texts UNION ALL SELECT {_PAGE}, {_QUARTER.replace("trunc(x", "trunc(bx").replace("trunc(y", "trunc(by")} FROM ref_boxes)
+      WHERE x1 >= x0 AND y1 >= y0 AND x1 >= 0 AND y1 >= 0 AND x0 < 150 AND y0 < 500 GROUP BY ALL) USING (doc_id, page_index)""",
+    "page_store": f"""SELECT {_PAGE}, n + CASE WHEN page_index % 3 = 0 THEN 1000 WHEN page_index % 2 = 0 THEN 100 ELSE 0 END AS n_texts, CASE WHEN page_index % 3 = 0 THEN 'third' WHEN page_index % 2 = 0 THEN 'second' ELSE 'first' END AS note
+      FROM (SELECT {_PAGE}, count(*) AS n FROM texts GROUP BY ALL)""",
+    "result_files": """SELECT doc_id, coalesce(a.n, 0) AS n_chapters, coalesce(b.n, 0) AS n_pages, coalesce(d.n, 0) AS n_figures FROM (SELECT DISTINCT doc_id FROM pages)
+      LEFT JOIN (SELECT doc_id, count(*) AS n FROM chapters GROUP BY ALL) a USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM shown GROUP BY ALL) b USING (doc_id)
+      LEFT JOIN (SELECT doc_id, count(*) AS n FROM figure_list GROUP BY ALL) d USING (doc_id)""",
+    "job_client_view": """SELECT * FROM (WITH clients AS (SELECT event_id AS client_id, task_id AS task, ts AS joined FROM events_in WHERE event_id % 7 = 3),
+      seen AS (SELECT client_id, joined, e.*, struct_pack(ts := ts, id := event_id) AS place_in FROM clients JOIN events_in e ON task_id = task),
+      past AS (SELECT client_id, task_id, arg_max(status, place_in) AS status, arg_max(progress, place_in) AS progress FROM seen WHERE ts <= joined GROUP BY ALL),
+      later AS (SELECT seen.*, coalesce(sum(CASE WHEN type = 'progress' THEN 0 ELSE 1 END) OVER (PARTITION BY client_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+        FROM seen WHERE ts > joined AND type IN ('progress', 'completed', 'error') AND client_id NOT IN (SELECT client_id FROM past WHERE status IN ('completed', 'failed', 'cancelled')))
+      SELECT client_id, task_id, 0 AS place, NULL AS event_id, 'snapshot' AS type, round(coalesce(progress, 0), 6) AS percent, status, coalesce(status IN ('completed', 'failed', 'cancelled'), false) AS is_final FROM past
+      UNION ALL SELECT client_id, task_id, 1, event_id, type, round(CAST(current_page AS DOUBLE) / total_pages * 100, 6), status, type <> 'progress' FROM later WHERE ended = 0)""",
+    "streaming_expired_states": """SELECT * FROM (WITH gaps AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id)) > 3600000000 AS gap FROM events_in),
+      runs AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM gaps)
+      SELECT task_id, arg_max(status, struct_pack(ts := ts, id := event_id)) AS status, arg_max(current_page, struct_pack(ts := ts, id := event_id)) AS current_page, arg_max(total_pages, struct_pack(ts := ts, id := event_id)) AS total_pages,
+        epoch_ms(max(ts)) + 3600000 < (SELECT epoch_ms(max(ts)) FROM events_in) AS expired FROM (SELECT * FROM runs QUALIFY run = max(run) OVER (PARTITION BY task_id)) GROUP BY task_id)""",
+    "streaming_running_totals": """SELECT doc_id, count(*) AS pages, CAST(sum(CASE WHEN error IS NULL THEN n_figures ELSE 0 END) AS BIGINT) AS so_far_figures, CAST(sum(CASE WHEN error IS NULL THEN n_refs ELSE 0 END) AS BIGINT) AS so_far_refs,
+      CAST(sum(CASE WHEN error IS NULL THEN n_texts ELSE 0 END) AS BIGINT) AS so_far_texts FROM counts GROUP BY doc_id""",
+    "published_events": "SELECT event_id, task_id, type, status, current_page, epoch_us(ts) AS micros FROM events_in",
+    "observed_analysis": """SELECT 1 AS task_id, 'page_completed' AS type, NULL AS status, doc_id * 10 + page_index AS current_page, (SELECT count(*) FROM pages) AS total_pages FROM pages
+      UNION ALL SELECT 1, 'completed', 'completed', count(*), count(*) FROM pages""",
     "streaming_job_state": "SELECT task_id, status, current_page FROM state",
     "event_rate": "SELECT task_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_micros, count(*) AS events FROM events_in GROUP BY ALL",
 }
@@ -266,4 +293,9 @@ def oracle_sql() -> dict[str, str]:
     out = {name: _with_steps(select) for name, select in _SELECTS.items()}
     out |= {f"reference_scan_r{k}": _with_steps(_SCAN + str(k)) for k in range(1, len(_RULES) + 1)}
     out["text_segments"] = _SEGMENTS
+    out["file_infos"] = """SELECT doc_id, CAST(ceil(length(text) / 1000) AS INTEGER) AS total_pages, coalesce(substr(text, 1, 1) IN ('A', 'E', 'I', 'O', 'U'), false) AS encrypted, nullif(substr(text, 1, 3), '') AS title,
+      CASE WHEN text = '' THEN 'an empty file' END AS error FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL"""
+    out["page_images"] = """SELECT doc_id, CAST(p AS INTEGER) AS page_index, length(substr(text, p * 1000 + 1, 1000)) AS n_chars, 200 AS width, CAST(p + 1 AS INTEGER) AS height, NULL AS error
+      FROM documents, unnest(range(0, CAST(ceil(length(text) / 1000) AS BIGINT))) AS r(p) WHERE doc_id % 7 <> 0 AND substr(text, 1, 1) NOT IN ('A', 'E', 'I', 'O', 'U')"""
+    out["model_segments"] = """SELECT doc_id, round(least(128, len(regexp_extract_all(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '[A-Za-z]+'))) / 128, 6) AS probability FROM documents WHERE text IS NOT NULL"""
     return out

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlgate import schemas
 from marlgate.functions import patterns
 from marlgate.functions.geometry import normalize_box
 from marlgate.functions.patterns import REFERENCE_RULES, match_chapter, match_section
 from marlgate.operators import display, layout, mapping, models, overlay, raw, references, reports, structure
 from marlgate.plans.analysis import fixture_analysis, stored_fixture
-from marlgate.sources import files, fixtures
-from marlgate.storage import own_dir
-from marlgate.streaming import jobs
+from marlgate.sources import binary, files, fixtures, overlays, results
+from marlgate.storage import cut, own_dir
+from marlgate.streaming import channels, jobs, observe
 
 PAGE = ["doc_id", "page_index"]
 TEXT = [*PAGE, "text_idx"]
@@ -380,6 +382,156 @@ def overlay_legend(spark, d):
     return overlay.legend(spark)
 
 
+def overlay_images(spark, d):
+    """Overlays of all pages, drawn at a quarter of their size: what the images say of themselves, and the boxes that are in the page."""
+    a = stored_fixture(spark, d)
+    primitives = overlay.overlay_primitives(a.layouts, a.texts, a.mapped, 0.25)
+    images = a.pages.select(*PAGE, F.lit(None).cast("binary").alias("image"), "width", "height")
+    drawn = overlays.draw_overlays(images, primitives, overlays.painter(scale=0.25))
+    return drawn.select(*PAGE, *overlays.png_size(F.col("image")), "drawn", "error")
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _document_files(spark, d) -> DataFrame:
+    """Documents as files, by the sink of binary files: of each seventh a name that is not accepted; read back."""
+    path = _scratch(spark, "files")
+    docs = fixtures.read_table(spark, d, "documents")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".png").when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".pdf"))
+    binary.write_files(docs.select(name.alias("name"), F.col("text").alias("content")), path)
+    return files.accepted(files.scan_files(spark, path))
+
+
+def _doc():
+    return F.regexp_extract("path", "d(\\d+)\\.", 1).cast("bigint").alias("doc_id")
+
+
+def _stub_info(content: bytes) -> tuple[int, bool, dict[str, str]]:
+    """A page for each thousand characters; a file that begins with a vowel is encrypted, an empty one cannot be read."""
+    text = bytes(content).decode()
+    if not text:
+        raise ValueError("an empty file")
+    return -(-len(text) // 1000), text[0] in "AEIOU", {"Title": text[:3]}
+
+
+def _stub_render(content: bytes, first: int | None, last: int | None, dpi: int):
+    text = bytes(content).decode()
+    for page in range((first or 1) - 1, min(last or 1 << 30, -(-len(text) // 1000))):
+        yield page, text[page * 1000 : page * 1000 + 1000].encode(), dpi, 1 + page
+
+
+def file_infos(spark, d):
+    infos = files.document_info(_document_files(spark, d), _stub_info)
+    return infos.select(_doc(), "total_pages", "encrypted", F.col("metadata")["Title"].alias("title"), "error")
+
+
+def page_images(spark, d):
+    """Pages of the files that are not encrypted, in ranges of ten that are rendered by different tasks."""
+    infos = files.not_encrypted(files.document_info(_document_files(spark, d), _stub_info))
+    found = files.range_images(files.page_ranges(infos), render=_stub_render)
+    return found.select(_doc(), "page_index", F.length(F.decode("image", "UTF-8")).cast("bigint").alias("n_chars"), "width", "height", "error")
+
+
+def page_store(spark, d):
+    """Three versions of page results in a store, compacted after the second and vacuumed after the third."""
+    path, counts = _scratch(spark, "store"), fixture_analysis(spark, d).texts.groupBy(*PAGE).agg(F.count("*").alias("n_texts"))
+    counts = cut(counts, "counts")
+    results.upsert_pages(counts.withColumn("note", F.lit("first")), path, 1, buckets=8)
+    results.upsert_pages(counts.where("page_index % 2 = 0").select(*PAGE, (F.col("n_texts") + 100).alias("n_texts"), F.lit("second").alias("note")), path, 2, buckets=8)
+    results.compact_pages(spark, path, buckets=8)
+    results.upsert_pages(counts.where("page_index % 3 = 0").select(*PAGE, (F.col("n_texts") + 1000).alias("n_texts"), F.lit("third").alias("note")), path, 3, buckets=8)
+    results.vacuum_pages(spark, path, older_than=0)
+    return results.read_pages(spark, path).select(*PAGE, "n_texts", "note")
+
+
+def result_files(spark, d):
+    """Display documents written as JSON and read again."""
+    path = _scratch(spark, "results")
+    results.write_display(stored_fixture(spark, d).display(), path, buckets=8)
+    found = results.read_display(spark, path)
+    return found.select("doc_id", F.size("chapters").cast("bigint").alias("n_chapters"), F.size("pages").cast("bigint").alias("n_pages"), F.size("figures").cast("bigint").alias("n_figures"))
+
+
+def _load_stub():
+    import pandas as pd
+
+    def score(segments):
+        assert len(segments) <= models.BATCH
+        return pd.DataFrame({"probability": [len(models.TOKEN.findall(s)) / models.MOST_TOKENS for s in segments], "guess": [float(len(s) % 5) for s in segments]})
+
+    return score
+
+
+def model_segments(spark, d):
+    """Whole documents as segments, scored in batches by a stub model: the share of the tokens that it reads of each."""
+    docs = fixtures.read_table(spark, d, "documents").where("text is not null")
+    rows = docs.select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("segment"))
+    found = models.score_segments(rows, _load_stub)
+    return found.select("doc_id", F.round("probability", 6).alias("probability"))
+
+
+def job_client_view(spark, d):
+    """What clients see that join at each seventh event."""
+    events = fixtures.job_events(spark, d)
+    clients = events.where("event_id % 7 = 3").select(F.col("event_id").alias("client_id"), "task_id", F.col("ts").alias("joined"))
+    found = channels.client_view(events, clients)
+    return found.select("client_id", "task_id", "place", "event_id", "type", F.round("percent", 6).alias("percent"), "status", "is_final")
+
+
+def streaming_expired_states(spark, d):
+    """What a stream over the events ends with when tasks expire an hour after their last event."""
+    path = _scratch(spark, "jobs")
+    jobs.publish(fixtures.job_events(spark, d).repartition(4, "event_id"), f"{path}/events")
+
+    def upsert(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/states")
+
+    live = channels.live_states(jobs.event_stream(spark, f"{path}/events", 1000))
+    query = live.writeStream.outputMode("update").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(upsert).start()
+    query.awaitTermination()
+    names = ("status", "current_page", "total_pages", "expired")
+    return spark.read.parquet(f"{path}/states").groupBy("task_id").agg(*(F.max_by(F.struct(c), "batch")[c].alias(c) for c in names))
+
+
+def streaming_running_totals(spark, d):
+    """What a stream of page results ends with, in which some pages come twice."""
+    path, counts = _scratch(spark, "totals"), stored_fixture(spark, d).counts
+    twice = F.explode(F.when(F.col("page_index") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    counts.withColumn("again", twice).repartition(4, "page_index", "again").write.parquet(f"{path}/pages")
+    schema = spark.read.parquet(f"{path}/pages").schema
+    pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/pages")
+    query = channels.running_totals_stream(pages).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    names = ("pages", "so_far_figures", "so_far_refs", "so_far_texts")
+    return spark.read.parquet(f"{path}/out").groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names))
+
+
+def published_events(spark, d):
+    """Events published to a folder, and appended as results by a stream over it."""
+    path = _scratch(spark, "published")
+    jobs.publish(fixtures.job_events(spark, d), f"{path}/events")
+    query = jobs.append_results(jobs.event_stream(spark, f"{path}/events", 3), f"{path}/out", f"{path}/log")
+    query.processAllAvailable()
+    query.stop()
+    found = spark.read.parquet(f"{path}/out")
+    return found.select("event_id", "task_id", "type", "status", "current_page", F.unix_micros("ts").alias("micros"))
+
+
+def observed_analysis(spark, d):
+    """The page events that an analysis of all pages leaves, and its last event."""
+    path, a = _scratch(spark, "observed"), fixture_analysis(spark, d)
+
+    def action() -> DataFrame:
+        return cut(a.texts.groupBy((F.col("doc_id") * 10 + F.col("page_index")).alias("page_index")).agg(F.count("*").alias("n_texts")), "analysed")
+
+    total = a.pages.count()
+    observe.observed(spark, 1, action, total, path, every=0.2)
+    events = spark.read.schema(schemas.JOB_EVENTS).parquet(path).where("type <> 'progress'")
+    return events.select("task_id", "type", "status", F.col("current_page").cast("bigint").alias("current_page"), F.col("total_pages").cast("bigint").alias("total_pages"))
+
+
 def streaming_job_state(spark, d):
     """The states that a stream over the events ends with: its sink is a table in memory that each micro-batch updates."""
     import uuid
@@ -417,7 +569,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         display_layouts, display_documents, raw_documents, page_full_text, mapping_rate, layout_type_counts, page_lookup, page_range, page_report, pdf_chunks, text_segments, merge_rule_model,
         box_normalize, first_mention, mention_surroundings, number_or_guess, mention_page_context, display_nested_chapters, display_nested_pages, display_nested_layouts, display_nested_figures,
         raw_nested_references, raw_default_ids, raw_page_fallback, detect_recognise, failed_pages, page_position, page_bounds, job_last_lines,
-        job_status, job_state, job_progress, job_result_access, job_speed, job_running_totals, overlay_primitives, overlay_legend, streaming_job_state, event_rate, classifier_accuracy,
+        job_status, job_state, job_progress, job_result_access, job_speed, job_running_totals, overlay_primitives, overlay_images, overlay_legend, streaming_job_state,
+        file_infos, page_images, page_store, result_files, model_segments, job_client_view, streaming_expired_states, streaming_running_totals, published_events, observed_analysis, event_rate, classifier_accuracy,
     ]
     out = {f.__name__: f for f in named}
     for rule in range(1, len(REFERENCE_RULES) + 1):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marlgate.shipping import map_in_pandas
+from marlgate.sources.binary import read_bytes
 from marlgate.storage import cut
 
 # Accepted file types, and the largest file in bytes.
@@ -82,16 +83,58 @@ def render_pages(content: bytes, first: int | None, last: int | None, dpi: int)
             yield number - 1, out.getvalue(), image.width, image.height
 
 
+IMAGES = "path string, page_index int, image binary, width int, height int, error string"
+
+
+def _image(path: str, page: int | None, image: bytes | None = None, width: int | None = None, height: int | None = None, error: str | None = None) -> pd.DataFrame:
+    return pd.DataFrame({"path": [path], "page_index": [page], "image": [image], "width": [width], "height": [height], "error": [error]}, dtype=object)
+
+
 def page_images(files: DataFrame, first: int | None = None, last: int | None = None, dpi: int = 200, render: Callable = render_pages) -> DataFrame:
-    """A row for each page of each file, made and sent on one at a time."""
+    """A row for each page of each file, made and sent on one at a time; a file fails with one row that has the error.
+
+    A file is rendered by one task; ``range_images`` spreads large files.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                for page, image, width, height in render(content, first, last, dpi):
-                    yield pd.DataFrame({"path": [path], "page_index": [page], "image": [image], "width": [width], "height": [height]})
+                try:
+                    for page, image, width, height in render(content, first, last, dpi):
+                        yield _image(path, page, image, width, height)
+                except Exception as e:  # noqa: BLE001  a broken file is a result
+                    yield _image(path, None, error=str(e) or type(e).__name__)
+
+    return files.select("path", "content").transform(map_in_pandas, run, IMAGES)
 
-    return files.select("path", "content").transform(map_in_pandas, run, "path string, page_index int, image binary, width int, height int")
+
+def page_ranges(infos: DataFrame, size: int = 10) -> DataFrame:
+    """Files (path, total_pages) as ranges of pages: path, chunk_id, start_page from 1, end_page included."""
+    return page_chunks(infos.withColumnRenamed("path", "doc_id"), size).drop("total_pages").withColumnRenamed("doc_id", "path")
+
+
+def range_images(ranges: DataFrame, dpi: int = 200, render: Callable = render_pages, read: Callable[[str], bytes] = read_bytes) -> DataFrame:
+    """The images of ``page_ranges``: a row for each page, or one with an error for a range that fails.
+
+    Ranges are dealt over tasks by file and range, so a file of many pages is rendered by many tasks.  What is shuffled are names and
+    numbers: each task reads the files of its ranges itself, and keeps one at a time.
+    """
+    parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[str, bytes] | None = None
+        for batch in batches:
+            for path, start, end in zip(batch["path"], batch["start_page"], batch["end_page"], strict=True):
+                try:
+                    if held is None or held[0] != path:
+                        held = (path, read(path))
+                    for page, image, width, height in render(held[1], int(start), int(end), dpi):
+                        yield _image(path, page, image, width, height)
+                except Exception as e:  # noqa: BLE001  a range that fails is a result
+                    yield _image(path, int(start) - 1, error=str(e) or type(e).__name__)
+
+    dealt = ranges.select("path", "start_page", "end_page").repartition(parts, "path", "start_page").sortWithinPartitions("path", "start_page")
+    return dealt.transform(map_in_pandas, run, IMAGES)
 
 
 def page_chunks(infos: DataFrame, size: int = 10) -> DataFrame:

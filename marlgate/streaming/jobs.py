@@ -61,21 +61,34 @@ def progress_channel(events: DataFrame) -> DataFrame:
     return _shown(events).withColumn("_end", end).where(F.col("_end").isNull() | (at <= F.col("_end"))).drop("_end")
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
-    """``progress_channel`` of a stream: in the order in which events come, a task is closed by the first that ends it."""
+def _until(held, micros: int, ttl: int) -> None:
+    """A state's end in event time: ``ttl`` seconds after its last event."""
+    held.setTimeoutTimestamp(max(micros // 1000 + ttl * 1000, held.getCurrentWatermarkMs() + 1))
+
+
+def progress_stream(events: DataFrame, ttl: int = 3600, late: str = "1 hour") -> DataFrame:
+    """``progress_channel`` of a stream: in the order in which events come, a task is closed by the first that ends it.
+
+    What is known of a task goes ``ttl`` seconds of event time after its last event.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches, held):
         import pandas as pd
 
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         closed = held.exists and held.get[0]
         ends = rows["is_final"].to_numpy().nonzero()[0]
         held.update((bool(closed or len(ends)),))
+        _until(held, rows["ts"].iloc[-1].value // 1000, ttl)
         yield rows.iloc[: 0 if closed else ends[0] + 1 if len(ends) else len(rows)]
 
     schema = "task_id bigint, event_id bigint, ts timestamp, type string, percent double, is_final boolean"
-    return _shown(events).groupBy("task_id").applyInPandasWithState(step, schema, "closed boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = _shown(events.withWatermark("ts", late)).groupBy("task_id")
+    return rows.applyInPandasWithState(step, schema, "closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress_of_pages(pages: DataFrame, totals: DataFrame) -> DataFrame:
@@ -167,16 +180,19 @@ def submitted(files: DataFrame) -> DataFrame:
     return files.select(F.uuid().alias("task_id"), name.alias("filename"), F.current_timestamp().alias("ts"), F.lit("submitted").alias("type"), F.lit("pending").alias("status"))
 
 
-def guarded_states(events: DataFrame) -> DataFrame:
+def guarded_states(events: DataFrame, ttl: int = 3600, late: str = "1 hour") -> DataFrame:
     """A stream's states with transitions guarded: a task that has ended stays as it ended, and earlier events change nothing.
 
-    Columns task_id, status and event_id of the event that set it.
+    Columns task_id, status and event_id of the event that set it.  A task's state goes ``ttl`` seconds of event time after that.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches, held):
         import pandas as pd
 
+        if held.hasTimedOut:
+            held.remove()
+            return
         status, at, event = held.get if held.exists else (None, -1, -1)
         for batch in batches:
             for row in batch.sort_values(["ts", "event_id"]).itertuples():
@@ -184,7 +200,8 @@ def guarded_states(events: DataFrame) -> DataFrame:
                 if later and status not in ("completed", "failed", "cancelled"):
                     status, at, event = row.status, row.ts.value, int(row.event_id)
         held.update((status, at, event))
+        _until(held, at // 1000, ttl)
         yield pd.DataFrame({"task_id": [key[0]], "status": [status], "event_id": [event]})
 
-    rows = events.where("status is not null").groupBy("task_id")
-    return rows.applyInPandasWithState(step, "task_id bigint, status string, event_id bigint", "status string, at bigint, event_id bigint", "update", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late).where("status is not null").groupBy("task_id")
+    return rows.applyInPandasWithState(step, "task_id bigint, status string, event_id bigint", "status string, at bigint, event_id bigint", "update", GroupStateTimeout.EventTimeTimeout)
