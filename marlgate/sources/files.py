@@ -114,7 +114,7 @@ def page_ranges(infos: DataFrame, size: int = 10) -> DataFrame:
 
 
 def range_images(ranges: DataFrame, dpi: int = 200, render: Callable = render_pages, read: Callable[[str], bytes] = read_bytes) -> DataFrame:
-    """The images of ``page_ranges``: a row for each page, or one with an error for a range that fails.
+    """The images of ``page_ranges``: a row for each page; a range that fails ends with the page that did, and its error.
 
     Ranges are dealt over tasks by file and range, so a file of many pages is rendered by many tasks.  What is shuffled are names and
     numbers: each task reads the files of its ranges itself, and keeps one at a time.
@@ -125,13 +125,15 @@ def range_images(ranges: DataFrame, dpi: int = 200, render: Callable = render_pa
         held: tuple[str, bytes] | None = None
         for batch in batches:
             for path, start, end in zip(batch["path"], batch["start_page"], batch["end_page"], strict=True):
+                at = int(start) - 1
                 try:
                     if held is None or held[0] != path:
                         held = (path, read(path))
                     for page, image, width, height in render(held[1], int(start), int(end), dpi):
                         yield _image(path, page, image, width, height)
+                        at = page + 1
                 except Exception as e:  # noqa: BLE001  a range that fails is a result
-                    yield _image(path, int(start) - 1, error=str(e) or type(e).__name__)
+                    yield _image(path, at, error=str(e) or type(e).__name__)
 
     dealt = ranges.select("path", "start_page", "end_page").repartition(parts, "path", "start_page").sortWithinPartitions("path", "start_page")
     return dealt.transform(map_in_pandas, run, IMAGES)
