@@ -26,6 +26,8 @@ TWO_NUMBERS = {5}
 _TITLE = r"(?:\s*[:\.]?\s*(.*))?"
 # Captions, at the start of a text.
 CAPTIONS = [rf"Fig(?:ure)?\.?\s*(\d+){_TITLE}", rf"Figure\s*(\d+){_TITLE}", rf"그림\s*(\d+){_TITLE}", rf"图\s*(\d+){_TITLE}"]
+#: What a caption can start with: the first letters of the patterns.
+CAPTION_LETTERS = ["F", "f", "그", "图"]
 # A figure number anywhere in the text below a figure.
 LOOSE_CAPTIONS = [r"Fig(?:ure)?\.?\s*(\d+)", r"그림\s*(\d+)", r"Figure\s*(\d+)"]
 # Chapter headings with their language, and section headings, at the start of a text.
@@ -48,7 +50,10 @@ def figure_number(group: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end; a text that begins and ends with visible ASCII is not searched for it."""
+    visible = lambda c: F.ascii(c).between(33, 126)
+    bare = visible(text) & visible(F.substring(text, -1, 1))
+    return F.when(bare, text).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def _group(text: Column, pattern: str, k: int) -> Column:
@@ -105,7 +110,8 @@ def may_be_heading(text: Column) -> Column:
 
 def match_caption(text: Column) -> Column:
     """Struct of number and title for a text that starts like a caption; null for other texts."""
-    return _let(_groups(text, CAPTIONS), lambda g: F.struct(to_int(g[1], "int").alias("number"), strip(g[2]).alias("title")))
+    may = F.substring(text, 1, 1).isin(CAPTION_LETTERS)
+    return _let(F.when(may, _groups(text, CAPTIONS)), lambda g: F.struct(to_int(g[1], "int").alias("number"), strip(g[2]).alias("title")))
 
 
 def loose_caption_number(text: Column) -> Column:
@@ -188,6 +194,53 @@ def all_mentions(text: Column, rules: list[int] | None = None) -> Column:
     return F.when(may_mention(text), F.flatten(F.array(*found)))
 
 
+#: Around matches in marked texts; and up to how many characters a text is marked.
+_OPEN, _CLOSE, _SHORT = "\u0001", "\u0002", 2000
+
+
+def marked_mentions(text: Column, rules: list[int] | None = None) -> Column:
+    """Array of (rule, marked, found) for the rules that find something: a step before ``mention_pieces``.
+
+    In a short text matches are put between marks, and positions follow from what stands before them, without a function that is
+    called for each element.  A long text would be copied for each of its mentions: ``found`` has its (piece, start) at once.
+    """
+    short = (F.length(text) <= _SHORT) & (F.instr(text, _OPEN) == 0) & (F.instr(text, _CLOSE) == 0)
+    head = F.array(F.struct(F.lit("").alias("piece"), F.lit(0).alias("start")))
+    hits = []
+    for r in rules or range(1, len(REFERENCE_RULES) + 1):
+        pattern = FLAGS + REFERENCE_RULES[r - 1]
+        ones = F.filter(find_mentions(text, r), lambda z: z["part"] == 1)
+        long = F.concat(head, F.transform(ones, lambda z: F.struct(z["text"].alias("piece"), z["start_pos"].alias("start"))))
+        hit = F.struct(F.lit(r).alias("rule"), F.when(short, F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}")).alias("marked"), F.when(~short, long).alias("found"))
+        hits.append(F.when(text.rlike(pattern), hit))
+    return F.when(may_mention(text), F.array_compact(F.array(*hits)))
+
+
+def mention_pieces(hit: Column) -> Column:
+    """Array of (piece, start) of one of ``marked_mentions``: the first stands before all matches, the others begin with one."""
+    pieces = F.split(hit["marked"], _OPEN)
+    return F.coalesce(hit["found"], F.arrays_zip(pieces.alias("piece"), F.array().cast("array<int>").alias("start")))
+
+
+def mention_start(hit: Column, piece: Column, k: Column) -> Column:
+    """Where the ``k``-th mention begins, in code points from 0."""
+    return F.coalesce(piece["start"], F.length(F.call_function("substring_index", hit["marked"], F.lit(_OPEN), k)) - 2 * (k - 1))
+
+
+def mention_text(piece: Column) -> Column:
+    return F.substring_index(piece["piece"], _CLOSE, 1)
+
+
+def mention_parts(rule: Column) -> Column:
+    """The numbers that a rule's mentions have, from 1."""
+    return F.when(rule.isin(*TWO_NUMBERS), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+
+
+def mention_number(mention: Column, part: Column) -> Column:
+    """The number of a part: all digits of a mention are in its numbers."""
+    return figure_number(F.get(F.regexp_extract_all(mention, F.lit(FLAGS + _NUM), F.lit(1)), part - 1))
+
+
 def context(text: Column, start: Column, end: Column, window: int = 50) -> Column:
     first = F.greatest(F.lit(0), start - window)
     return F.substring(text, first + 1, F.least(F.length(text), end + window) - first)

@@ -38,11 +38,36 @@ def captions_below(figures: DataFrame, texts: DataFrame, reach: float = 50.0, ov
     return near.withColumn("_rank", first).where("_rank = 1").select(*FIGURE, "text_idx", "text", "distance", loose_caption_number(F.col("text")).alias("figure_number"))
 
 
-def name_figures(figures: DataFrame, captions: DataFrame, structure: DataFrame) -> DataFrame:
-    """Figures with caption, number, the page's own chapter and section, and an id by chapter and number where there is a number."""
-    known = captions.select(*FIGURE, "caption", "figure_number", "caption_bbox")
+def with_texts(figures: DataFrame, texts: DataFrame, least: float = 0.5, reach: float = 50.0, overlap: float = 0.5) -> DataFrame:
+    """Figures with what ``best_captions`` and ``captions_below`` say of them: caption, figure_number, caption_bbox and loose_number.
+
+    Figures meet the texts of their page once, and both choices are aggregates of that: all stays in the page's partition.
+    """
+    stripped = strip(F.col("text"))
+    heads = texts.withColumn("_m", match_caption(stripped)).withColumn("_caption", F.when(F.col("_m").isNotNull(), stripped))
+    right = heads.select(F.col("doc_id").alias("d"), F.col("page_index").alias("p"), "text_idx", "text", "_m", "_caption", *(F.col(c).alias(f"t_{c}") for c in _BOX))
+    left = figures.select(*FIGURE, F.struct(*(c for c in figures.columns if c not in FIGURE)).alias("_own"), *(F.col(c).alias(f"f_{c}") for c in _BOX))
+    score, distance = F.when(F.col("_m").isNotNull(), caption_score("f_", "t_")), F.col("t_y0") - F.col("f_y1")
+    near = (distance > 0) & (distance < reach) & (horizontal_overlap("f_", "t_") > overlap)
+    # only texts that can be chosen are joined: few for each figure
+    fits = F.coalesce(score > least, F.lit(False)) | F.coalesce(near, F.lit(False))
+    # figures lie by page already; to send all texts to all tasks would cost more than to move them once
+    pairs = left.join(right.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("page_index") == F.col("p")) & fits, "left")
+    best = F.max_by(F.struct("_caption", F.col("_m.number").alias("number"), box_array("t_").alias("bbox")), F.when(score > least, F.struct(score, -F.col("text_idx"))))
+    below = F.min_by("text", F.when(near, F.struct(distance, "text_idx")))
+    found = pairs.groupBy(*FIGURE).agg(F.any_value("_own").alias("_own"), best.alias("_best"), below.alias("_below"))
+    kept = [F.col(c) if c in FIGURE else F.col(f"_own.{c}").alias(c) for c in figures.columns]
+    return found.select(*kept, F.col("_best._caption").alias("caption"), F.col("_best.number").alias("figure_number"), F.col("_best.bbox").alias("caption_bbox"), loose_caption_number(F.col("_below")).alias("loose_number"))
+
+
+def name_figures(figures: DataFrame, captions: DataFrame | None, structure: DataFrame) -> DataFrame:
+    """Figures with caption, number, the page's own chapter and section, and an id by chapter and number where there is a number.
+
+    Figures that ``with_texts`` made have captions already.
+    """
     own = structure.select("doc_id", "page_index", "chapter", "section")
-    out = figures.join(known, FIGURE, "left").join(own, ["doc_id", "page_index"], "left")
+    out = figures if captions is None else figures.join(captions.select(*FIGURE, "caption", "figure_number", "caption_bbox"), FIGURE, "left")
+    out = out.join(own, ["doc_id", "page_index"], "left")
     numbered = F.coalesce(F.col("figure_number") != 0, F.lit(False))
     in_chapter = F.coalesce(F.col("chapter") != 0, F.lit(False))
     name = F.when(numbered & in_chapter, F.concat(F.lit("ch"), "chapter", F.lit("_fig"), "figure_number")).when(numbered, F.concat(F.lit("fig_"), "figure_number"))

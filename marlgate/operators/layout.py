@@ -12,6 +12,8 @@ from marlgate.functions.geometry import inside
 FIGURE_LABELS = ["image", "figure_title", "chart", "chart_title", "header_image", "footer_image"]
 TEXT_LABELS = ["text", "paragraph_title", "abstract", "content", "reference", "doc_title", "footnote", "header", "aside_text"]
 TITLE_LABELS = ["title", "paragraph_title", "header"]
+# Fixed value: how far a text may reach over the edge of its title box.
+TITLE_MARGIN = 5.0
 
 
 def figure_layouts(layouts: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def title_regions(layouts: DataFrame, any_case: bool = True) -> DataFrame:
     return layouts.where(label.isin(TITLE_LABELS))
 
 
-def texts_in_titles(texts: DataFrame, layouts: DataFrame, margin: float = 5.0, any_case: bool = True) -> DataFrame:
+def texts_in_titles(texts: DataFrame, layouts: DataFrame, margin: float = TITLE_MARGIN, any_case: bool = True) -> DataFrame:
     """The texts inside a title box of their page: a semi-join on the page with the containment as its condition."""
     titles = title_regions(layouts, any_case).select(F.col("doc_id").alias("d"), F.col("page_index").alias("p"), *(F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")))
     inner = texts.select("*", *(F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")))

@@ -15,7 +15,7 @@ def figure_registry(figures: DataFrame, carried: DataFrame, below: DataFrame | N
     """One row for each key of a document: the last figure with it, at the place (ord) of the first.
 
     Keys are by carried chapter and number, or by number alone where there is no chapter.  Figures without a number take that
-    of the text below them (``below``); those without either are not registered.
+    of the text below them (``below``, or their own loose_number); those without either are not registered.
     """
     chapters = carried.select("doc_id", "page_index", "carried_chapter", "carried_section")
     rows = figures.drop("chapter", "section").join(chapters, ["doc_id", "page_index"], "left")
@@ -24,6 +24,8 @@ def figure_registry(figures: DataFrame, carried: DataFrame, below: DataFrame | N
         loose = below.select("doc_id", "page_index", "fig_idx", F.col("figure_number").alias("_loose"))
         rows = rows.join(loose, ["doc_id", "page_index", "fig_idx"], "left")
         number = F.coalesce(number, F.nullif(F.col("_loose"), F.lit(0)))
+    elif "loose_number" in figures.columns:
+        number = F.coalesce(number, F.nullif(F.col("loose_number"), F.lit(0)))
     rows = rows.withColumn("figure_number", number).where("figure_number is not null")
     has_chapter = F.coalesce(F.col("carried_chapter") != 0, F.lit(False))
     plain = F.concat(F.lit("fig_"), "figure_number")
@@ -64,8 +66,14 @@ def by_number(entries: DataFrame) -> DataFrame:
     return entries.where("by_number")
 
 
-def _packed(entries: DataFrame, keys: dict[str, str], name: str) -> DataFrame:
-    return entries.select(*(F.col(c).alias(k) for c, k in keys.items()), F.struct(*_ENTRY).alias(name))
+def answers(entries: DataFrame) -> DataFrame:
+    """What ranked entries say to a number of a document: _d, _n, _chapters (of each chapter its entry), _global and _positional."""
+    entry, none = F.struct(*_ENTRY), F.lit(None).cast(entries.select(F.struct(*_ENTRY).alias("e")).schema["e"].dataType)
+    of_chapter = F.when(F.col("in_chapter"), F.struct("chapter", entry.alias("entry")))
+    numbered = entries.where("in_chapter or by_number").select("doc_id", F.col("figure_number").cast("bigint").alias("_n"), of_chapter.alias("a"), F.when(F.col("by_number"), entry).alias("b"), none.alias("c"))
+    placed = entries.select("doc_id", F.col("n").cast("bigint").alias("_n"), F.lit(None).cast(numbered.schema["a"].dataType).alias("a"), none.alias("b"), entry.alias("c"))
+    one = lambda c: F.any_value(c, F.lit(True))  # noqa: E731  there is one at most
+    return numbered.unionByName(placed).groupBy(F.col("doc_id").alias("_d"), "_n").agg(F.collect_list("a").alias("_chapters"), one("b").alias("_global"), one("c").alias("_positional"))
 
 
 def mapping_confidence(own: Column, page: Column, figure: Column) -> Column:
@@ -79,18 +87,17 @@ def mapping_confidence(own: Column, page: Column, figure: Column) -> Column:
 def map_references(refs: DataFrame, entries: DataFrame, carried: DataFrame) -> DataFrame:
     """Adds tier (chapter, global, positional, unmapped or zero), the mapped figure's columns and mapping_confidence.
 
-    ``entries`` is the registry, ranked already or not.  Each lookup is an equi-join with a table that has one row for a key, so rows are never
-    multiplied.
+    ``entries`` is the registry, ranked already or not.  The three lookups are one equi-join on document and number: its other side has a
+    row for each of these, with the entries of the few chapters that have the number.  So mentions are moved once, and never multiplied.
+    Mentions get the chapter and section of their own page too, unless they have them.
     """
-    chapters = carried.select("doc_id", "page_index", F.col("carried_chapter").alias("_own"))
-    entries = entries if "in_chapter" in entries.columns else ranked(entries)
-    one = _packed(by_chapter(entries), {"doc_id": "_d1", "chapter": "_c1", "figure_number": "_n1"}, "_f1")
-    two = _packed(by_number(entries), {"doc_id": "_d2", "figure_number": "_n2"}, "_f2")
-    three = _packed(entries, {"doc_id": "_d3", "n": "_n3"}, "_f3")
+    context = [c for c in ("chapter", "section") if c in carried.columns and c not in refs.columns]
+    chapters = carried.select("doc_id", "page_index", F.col("carried_chapter").alias("_own"), *context)
+    known = answers(entries if "in_chapter" in entries.columns else ranked(entries))
     out = refs.join(chapters, ["doc_id", "page_index"], "left")
-    out = out.join(one, (F.col("doc_id") == F.col("_d1")) & (F.col("figure_number") == F.col("_n1")) & (F.col("_own") == F.col("_c1")), "left")
-    out = out.join(two, (F.col("doc_id") == F.col("_d2")) & (F.col("figure_number") == F.col("_n2")), "left")
-    out = out.join(three, (F.col("doc_id") == F.col("_d3")) & (F.col("figure_number") == F.col("_n3")), "left")
+    out = out.join(known, (F.col("doc_id") == F.col("_d")) & (F.col("figure_number") == F.col("_n")), "left")
+    own = F.get(F.filter("_chapters", lambda x: x["chapter"] == F.col("_own")), F.lit(0))["entry"]
+    out = out.withColumn("_f1", own).withColumnsRenamed({"_global": "_f2", "_positional": "_f3"})
     asked = F.coalesce(F.col("figure_number") != 0, F.lit(False))
     figure = F.when(asked, F.coalesce("_f1", "_f2", "_f3"))
     tier = F.when(~asked, "zero").when(F.col("_f1").isNotNull(), "chapter").when(F.col("_f2").isNotNull(), "global").when(F.col("_f3").isNotNull(), "positional").otherwise("unmapped")
@@ -99,7 +106,7 @@ def map_references(refs: DataFrame, entries: DataFrame, carried: DataFrame) -> D
         tier.alias("tier"), figure["figure_id"].alias("mapped_figure_id"), figure["bbox"].alias("mapped_figure_bbox"), figure["page_index"].alias("mapped_figure_page"),
         figure["chapter"].alias("mapped_chapter"), confidence.alias("mapping_confidence"),
     ]
-    kept = [F.coalesce(F.when(F.size("bbox") > 0, F.col("bbox")), F.col("original_bbox")).alias("bbox") if c == "bbox" and "original_bbox" in refs.columns else F.col(c) for c in refs.columns]
+    kept = [F.coalesce(F.when(F.size("bbox") > 0, F.col("bbox")), F.col("original_bbox")).alias("bbox") if c == "bbox" and "original_bbox" in refs.columns else F.col(c) for c in [*refs.columns, *context]]
     return out.select(*kept, *extra)
 
 

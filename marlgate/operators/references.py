@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlgate.functions.geometry import box_array, word_box
-from marlgate.functions.patterns import all_mentions, context
+from marlgate.functions.patterns import context, marked_mentions, mention_number, mention_parts, mention_pieces, mention_start, mention_text
 
 _ORDER = ["text_idx", "rule", "start_pos", "part"]
 
@@ -18,11 +18,14 @@ def scan_references(texts: DataFrame, rules: list[int] | None = None, dedupe: bo
     Columns: doc_id, page_index, ref_idx, text_idx, text_id, rule, part, text, start_pos, end_pos, figure_number, bbox, original_bbox,
     full_text, context, confidence, method.
     """
-    found = texts.withColumn("_m", F.explode(all_mentions(F.col("text"), rules)))
-    start, end = F.col("_m.start_pos"), F.col("_m.end_pos")
+    found = texts.withColumn("_hit", F.explode(marked_mentions(F.col("text"), rules)))
+    found = found.select("*", F.posexplode(mention_pieces(F.col("_hit"))).alias("_k", "_piece")).where("_k > 0")
+    found = found.withColumns({"_start": mention_start(F.col("_hit"), F.col("_piece"), F.col("_k")), "_mention": mention_text(F.col("_piece"))})
+    found = found.withColumn("_part", F.explode(mention_parts(F.col("_hit.rule"))))
+    start, end = F.col("_start"), F.col("_start") + F.length("_mention")
     out = found.select(
-        "doc_id", "page_index", "text_idx", "text_id", F.col("_m.rule").alias("rule"), F.col("_m.part").alias("part"), F.col("_m.text").alias("mention"),
-        start.alias("start_pos"), end.alias("end_pos"), F.col("_m.figure_number").alias("figure_number"),
+        "doc_id", "page_index", "text_idx", "text_id", F.col("_hit.rule").alias("rule"), F.col("_part").alias("part"), F.col("_mention").alias("mention"),
+        start.alias("start_pos"), end.alias("end_pos"), mention_number(F.col("_mention"), F.col("_part")).alias("figure_number"),
         word_box(F.col("text"), start, end).alias("bbox"), box_array().alias("original_bbox"),
         F.col("text").alias("full_text"), context(F.col("text"), start, end).alias("context"),
         F.lit(0.95).alias("confidence"), F.lit("rule_based").alias("method"),

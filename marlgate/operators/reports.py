@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,11 +12,11 @@ PAGE = ["doc_id", "page_index"]
 
 
 def page_counts(pages: DataFrame, layouts: DataFrame, figures: DataFrame, texts: DataFrame, refs: DataFrame) -> DataFrame:
-    """Pages with status and n_layouts, n_figures, n_texts, n_refs."""
-    out = pages
-    for name, rows in (("n_layouts", layouts), ("n_figures", figures), ("n_texts", texts), ("n_refs", refs)):
-        out = out.join(rows.groupBy(*PAGE).agg(F.count("*").alias(name)), PAGE, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
-    return out
+    """Pages with status and n_layouts, n_figures, n_texts, n_refs: counted in one aggregation over all rows."""
+    kinds = {"n_layouts": layouts, "n_figures": figures, "n_texts": texts, "n_refs": refs}
+    rows = reduce(DataFrame.unionByName, (df.select(*PAGE, F.lit(k).alias("_kind")) for k, df in enumerate(kinds.values())))
+    counts = rows.groupBy(*PAGE).agg(*(F.count_if(F.col("_kind") == k).alias(n) for k, n in enumerate(kinds)))
+    return pages.join(counts, PAGE, "left").withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in kinds})
 
 
 def document_summary(counts: DataFrame, documents: DataFrame | None = None) -> DataFrame:

@@ -6,34 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlgate.functions.geometry import inside
 from marlgate.functions.patterns import fallback_chapter, match_chapter, match_section, may_be_heading, strip
-from marlgate.operators.layout import texts_in_titles
+from marlgate.operators.layout import TITLE_MARGIN, texts_in_titles, title_regions
 
 PAGE = ["doc_id", "page_index"]
 TEXT = [*PAGE, "text_idx"]
 
 
-def isolated_texts(texts: DataFrame, page: DataFrame | None = None) -> DataFrame:
-    """Texts without another one on the page whose vertical centre is within half their height; ``page`` has all the texts."""
-    other = (texts if page is None else page).select(F.col("doc_id").alias("d"), F.col("page_index").alias("p"), F.col("text_idx").alias("i"), ((F.col("y0") + F.col("y1")) / 2).alias("centre"))
-    apart = F.abs(F.col("centre") - (F.col("y0") + F.col("y1")) / 2) < (F.col("y1") - F.col("y0")) / 2
-    near = (F.col("doc_id") == F.col("d")) & (F.col("page_index") == F.col("p")) & (F.col("text_idx") != F.col("i")) & apart
-    return texts.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null").join(other, near, "left_anti")
-
-
-def heading_tests(texts: DataFrame, top: float = 200.0, taller: float = 1.5, page: DataFrame | None = None) -> DataFrame:
+def heading_tests(texts: DataFrame, top: float = 200.0, taller: float = 1.5) -> DataFrame:
     """Adds at_top, is_tall (against the page's mean height), is_isolated and is_heading (any of them).
 
-    Where ``texts`` are some of a page's only, ``page`` has them all: what the tests compare with.
+    A text is isolated if no other one of its page has its vertical centre within half this one's height: neither of its neighbours
+    in order of centres has, as others are farther.  So a page is sorted once, and nothing is joined.
     """
-    page = texts if page is None else page
-    height = F.col("y1") - F.col("y0")
-    means = page.groupBy(*PAGE).agg(F.avg(height).alias("_mean"))
-    isolated = isolated_texts(texts, page).select(*TEXT, F.lit(True).alias("is_isolated"))
-    out = texts.join(means, PAGE, "left").withColumn("at_top", F.coalesce(F.col("y0") < top, F.lit(False)))
-    out = out.withColumn("is_tall", F.coalesce(height > F.col("_mean") * taller, F.lit(False))).drop("_mean")
-    out = out.join(isolated, TEXT, "left").withColumn("is_isolated", F.coalesce("is_isolated", F.lit(False)))
-    return out.withColumn("is_heading", F.col("at_top") | F.col("is_tall") | F.col("is_isolated"))
+    height, centre = F.col("y1") - F.col("y0"), (F.col("y0") + F.col("y1")) / 2
+    by_centre = W.partitionBy(*PAGE).orderBy("_centre")
+    out = texts.withColumn("_centre", centre)
+    out = out.withColumns({"_mean": F.avg(height).over(W.partitionBy(*PAGE)), "_above": F.lag("_centre").over(by_centre), "_below": F.lead("_centre").over(by_centre)})
+    near = lambda c: F.coalesce(F.abs(F.col(c) - F.col("_centre")) < height / 2, F.lit(False))
+    boxed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    out = out.withColumns({"at_top": F.coalesce(F.col("y0") < top, F.lit(False)), "is_tall": F.coalesce(height > F.col("_mean") * taller, F.lit(False)), "is_isolated": boxed & ~near("_above") & ~near("_below")})
+    return out.withColumn("is_heading", F.col("at_top") | F.col("is_tall") | F.col("is_isolated")).drop("_centre", "_mean", "_above", "_below")
 
 
 def page_structure(pages: DataFrame, texts: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -42,15 +36,20 @@ def page_structure(pages: DataFrame, texts: DataFrame, layouts: DataFrame) -> Da
     The last chapter heading of a page counts.  Section headings count in title boxes only, and a chapter heading is not looked at
     as a section.  Both are aggregates over the page's texts.
 
-    Only texts that match a pattern take part in the joins that tell headings.
+    Texts go to their pages without content but what their patterns say, and only those that match one meet title boxes.
     """
     content = strip(F.col("text"))
-    likely = texts.where(may_be_heading(content)).withColumn("c", match_chapter(content)).withColumn("s", match_section(content)).where("c is not null or s is not null")
-    titled = texts_in_titles(likely, layouts).select(*TEXT, F.lit(True).alias("is_title"))
-    judged = heading_tests(likely, page=texts).join(titled, TEXT, "left").withColumn("is_title", F.coalesce("is_title", F.lit(False)))
-    is_chapter = F.col("c").isNotNull() & (F.col("is_title") | F.col("is_heading"))
-    is_section = F.col("s").isNotNull() & F.col("is_title") & ~is_chapter
-    found = judged.groupBy(*PAGE).agg(
+    likely = may_be_heading(content)
+    boxes = ("x0", "y0", "x1", "y1")
+    slim = texts.select(*TEXT, *boxes, F.when(likely, match_chapter(content)).alias("c"), F.when(likely, match_section(content)).alias("s"))
+    judged = heading_tests(slim).where("c is not null or s is not null").select(*PAGE, "text_idx", "is_heading", "c", "s", *(F.col(b).alias(f"i_{b}") for b in boxes))
+    titles = title_regions(layouts).select(F.col("doc_id").alias("_d"), F.col("page_index").alias("_p"), *(F.col(b).alias(f"o_{b}") for b in boxes))
+    # a text in several boxes is there several times, which the aggregates do not mind
+    boxed = judged.join(titles, (F.col("doc_id") == F.col("_d")) & (F.col("page_index") == F.col("_p")) & inside("i_", "o_", TITLE_MARGIN), "left")
+    is_title = F.col("_d").isNotNull()
+    is_chapter = F.col("c").isNotNull() & (is_title | F.col("is_heading"))
+    is_section = F.col("s").isNotNull() & is_title & ~is_chapter
+    found = boxed.groupBy(*PAGE).agg(
         F.max_by("c", F.when(is_chapter, F.col("text_idx"))).alias("c"),
         F.max_by("s", F.when(is_section, F.col("text_idx"))).alias("s"),
     )

@@ -14,10 +14,11 @@ from marlgate.storage import cut
 
 @dataclass
 class Analysis:
-    """The tables of an analysis: what a result does not need is not computed.
+    """The tables of an analysis, all lazy but three.
 
-    Tables that several steps read (those of pages and of figures, the registry, the mentions) are written to the shared folder when
-    they are first asked for, so that no result works them out twice; the others are lazy.  The input tables are best stored ones.
+    ``carried`` (a row for each page) and ``entries`` (the ranked registry) are read by several steps, and written to the shared folder
+    when they are first asked for.  ``stored_mapped`` and ``stored_figures`` are for nested results, which read mentions and figures
+    more than once.  A result that does not need them does not work them out.  The texts are best a stored table.
     """
 
     pages: DataFrame
@@ -48,32 +49,48 @@ class Analysis:
 
     @cached_property
     def named_figures(self) -> DataFrame:
-        return cut(captions.name_figures(self.figures, self.captions, self.carried), "figures")
+        return captions.name_figures(captions.with_texts(self.figures, self.texts), None, self.carried)
 
     @cached_property
-    def registry(self) -> DataFrame:
-        return cut(mapping.figure_registry(self.named_figures, self.carried, self.below), "registry")
+    def stored_figures(self) -> DataFrame:
+        return cut(self.named_figures, "figures")
 
     @cached_property
     def entries(self) -> DataFrame:
         """The registry with the ranks that lookups go by."""
-        return cut(mapping.ranked(self.registry), "entries")
+        figures = self.__dict__.get("stored_figures", self.named_figures)
+        return cut(mapping.ranked(mapping.figure_registry(figures, self.carried)), "entries")
+
+    @cached_property
+    def registry(self) -> DataFrame:
+        return self.entries.drop("in_chapter", "by_number", "n")
 
     @cached_property
     def refs(self) -> DataFrame:
+        """The mentions, without the context of their pages."""
         texts = self.texts
         if self.exclude_captions:
             used = self.captions.select("doc_id", "page_index", "text_idx").distinct()
             texts = texts.join(used, ["doc_id", "page_index", "text_idx"], "left_anti")
-        return references.with_page_context(references.scan_references(texts), self.carried)
+        return references.scan_references(texts)
+
+    @cached_property
+    def refs_in_context(self) -> DataFrame:
+        """The mentions with the chapter and section of their own pages."""
+        return references.with_page_context(self.refs, self.structure)
 
     @cached_property
     def mapped(self) -> DataFrame:
-        return cut(mapping.map_references(self.refs, self.entries, self.carried), "mapped")
+        """The mentions with context and figures."""
+        return mapping.map_references(self.refs, self.entries, self.carried)
+
+    @cached_property
+    def stored_mapped(self) -> DataFrame:
+        return cut(self.mapped, "mapped")
 
     @cached_property
     def counts(self) -> DataFrame:
-        refs = self.mapped if "mapped" in self.__dict__ else self.refs  # a row for a mention each
+        refs = self.__dict__.get("stored_mapped", self.refs)  # a row for a mention each
         return reports.page_counts(self.pages, self.layouts, self.figures, self.texts, refs)
 
     @cached_property
@@ -86,25 +103,26 @@ class Analysis:
 
     @cached_property
     def figure_list(self) -> DataFrame:
-        return display.display_figures(self.pages, self.named_figures, mapping.reference_counts(self._shown_refs))
-
-    @cached_property
-    def _shown_refs(self) -> DataFrame:
-        return self.mapped.join(display.shown_pages(self.pages).select("doc_id", "page_index"), ["doc_id", "page_index"], "left_semi")
+        mapped = self.__dict__.get("stored_mapped", self.mapped)
+        shown = mapped.join(display.shown_pages(self.pages).select("doc_id", "page_index"), ["doc_id", "page_index"], "left_semi")
+        return display.display_figures(self.pages, self.__dict__.get("stored_figures", self.named_figures), mapping.reference_counts(shown))
 
     @cached_property
     def elements(self) -> DataFrame:
-        return display.layout_elements(self.pages, self.texts, self.named_figures, self.mapped, structure=self.carried)
+        figures, mapped = (self.__dict__.get(stored, lazy) for stored, lazy in (("stored_figures", self.named_figures), ("stored_mapped", self.mapped)))
+        return display.layout_elements(self.pages, self.texts, figures, mapped, structure=self.carried)
 
     @cached_property
     def raw(self) -> DataFrame:
-        return raw.to_raw(self.pages, self.layouts, self.texts, self.named_figures, self.mapped, self.carried, self.chapters, self.summary)
+        figures, mapped = self.stored_figures, self.stored_mapped
+        return raw.to_raw(self.pages, self.layouts, self.texts, figures, mapped, self.carried, self.chapters, self.summary)
 
     def display(self, documents: DataFrame | None = None) -> DataFrame:
         """Nested documents; ``documents`` has doc_id, title, total_pages and processing_time."""
         if documents is None:
             documents = self.pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages"))
             documents = documents.select("doc_id", F.lit(None).cast("string").alias("title"), "total_pages", F.lit(None).cast("double").alias("processing_time"))
+        _ = self.stored_figures, self.stored_mapped
         return display.to_display(documents, self.pages, self.carried, self.chapters, self.figure_list, self.elements, self.texts)
 
 
@@ -117,8 +135,8 @@ def fixture_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
 
 
 def stored_fixture(spark: SparkSession, sf_dir: str) -> Analysis:
-    """The same over written tables, for results that read them more than once."""
+    """The same over written texts, for results that read them more than once: pages and layouts are made from them as they are read."""
     from marlgate.sources.fixtures import fixture_layouts, fixture_pages, fixture_texts
 
     texts = cut(fixture_texts(spark, sf_dir), "texts")
-    return Analysis(cut(fixture_pages(texts), "pages"), cut(fixture_layouts(texts), "layouts"), texts)
+    return Analysis(fixture_pages(texts), fixture_layouts(texts), texts)

@@ -50,7 +50,7 @@ def heading_heuristic(spark, d):
 
 
 def chapter_extract(spark, d):
-    return fixture_analysis(spark, d).structure.select(*PAGE, "chapter", "title", "language")
+    return stored_fixture(spark, d).structure.select(*PAGE, "chapter", "title", "language")
 
 
 def section_extract(spark, d):
@@ -64,11 +64,11 @@ def chapter_match(spark, d):
 
 
 def page_structure(spark, d):
-    return fixture_analysis(spark, d).structure
+    return stored_fixture(spark, d).structure
 
 
 def chapter_fill_forward(spark, d):
-    return fixture_analysis(spark, d).carried.select(*PAGE, "carried_chapter", "carried_section")
+    return stored_fixture(spark, d).carried.select(*PAGE, "carried_chapter", "carried_section")
 
 
 def chapter_fallback(spark, d):
@@ -86,16 +86,16 @@ def box_normalize(spark, d):
 
 
 def caption_best_match(spark, d):
-    found = fixture_analysis(spark, d).captions
+    found = stored_fixture(spark, d).captions
     return found.select(*FIG, "text_idx", "caption", "figure_number", "title", F.round("score", 6).alias("score"), *_box("caption_bbox"))
 
 
 def caption_nearest_below(spark, d):
-    return fixture_analysis(spark, d).below.select(*FIG, "text_idx", F.round("distance", 6).alias("distance"), "figure_number")
+    return stored_fixture(spark, d).below.select(*FIG, "text_idx", F.round("distance", 6).alias("distance"), "figure_number")
 
 
 def figure_ids(spark, d):
-    return fixture_analysis(spark, d).named_figures.select(*FIG, "figure_id", "figure_number", "chapter", "section", "caption")
+    return stored_fixture(spark, d).named_figures.select(*FIG, "figure_id", "figure_number", "chapter", "section", "caption")
 
 
 def _scan(rules: list[int]):
@@ -125,7 +125,7 @@ def number_or_guess(spark, d):
 
 
 def mention_page_context(spark, d):
-    return fixture_analysis(spark, d).refs.select(*PAGE, "ref_idx", "chapter", "section")
+    return stored_fixture(spark, d).refs_in_context.select(*PAGE, "ref_idx", "chapter", "section")
 
 
 def figure_number_parse(spark, d):
@@ -149,15 +149,15 @@ def registry_upsert(spark, d):
 
 
 def lookup_chapter(spark, d):
-    return mapping.by_chapter(fixture_analysis(spark, d).entries).select("doc_id", "chapter", "figure_number", "registry_key", "figure_id")
+    return mapping.by_chapter(stored_fixture(spark, d).entries).select("doc_id", "chapter", "figure_number", "registry_key", "figure_id")
 
 
 def lookup_global(spark, d):
-    return mapping.by_number(fixture_analysis(spark, d).entries).select("doc_id", "figure_number", "registry_key", "figure_id")
+    return mapping.by_number(stored_fixture(spark, d).entries).select("doc_id", "figure_number", "registry_key", "figure_id")
 
 
 def lookup_positional(spark, d):
-    return fixture_analysis(spark, d).entries.select("doc_id", F.col("n").cast("bigint").alias("n"), "registry_key", "figure_id")
+    return stored_fixture(spark, d).entries.select("doc_id", F.col("n").cast("bigint").alias("n"), "registry_key", "figure_id")
 
 
 def map_references(spark, d):
@@ -233,7 +233,7 @@ def raw_default_ids(spark, d):
     """Figures of raw results that name none of them."""
     a = stored_fixture(spark, d)
     nameless = a.named_figures.withColumn("figure_id", F.lit(None).cast("string"))
-    made = raw.to_raw(a.pages, a.layouts, a.texts, nameless, a.mapped, a.carried, a.chapters, a.summary)
+    made = raw.to_raw(a.pages, a.layouts, a.texts, nameless, a.stored_mapped, a.carried, a.chapters, a.summary)
     return raw.from_raw(made)["figures"].select(*FIG, "figure_id")
 
 
