@@ -29,7 +29,8 @@ _SECTION_TITLE = f"nullif(trim(CASE WHEN regexp_matches(text, '^(?i:{SECTIONS[0]
 _FALLBACK = _first([p.replace(r"\w", r"[\p{L}\p{N}_]") for p in FALLBACK_CHAPTERS], 1, "")
 _INSIDE = "t.x0 >= l.x0 - {m} AND t.y0 >= l.y0 - {m} AND t.x1 <= l.x1 + {m} AND t.y1 <= l.y1 + {m}"
 _TITLED = "EXISTS (SELECT 1 FROM layouts l WHERE l.doc_id = t.doc_id AND l.page_index = t.page_index AND lower(l.label) IN ('title', 'paragraph_title', 'header') AND " + _INSIDE + ")"
-_MARKS = ", ".join(f"({k}, '{p}')" for k, p in enumerate(_RULES, 1))
+# a pattern that is a constant is compiled once
+_FOUND = " UNION ALL ".join(f"SELECT *, {k} AS rule, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps, regexp_extract_all(text, '{p}', 1) AS one, {f"regexp_extract_all(text, '{p}', 2)" if k == 5 else "NULL"} AS two FROM texts WHERE regexp_matches(text, '{p}')" for k, p in enumerate(_RULES, 1))
 
 _STEPS = f"""
 WITH {TEXTS_SQL.replace("{lineitem}", "lineitem")}, {LAYOUTS_SQL},
@@ -79,12 +80,11 @@ registry AS (SELECT doc_id, registry_key, row_number() OVER (PARTITION BY doc_id
 by_chapter AS (SELECT * FROM registry WHERE chapter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, chapter, figure_number ORDER BY CASE WHEN registry_key = 'ch' || chapter || '_fig' || figure_number THEN 0 ELSE 1 END, ord) = 1),
 by_number AS (SELECT * FROM registry QUALIFY row_number() OVER (PARTITION BY doc_id, figure_number ORDER BY CASE WHEN registry_key = 'fig_' || figure_number THEN 0 ELSE 1 END, ord) = 1),
 by_position AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(chapter, 0), page_index, ord) AS n FROM registry),
-rules(rule, pattern) AS (VALUES {_MARKS}),
-found AS (SELECT t.*, rule, pattern, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS ps FROM texts t, rules),
+found AS ({_FOUND}),
 scan AS (SELECT doc_id, page_index, text_idx, text_id, x0, y0, x1, y1, text AS full_text, rule, part, ms[i] AS mention,
   CAST(list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0) AS BIGINT) AS start_pos,
-  CAST(floor(CAST((CASE part WHEN 1 THEN regexp_extract_all(text, pattern, 1) ELSE regexp_extract_all(text, pattern, 2) END)[i] AS DOUBLE)) AS BIGINT) AS figure_number
-  FROM found, unnest(range(1, len(ms) + 1)) AS r(i), (VALUES (1), (2)) AS q(part) WHERE len(ms) > 0 AND (part = 1 OR rule = 5)),
+  CAST(floor(CAST((CASE part WHEN 1 THEN one ELSE two END)[i] AS DOUBLE)) AS BIGINT) AS figure_number
+  FROM found, unnest(range(1, len(ms) + 1)) AS r(i), (VALUES (1), (2)) AS q(part) WHERE part = 1 OR rule = 5),
 refs AS (SELECT *, start_pos + length(mention) AS end_pos, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY text_idx, rule, start_pos, part) - 1 AS ref_idx FROM scan),
 looked AS (SELECT r.*, o.carried_chapter AS own, CASE WHEN r.figure_number <> 0 THEN CASE WHEN a.doc_id IS NOT NULL THEN 'chapter' WHEN b.doc_id IS NOT NULL THEN 'global' WHEN c.doc_id IS NOT NULL THEN 'positional' ELSE 'unmapped' END ELSE 'zero' END AS tier,
   struct_pack(id := a.figure_id, page := a.page_index, chapter := a.chapter, caption := a.caption) AS fa, struct_pack(id := b.figure_id, page := b.page_index, chapter := b.chapter, caption := b.caption) AS fb,
