@@ -4,8 +4,9 @@ Filters two, three and four bytes wide run over windows of 256 bytes of UTF-8; e
 zero, goes into a softmax over the languages.  A text's windows cover all of it, and their probabilities are averaged, weighted
 by length.  Applying the network needs no shuffle.  As bytes are few, a filter is a table of byte pairs that is looked up.
 
-The network is trained on the driver with a bounded sample: ``PER_LANGUAGE`` documents of each language, however many languages
-there are, picked by a hash of their id, with three windows each.  Only text and language of documents outside the held-out
+The network is trained on the driver with a bounded sample: ``PER_LANGUAGE`` documents of each language, or fewer where there are so
+many languages that these would be more than ``MOST_LEARNED`` in all, picked by a hash of their id, with three windows each.  Were
+there more languages than that, the ones with the most documents would be learned, one of each.  Only text and language of documents outside the held-out
 third (crc32 of the id modulo 3 is 1) are used.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.  A null id is not held out and not learned from.
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlgate.llm.scratch import cut
 from marlgate.shipping import map_in_arrow
 
 WINDOW, FILTERS, WIDTHS = 256, 16, (2, 3, 4)
-PER_LANGUAGE, EPOCHS = 500, 6
+PER_LANGUAGE, MOST_LEARNED, EPOCHS = 500, 100_000, 6
 UNDETERMINED = "und"
 #: Windows that are looked at together.
 BATCH = 96
@@ -122,13 +124,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     own = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"), held_out(key).alias("out"))
     own = own.where("not out and id is not null and lang is not null and t is not null")
     # the documents of each language with the least hashes of their ids: about twice as many as wanted go on, then the least of them
-    counts = own.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(2.0 * PER_LANGUAGE) / F.col("count")).alias("share"))
+    counts = cut(own.groupBy("lang").count(), "languages")
+    n = counts.count()
+    if n > MOST_LEARNED:
+        counts = counts.orderBy(F.desc("count"), "lang").limit(MOST_LEARNED)
+    each = max(1, min(PER_LANGUAGE, MOST_LEARNED // max(n, 1)))
+    # at least forty are drawn, so that some language is left without one once in 10^17
+    counts = counts.select(F.col("lang").alias("_lang"), (F.lit(2.0 * max(each, 20)) / F.col("count")).alias("share"))
     draw = F.abs(F.xxhash64("id") / F.lit(2.0**63))
     drawn = own.join(counts, F.col("lang") == F.col("_lang")).where(draw < F.col("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "t"))
     begin = lambda k: F.lit(1) + F.floor(F.greatest(F.length("t") - WINDOW, F.lit(0)) * k / 2).cast("int")
     pieces = F.explode(F.array_distinct(F.array(*(F.substring("t", begin(k), F.lit(WINDOW)) for k in range(3)))))
-    rows = drawn.withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).select("lang", "id", pieces.alias("piece")).collect()
+    rows = drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "id", pieces.alias("piece")).collect()
     rows = sorted((r for r in rows if any(map(str.isalpha, r["piece"]))), key=lambda r: (r["lang"], str(r["id"]), r["piece"]))
     if not rows:
         return None

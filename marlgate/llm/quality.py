@@ -22,6 +22,8 @@ from marlgate.llm.scratch import cut, shielded
 WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MIN_CHARS = 80, 500
+#: So many other languages' references (a few numbers each) are sent to all tasks; more are joined.
+MOST_SENT = 10_000
 #: Distances beyond these reject.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.36
 #: Steps in which shares are counted for medians.
@@ -192,8 +194,10 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     features = _features(own, inner[text], inner[lang], held)
     of = F.col(inner[lang])
     listed = F.coalesce(of.isin(*references), F.lit(False))
-    # a row for each other language: joined, as there may be any number of them
-    features = features.join(F.broadcast(medians(features.where(~listed), of).drop("_word_shares")), of == F.col("_g"), "left")
+    # a row for each other language: sent to all tasks where these are few, else joined, as there may be any number of them
+    others = cut(medians(features.where(~listed), of).drop("_word_shares"), "medians")
+    few = others.limit(MOST_SENT + 1).count() <= MOST_SENT
+    features = features.join(F.broadcast(others) if few else others, of == F.col("_g"), "left")
     shares = lambda k: _by_language(of, {name: F.array(*map(F.lit, r[k])) for name, r in references.items()}, F.lit(None).cast("array<double>"))
     classes, words = F.when(listed, shares(0)).otherwise(F.col("_class_shares")), shares(1)
     chars = _total("_classes")

@@ -27,9 +27,10 @@ from marlgate.llm.quality import COMMON_WORDS
 from marlgate.llm.scratch import shielded
 
 # A name with a keyword, and a sign of assignment; at most CONTEXT characters, as it is looked for behind.
-NAMED = "(?i:passw(?:or)?d|pwd|passphrase|secret|token|api[_ -]?key|auth|credential|private[_ -]?key|access[_ -]?key|signing[_ -]?key)[A-Za-z0-9_.-]{0,20}[\"'`]?[ \\t]{0,2}(?:=>|:=|[=:])[ \\t]{0,2}[\"'`]?"
+_KEY = "(?:api|private|access|signing|encrypt(?:ion)?|account|shared|storage|master|secret|session|hmac|aes|ssh|license)[_ -]?key"
+NAMED = f"(?i:passw(?:or)?d|pass(?![a-z])|pwd|passphrase|secret|token|{_KEY}|auth|credential)[A-Za-z0-9_.-]{{0,20}}[\"'`]?[ \\t]{{0,2}}(?:=>|:=|[=:])[ \\t]{{0,2}}[\"'`]?"
 VALUE = f"(?<=[=:>][ \\t\"'`]{{0,3}})(?=[^\\s\"'`]{{6}})(?<={NAMED})[^\\s\"'`]{{5,}}[^\\s\"'`.,;:)\\]}}]"
-KNOWN = "(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-|sk_live_|xox[abprs]-|glpat-|AIza|npm_)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+){1,2})"
+KNOWN = "(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|github_pat_|sk-|[sr]k_(?:live|test)_|xox[abprs]-|glpat-|AIza|npm_|hf_)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+){1,2})"
 RUN = "(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![\"'`]?[A-Za-z0-9]))?"
 # The password of a user in a URL; the colon is looked for first, as the look behind it is dear.
 IN_URL = "(?<=:)(?<=://[^\\s/@:]{1,64}:)[^\\s/@]{6,}(?=@)"
@@ -43,10 +44,10 @@ MASK = "[SECRET]"
 # Words that make up names and placeholders rather than secrets.
 DICTIONARY = "access account alpha beta build chapter client config data default demo docs download dummy example file final image index info intro item large library list local main model module name number overview package page part path photo project public python readme release report review sample script section server service session small source staging stable static system table target temp test thumb tutorial update upload user value version video view".split()
 # Patterns over what stands before a candidate, the candidate, and the path.
-KEYWORD = "(?i)(token|secret|passw|pwd|api[ _-]?key|apikey|auth|bearer|credential|private|access[ _-]?key|signing)[^\\n]{0,12}$"
+KEYWORD = f"(?i)(token|secret|passw|pass(?![a-z])|pwd|apikey|{_KEY}|auth|bearer|credential|private|signing)[^\\n]{{0,12}}$"
 ASSIGNED = "[=:]\\s*[\"'`]?$"
-HARMLESS = "(?i)(commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|build|revision|etag|card|iban|phone|isbn|doi|order|invoice|serial|id)[^\\n]{0,8}$"
-PREFIX = "^(AKIA|ASIA|gh[pousr]_|sk-|sk_live_|xox[abprs]-|glpat-|eyJ|AIza|npm_)"
+HARMLESS = "(?i)(commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|build|revision|etag|card|iban|phone|isbn|doi|order|invoice|serial|request|trace|span|node|version|playlist|list|type|id)[^\\n]{0,8}$"
+PREFIX = "^(AKIA|ASIA|gh[pousr]_|github_pat_|sk-|[sr]k_(live|test)_|hf_|xox[abprs]-|glpat-|eyJ|AIza|npm_)"
 PLACEHOLDER = "(?i)(x{4,}|0{6,}|1234567|abcdef|your|example|changeme|dummy|sample|placeholder)"
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 CODE = "[(){}<>\\[\\]]|^\\$|://|^[A-Za-z_]+(\\.[A-Za-z_]+)+$"
@@ -129,9 +130,9 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
         quote = rng.choice(['"', "'", ""])
         path = rng.choice(["", "", f"src{rng.randint(0, 99)}", "app/settings.yml", "deploy/.env", "src/main.py", "tests/test_auth.py", "docs/guide.md"])
         if i % 2 == 0:
-            key = rng.choice(["token", "api_key", "API key", "secret", "password", "auth_token", "access_key", "client_secret", "credential"])
-            body = rng.choice([lambda: draw(hexa, rng.choice([32, 40, 64])), lambda: draw(mixed, rng.randint(20, 48)), lambda: draw(mixed + "+/", 40), lambda: uuid()])()
-            body = rng.choice([body, body, rng.choice(["ghp_", "sk-", "sk_live_", "AKIA", "glpat-", "xoxb-"]) + draw(mixed, 32)])
+            key = rng.choice(["token", "api_key", "API key", "secret", "password", "auth_token", "access_key", "client_secret", "credential", "pass", "DB_PASS", "encryption_key", "master key", "AccountKey", "storage_key", "session_key"])
+            body = rng.choice([lambda: draw(hexa, rng.choice([32, 40, 64])), lambda: draw(mixed, rng.randint(20, 48)), lambda: draw(mixed + "+/", 40), lambda: draw(mixed + "+/", 86) + "==", lambda: draw(hexa, 64), lambda: uuid()])()
+            body = rng.choice([body, body, rng.choice(["ghp_", "sk-", "sk_live_", "AKIA", "glpat-", "xoxb-", "github_pat_", "sk_test_"]) + draw(mixed, rng.choice([32, 60]))])
             if not any(c.isdigit() for c in body):
                 body += draw(digits, 2)
             before = rng.choice([f"{prose()} {key} = {quote}", f"{prose()} {key}: {quote}", f"{key}={quote}", f"{prose()} bearer "])
@@ -139,7 +140,8 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
         else:
             what, body = rng.choice([
                 ("commit ", draw(hexa, 40)), ("sha256: ", draw(hexa, 64)), ("md5 = ", draw(hexa, 32)), ("checksum ", draw(hexa, 40)),
-                ("id: ", uuid()), ("uuid = ", uuid()), ("", draw(digits, 16)), ("card ", draw(digits, 16)), ("", draw(digits, rng.randint(16, 30))),
+                ("id: ", uuid()), ("uuid = ", uuid()), (rng.choice(["request ", "trace=", "span ", "node ", "session started by ", ""]), uuid()), (f"https://{draw(lower, 7)}.com/{rng.choice(['watch?v=', 'playlist?list=', 'p/', '?ref=', 'a?b='])}", rng.choice(["PL", "", "UU"]) + draw(mixed + "_-", rng.randint(16, 34))),
+                (f"https://{draw(lower, 7)}.org/", "-".join(draw(lower, rng.randint(3, 8)) for _ in range(rng.randint(3, 6))) + "-" + draw(digits, 4)), (prose() + " ", draw(lower, 5) + "_".join([draw(upper[:6] + lower, 7), draw(lower, 6), draw(digits, 2)])), ("", draw(digits, 16)), ("card ", draw(digits, 16)), ("", draw(digits, rng.randint(16, 30))),
                 ("see ", name() + "-" + rng.choice(DICTIONARY) + "-" + rng.choice(DICTIONARY)), ("", name() + "_" + name()), ("", "/usr/" + name() + "/" + name()),
                 ("token = " + quote, "YOUR_TOKEN_" + draw(digits, 6)), ("password: ", "x" * rng.randint(12, 30) + draw(digits, 2)), ("api_key = " + quote, "example-key-" + draw("01", 8)),
                 (f"data:image/{rng.choice(['png', 'gif', 'jpeg'])};base64,", draw(mixed + "+/", rng.randint(60, 400))), (rng.choice(["", "begin 644 "]), draw(mixed + "+/", rng.randint(200, 600))),
@@ -153,7 +155,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     for i in range(n):
         quote = rng.choice(['"', "'", ""])
         path = rng.choice(["", "", "app/settings.yml", "deploy/.env", "src/main.py", f"src{rng.randint(0, 99)}"])
-        name_of = rng.choice(["password", "db_password", "passwd", "pwd", "secret", "CLIENT_SECRET", "token", "api_key", "DB_PASSWORD_2024_PROD", "CLIENT_SECRET_2024_PROD", "auth_token", "passphrase"])
+        name_of = rng.choice(["password", "db_password", "passwd", "pwd", "secret", "CLIENT_SECRET", "token", "api_key", "pass", "DB_PASS", "smtp_pass", "encryption_key", "DB_PASSWORD_2024_PROD", "CLIENT_SECRET_2024_PROD", "auth_token", "passphrase"])
         before = rng.choice(["", f"{prose()} ", f"{prose()}\n", "{" + quote]) + name_of + rng.choice([f"={quote}", f" = {quote}", f": {quote}", f'": {quote}'])
         after = quote + rng.choice([" ", "\n", ", "]) + prose()
         if i % 2 == 0:
@@ -172,8 +174,10 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
                 ])()
             out.append((before, body + draw(mixed, max(0, SHORTEST - len(body))), after, path, 1))
         else:
+            if i % 6 == 3:  # words about a secret, not a secret
+                before = rng.choice(["", f"{prose()} "]) + rng.choice(["token_type", "tokenizer", "auth_method", "password_policy", "secret_name", "token_count", "auth_provider", "key_type", "passing", "token_class"]) + rng.choice([": ", " = ", '": "'])
             body = rng.choice([
-                lambda: draw(lower, rng.randint(6, 12)), lambda: draw(lower, rng.randint(5, 9)).title() + "x", lambda: rng.choice(["string", "required", "please", "Optional", "undefined", "changeme", "your-password", "********", "xxxxxxxx", "Bearer", "boolean"]),
+                lambda: draw(upper, 1) + draw(lower, rng.randint(3, 6)) + draw(upper, 1) + draw(lower, rng.randint(3, 6)), lambda: draw(lower, rng.randint(6, 12)), lambda: draw(lower, rng.randint(5, 9)).title() + "x", lambda: rng.choice(["string", "required", "please", "Optional", "undefined", "changeme", "your-password", "********", "xxxxxxxx", "Bearer", "boolean"]),
                 lambda: f"get_{draw(lower, 6)}()", lambda: "${" + draw(upper, 8) + "}", lambda: f"os.environ[{draw(upper, 5)}]", lambda: f"config.{draw(lower, 6)}.{draw(lower, 5)}", lambda: f"https://{draw(lower, 8)}.org/{draw(lower, 4)}", lambda: f"<{draw(lower, 8)}>", lambda: f"{draw(lower, 5)}-{draw(lower, 6)}", lambda: f"{draw(lower, 5)}_{draw(lower, 6)}",
             ])()
             if i % 14 == 1:
@@ -195,7 +199,7 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None) -> list[Node]:
         return _default[0]
     rows = spark.createDataFrame(labelled_findings(), "before string, candidate string, after string, path string, label int") if labelled is None else labelled
     found = rows.where("candidate <> '' and label is not null").select(features(F.col("candidate"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit(""))).alias("x"), "label")
-    sample = found.limit(MAX_LABELLED).collect()
+    sample = found.orderBy(F.xxhash64("x", "label")).limit(MAX_LABELLED).collect()  # the same rows in each run
     forest = train_forest(np.array([r["x"] for r in sample], float), np.array([r["label"] for r in sample], float))
     if labelled is None:
         _default.append(forest)

@@ -61,6 +61,8 @@ def test_query_over_all_documents(spark, data):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
     rows = op10_bpe(spark, data).collect()
     assert len(rows) == len(texts)
-    for r in rows[::7]:
-        ids = LIBRARY.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+    for r in rows:
+        ids = LIBRARY.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        decoded = LIBRARY.decode(ids, skip_special_tokens=False)
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()

@@ -155,3 +155,40 @@ def test_redaction(spark):
     found = secrets.find_secrets(df.where("doc_id = 50")).orderBy("start").collect()
     assert [(r["start"], r["length"], r["is_secret"]) for r in found] == [(17, 40, True), (75, 40, True)]
     assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_secrets_of_many_kinds_and_their_look_alikes(spark):
+    """Twelve draws of each kind; kinds marked by * are not in the examples that the forest learned from."""
+    import random
+    import string
+
+    rng = random.Random(977)
+    lower, upper, digits, hexa = string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"
+    mixed = lower + upper + digits
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda: rng.choice(["river", "garden", "window", "market", "silver", "planet", "bridge", "castle"])
+    uuid = lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12))
+    secret = {
+        "DB_PASS={}": lambda: draw(mixed, 10) + "!", "pushed with {} today": lambda: "github_pat_" + draw(mixed, 22) + "_" + draw(mixed, 59), 'encryption_key = "{}"': lambda: draw(hexa, 64),
+        "AccountName=st;AccountKey={};x": lambda: draw(mixed + "+/", 86) + "==", "* hmac_key: {}": lambda: draw(hexa, 40), "* login {}": lambda: "hf_" + draw(mixed, 34), "* {}": lambda: "rk_live_" + draw(mixed, 24),
+        "* postgres://app:{}@db.internal/x": lambda: draw(mixed, 12),
+    }
+    harmless = {
+        "https://www.youtube.com/playlist?list={}": lambda: "PL" + draw(mixed + "_-", 32), "token_type: {}": lambda: "WordPiece", "request {} failed": uuid, "* job {} ended": uuid,
+        "https://blog.org/{}": lambda: "-".join(word() for _ in range(4)) + "-" + draw(digits, 4), "call {} here": lambda: "_".join(word() for _ in range(3)) + draw(digits, 2), "* class {} extends": lambda: "".join(word().title() for _ in range(4)) + "2",
+        "* image@sha256:{}": lambda: draw(hexa, 64), "* auth_method: {}": lambda: "PasswordLogin",
+    }
+    rows = [(label, kind, value, f"{word()} {kind.removeprefix('* ').format(value)} {word()}") for label, kinds in ((1, secret), (0, harmless)) for kind, make in kinds.items() for value in (make() for _ in range(12))]
+    texts = docs(spark, [(k, r[3]) for k, r in enumerate(rows)])
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(texts).collect()}
+    lost = [r[1] for k, r in enumerate(rows) if r[0] and r[2] in masked[k]]
+    spoiled = [r[1] for k, r in enumerate(rows) if not r[0] and masked[k] != r[3]]
+    assert len(lost) <= 0.1 * 12 * len(secret) and len(spoiled) <= 0.02 * 12 * len(harmless), (lost, spoiled)
+
+
+def test_languages_share_a_bound(spark, monkeypatch):
+    """More languages than documents may be learned: the most frequent ones are, one document of each."""
+    monkeypatch.setattr(langid, "MOST_LEARNED", 6)
+    table = docs(spark, [(k, f"word {k} " * 20, f"l{min(k // 9, 9)}", "a") for k in range(120)])
+    model = langid.fit(table)
+    assert len(model.languages) <= 6 and "l9" in model.languages
