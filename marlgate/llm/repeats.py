@@ -23,7 +23,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -136,20 +136,34 @@ def _equal(m: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np
     return np.minimum(run, np.minimum(n[i], n[j]))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares sorted suffixes (h, id, pos, before, after) with the nearest ones of other documents on both sides.
 
-    Yields matches (kind 0: id, from, to, other); with ``ends`` also the first and the last run of one document's suffixes (kind 1,
-    with all columns), whose neighbours are partly in other tasks.
+    Yields matches (kind 0: id, from, to, other) and reaches (kind 2).  A run is what stands together of one document under one hash;
+    the neighbours of the first and the last run of a range are in part in other ranges, so these are yielded too (kind 1, ``first`` the
+    range, ``last`` 1 for the first run, 2 for the last, 3 for both), with the rows that other ranges need (kind 3, ``last`` 0 to 3: the
+    first row, the first of the second run, the last of the last run but one, the last row).
     """
-    held: pa.Table | None = None
-    skip, first, last = 0, True, False  # rows of ``held`` that are there as neighbours only
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    waiting: list[pa.Table] = []
+    skip, first, last = 0, True, False  # rows that are there as neighbours only
     batches = iter(batches)
+    tail = None
     while not last:
         batch = next(batches, None)
         last = batch is None
-        parts = [x for x in (held, None if last else pa.Table.from_batches([batch])) if x is not None]
-        table = pa.concat_tables(parts).combine_chunks() if parts else None
+        if not last:
+            if not batch.num_rows:
+                continue
+            waiting.append(pa.Table.from_batches([batch]))
+            keys = [batch.column(c).to_numpy() for c in (0, 1)]
+            goes_on = tail is not None and all((k == t).all() for k, t in zip(keys, tail, strict=True))
+            tail = [k[-1] for k in keys]
+            if goes_on:  # nothing can be compared before the run ends
+                continue
+        table = pa.concat_tables(waiting).combine_chunks() if waiting else None
         if table is None or not len(table):
             continue
         h, ids, pos = (table.column(c).to_numpy() for c in ("h", "id", "pos"))
@@ -178,19 +192,69 @@ def _neighbours(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.Re
             yield _matches(np.concatenate(rows, axis=1))
         if done > skip and (some := skip + np.flatnonzero(far[:, skip:done].any(axis=0))).size:
             yield _reaches(h[some], ids[some], pos[some], far[:, some])
-        if ends and (first and done or last):
-            edge = np.zeros(n, bool)
-            if first:
-                edge[run == run[0]] = True
-            if last:
-                edge[run == run[-1]] = True
-            edge[:skip] = False
-            if edge.any():
-                yield _edges(table.filter(pa.array(edge)))
+        edge = np.zeros(n, np.int64)
+        if first and done:
+            edge[run == 0] += 1
+            yield _edges(table.slice(0, 1), 3, part, [0])
+            if len(start) > 1:
+                yield _edges(table.slice(int(start[1]), 1), 3, part, [1])
+        if last:
+            edge[run == run[-1]] += 2
+            if start[-1] > 0:
+                yield _edges(table.slice(int(start[-1]) - 1, 1), 3, part, [2])
+            yield _edges(table.slice(n - 1, 1), 3, part, [3])
+        if not first:
+            edge[:skip] = 0
+        if edge.any():
+            yield _edges(table.filter(pa.array(edge > 0)), 1, part, edge[edge > 0])
         first = first and not done
         keep = max(0, done - 1) if done > 0 else 0
         skip = min(1, done) if done else skip
-        held = table.slice(keep)
+        waiting = [table.slice(keep)]
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the rows of kind 3, four a range at most, the row of another run before each range (last = 1) and after it (last = 2)."""
+    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if not tables:
+        return
+    table = pa.concat_tables(tables).combine_chunks()
+    part, slot, h, ids = (table.column(c).to_numpy() for c in ("first", "last", "h", "id"))
+    at: dict[int, dict[int, int]] = {}
+    for i in range(len(table)):
+        at.setdefault(int(part[i]), {})[int(slot[i])] = i
+    same = lambda i, j: h[i] == h[j] and ids[i] == ids[j]
+    for side, order, edge, near, beyond in ((1, sorted(at), 0, 3, 2), (2, sorted(at, reverse=True), 3, 0, 1)):
+        closest = other = None  # the row next to the border, and the next one of another run
+        for p in order:
+            own = at[p]
+            found = closest if closest is None or not same(closest, own[edge]) else other
+            if found is not None and h[found] == h[own[edge]]:
+                yield _edges(table.slice(found, 1), 3, p, [side])
+            if beyond in own:
+                closest, other = own[near], own[beyond]
+            else:
+                closest, other = own[near], other if closest is not None and same(closest, own[near]) else closest
+
+
+def _at_border(table: pa.Table) -> pa.Table:
+    """Compares the edge runs of a range (kind 1) with the rows beyond its borders (kind 3)."""
+    table = table.combine_chunks()
+    kind, slot, h, ids, pos = (table.column(c).to_numpy() for c in ("kind", "last", "h", "id", "pos"))
+    before, after = (_matrix(table.column(c).combine_chunks()) for c in ("before", "after"))
+    out = []
+    for side in (1, 2):
+        for j in np.flatnonzero((kind == 3) & (slot == side)):
+            i = np.flatnonzero((kind == 1) & ((slot & side) > 0) & (h == h[j]))
+            back, on = (_equal(m, i, np.full(len(i), j)) for m in (before, after))
+            if len(some := np.flatnonzero((back > 0) | (on > 0))):
+                out.append(_reaches(h[i[some]], ids[i[some]], pos[i[some]], np.stack([back[some], on[some]])))
+            long = back + SEED + on >= LEAST
+            i, back, on = i[long], back[long], on[long]
+            if len(i):
+                out.append(_matches(np.stack([ids[i], pos[i] - back, pos[i] + SEED + on, np.full(len(i), ids[j])])))
+    kinds = pa.schema([pa.field(c, t) for c, t in zip(_OUT, [pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary()], strict=True)])
+    return pa.Table.from_batches([b.cast(kinds) for b in out], kinds)
 
 
 def _reaches(h: np.ndarray, ids: np.ndarray, pos: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
@@ -209,24 +273,30 @@ def _matches(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(pa.array(r) for r in x), *none], _OUT)
 
 
-def _edges(table: pa.Table) -> pa.RecordBatch:
-    n, null = len(table), pa.nulls(len(table), pa.int64())
+def _edges(table: pa.Table, kind: int, part: int, marks: Iterable[int]) -> pa.RecordBatch:
+    """Whole rows of a range, with its number as ``first`` and a mark as ``last``."""
+    n = len(table)
     get = lambda c: table.column(c).combine_chunks()
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), get("id"), null, null, null, get("h"), get("pos"), get("before"), get("after")], _OUT)
+    own = [pa.array(np.full(n, kind, np.int32)), get("id"), pa.array(np.full(n, part, np.int64)), pa.array(np.asarray(marks, np.int64)), pa.nulls(n, pa.int64())]
+    return pa.RecordBatch.from_arrays([*own, get("h"), get("pos"), get("before"), get("after")], _OUT)
 
 
 _SCHEMA = "kind int, id bigint, first bigint, last bigint, other bigint, h bigint, pos bigint, before binary, after binary"
 
 
 def _compared(suffixes: DataFrame, by: str) -> DataFrame:
-    """Matches (kind 0) and reaches (kind 2) of suffixes and their neighbours in the order of h and one context."""
+    """Matches (kind 0) and reaches (kind 2) of suffixes and their neighbours in the order of h and one context.
+
+    What a range needs of others are two rows, which follow from four rows of each range; its edge runs meet them range by range.
+    """
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h", by, "id", "pos"]
     dealt = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = cut(dealt.transform(map_in_arrow, lambda b: _neighbours(b, True), _SCHEMA), f"by_{by}")
-    rims = found.where("kind = 1").select("h", "id", "pos", "before", "after")  # two runs a task
-    rest = rims.repartition(1).sortWithinPartitions(*order).transform(map_in_arrow, lambda b: _neighbours(b, False), _SCHEMA)
-    return found.where("kind <> 1").union(rest).select("kind", "id", "first", "last", "other", "h", "pos")
+    found = cut(dealt.transform(map_in_arrow, _neighbours, _SCHEMA), f"by_{by}")
+    beyond = cut(found.where("kind = 3").repartition(1).transform(map_in_arrow, _borders, _SCHEMA), f"beyond_{by}")
+    rims = found.where("kind = 1").join(beyond.select(F.col("first").alias("_part")).distinct(), F.col("first") == F.col("_part"), "left_semi")
+    rest = rims.unionByName(beyond).groupBy("first").applyInArrow(_at_border, _SCHEMA)
+    return found.where("kind = 0 or kind = 2").union(rest).select("kind", "id", "first", "last", "other", "h", "pos")
 
 
 def _merged(spans: DataFrame) -> DataFrame:

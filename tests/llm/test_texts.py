@@ -97,6 +97,26 @@ def test_planted_passages(spark):
     assert covered(got) == brute_passages({d: t.split() for d, t in rows})
 
 
+@pytest.mark.parametrize("parts", [2, 7, 64])
+def test_passages_of_texts_that_repeat_themselves_over_borders_of_ranges(spark, parts):
+    """Runs of one document's equal suffixes are split by many ranges, and a part of a run needs what stands beyond the rest of it."""
+    rng = random.Random(parts)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, other = ([word() for _ in range(70)] for _ in range(2))
+    rows = [(1, passage * 40 + [word()] + other), (2, [word(), *passage, word()]), (3, other * 9 + passage[:55]), (4, [word() for _ in range(300)]), (5, other[10:68])]
+    rows += [(10 + k, [word() for _ in range(5)] + passage[k % 15 : 55 + k % 15] + [word()]) for k in range(20)]
+    settings = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = covered(repeated_passages(docs(spark, [(d, " ".join(w)) for d, w in rows])).collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == brute_passages(dict(rows))
+
+
 def test_passages_of_awkward_rows(spark):
     text = " ".join(f"x{k}" for k in range(60))
     df = clashing(docs(spark, [*AWKWARD, (70, text), (71, "y " + text), (72, text + " " + text[:5]), (None, text)]))
