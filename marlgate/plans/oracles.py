@@ -234,8 +234,8 @@ _SELECTS = {
     "overlay_primitives": f"""SELECT {_PAGE}, 0 AS kind, layout_idx AS place, {_PIXELS}, label || ' (' || printf('%.2f', score) || ')' AS label, {_COLORS} AS color FROM layouts
       UNION ALL SELECT {_PAGE}, 1, text_idx, {_PIXELS}, CASE WHEN length(text) > 20 THEN substr(text, 1, 20) || '...' ELSE text END, '0,255,0' FROM texts
       UNION ALL SELECT {_PAGE}, 2, ref_idx, {_REF_PIXELS}, 'REF: ' || mention || CASE WHEN mapped_figure_id <> '' THEN ' -> ' || mapped_figure_id ELSE '' END, CASE WHEN mapped_figure_id <> '' THEN '0,255,0' ELSE '0,0,255' END FROM boxed""",
-    "overlay_legend": """SELECT place, label, CAST(40 + 20 * place AS INTEGER) AS y, color FROM (VALUES (0, 'Text', '0,255,0'), (1, 'Title', '255,0,255'), (2, 'Paragraph Title', '255,128,0'), (3, 'Figure', '255,0,0'),
-      (4, 'Table', '0,255,255'), (5, 'Formula', '255,255,0'), (6, 'List', '128,255,128'), (7, 'Abstract', '128,128,255')) AS v(place, label, color)""",
+    "overlay_legend": """SELECT doc_id, page_index, place, label, CAST(600 - doc_id % 5 * 100 - 250 AS INTEGER) AS x, CAST(50 + 20 * place AS INTEGER) AS y, color FROM pages, (VALUES (0, 'Text', '0,255,0'), (1, 'Title', '255,0,255'), (2, 'Paragraph Title', '255,128,0'), (3, 'Figure', '255,0,0'),
+      (4, 'Table', '0,255,255'), (5, 'Formula', '255,255,0'), (6, 'List', '128,255,128'), (7, 'Abstract', '128,128,255')) AS v(place, label, color) WHERE 600 - doc_id % 5 * 100 >= 260""",
     "overlay_images": f"""SELECT {_PAGE}, 150 AS width, 500 AS height, coalesce(n, 0) AS drawn, NULL AS error FROM pages LEFT JOIN (SELECT doc_id, page_index, count(*) AS n FROM (
       SELECT {_PAGE}, {_QUARTER} FROM layouts UNION ALL SELECT {_PAGE}, {_QUARTER} FROM texts UNION ALL SELECT {_PAGE}, {_QUARTER.replace("trunc(x", "trunc(bx").replace("trunc(y", "trunc(by")} FROM ref_boxes)
       WHERE x1 >= x0 AND y1 >= y0 AND x1 >= 0 AND y1 >= 0 AND x0 < 150 AND y0 < 500 GROUP BY ALL) USING (doc_id, page_index)""",

@@ -379,7 +379,9 @@ def overlay_primitives(spark, d):
 
 
 def overlay_legend(spark, d):
-    return overlay.legend(spark)
+    """The legends of pages of several widths, of which some are too narrow."""
+    pages = fixture_analysis(spark, d).pages.withColumn("width", F.col("width") - (F.col("doc_id") % 5 * 100).cast("int"))
+    return overlay.page_legends(pages)
 
 
 def overlay_images(spark, d):

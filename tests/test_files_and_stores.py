@@ -50,10 +50,12 @@ def test_painter_scales_the_page_and_adds_the_legend():
 
     paint = overlays.painter(decode, scale=2.0)
     none = pd.DataFrame(columns=["kind", "place", "x0", "y0", "x1", "y1", "color"])
-    made, drawn = paint(b"ok", 16, 300, none)
+    made, drawn = paint(b"ok", 300, 250, none)
     page = pixels_of(made)
-    assert page.shape == (600, 32, 3) and drawn == 0
-    assert page[2 * (overlays.LEGEND_TOP) + 1, 5].tolist() == [0, 255, 0]  # the first entry: text
+    assert page.shape == (500, 600, 3) and drawn == 0
+    assert page[101, 101].tolist() == [0, 255, 0] and page[141, 101].tolist() == [255, 0, 255] and page[30, 200].tolist() == [255, 255, 255]  # text, title, the legend's ground
+    assert page[450, 10].tolist() == decode(b"ok")[14, 0].tolist()
+    assert pixels_of(paint(b"ok", 16, 300, none)[0]).shape == (600, 32, 3)  # too narrow for the legend
     with pytest.raises(ZeroDivisionError):
         paint(b"broken", 16, 300, none)
 

@@ -148,7 +148,9 @@ def test_overlay(spark):
     mapped = spark.createDataFrame([(1, 0, 0, "Figure 1", [1.0, 2.0, 3.0, 4.0], "fig_1"), (1, 0, 1, "Figure 2", [1.0, 2.0, 3.0, 4.0], None)], "doc_id bigint, page_index int, ref_idx bigint, text string, bbox array<double>, mapped_figure_id string")
     rows = overlay.overlay_primitives(layouts(spark, (1, 0, 0, "Odd", (0, 0, 1, 1))), t, mapped).orderBy("kind", "place").collect()
     assert [(r["label"], r["color"]) for r in rows] == [("Odd (0.90)", "255,255,255"), ("a text that is longe...", "0,255,0"), ("REF: Figure 1 -> fig_1", "0,255,0"), ("REF: Figure 2", "0,0,255")]
-    assert overlay.legend(spark).count() == 8
+    pages = spark.createDataFrame([(1, 0, 600, 800), (1, 1, 259, 800), (1, 2, 260, 209), (1, 3, None, 800)], "doc_id bigint, page_index int, width int, height int")
+    lines = overlay.page_legends(pages).orderBy("place").collect()
+    assert len(lines) == 8 and {r["page_index"] for r in lines} == {0} and (lines[0]["x"], lines[0]["y"], lines[7]["y"]) == (350, 50, 190)
 
 
 def test_model_slot(spark):
