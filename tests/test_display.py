@@ -107,3 +107,38 @@ def test_analysis_to_raw_and_back(spark):
     shown = raw.display_of_raw(a.raw).first()
     assert shown["figures"][0]["reference_count"] == len(doc["pages"][0]["figure_references"])
     assert Analysis(pages, layouts, texts, exclude_captions=True).refs.count() == 0
+
+
+def test_plans_read_no_more_than_they_need(spark, data):
+    """Mentions do without the structure of pages; resolving them moves them by page and by number, and nothing is stored for it."""
+    import re
+
+    from marlgate.plans.analysis import stored_fixture
+
+    a = stored_fixture(spark, data)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    scan = plan(a.refs)
+    assert "carried" not in a.__dict__ and "entries" not in a.__dict__ and len(re.findall("FileScan|Scan parquet", scan)) == 1 and len(re.findall(r"Exchange hashpartitioning", scan)) == 1
+    assert "Join" not in scan and "Python" not in scan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mapped = plan(a.mapped)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "stored_mapped" not in a.__dict__ and "stored_figures" not in a.__dict__
+    # texts, carried and entries twice; mentions by page (window, context) and by number, carried by page, answers by number
+    assert len(re.findall("Scan parquet", mapped)) == 4 and len(re.findall(r"Exchange hashpartitioning", mapped)) <= 4 and "Cartesian" not in mapped
+
+
+def test_figures_with_texts_equal_the_two_lookups(spark, data):
+    from marlgate.operators import captions
+    from marlgate.plans.analysis import stored_fixture
+
+    a = stored_fixture(spark, data)
+    both = {(r["doc_id"], r["page_index"], r["fig_idx"]): r for r in captions.with_texts(a.figures, a.texts).collect()}
+    best = {(r["doc_id"], r["page_index"], r["fig_idx"]): r for r in a.captions.collect()}
+    below = {(r["doc_id"], r["page_index"], r["fig_idx"]): r for r in a.below.collect()}
+    assert len(both) == a.figures.count() and set(best) | set(below) <= set(both)
+    for key, r in both.items():
+        assert [r[c] for c in ("caption", "figure_number", "caption_bbox")] == ([best[key][c] for c in ("caption", "figure_number", "caption_bbox")] if key in best else [None] * 3)
+        assert r["loose_number"] == (below[key]["figure_number"] if key in below else None)

@@ -89,3 +89,50 @@ def test_fallback_chapters(spark):
     texts = ["1.2.3 Deep", "3 Results", "2.10.4 More", "도표 2 및 도표3.5", "제 4 장", "Figure 6.", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(P.fallback_chapter(F.col("t")).alias("c"))
     assert [r["c"] and tuple(r["c"]) for r in df.collect()] == [(1, "2.3"), (3, None), (2, "10.4"), (2, None), (4, None), None, None, None]
+
+
+def _rows_of_scan(spark, texts, rules=None):
+    from marlgate.operators.references import scan_references
+
+    df = spark.createDataFrame([(1, i, 0, f"t{i}", t, 0.0, 0.0, 100.0, 10.0) for i, t in enumerate(texts)], "doc_id bigint, page_index int, text_idx bigint, text_id string, text string, x0 double, y0 double, x1 double, y1 double")
+    rows = scan_references(df, rules).select("page_index", "rule", "part", "text", "start_pos", "end_pos", "figure_number").collect()
+    return sorted(tuple(r) for r in rows)
+
+
+def test_rows_of_a_scan_equal_python_in_short_long_and_marked_texts(spark):
+    many = " ".join(f"see Figure {k}.5, \U0001f600 Figures {k} and {k + 1};" for k in range(60))
+    texts = ["Figure 7", "fig. ３.4 and [그림 12]", "\U0001f600 see Figure 8, Figure 9", "(FIG. 2) FİGURE 3 fıgure 4", "도표 5, 그림6", "Figure 99999999999999999999", "", None, "in fig 1.2.3", "Figures 1 through 3,4", "a\u0001 Figure 5 \u0002 see fig 6", many, "x" * 1990 + " Figure 4", "x" * 1995 + " Figure 4"]
+    assert _rows_of_scan(spark, texts) == _expected([t or "" for t in texts])
+    assert _rows_of_scan(spark, texts, [5]) == [r for r in _expected([t or "" for t in texts]) if r[1] == 5]
+
+
+# Worked out by hand from what the rules are meant to accept; the SQL twins share the patterns, so these guard them.
+RULE_CASES = [
+    (1, "As shown in Fig. 12, we", [("As shown in Fig. 12", 0, 12)]), (1, "figure3", [("figure3", 0, 3)]), (1, "Table 3", []),
+    (2, "see Figure 4.2", [("see Figure 4.2", 0, 4)]), (2, "see Fig. 4", []), (3, "in fig 6", [("in fig 6", 0, 6)]), (3, "within Figure 6", [("in Figure 6", 4, 6)]),
+    (4, "(Fig. 8) x", [("(Fig. 8)", 0, 8)]), (4, "Fig. 8", []), (5, "Figures 2-5", [("Figures 2-5", 0, 2), ("Figures 2-5", 0, 5)]), (5, "Figure 1 through 9", [("Figure 1 through 9", 0, 1), ("Figure 1 through 9", 0, 9)]), (5, "Figure 1 or 2", []),
+    (6, "위 그림 7 참조", [("그림 7", 2, 7)]), (7, "도표3", [("도표3", 0, 3)]), (8, "[그림 4]", [("[그림 4]", 0, 4)]), (8, "그림 4", []),
+]
+
+
+def test_each_rule_on_cases_worked_out_by_hand(spark):
+    for rule in range(1, 9):
+        cases = [(t, want) for r, t, want in RULE_CASES if r == rule]
+        got = _rows_of_scan(spark, [t for t, _ in cases], [rule])
+        assert [(r[0], r[3], r[4], r[6]) for r in got] == sorted((i, *w) for i, (_, want) in enumerate(cases) for w in want), rule
+
+
+def test_captions_chapters_and_sections_worked_out_by_hand(spark):
+    captions = {"Fig. 3: A view": (3, "A view"), "figure 12 Name": (12, "Name"), "그림 4. 제목": (4, "제목"), "图 5 标题": (5, "标题"), "Figure 6": (6, None), "See Figure 3": None, "Table 1": None, "图像": None}
+    chapters = {"Chapter 2: Start": (2, "Start", "en"), "제 3 장 서론": (3, "서론", "ko"), "第4章 标题": (4, "标题", "zh"), "CHAPTER 5": (5, None, "en"), "see Chapter 3": None}
+    sections = {"2.1 Scope": ("2.1", None, "Scope"), "2.1.3 Deep": ("2.1", "3", "Deep"), "Section 3.1 Foo": ("3.1", "Foo", "Foo"), "§ 4 Bounds": ("4", "Bounds", "Bounds"), "Chapter 1": None}
+    for match, cases in ((P.match_caption, captions), (P.match_chapter, chapters), (P.match_section, sections)):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, text string")
+        got = {r["i"]: r["m"] for r in df.select("i", match(F.col("text")).alias("m")).collect()}
+        assert [None if got[i] is None else tuple(got[i]) for i in range(len(cases))] == list(cases.values())
+
+
+def test_strip_takes_all_white_space(spark):
+    texts = ["a", " a", "a ", " a　", "é ", "\té", "", " ", "a b", "\U0001f600 "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert [r[0] for r in df.orderBy("i").select(P.strip(F.col("text"))).collect()] == ["a", "a", "a", "a", "é", "é", "", "", "a b", "\U0001f600"]
