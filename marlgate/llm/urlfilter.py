@@ -5,6 +5,9 @@ strings in the same order.  Workers map the digests into memory and look up whol
 A digest that is found is confirmed by comparing the stored string, so that a collision decides nothing.
 
 A URL's candidates are its host and parent domains, each with the beginnings of its path in the lengths that occur in the list.
+A list of blocked hosts beyond ``MOST_BYTES`` is dealt into shards by a hash, each a sorted digest array of its own that is probed with
+the domains that fall to it: the same search, with no part of the list on the driver.
+
 The longest rule that fits gives the verdict.  Without one, a URL is blocked if its host or a parent domain is on the list of
 blocked hosts, and allowed otherwise.
 
@@ -30,10 +33,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgate.shipping import map_in_arrow
+from marlgate.shipping import map_in_arrow, ship
 
-#: Bytes of list that are sent to every executor at most, and those that an entry takes besides its text.
-MOST_BYTES, ENTRY_BYTES = 256 << 20, 29
+#: Bytes of list that are read by the driver and sent to every executor at most, those that an entry takes besides its text, and those
+#: of a shard of a longer list, about.
+MOST_BYTES, ENTRY_BYTES, SHARD_BYTES = 16 << 20, 29, 16 << 20
 
 
 def digest(text: str) -> int:
@@ -46,6 +50,15 @@ class DigestArray:
     def __init__(self, digests: np.ndarray, starts: np.ndarray, values: np.ndarray, text: np.ndarray):
         self.digests, self.starts, self.values, self.text = digests, starts, values, text
 
+    @staticmethod
+    def of(texts: list[bytes], value: int, hasher=digest) -> DigestArray:
+        """A list in memory, all of one value."""
+        digests = np.fromiter((hasher(t.decode()) for t in texts), np.uint64, len(texts))
+        order = np.argsort(digests, kind="stable")
+        texts = [texts[i] for i in order]
+        starts = np.cumsum([0, *map(len, texts)]).astype(np.uint64)
+        return DigestArray(digests[order], starts, np.full(len(texts), value, np.uint64), np.frombuffer(b"".join(texts), np.uint8))
+
     @staticmethod
     def write(entries: dict[str, int], folder: str, hasher=digest) -> str:
         """Writes the list to one file: a JSON line with the counts, then the arrays."""
@@ -109,15 +122,24 @@ def read_hosts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(host.alias("host")).where("host <> ''")
 
 
-def _by_join(judged: DataFrame, hosts: DataFrame, key: str) -> DataFrame:
-    """Blocks what no rule decides and whose host or parent domain is listed, by a join on digests for lists of any size."""
-    names = judged.columns
+def _by_shards(judged: DataFrame, hosts: DataFrame, size: int) -> DataFrame:
+    """Blocks what no rule decides and whose host or parent domain is listed, for lists of any size (``size`` bytes)."""
+    spark, names = judged.sparkSession, judged.columns
+    shards = max(-(-size // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     labels = F.split("host", "\\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), "."))
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
     open_hosts = judged.where("rule is null and host <> ''").select("host").distinct()
-    tried = open_hosts.select("host", F.explode(domains).alias("domain")).withColumn("digest", F.xxhash64("domain"))
-    listed = hosts.select(F.col("host").alias("bad")).distinct().withColumn("bad_digest", F.xxhash64("bad"))
-    hit = tried.join(listed, (F.col("digest") == F.col("bad_digest")) & (F.col("domain") == F.col("bad"))).select(F.col("host").alias("_hit")).distinct()
+    tried = open_hosts.select("host", F.explode(domains).alias("domain")).select(shard("domain"), "host", "domain")
+    listed = hosts.select(F.col("host").alias("bad")).distinct().select(shard("bad"), "bad")
+
+    def probe(asked: pa.Table, known: pa.Table) -> pa.Table:
+        texts = asked.column("domain").to_pylist()
+        found = DigestArray.of([t.encode() for t in known.column("bad").to_pylist()], BLOCKED_HOST).find(texts) >= 0
+        return pa.table({"_hit": asked.column("host").combine_chunks().filter(pa.array(found, pa.bool_()))})
+
+    ship(spark)
+    hit = tried.groupBy("shard").cogroup(listed.groupBy("shard")).applyInArrow(probe, "_hit string").distinct()
     joined = judged.join(hit, (F.col("host") == F.col("_hit")) & F.col("rule").isNull(), "left")
     return joined.withColumn("verdict", F.when(F.col("_hit").isNotNull(), "block").otherwise(F.col("verdict"))).select(*(F.col(f"`{c}`") for c in names))
 
@@ -125,8 +147,8 @@ def _by_join(judged: DataFrame, hosts: DataFrame, key: str) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: dict[str, str], blocked_hosts: Iterable[str] | DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """``key``, host, path, rule, verdict.  ``rules`` maps ``host/path`` to ``allow`` or ``block``.
 
-    ``blocked_hosts`` is a list, or a table with the column host.  A list that takes more than ``MOST_BYTES`` as a digest array is
-    not sent to executors but joined by digest.
+    ``blocked_hosts`` is a list, or a table with the column host.  One that takes more than ``MOST_BYTES`` as a digest array is not
+    sent to executors, but dealt into shards.
     """
     spark = pages.sparkSession
     if isinstance(blocked_hosts, DataFrame):
@@ -135,10 +157,11 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], blocked_hosts: Iterable[
         blocked_hosts = [r["host"] for r in hosts.collect()] if size <= MOST_BYTES else None
     else:
         blocked_hosts = list(blocked_hosts)
-        if sum(len(h.encode()) + ENTRY_BYTES for h in blocked_hosts) > MOST_BYTES:
+        size = sum(len(h.encode()) + ENTRY_BYTES for h in blocked_hosts)
+        if size > MOST_BYTES:
             hosts, blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string"), None
     if blocked_hosts is None:
-        return _by_join(judge_urls(pages, rules, [], key, url), hosts, key)
+        return _by_shards(judge_urls(pages, rules, [], key, url), hosts, int(size))
     entries = {f"host:{h}": BLOCKED_HOST for h in blocked_hosts} | {f"rule:{r}": {"allow": ALLOW, "block": BLOCK}[v] for r, v in rules.items()}
     lengths = sorted({len(r) - r.index("/") for r in rules})
     sizes = sorted({len(h) for h in blocked_hosts} | {r.index("/") for r in rules}, reverse=True)

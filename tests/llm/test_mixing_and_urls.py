@@ -93,9 +93,28 @@ def test_collisions_are_confirmed(tmp_path):
     assert DigestArray.open(DigestArray.write({}, str(tmp_path))).find(["a"]).tolist() == [-1]
 
 
-def test_list_over_the_bound_is_joined(spark, monkeypatch):
+def test_list_over_the_bound_is_dealt_into_shards(spark, monkeypatch):
     from marlgate.llm import urlfilter
 
     monkeypatch.setattr(urlfilter, "MOST_BYTES", 3)
     pages = spark.createDataFrame([(1, "http://a.bad.org/x"), (2, "http://good.org/"), (None, None)], "page_id bigint, url string")
     assert {r["page_id"]: r["verdict"] for r in judge_urls(pages, {"long.org/": "block"}, ["bad.org"]).collect()} == {1: "block", 2: "allow", None: "allow"}
+
+
+def test_shards_judge_like_one_list(spark, monkeypatch, tmp_path):
+    """A list from a file, and awkward pages: very long, null and repeated ones, other columns."""
+    from marlgate.llm import urlfilter
+    from tests.llm.helpers import clashing
+
+    listed = [f"bad{k}.example.{end}" for k in range(300) for end in ("org", "net")]
+    (tmp_path / "list.txt").write_text("# blocked\n" + "\n".join(h.upper() if k % 7 == 0 else f" {h} # why" for k, h in enumerate(listed)) + "\n\n")
+    hosts = urlfilter.read_hosts(spark, str(tmp_path / "list.txt"))
+    urls = [f"https://{'www.' * (k % 4)}{'bad' if k % 3 else 'good'}{k}.example.{'org' if k % 2 else 'net'}/p?{k}" for k in range(600)]
+    urls += ["http://" + "a." * 5000 + "bad1.example.org/", "http://bad1.example.org/" + "x/" * 20_000, None, None, "http://bad1.example.org/allowed/", "https://notbad1.example.org/"]
+    pages = clashing(spark.createDataFrame([(None if k % 100 == 7 else k, u) for k, u in enumerate(urls)] * 2, "page_id bigint, url string"))
+    rules = {"example.org/allowed": "allow"}
+    one = sorted(map(repr, judge_urls(pages, rules, hosts).collect()))
+    monkeypatch.setattr(urlfilter, "MOST_BYTES", 100)
+    monkeypatch.setattr(urlfilter, "SHARD_BYTES", 2000)
+    assert sorted(map(repr, judge_urls(pages, rules, hosts).collect())) == one
+    assert sum("'block'" in r for r in one) > 300 and len(one) == 2 * len(urls)
