@@ -13,7 +13,7 @@ BOX = "x0 double, y0 double, x1 double, y1 double"
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    lines = ["Chapter 1: Introduction", "This is the first paragraph.", "As shown in Figure 1.", "1.1 Background", "More text about Figure 2.", "The end."]
+    lines = ["Chapter 1: Tides", "This is the first paragraph.", "As shown in Figure 1.", "1.1 Background", "More text about Figure 2.", "The end."]
     scores = [0.98, 0.95, 0.96, 0.97, 0.94, 0.95]
     texts = [(1, i // 3, i % 3, f"text_{i % 3}", t, 100.0, 100.0 * (i % 3 + 1), 500.0, 100.0 * (i % 3 + 1) + 30, c) for i, (t, c) in enumerate(zip(lines, scores, strict=True))]
     texts += [(1, 1, 3, "text_3", "", 0.0, 0.0, 1.0, 1.0, 0.5), (1, 1, 4, "text_4", "no box", None, None, None, None, 0.5)]
@@ -25,8 +25,8 @@ def tables(spark):
         "figures": spark.createDataFrame(figures, f"doc_id bigint, page_index int, fig_idx bigint, figure_id string, figure_number bigint, chapter int, section string, caption string, caption_bbox array<double>, {BOX}, score double"),
         "mapped": spark.createDataFrame(refs, "doc_id bigint, page_index int, ref_idx bigint, text string, bbox array<double>, figure_number bigint, mapped_figure_id string, mapping_confidence double"),
         "structure": spark.createDataFrame([(1, 0, 1, None), (1, 1, 1, "1.1")], "doc_id bigint, page_index int, chapter int, section string"),
-        "chapters": spark.createDataFrame([(1, 1, "Introduction", 0, 3, ["1.1", "1.2"])], "doc_id bigint, chapter int, title string, start_page int, end_page int, sections array<string>"),
-        "documents": spark.createDataFrame([(1, "Sample Research Paper", 10, 45.2), (2, None, 0, None)], "doc_id bigint, title string, total_pages int, processing_time double"),
+        "chapters": spark.createDataFrame([(1, 1, "Tides", 0, 3, ["1.1", "1.2"])], "doc_id bigint, chapter int, title string, start_page int, end_page int, sections array<string>"),
+        "documents": spark.createDataFrame([(1, "Notes on a Harbour", 10, 45.2), (2, None, 0, None)], "doc_id bigint, title string, total_pages int, processing_time double"),
     }
 
 
@@ -40,8 +40,8 @@ def shown(tables):
 
 def test_document(shown):
     doc = shown.where("doc_id = 1").first()
-    assert doc["title"] == "Sample Research Paper"
-    assert [tuple(c) for c in doc["chapters"]] == [("Introduction", 1, 0, 3, ["1.1", "1.2"])]
+    assert doc["title"] == "Notes on a Harbour"
+    assert [tuple(c) for c in doc["chapters"]] == [("Tides", 1, 0, 3, ["1.1", "1.2"])]
     assert [[e["type"] for e in p["layouts"]] for p in doc["pages"]] == [["text", "text", "text", "figure", "figure_reference"], ["text", "text", "text", "figure_reference"], []]
     assert [(p["page_index"], p["chapter"], p["section"]) for p in doc["pages"]] == [(0, "1", None), (1, "1", "1.1"), (3, None, None)]
     assert doc["pages"][1]["full_text"] == "1.1 Background More text about Figure 2. The end." and tuple(doc["pages"][1]["size"]) == (600, 800)
@@ -68,7 +68,7 @@ def test_json_has_each_types_own_fields(shown):
 def test_round_trip(spark, shown, tmp_path):
     results.write_display(shown, str(tmp_path / "out"))
     back = results.read_display(spark, str(tmp_path / "out"))
-    assert {r["doc_id"]: r["title"] for r in back.collect()} == {1: "Sample Research Paper", 2: None}
+    assert {r["doc_id"]: r["title"] for r in back.collect()} == {1: "Notes on a Harbour", 2: None}
     assert len(list(results.iterate_json(shown))) == 2
 
 
