@@ -35,6 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from marlgate.llm.bpe import _ODD_SPACE, _SPACE, _byte_letters
 from marlgate.shipping import map_in_arrow, ship
+from marlgate.sources.binary import as_uri
 
 MAGIC, BLOCK, PERCENTILE = b"MGPFOR1\n", 1024, 90
 #: Blocks that are packed or unpacked at once.
@@ -224,7 +225,7 @@ class TokenFile:
 def _filesystem(path: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(path)
+    return FileSystem.from_uri(as_uri(path))
 
 
 def _manifest(path: str) -> list[dict]:

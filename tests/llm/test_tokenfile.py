@@ -104,7 +104,7 @@ def test_awkward_table(spark, tmp_path):
 
 
 def test_empty_table_repeated_rows_and_appending(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
+    path = f"file:{tmp_path}/t"  # as Spark writes local paths
     assert stored(spark, docs(spark, []), path).count() == 0
     same_rows = docs(spark, [(k % 2, "the same text") for k in range(500)])
     assert stored(spark, same_rows, path).count() == 500
