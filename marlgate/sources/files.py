@@ -6,6 +6,7 @@ cannot be read becomes a row with an error.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,7 +17,6 @@ from pyspark.sql.types import StructType
 
 from marlgate.shipping import map_in_pandas
 from marlgate.sources.binary import read_bytes
-from marlgate.storage import cut
 
 # Accepted file types, and the largest file in bytes.
 EXTENSIONS = ["pdf", "png", "jpg", "jpeg"]
@@ -146,7 +146,43 @@ def page_chunks(infos: DataFrame, size: int = 10) -> DataFrame:
     return found.select("doc_id", "chunk_id", (F.col("s") + 1).alias("start_page"), F.least(F.col("s") + size, "total_pages").alias("end_page"), "total_pages")
 
 
-def detect(pages: DataFrame, detector: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
+# Rows that a Python task gathers before it sends them on.
+SENT_ROWS = 10_000
+
+
+class _Rows:
+    """Rows of many pages, sent on as one frame: a frame for each page costs more than what is in it."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.columns = names, [[] for _ in names]
+
+    def add(self, count: int, **values) -> None:
+        """Adds rows; a value that is no list is that of each of them."""
+        for name, column in zip(self.names, self.columns, strict=True):
+            value = values[name]
+            column.extend(value if isinstance(value, list) else [value] * count)
+
+    def full(self) -> bool:
+        return len(self.columns[0]) >= SENT_ROWS
+
+    def take(self) -> pd.DataFrame:
+        out = pd.DataFrame(dict(zip(self.names, self.columns, strict=True)), dtype=object)
+        self.columns = [[] for _ in self.names]
+        return out
+
+
+#: What a detector says of an image: a frame, or lists by the names of its columns.
+Detected = pd.DataFrame | dict[str, list]
+
+
+def _columns(found: Detected, names: list[str]) -> dict[str, list]:
+    columns = {n: found[n].tolist() if isinstance(found, pd.DataFrame) else list(found[n]) for n in names}
+    if len({len(c) for c in columns.values()}) > 1:
+        raise ValueError("a detector's columns differ in length")
+    return columns
+
+
+def detect(pages: DataFrame, detector: Callable[[bytes], Detected], schema: str) -> DataFrame:
     """Applies a layout or text detector to page images.
 
     ``schema`` names the detector's columns; doc_id and page_index come before them, and a place among the page's rows and an error
@@ -155,16 +191,18 @@ def detect(pages: DataFrame, detector: Callable[[bytes], pd.DataFrame], schema:
     names = [f.name for f in StructType.fromDDL(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows(["doc_id", "page_index", *names, "place", "error"])
         for batch in batches:
             for doc, page, image in zip(batch["doc_id"], batch["page_index"], batch["image"], strict=True):
                 try:
-                    found = detector(image)[names]
-                    found = found.assign(place=range(len(found)), error=None)
+                    found = _columns(detector(image), names)
+                    count = len(found[names[0]])
+                    rows.add(count, doc_id=doc, page_index=page, **found, place=list(range(count)), error=None)
                 except Exception as e:  # noqa: BLE001  a page that fails is a result
-                    found = pd.DataFrame({**{n: [None] for n in names}, "place": [None], "error": [str(e) or type(e).__name__]})
-                found.insert(0, "doc_id", doc)
-                found.insert(1, "page_index", page)
-                yield found
+                    rows.add(1, doc_id=doc, page_index=page, **dict.fromkeys(names), place=None, error=str(e) or type(e).__name__)
+                if rows.full():
+                    yield rows.take()
+        yield rows.take()
 
     return pages.select("doc_id", "page_index", "image").transform(map_in_pandas, run, f"doc_id bigint, page_index int, {schema}, place bigint, error string")
 
@@ -192,32 +230,77 @@ def recognise(pages: DataFrame, boxes: DataFrame, crop: Callable[[bytes, tuple[i
     kept = clamp_boxes(whole.select("doc_id", "page_index", "place", "score", F.struct("x0", "y0", "x1", "y1").alias("own"), "x0", "y0", "x1", "y1", "width", "height"))
     item = F.struct("place", "own", "score", "x0", "y0", "x1", "y1")
     grouped = kept.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(item)).alias("boxes"))  # a page's boxes, so not many
-    names = ["text_idx", "text_id", "text", "x0", "y0", "x1", "y1", "score", "det_score"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows(_READ)
         for batch in batches:
             for doc, page, image, found in zip(batch["doc_id"], batch["page_index"], batch["image"], batch["boxes"], strict=True):
-                rows, error = [], None
-                try:
-                    for b in found:
-                        for text, score in recogniser(crop(image, (b["x0"], b["y0"], b["x1"], b["y1"]))):
-                            rows.append((len(rows), f"text_{b['place']}", text, *(b["own"][c] for c in ("x0", "y0", "x1", "y1")), score, b["score"]))
-                except Exception as e:  # noqa: BLE001  a page that fails is a result
-                    rows, error = [(None,) * len(names)], str(e) or type(e).__name__
-                out = pd.DataFrame(rows, columns=names).assign(error=error)
-                out.insert(0, "doc_id", doc)
-                out.insert(1, "page_index", page)
-                yield out
+                boxes = [(b["place"], tuple(b["own"][c] for c in _BOX), b["score"], tuple(b[c] for c in _BOX)) for b in found]
+                _add_read(rows, doc, page, image, boxes, crop, recogniser)
+                if rows.full():
+                    yield rows.take()
+        yield rows.take()
 
     return pages.select("doc_id", "page_index", "image").join(grouped, ["doc_id", "page_index"]).transform(map_in_pandas, run, f"doc_id bigint, page_index int, {RECOGNISED}, error string")
 
 
-def detect_and_recognise(pages: DataFrame, detector: Callable[[bytes], pd.DataFrame], crop: Callable, recogniser: Callable) -> DataFrame:
-    """Texts of page images by a detector of text boxes (x0, y0, x1, y1, score) and a recogniser; failures of either as error rows."""
-    found = cut(detect(pages, detector, "x0 double, y0 double, x1 double, y1 double, score double"), "boxes")
-    texts = recognise(pages, found.where("error is null").drop("error"), crop, recogniser)
-    errors = found.where("error is not null").select("doc_id", "page_index", "error")
-    return texts.unionByName(errors, allowMissingColumns=True)
+_BOX = ("x0", "y0", "x1", "y1")
+_READ = ["doc_id", "page_index", *(c.split()[0] for c in RECOGNISED.split(", ")), "error"]
+
+
+def _add_read(rows: _Rows, doc: int, page: int, image: bytes, boxes: list[tuple], crop: Callable, recogniser: Callable) -> None:
+    """The texts in the boxes (place, whole box, score, box in the page) of one page, or the error of the page."""
+    found, error = [], None
+    try:
+        for place, own, det_score, inner in boxes:
+            for text, score in recogniser(crop(image, inner)):
+                found.append((len(found), f"text_{place}", text, *own, score, det_score))
+    except Exception as e:  # noqa: BLE001  a page that fails is a result
+        found, error = [(None,) * (len(_READ) - 3)], str(e) or type(e).__name__
+    if found:
+        rows.add(len(found), doc_id=doc, page_index=page, **dict(zip(_READ[2:-1], map(list, zip(*found, strict=True)), strict=True)), error=error)
+
+
+def _pixel(value: float | None, edge: int, most: bool) -> int:
+    """A coordinate in whole pixels, not beyond the edge: what ``clamp_boxes`` says."""
+    if value is None:
+        return edge
+    whole = 0 if math.isnan(value) else math.floor(value)
+    return min(edge, whole) if most else max(edge, whole)
+
+
+def _clamped(found: dict[str, list], width: int, height: int) -> list[tuple]:
+    """The boxes of a page that have something in it, as ``_add_read`` takes them."""
+    out = []
+    for place, (x0, y0, x1, y1, score) in enumerate(zip(*(found[n] for n in (*_BOX, "score")), strict=True)):
+        inner = (_pixel(x0, 0, False), _pixel(y0, 0, False), _pixel(x1, width, True), _pixel(y1, height, True))
+        if inner[2] > inner[0] and inner[3] > inner[1]:
+            out.append((place, (x0, y0, x1, y1), score, inner))
+    return out
+
+
+def detect_and_recognise(pages: DataFrame, detector: Callable[[bytes], Detected], crop: Callable, recogniser: Callable) -> DataFrame:
+    """Texts of page images by a detector of text boxes (x0, y0, x1, y1, score) and a recogniser; failures of either as error rows.
+
+    Both look at an image where it lies, one after the other, so neither images nor boxes are moved; the rows are those of ``detect``
+    and ``recognise``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows(_READ)
+        for batch in batches:
+            for doc, page, image, width, height in zip(batch["doc_id"], batch["page_index"], batch["image"], batch["width"], batch["height"], strict=True):
+                try:
+                    boxes = _clamped(_columns(detector(image), [*_BOX, "score"]), width, height)
+                except Exception as e:  # noqa: BLE001  a page that fails is a result
+                    rows.add(1, **{**dict.fromkeys(_READ), "doc_id": doc, "page_index": page, "error": str(e) or type(e).__name__})
+                else:
+                    _add_read(rows, doc, page, image, boxes, crop, recogniser)
+                if rows.full():
+                    yield rows.take()
+        yield rows.take()
+
+    return pages.select("doc_id", "page_index", "image", "width", "height").transform(map_in_pandas, run, f"doc_id bigint, page_index int, {RECOGNISED}, error string")
 
 
 def clamp_boxes(boxes: DataFrame) -> DataFrame:
