@@ -94,3 +94,13 @@ def test_result_files_are_compressed(spark, data, tmp_path):
     assert written and all(f.name.endswith(".json.gz") for f in written)
     assert results.read_display(spark, str(tmp_path / "out")).count() == shown.count()
     assert queries.result_files(spark, data).count() == shown.count()
+
+
+def test_parts_of_nested_results_need_no_mentions(spark, data):
+    """Chapters and pages are made without mentions, figures or the registry, and are those of the whole document."""
+    a = stored_fixture(spark, data)
+    some = a.display(only=("chapters", "full_text"))
+    assert not {"stored_mapped", "stored_figures", "entries", "mapped"} & set(a.__dict__)
+    pages = "transform(pages, p -> struct(p.page_index, p.chapter, p.section, p.full_text, p.size)) AS pages"
+    got, want = (sorted(map(repr, df.selectExpr("doc_id", "chapters", pages).collect())) for df in (some, a.display()))
+    assert got == want and len(got) > 1
