@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marlgate.shipping import map_in_pandas
-from marlgate.sources.binary import read_bytes
+from marlgate.sources.binary import as_uri, read_bytes
 
 # Accepted file types, and the largest file in bytes.
 EXTENSIONS = ["pdf", "png", "jpg", "jpeg"]
@@ -28,6 +28,37 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, modificationTime and length of the files that ``scan_files`` finds, without their contents, and of empty files.
+
+    The driver lists ``path`` itself alone; the folders in it, with all that is below them, are listed by tasks.  So many files are best kept in
+    many folders, and no file's name goes through the driver.
+    """
+    from pyarrow.fs import FileSelector, FileSystem, FileType
+
+    uri = as_uri(path.rstrip("/"))
+    fs, root = FileSystem.from_uri(uri)
+    prefix = uri[: -len(root)] if uri.endswith(root) else uri.split("://")[0] + "://"
+    top = [e for e in fs.get_file_info(FileSelector(root)) if not _hidden(e.base_name)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = FileSystem.from_uri(uri)
+        for batch in batches:
+            for place, is_folder in zip(batch["place"], batch["is_folder"], strict=True):
+                found = fs.get_file_info(FileSelector(place, recursive=True) if is_folder else [place])
+                rows = [(prefix + e.path, e.mtime, e.size) for e in found if e.type == FileType.File and not any(map(_hidden, e.path[len(root) :].split("/")))]
+                yield pd.DataFrame(rows, columns=["path", "modificationTime", "length"])
+
+    folders = spark.createDataFrame([(e.path, e.type == FileType.Directory) for e in top], "place string, is_folder boolean")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(top) // 8)
+    return folders.repartition(min(parts, max(len(top), 1))).transform(map_in_pandas, run, "path string, modificationTime timestamp, length bigint")
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
 def accepted(files: DataFrame) -> DataFrame:
     """Files that may be analysed: a known type, a name that ends in .pdf in any case, and not too large."""
     name = F.lower("path")
@@ -52,21 +83,22 @@ def read_info(content: bytes) -> tuple[int, bool, dict[str, str]]:
     return len(reader.pages), bool(reader.is_encrypted), metadata
 
 
-def document_info(files: DataFrame, reader: Callable[[bytes], tuple[int, bool, dict[str, str]]] = read_info) -> DataFrame:
-    """A row for each file; one that cannot be read has no pages and an error."""
+def document_info(files: DataFrame, reader: Callable[[bytes], tuple[int, bool, dict[str, str]]] = read_info, read: Callable[[str], bytes] = read_bytes) -> DataFrame:
+    """A row for each file; one that cannot be read has no pages and an error.  Files without their content are read by the tasks."""
+    known = [c for c in ("path", "content") if c in files.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, *content in batch[known].itertuples(index=False):
                 try:
-                    pages, encrypted, metadata = reader(content)
+                    pages, encrypted, metadata = reader(content[0] if content else read(path))
                     rows.append((path, pages, encrypted, metadata, None, None))
                 except Exception as e:  # noqa: BLE001  a broken file is a result
                     rows.append((path, 0, False, {}, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "total_pages", "encrypted", "metadata", "title", "error"])
 
-    return files.select("path", "content").transform(map_in_pandas, run, INFO)
+    return files.select(*known).transform(map_in_pandas, run, INFO)
 
 
 def render_pages(content: bytes, first: int | None, last: int | None, dpi: int) -> Iterator[tuple[int, bytes, int, int]]:
@@ -86,26 +118,39 @@ def render_pages(content: bytes, first: int | None, last: int | None, dpi: int)
 IMAGES = "path string, page_index int, image binary, width int, height int, error string"
 
 
-def _image(path: str, page: int | None, image: bytes | None = None, width: int | None = None, height: int | None = None, error: str | None = None) -> pd.DataFrame:
-    return pd.DataFrame({"path": [path], "page_index": [page], "image": [image], "width": [width], "height": [height], "error": [error]}, dtype=object)
+#: How many bytes and rows of images a task gathers before it sends them on.
+_SENT_BYTES, _SENT_IMAGES = 4 * 1024 * 1024, 1000
+
+
+def _frames(images: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows of ``IMAGES`` as frames of many small images, or of a large one."""
+    columns, rows, size = [c.split()[0] for c in IMAGES.split(", ")], [], 0
+    for row in images:
+        rows.append(row)
+        size += len(row[2] or b"")
+        if size >= _SENT_BYTES or len(rows) >= _SENT_IMAGES:
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
 
 
 def page_images(files: DataFrame, first: int | None = None, last: int | None = None, dpi: int = 200, render: Callable = render_pages) -> DataFrame:
-    """A row for each page of each file, made and sent on one at a time; a file fails with one row that has the error.
+    """A row for each page of each file, sent on some MB at a time; a file fails with one row that has the error.
 
     A file is rendered by one task; ``range_images`` spreads large files.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    for page, image, width, height in render(content, first, last, dpi):
-                        yield _image(path, page, image, width, height)
+                    for image in render(content, first, last, dpi):
+                        yield (path, *image, None)
                 except Exception as e:  # noqa: BLE001  a broken file is a result
-                    yield _image(path, None, error=str(e) or type(e).__name__)
+                    yield (path, None, None, None, None, str(e) or type(e).__name__)
 
-    return files.select("path", "content").transform(map_in_pandas, run, IMAGES)
+    return files.select("path", "content").transform(map_in_pandas, lambda batches: _frames(made(batches)), IMAGES)
 
 
 def page_ranges(infos: DataFrame, size: int = 10) -> DataFrame:
@@ -121,7 +166,7 @@ def range_images(ranges: DataFrame, dpi: int = 200, render: Callable = render_pa
     """
     parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         held: tuple[str, bytes] | None = None
         for batch in batches:
             for path, start, end in zip(batch["path"], batch["start_page"], batch["end_page"], strict=True):
@@ -130,13 +175,13 @@ def range_images(ranges: DataFrame, dpi: int = 200, render: Callable = render_pa
                     if held is None or held[0] != path:
                         held = (path, read(path))
                     for page, image, width, height in render(held[1], int(start), int(end), dpi):
-                        yield _image(path, page, image, width, height)
+                        yield (path, page, image, width, height, None)
                         at = page + 1
                 except Exception as e:  # noqa: BLE001  a range that fails is a result
-                    yield _image(path, at, error=str(e) or type(e).__name__)
+                    yield (path, at, None, None, None, str(e) or type(e).__name__)
 
     dealt = ranges.select("path", "start_page", "end_page").repartition(parts, "path", "start_page").sortWithinPartitions("path", "start_page")
-    return dealt.transform(map_in_pandas, run, IMAGES)
+    return dealt.transform(map_in_pandas, lambda batches: _frames(made(batches)), IMAGES)
 
 
 def page_chunks(infos: DataFrame, size: int = 10) -> DataFrame:

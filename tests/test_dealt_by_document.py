@@ -5,6 +5,7 @@ import re
 import pandas as pd
 import pytest
 
+from marlgate.operators import mapping, reports
 from marlgate.plans import queries
 from marlgate.plans.analysis import stored_fixture
 from marlgate.sources import files, overlays, results
@@ -104,3 +105,35 @@ def test_parts_of_nested_results_need_no_mentions(spark, data):
     pages = "transform(pages, p -> struct(p.page_index, p.chapter, p.section, p.full_text, p.size)) AS pages"
     got, want = (sorted(map(repr, df.selectExpr("doc_id", "chapters", pages).collect())) for df in (some, a.display()))
     assert got == want and len(got) > 1
+
+
+def test_counts_look_up_numbers_of_pages(spark, data, merged):
+    """Types of elements are counted without lookups, mentions of figures by page and number, where they lie and unsorted: what is moved are entries."""
+    a = stored_fixture(spark, data)
+    counted = reports.layout_type_counts(a.bare_elements)
+    assert not {"carried", "entries", "stored_figures"} & set(a.__dict__)
+    assert sorted(counted.collect()) == sorted(reports.layout_type_counts(a.elements).collect())
+    assert _exchanges(a.mapped_numbers) <= 2 and "SortMergeJoin" not in a.mapped_numbers._jdf.queryExecution().executedPlan().toString()
+    assert sorted(mapping.reference_counts(a.mapped_numbers).collect()) == sorted(mapping.reference_counts(a.mapped).collect())
+
+
+def test_listed_files_are_those_that_spark_finds(spark, tmp_path):
+    """Tasks list folders and read files themselves, so neither names nor contents go through the driver or the JVM."""
+    for name in ("top.pdf", "a/one.PDF", "a/deep/two.pdf", "b/.draft", "_log/three.pdf", "b/_SUCCESS", "b/empty.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else name.encode())
+    listed, found = files.list_files(spark, f"file:{tmp_path}/"), files.scan_files(spark, str(tmp_path))
+    short = lambda df: sorted((r["path"].split(":")[-1].lstrip("/"), r["length"], r["modificationTime"].replace(microsecond=0)) for r in df.select("path", "length", "modificationTime").collect())
+    # Spark's reader passes over empty files, which are documents that cannot be read
+    assert short(listed.where("length > 0")) == short(found) and len(short(listed)) == 4
+
+    def info(content):
+        return len(content) // len(content), False, {"Title": bytes(content).decode()}
+
+    got, want = (sorted((r["total_pages"], str(r["metadata"]), r["error"]) for r in files.document_info(df, info).collect()) for df in (listed, found))
+    assert sorted(r for r in got if r[2] is None) == want and len(want) == 3 and sum(e is not None for _, _, e in got) == 1
+
+
+def test_small_images_share_frames():
+    frames = list(files._frames(("p", k, b"x" * (1 if k < 2500 else 5_000_000), 1, 1, None) for k in range(2502)))
+    assert [len(f) for f in frames] == [1000, 1000, 501, 1]
