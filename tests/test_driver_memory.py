@@ -33,3 +33,12 @@ def test_pages_and_entries_stay_where_they_lie(spark, data, plans):
     for name in ("mapped", "mapped_numbers", "named_figures", "captions", "below", "refs_in_context"):
         plans[name] = _plan(getattr(a, name))
     assert {"texts", "carried", "entries"} < set(plans) and not _sent(plans)
+
+
+def test_display_documents_stay_where_they_lie(spark, data, plans):
+    a = stored_fixture(spark, data)
+    plans["elements"] = _plan(a.elements)
+    plans["figure_list"] = _plan(a.figure_list)
+    plans["display"] = _plan(a.display())
+    plans["figures alone"] = _plan(stored_fixture(spark, data).display(only=("figures",)))
+    assert {"figures", "mapped"} < set(plans) and not _sent(plans)
