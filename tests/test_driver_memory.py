@@ -2,6 +2,7 @@
 
 import pytest
 
+from marlgate.operators.raw import display_of_raw
 from marlgate.plans import analysis
 from marlgate.plans.analysis import stored_fixture
 
@@ -42,3 +43,10 @@ def test_display_documents_stay_where_they_lie(spark, data, plans):
     plans["display"] = _plan(a.display())
     plans["figures alone"] = _plan(stored_fixture(spark, data).display(only=("figures",)))
     assert {"figures", "mapped"} < set(plans) and not _sent(plans)
+
+
+def test_raw_documents_stay_where_they_lie(spark, data, plans):
+    a = stored_fixture(spark, data)
+    plans["raw"], plans["counts"] = _plan(a.raw), _plan(a.counts)
+    plans["display of raw"] = _plan(display_of_raw(a.raw))
+    assert not _sent(plans)
