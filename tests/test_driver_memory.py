@@ -3,7 +3,7 @@
 import pytest
 
 from marlgate.operators.raw import display_of_raw
-from marlgate.plans import analysis
+from marlgate.plans import analysis, queries
 from marlgate.plans.analysis import stored_fixture
 
 
@@ -50,3 +50,10 @@ def test_raw_documents_stay_where_they_lie(spark, data, plans):
     plans["raw"], plans["counts"] = _plan(a.raw), _plan(a.counts)
     plans["display of raw"] = _plan(display_of_raw(a.raw))
     assert not _sent(plans)
+
+
+def test_queries_of_mentions_send_nothing(spark, data, plans):
+    plans["overlay_primitives"] = _plan(queries.overlay_primitives(spark, data))
+    plans["overlay_images"] = _plan(queries.overlay_images(spark, data))
+    plans["mapping_rate"] = _plan(queries.mapping_rate(spark, data))
+    assert not _sent(plans)
